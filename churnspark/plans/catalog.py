@@ -6,7 +6,6 @@ are columns of one operator output; each query projects what its ID computes.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -114,3 +113,80 @@ def _sig18(spark, sf_dir):
     """SIG18 guard: a target with one class gives the typed error row."""
     cf = CLEAN.build(spark, sf_dir).withColumn("label", F.lit(1))
     return assess_signal(cf, "label", "c_custkey").summary.select("overall_score", "potential_label", "error")
+
+
+# --- evaluation on the scored view -------------------------------------------------------
+from churnspark.operators import metrics as M  # noqa: E402
+from churnspark.operators import score as S  # noqa: E402
+
+
+def _scored(spark, sf_dir):
+    return FX.scored(spark, sf_dir)
+
+
+def _q(fn):
+    def q(spark, sf_dir):
+        return _r6(fn(_scored(spark, sf_dir)))
+    return q
+
+
+register("evl1")(_q(lambda s: M.ranking_metrics(s).select("model", "roc_auc")))
+register("evl2")(_q(lambda s: M.ranking_metrics(s).select("model", "pr_auc")))
+
+
+@register("evl3")
+def _evl3(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    default = M.confusion(s).withColumn("kind", F.lit("default"))
+    bt = M.best_threshold(M.threshold_curve(s))
+    opt = M.confusion(s.join(bt.select("model", "best_threshold"), "model"),
+                      threshold=F.col("best_threshold"), strict=False).withColumn("kind", F.lit("optimal"))
+    return default.unionByName(opt)
+
+
+register("evl4")(_q(lambda s: M.rates(M.confusion(s)).drop("tp", "fp", "tn", "fn")))
+register("evl5")(_q(lambda s: M.classification_report(s)))
+register("evl6")(_q(lambda s: M.threshold_curve(s)))
+register("evl7")(_q(lambda s: M.best_threshold(M.threshold_curve(s))))
+register("evl8")(_q(lambda s: M.evaluate(s).select("model", "best_overall_score")))
+register("evl9")(_q(lambda s: M.evaluate(s)))
+register("evl10")(_q(lambda s: M.pick_best(M.evaluate(s)).select("model", "best_overall_score")))
+register("evl11")(_q(lambda s: M.cv_evaluate(s)))
+
+
+@register("evl12")
+def _evl12(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    train = M.ranking_metrics(s.filter(F.col("fold") != 0))
+    test = M.ranking_metrics(s.filter(F.col("fold") == 0))
+    return _r6(M.overfit_report(train, test))
+
+
+register("evl13")(_q(lambda s: M.brier(s)))
+register("evl17")(_q(lambda s: M.comparison_table(M.evaluate(s))))
+register("evl18")(_q(lambda s: M.roc_curve(s)))
+register("evl19")(_q(lambda s: M.pr_curve(s)))
+register("evl20")(lambda spark, sf_dir: M.metric_bands(M.evaluate(_scored(spark, sf_dir))))
+
+# --- scoring outputs on the scored view ----------------------------------------------------
+
+
+register("scr2")(lambda spark, sf_dir: S.predictions(_scored(spark, sf_dir), "c_custkey", keep=["model"]).drop(
+    "risk_level"))
+
+
+@register("scr3")
+def _scr3(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    return s.select("model", F.col("c_custkey").alias("customer_id"), S.risk_level(F.col("p")).alias("risk_level"))
+
+
+register("scr4")(_q(lambda s: S.batch_summary(s, keys=["model"])))
+register("scr5")(_q(lambda s: S.monitor(s, keys=["model"])))
+register("scr6")(_q(lambda s: S.expected_at_threshold(M.threshold_curve(s), 0.5)))
+register("scr7")(lambda spark, sf_dir: M.best_threshold(M.threshold_curve(_scored(spark, sf_dir))).select(
+    "model", "best_threshold", S.sensitivity_mode(F.col("best_threshold")).alias("mode")))
+register("scr8")(_q(lambda s: S.rethreshold(s, [0.3, 0.5, 0.7], keys=["model"])))
+register("scr9")(_q(lambda s: S.probability_histogram(s, keys=["model"])))
+register("scr10")(_q(lambda s: S.risk_breakdown(s, keys=["model"])))
+register("scr11")(lambda spark, sf_dir: _r6(S.class_distribution(CLEAN.build(spark, sf_dir))))

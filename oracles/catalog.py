@@ -83,3 +83,7 @@ SQL["sig15"] = f"WITH {RAW_SIG} SELECT overall_score, potential_label FROM summa
 SQL["sig16"] = (f"WITH {RAW_SIG} SELECT n_strong, n_medium, n_weak, n_total, top_features, weak_features "
                 f"FROM summary")
 SQL["sig17"] = f"WITH {RAW_SIG} SELECT explanation FROM summary"
+
+from oracles.metrics_sql import build as _build_metrics  # noqa: E402
+
+SQL.update(_build_metrics())
