@@ -190,3 +190,88 @@ register("scr8")(_q(lambda s: S.rethreshold(s, [0.3, 0.5, 0.7], keys=["model"]))
 register("scr9")(_q(lambda s: S.probability_histogram(s, keys=["model"])))
 register("scr10")(_q(lambda s: S.risk_breakdown(s, keys=["model"])))
 register("scr11")(lambda spark, sf_dir: _r6(S.class_distribution(CLEAN.build(spark, sf_dir))))
+
+# --- cleaning and profiling ------------------------------------------------------------
+from churnspark.functions.exprs import bool_map_expr, clean_names, numeric_string, strict_target  # noqa: E402
+from churnspark.operators import clean as CL  # noqa: E402
+from churnspark.operators import profile as PR  # noqa: E402
+
+
+def _raw_named(spark, sf_dir):
+    return clean_names(RAW.build(spark, sf_dir))
+
+
+register("cln1")(_raw_named)
+register("cln2")(lambda spark, sf_dir: _r6(CL.decision_frame(RAW.build(spark, sf_dir))))
+register("cln2_values")(lambda spark, sf_dir: _raw_named(spark, sf_dir).select(
+    "customer_id", numeric_string(F.col("total_spend")).alias("total_spend"),
+    numeric_string(F.col("nation")).alias("nation")))
+register("cln3")(lambda spark, sf_dir: _raw_named(spark, sf_dir).select(
+    "customer_id", bool_map_expr(F.col("has_urgent")).alias("has_urgent"),
+    bool_map_expr(F.col("has_open")).alias("has_open"), bool_map_expr(F.col("churn")).alias("churn")))
+register("cln4")(lambda spark, sf_dir: _raw_named(spark, sf_dir).select(
+    "customer_id", strict_target(F.col("churn")).alias("label")))
+register("cln5")(lambda spark, sf_dir: CL.target_frame(_raw_named(spark, sf_dir), "churn", "lenient").select(
+    "customer_id", "y"))
+register("cln6")(lambda spark, sf_dir: _r6(CL.churn_summary(_raw_named(spark, sf_dir), "churn")))
+register("cln7")(lambda spark, sf_dir: CL.with_row_id(RAW.build(spark, sf_dir).drop("Customer ID"), None).select(
+    "row_id"))
+
+
+@register("cln8")
+def _cln8(spark, sf_dir):
+    """Full cleaning of the raw upload, then id, target and profiled drops pruned."""
+    raw = RAW.build(spark, sf_dir)
+    clean = CL.raw_clean(raw)
+    prof = PR.profile(clean, "churn", "customer_id")
+    drops = [r["column"] for r in prof.filter(F.col("drop_reason").isNotNull()).select("column").collect()]
+    return CL.prune(clean, ["customer_id", "churn"] + drops)
+
+
+def _prof_raw(spark, sf_dir):
+    return _r6(PR.profile(_raw_named(spark, sf_dir), "churn", "customer_id"))
+
+
+def _prof_clean(spark, sf_dir):
+    return _r6(PR.profile(CLEAN.build(spark, sf_dir), "label", "c_custkey"))
+
+
+register("prf16")(_prof_raw)
+register("prf16_clean")(_prof_clean)
+_PRF = {
+    "prf1": ["column", "null_count", "null_pct"], "prf2": ["column", "n_unique"],
+    "prf3": ["column", "top_value", "top_freq"],
+    "prf4": ["column", (F.col("n_unique") <= 1).alias("is_constant"),
+             (F.coalesce(F.col("top_freq"), F.lit(0.0)) >= 0.98).alias("is_near_constant")],
+    "prf5": ["column", "mean", "std", "skewness"],
+    "prf6": ["column", (F.col("detected_type") == "datetime").alias("is_datetime")],
+    "prf7": ["column", "detected_type"],
+    "prf8": ["column", (F.col("detected_type") == "boolean").alias("is_boolean")],
+    "prf9": ["column", "detected_type", "drop_reason"],
+    "prf10": ["column", (F.col("detected_type") == "identifier").alias("is_identifier")],
+    "prf11": ["column", "n_unique", "detected_type"],
+    "prf12": ["column", "drop_reason"], "prf13": ["column", "leak_warning"], "prf14": ["column", "missing_warning"],
+}
+for _k, _cols in _PRF.items():
+    def _mkp(cols, clean):
+        def q(spark, sf_dir):
+            p = _prof_clean(spark, sf_dir) if clean else _prof_raw(spark, sf_dir)
+            return p.select(*cols)
+        return q
+    register(_k)(_mkp(_cols, _k in ("prf5", "prf7")))
+register("prf15")(lambda spark, sf_dir: PR.roles(_prof_raw(spark, sf_dir)))
+
+
+@register("prf17")
+def _prf17(spark, sf_dir):
+    return PR.id_candidates(RAW.build(spark, sf_dir))
+
+
+@register("prf18")
+def _prf18(spark, sf_dir):
+    raw = RAW.build(spark, sf_dir)
+    name = PR.detect_target_column(raw)
+    return raw.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("target_column"), "n_rows")
+
+
+register("prf19")(lambda spark, sf_dir: _r6(PR.dataset_warnings(FX.customer_features_imb(spark, sf_dir))))

@@ -87,3 +87,7 @@ SQL["sig17"] = f"WITH {RAW_SIG} SELECT explanation FROM summary"
 from oracles.metrics_sql import build as _build_metrics  # noqa: E402
 
 SQL.update(_build_metrics())
+
+from oracles.profile_sql import build as _build_profile  # noqa: E402
+
+SQL.update(_build_profile())
