@@ -275,3 +275,130 @@ def _prf18(spark, sf_dir):
 
 
 register("prf19")(lambda spark, sf_dir: _r6(PR.dataset_warnings(FX.customer_features_imb(spark, sf_dir))))
+
+# --- feature engineering, selection, split ---------------------------------------------------
+from pyspark.sql import Window  # noqa: E402
+
+from churnspark.operators import features as FE  # noqa: E402
+from churnspark.operators import split as SP  # noqa: E402
+
+CF_NUMERIC = ["c_nationkey", "c_acctbal", "n_orders", "total_spend", "avg_spend", "max_spend", "n_open", "n_final",
+              "n_urgent", "tenure_days"]
+CF_BOOL = ["has_urgent", "has_open", "has_big"]
+
+
+def _roles(spark, sf_dir):
+    """numeric and boolean feature columns of customer_features, as the profiler assigns them."""
+    cf = CLEAN.build(spark, sf_dir)
+    rows = PR.roles(PR.profile(cf, "label", "c_custkey")).collect()   # <= 4 rows
+    r = {x["role"]: x["columns"] for x in rows}
+    order = {c: i for i, c in enumerate(cf.columns)}
+    key = order.get
+    return cf, sorted(r.get("numeric", []), key=key), sorted(r.get("boolean", []), key=key)
+
+
+def _feature_model(spark, sf_dir):
+    cf, num, boo = _roles(spark, sf_dir)
+    return cf, FE.FeatureEstimator().fit(cf, num, boo)
+
+
+def _long(df: DataFrame, names: list[str], key: str = "c_custkey") -> DataFrame:
+    if not names:
+        return df.sparkSession.createDataFrame([], f"{key} long, feature string, value double")
+    arr = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("value")) for n in names])
+    return df.select(key, F.explode(arr).alias("kv")).select(key, "kv.feature", "kv.value")
+
+
+@register("fea1")
+def _fea1(spark, sf_dir):
+    cf, num, _ = _roles(spark, sf_dir)
+    s = FE.numeric_summary(cf, num)
+    w = Window.partitionBy("ratio_eligible").orderBy(F.col("variance").desc(), F.col("pos"))
+    return _r6(s.select("column", "variance", "min", "ratio_eligible",
+                        F.when(F.col("ratio_eligible"), F.row_number().over(w)).alias("variance_rank")))
+
+
+@register("fea2")
+def _fea2(spark, sf_dir):
+    cf, m = _feature_model(spark, sf_dir)
+    out = m.transform(cf, only_kept=False)
+    return _long(out, [r[0] for r in m.ratios])   # one IEEE division: identical in any engine, not rounded
+
+
+@register("fea3")
+def _fea3(spark, sf_dir):
+    cf, m = _feature_model(spark, sf_dir)
+    out = m.transform(cf, only_kept=False)
+    return _r6(_long(out, [r[0] for r in m.logs]))
+
+
+@register("fea4")
+def _fea4(spark, sf_dir):
+    cf, m = _feature_model(spark, sf_dir)
+    return _r6(m.transform(cf, only_kept=False).select("c_custkey", "feat_n_active_services"))
+
+
+@register("fea5")
+def _fea5(spark, sf_dir):
+    cf, m = _feature_model(spark, sf_dir)
+    names = list(m.expressions())
+    return cf.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(n in m.keep).alias("kept"))
+                            for n in names])).alias("r")).select("r.*")
+
+
+def _train_part(spark, sf_dir):
+    cf, m = _feature_model(spark, sf_dir)
+    sp = SP.stratified_split(m.transform(cf), "label", ["c_custkey"])
+    return sp.filter(F.col("split") == "train"), m
+
+
+@register("fea6")
+def _fea6(spark, sf_dir):
+    train, m = _train_part(spark, sf_dir)
+    return FE.correlation_dedup(train, m.keep)
+
+
+@register("fea7")
+def _fea7(spark, sf_dir):
+    train, m = _train_part(spark, sf_dir)
+    return _r6(FE.binned_mi(train, m.keep))
+
+
+@register("fea8")
+def _fea8(spark, sf_dir):
+    """Frozen plan fitted on the train part, replayed on the test part."""
+    cf, num, boo = _roles(spark, sf_dir)
+    sp = SP.stratified_split(cf, "label", ["c_custkey"])
+    model = FE.FeatureEstimator().fit(sp.filter(F.col("split") == "train"), num, boo)
+    test = sp.filter(F.col("split") == "test")
+    return _r6(_long(model.transform(test), model.keep))
+
+
+register("spl1")(lambda spark, sf_dir: SP.stratified_split(CLEAN.build(spark, sf_dir), "label", ["c_custkey"])
+                 .select("c_custkey", "label", "split"))
+register("spl2")(lambda spark, sf_dir: SP.stratified_folds(CLEAN.build(spark, sf_dir), "label", ["c_custkey"])
+                 .select("c_custkey", "label", "fold"))
+
+
+@register("spl3")
+def _spl3(spark, sf_dir):
+    sp = SP.stratified_split(CLEAN.build(spark, sf_dir), "label", ["c_custkey"])
+    train = sp.filter(F.col("split") == "train").drop("split")
+    return SP.stratified_split(train, "label", ["c_custkey"], salt="42|cal|", split_col="cal_split").select(
+        "c_custkey", "label", "cal_split")
+
+
+register("spl4")(lambda spark, sf_dir: SP.hash_sample(CLEAN.build(spark, sf_dir), 300, ["c_custkey"]).select(
+    "c_custkey"))
+
+
+@register("set1")
+def _set1(spark, sf_dir):
+    sp = SP.stratified_split(CLEAN.build(spark, sf_dir), "label", ["c_custkey"])
+    return SP.union_parts(sp.filter("split = 'train'"), sp.filter("split = 'test'")).select("c_custkey", "label")
+
+
+SET2_KNOWN = ["c_custkey", "n_orders", "c_acctbal", "c_mktsegment", "tenure_days", "support_calls"]
+register("set2")(lambda spark, sf_dir: SP.align_columns(
+    CLEAN.build(spark, sf_dir), SET2_KNOWN, {"support_calls": "double"}))

@@ -91,3 +91,7 @@ SQL.update(_build_metrics())
 from oracles.profile_sql import build as _build_profile  # noqa: E402
 
 SQL.update(_build_profile())
+
+from oracles.features_sql import build as _build_features  # noqa: E402
+
+SQL.update(_build_features())
