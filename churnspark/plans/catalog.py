@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from churnspark.operators.signal import assess_signal
 from churnspark.plans.inputs import CLEAN, DOCS, RAW, Input
 from churnspark.sources import fixtures as FX
+from churnspark.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -402,3 +403,239 @@ def _set1(spark, sf_dir):
 SET2_KNOWN = ["c_custkey", "n_orders", "c_acctbal", "c_mktsegment", "tenure_days", "support_calls"]
 register("set2")(lambda spark, sf_dir: SP.align_columns(
     CLEAN.build(spark, sf_dir), SET2_KNOWN, {"support_calls": "double"}))
+
+# --- training, calibration, explanation (model fits: row-count checks) --------------------------
+from churnspark.operators import advisor as AD  # noqa: E402
+from churnspark.operators import explain as EX  # noqa: E402
+from churnspark.operators import train as TR  # noqa: E402
+from churnspark.plans import pipeline as PL  # noqa: E402
+
+# The registered checks use a small search (2 trials x 3 folds, 20 trees) so the
+# whole ML section runs in minutes on sf 0.01; the library default is the
+# original budget (30 trials x 5 folds, 300 trees, 500 boosting rounds).
+CHECK_CONFIG = TR.TrainConfig(n_trials=2, folds=3, rf_trees=20, boost_cap=20, boost_floor=5, patience=5)
+CHECK_MODELS = TR.PRODUCTION_MODELS + TR.REGISTRY_MODELS
+_PIPELINES: dict = {}
+
+
+def _pipeline(spark, sf_dir):
+    k = (id(spark), sf_dir)
+    if k not in _PIPELINES:
+        _PIPELINES[k] = PL.run_pipeline(RAW.build(spark, sf_dir), RAW.target, RAW.id_col, CHECK_MODELS, CHECK_CONFIG)
+    return _PIPELINES[k]
+
+
+def _family_row(name):
+    def q(spark, sf_dir):
+        return _pipeline(spark, sf_dir).metrics.filter(F.col("model") == name).select(
+            "model", "cv_roc_auc", "best_params", "error", "roc_auc", "pr_auc", "recall")
+    return q
+
+
+for _id, _name in (("trn1", "Logistic Regression"), ("trn2", "Random Forest"), ("trn3", "XGBoost"),
+                   ("trn4", "LightGBM"), ("trn5", "CatBoost"), ("trn6", "Decision Tree"),
+                   ("trn7", "Gradient Boosting")):
+    register(_id)(_family_row(_name))
+register("trn8")(lambda spark, sf_dir: _pipeline(spark, sf_dir).metrics.select("model", "cv_roc_auc", "best_params"))
+
+
+@register("trn9")
+def _trn9(spark, sf_dir):
+    """Trial budget from the training-row count (train part of the 80/20 split)."""
+    sp = SP.stratified_split(CLEAN.build(spark, sf_dir), "label", ["c_custkey"])
+    n = F.count(F.lit(1))
+    return sp.filter(F.col("split") == "train").agg(n.alias("n_train")).select(
+        "n_train", F.when(F.col("n_train") > 100_000, F.greatest(F.lit(10), F.lit(C.N_TRIALS // 3)))
+        .when(F.col("n_train") > 50_000, F.greatest(F.lit(15), F.lit(C.N_TRIALS // 2)))
+        .otherwise(F.lit(C.N_TRIALS)).alias("n_trials"))
+
+
+register("trn10")(lambda spark, sf_dir: _pipeline(spark, sf_dir).metrics.filter(
+    F.col("n_estimators").isNotNull()).select("model", "n_estimators"))
+
+
+@register("trn11")
+def _trn11(spark, sf_dir):
+    """A family that fails (no usable features) is reported with its error, the others are unaffected."""
+    cf = SP.stratified_folds(CLEAN.build(spark, sf_dir), "label", ["c_custkey"], k=2)
+    t = TR.Trainer(["no_such_column"], [], TR.TrainConfig(n_trials=1, folds=2))
+    r = t.search("Logistic Regression", cf, False)
+    return cf.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit("Logistic Regression").alias("model"), F.lit(r.error).alias("error"), "n_rows")
+
+
+@register("trn12")
+def _trn12(spark, sf_dir):
+    res = _pipeline(spark, sf_dir)
+    meta = AD.meta_features(res.data.filter(F.col("split") == "train"), res.numeric, res.categorical)
+    return AD.recommend(meta)
+
+
+@register("trn13")
+def _trn13(spark, sf_dir):
+    import numpy as np
+    n = CLEAN.build(spark, sf_dir).count()
+    rng = np.random.default_rng([C.RANDOM_STATE, 0])
+    draws = [(name, t, TR.params_json(TR.suggest(name, rng, False))) for name in CHECK_MODELS
+             for t in range(TR.trial_budget(n))]
+    return spark.createDataFrame(draws, "model string, trial int, params string")
+
+
+register("evl14")(lambda spark, sf_dir: spark.createDataFrame(
+    [("sigmoid", _pipeline(spark, sf_dir).calibration.get("candidates", {}).get("sigmoid"))],
+    "method string, brier double"))
+register("evl15")(lambda spark, sf_dir: spark.createDataFrame(
+    [("isotonic", _pipeline(spark, sf_dir).calibration.get("candidates", {}).get("isotonic"))],
+    "method string, brier double"))
+
+
+@register("evl16")
+def _evl16(spark, sf_dir):
+    c = _pipeline(spark, sf_dir).calibration
+    return spark.createDataFrame([(c.get("brier_before"), c.get("brier_after"), c.get("method"),
+                                   bool(c.get("calibrated")))],
+                                 "brier_before double, brier_after double, method string, calibrated boolean")
+
+
+@register("evl21")
+def _evl21(spark, sf_dir):
+    res = _pipeline(spark, sf_dir)
+    return res.trainer.score(res.final, res.data).select("c_custkey" if "c_custkey" in res.data.columns
+                                                         else res.trainer.key, "label", "p")
+
+
+register("evl22")(lambda spark, sf_dir: spark.createDataFrame([(PL.report_json(_pipeline(spark, sf_dir)),)],
+                                                              "report string"))
+
+
+@register("exp1")
+def _exp1(spark, sf_dir):
+    names = EX.feature_names(_pipeline(spark, sf_dir).final.prep)
+    return spark.createDataFrame(list(enumerate(names)), "slot int, feature string")
+
+
+register("exp2")(lambda spark, sf_dir: EX.builtin_importance(spark, _pipeline(spark, sf_dir).final.prep,
+                                                             _pipeline(spark, sf_dir).final.model))
+
+
+@register("exp3")
+def _exp3(spark, sf_dir):
+    res = _pipeline(spark, sf_dir)
+    test = res.data.filter(F.col("split") == "test")
+    raw_cols = res.numeric + res.categorical
+    key = res.trainer.key
+    return EX.permutation_importance(test, raw_cols, lambda d: res.trainer.score(res.final, d), key)
+
+
+def _shap(spark, sf_dir):
+    """Linear attributions of a logistic model refitted with the found parameters."""
+    res = _pipeline(spark, sf_dir)
+    lr = res.families["Logistic Regression"]
+    vec = lr.prep.transform(res.data, keep=[res.trainer.key])
+    return EX.linear_shap(vec, lr.prep, lr.model, res.trainer.key)
+
+
+register("exp4")(_shap)
+register("exp5")(lambda spark, sf_dir: EX.mean_abs_shap(_shap(spark, sf_dir)))
+register("exp6")(lambda spark, sf_dir: EX.normalised_values(_shap(spark, sf_dir)))
+register("exp7")(lambda spark, sf_dir: EX.top_importance(EX.builtin_importance(
+    spark, _pipeline(spark, sf_dir).final.prep, _pipeline(spark, sf_dir).final.model)))
+
+
+@register("scr1")
+def _scr1(spark, sf_dir):
+    """Score a new batch with the frozen plans: clean -> features -> model (no refit, no re-decisions)."""
+    res = _pipeline(spark, sf_dir)
+    batch = res.clean.transform(RAW.build(spark, sf_dir))
+    batch = res.features.transform(batch)
+    scored = res.trainer.score(res.final, batch)
+    return S.predictions(scored, res.trainer.key, res.threshold)
+
+# --- sources, sinks, streaming ------------------------------------------------------------
+from churnspark.sources import io as IO  # noqa: E402
+from churnspark.streaming import scoring as ST  # noqa: E402
+
+
+def _upload(spark, sf_dir, sep=";", encoding="UTF-8", extra=None):
+    """The raw customer view written as an upload file (BOM in the header, given delimiter)."""
+    raw = RAW.build(spark, sf_dir)
+    first = raw.columns[0]
+    df = raw.withColumnRenamed(first, IO.BOM + " " + first + " ")
+    if extra is not None:
+        df = df.withColumn("city", extra)
+    path = IO.new_output_path(spark, "upload")
+    df.write.option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
+    return path
+
+
+@register("src1")
+def _src1(spark, sf_dir):
+    return IO.read_csv(spark, _upload(spark, sf_dir, sep=";"))
+
+
+@register("src2")
+def _src2(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", IO.delimiter_expr(F.split(F.col("text"), "\n")[0]).alias("delimiter"))
+
+
+@register("src3")
+def _src3(spark, sf_dir):
+    path = _upload(spark, sf_dir, sep=",", encoding="ISO-8859-1", extra=F.lit("Zürich"))
+    df = IO.read_csv(spark, path)
+    return df.groupBy("city").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("src4")
+def _src4(spark, sf_dir):
+    df = IO.read_csv(spark, _upload(spark, sf_dir, sep="|"))
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(df.columns[0]).alias("first_column"), "n_rows")
+
+
+register("src5")(lambda spark, sf_dir: IO.shape_and_preview(read_table(spark, sf_dir, "customer"))[0])
+register("src5_preview")(lambda spark, sf_dir: IO.shape_and_preview(read_table(spark, sf_dir, "customer"))[1])
+
+
+@register("snk1")
+def _snk1(spark, sf_dir):
+    preds = S.predictions(FX.scored(spark, sf_dir).filter(F.col("model") == "m1"), "c_custkey")
+    path = IO.write_predictions(preds, IO.new_output_path(spark, "predictions"))
+    return spark.read.option("header", True).csv(path)
+
+
+@register("snk2")
+def _snk2(spark, sf_dir):
+    summary = assess_signal(CLEAN.build(spark, sf_dir), "label", "c_custkey").summary.first().asDict()
+    path = IO.write_report(spark, summary, IO.new_output_path(spark, "report"))
+    return spark.read.text(path)
+
+
+@register("snk3")
+def _snk3(spark, sf_dir):
+    res = _pipeline(spark, sf_dir)
+    path = IO.save_model(res.final, IO.new_output_path(spark, "model"))
+    loaded = IO.load_model(spark, path)
+    return res.trainer.score(loaded, res.data).select(res.trainer.key, "p")
+
+
+def _stream_source(spark, sf_dir):
+    """The raw customer view split into files of a stream source folder."""
+    raw = RAW.build(spark, sf_dir)
+    path = IO.new_output_path(spark, "stream-source")
+    raw.repartition(4).write.parquet(path)
+    return path, raw.schema
+
+
+@register("stream_score")
+def _stream_score(spark, sf_dir):
+    res = _pipeline(spark, sf_dir)
+    src, schema = _stream_source(spark, sf_dir)
+    sink, _ = ST.run_scoring(spark, src, schema, res)
+    return spark.read.parquet(sink)
+
+
+@register("stream_monitor")
+def _stream_monitor(spark, sf_dir):
+    res = _pipeline(spark, sf_dir)
+    src, schema = _stream_source(spark, sf_dir)
+    return spark.read.parquet(ST.run_monitor(spark, src, schema, res))

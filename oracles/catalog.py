@@ -95,3 +95,25 @@ SQL.update(_build_profile())
 from oracles.features_sql import build as _build_features  # noqa: E402
 
 SQL.update(_build_features())
+
+from oracles.features_sql import CF as _CF  # noqa: E402
+
+SQL["trn9"] = f"""WITH {_CF},
+sp AS (SELECT cf.*, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY
+         (CAST(('0x' || substr(md5('42|' || CAST(c_custkey AS VARCHAR)), 1, 8)) AS BIGINT) % 65536),
+         md5('42|' || CAST(c_custkey AS VARCHAR)), CAST(c_custkey AS VARCHAR))
+         <= floor(count(*) OVER (PARTITION BY label) * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split FROM cf)
+SELECT count(*) AS n_train, CASE WHEN count(*) > 100000 THEN greatest(10, {C.N_TRIALS // 3})
+                                 WHEN count(*) > 50000 THEN greatest(15, {C.N_TRIALS // 2}) ELSE {C.N_TRIALS} END AS n_trials
+FROM sp WHERE split = 'train'"""
+
+# sources
+_D = {",": "','", ";": "';'", "\t": "chr(9)", "|": "'|'"}
+_line = "split_part(text, chr(10), 1)"
+_cnt = {d: f"(length({_line}) - length(replace({_line}, {_D[d]}, '')))" for d in _D}
+SQL["src2"] = f"""SELECT doc_id, CASE
+  WHEN greatest({_cnt[',']}, {_cnt[';']}, {_cnt[chr(9)]}, {_cnt['|']}) = 0 THEN ','
+  WHEN {_cnt[',']} >= greatest({_cnt[';']}, {_cnt[chr(9)]}, {_cnt['|']}) THEN ','
+  WHEN {_cnt[';']} >= greatest({_cnt[chr(9)]}, {_cnt['|']}) THEN ';'
+  WHEN {_cnt[chr(9)]} >= {_cnt['|']} THEN chr(9) ELSE '|' END AS delimiter FROM documents"""
+SQL["src5"] = "SELECT count(*) AS n_rows, 5 AS n_cols FROM customer"
