@@ -134,19 +134,16 @@ def classification_report(pred: DataFrame, keys=("model",), threshold: float = 0
     return cm.select(*ks, F.explode(rows).alias("r")).select(*ks, "r.*")
 
 
-def threshold_curve(pred: DataFrame, keys=("model",), label: str = "label", p: str = "p") -> DataFrame:
-    """EVL6: f1/recall/precision at the 26 grid thresholds (p >= t), one hash aggregate.
-
-    26 x 2 conditional counts per group, then the grid is exploded from an
-    array (a generator, not a join).
-    """
-    ks = _keys(keys)
+def _sweep_aggs(label: str, p: str) -> list[Column]:
     y1 = F.col(label) == 1
     aggs = [F.count_if(y1).alias("tot_pos"), F.count_if(~y1).alias("tot_neg")]
     for i, t in enumerate(C.THRESHOLDS):
         aggs.append(F.count_if((F.col(p) >= F.lit(t)) & y1).alias(f"tp{i}"))
         aggs.append(F.count_if((F.col(p) >= F.lit(t)) & ~y1).alias(f"fp{i}"))
-    wide = pred.groupBy(*ks).agg(*aggs)
+    return aggs
+
+
+def _curve_from_wide(wide: DataFrame, ks: list[str]) -> DataFrame:
     points = F.array(*[
         F.struct(F.lit(t).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"))
         for i, t in enumerate(C.THRESHOLDS)
@@ -160,6 +157,16 @@ def threshold_curve(pred: DataFrame, keys=("model",), label: str = "label", p: s
                        _safe_div(tp, tp + fp).alias("precision"))
 
 
+def threshold_curve(pred: DataFrame, keys=("model",), label: str = "label", p: str = "p") -> DataFrame:
+    """EVL6: f1/recall/precision at the 26 grid thresholds (p >= t), one hash aggregate.
+
+    26 x 2 conditional counts per group, then the grid is exploded from an
+    array (a generator, not a join).
+    """
+    ks = _keys(keys)
+    return _curve_from_wide(pred.groupBy(*ks).agg(*_sweep_aggs(label, p)), ks)
+
+
 def best_threshold(curve: DataFrame, keys=("model",)) -> DataFrame:
     """EVL7: the threshold with the highest F1; the lowest threshold wins ties."""
     ks = _keys(keys)
@@ -183,13 +190,23 @@ def brier(pred: DataFrame, keys=("model",), label: str = "label", p: str = "p")
 
 
 def evaluate(pred: DataFrame, keys=("model",), label: str = "label", p: str = "p") -> DataFrame:
-    """EVL9: all metrics of all groups (one row per group)."""
+    """EVL9: all metrics of all groups (one row per group) in two scans of the predictions.
+
+    Scan 1: one hash aggregate holds the confusion counts at 0.5, the Brier
+    sum and the 26-threshold sweep. Scan 2: the ranking metrics.
+    """
     ks = _keys(keys)
+    y1 = F.col(label) == 1
+    hit = F.col(p) > 0.5
+    wide = pred.groupBy(*ks).agg(
+        *_sweep_aggs(label, p),
+        F.count_if(hit & y1).alias("tp"), F.count_if(hit & ~y1).alias("fp"),
+        F.avg(F.pow(F.col(p) - F.col(label), 2)).alias("brier"))
+    wide = wide.withColumn("fn", F.col("tot_pos") - F.col("tp")).withColumn("tn", F.col("tot_neg") - F.col("fp"))
+    r = rates(wide.select(*ks, "tp", "fp", "tn", "fn"), ks)
+    bt = best_threshold(_curve_from_wide(wide, ks), ks)
     rank = ranking_metrics(pred, ks, label, p)
-    r = rates(confusion(pred, ks, 0.5, True, label, p), ks)
-    bt = best_threshold(threshold_curve(pred, ks, label, p), ks)
-    br = brier(pred, ks, label, p)
-    out = rank.join(r, ks).join(bt, ks).join(br, ks)
+    out = rank.join(r, ks).join(bt, ks).join(wide.select(*ks, "brier"), ks)
     return out.select(
         *ks, "roc_auc", "pr_auc", "recall", "precision", "f1", "accuracy", "balanced_accuracy", "brier",
         "best_threshold", "f1_at_threshold", "recall_at_threshold", "precision_at_threshold",

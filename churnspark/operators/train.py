@@ -273,9 +273,10 @@ class Trainer:
         model = make_classifier(name, params, n, self.cfg, n_iter=n_iter, weighted=mode is not None).fit(data)
         return prep, model
 
-    def score(self, res: FamilyResult, df: DataFrame) -> DataFrame:
+    def score(self, res: FamilyResult, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """SCR1: P(churn) for rows with the family's frozen preprocessing and model."""
-        vec = res.prep.transform(df, keep=[c for c in df.columns if c in (self.key, self.label)])
+        cols = [c for c in df.columns if c in (self.key, self.label)] + list(keep or [])
+        vec = res.prep.transform(df, keep=cols)
         return positive_probability(res.model, vec)
 
 

@@ -11,6 +11,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnspark import config as C
 from churnspark.operators.signal import assess_signal
 from churnspark.plans.inputs import CLEAN, DOCS, RAW, Input
 from churnspark.sources import fixtures as FX
@@ -240,24 +241,25 @@ def _prof_clean(spark, sf_dir):
 register("prf16")(_prof_raw)
 register("prf16_clean")(_prof_clean)
 _PRF = {
-    "prf1": ["column", "null_count", "null_pct"], "prf2": ["column", "n_unique"],
-    "prf3": ["column", "top_value", "top_freq"],
-    "prf4": ["column", (F.col("n_unique") <= 1).alias("is_constant"),
-             (F.coalesce(F.col("top_freq"), F.lit(0.0)) >= 0.98).alias("is_near_constant")],
-    "prf5": ["column", "mean", "std", "skewness"],
-    "prf6": ["column", (F.col("detected_type") == "datetime").alias("is_datetime")],
-    "prf7": ["column", "detected_type"],
-    "prf8": ["column", (F.col("detected_type") == "boolean").alias("is_boolean")],
-    "prf9": ["column", "detected_type", "drop_reason"],
-    "prf10": ["column", (F.col("detected_type") == "identifier").alias("is_identifier")],
-    "prf11": ["column", "n_unique", "detected_type"],
-    "prf12": ["column", "drop_reason"], "prf13": ["column", "leak_warning"], "prf14": ["column", "missing_warning"],
+    "prf1": lambda: ["column", "null_count", "null_pct"], "prf2": lambda: ["column", "n_unique"],
+    "prf3": lambda: ["column", "top_value", "top_freq"],
+    "prf4": lambda: ["column", (F.col("n_unique") <= 1).alias("is_constant"),
+                     (F.coalesce(F.col("top_freq"), F.lit(0.0)) >= 0.98).alias("is_near_constant")],
+    "prf5": lambda: ["column", "mean", "std", "skewness"],
+    "prf6": lambda: ["column", (F.col("detected_type") == "datetime").alias("is_datetime")],
+    "prf7": lambda: ["column", "detected_type"],
+    "prf8": lambda: ["column", (F.col("detected_type") == "boolean").alias("is_boolean")],
+    "prf9": lambda: ["column", "detected_type", "drop_reason"],
+    "prf10": lambda: ["column", (F.col("detected_type") == "identifier").alias("is_identifier")],
+    "prf11": lambda: ["column", "n_unique", "detected_type"],
+    "prf12": lambda: ["column", "drop_reason"], "prf13": lambda: ["column", "leak_warning"],
+    "prf14": lambda: ["column", "missing_warning"],
 }
 for _k, _cols in _PRF.items():
     def _mkp(cols, clean):
         def q(spark, sf_dir):
             p = _prof_clean(spark, sf_dir) if clean else _prof_raw(spark, sf_dir)
-            return p.select(*cols)
+            return p.select(*cols())
         return q
     register(_k)(_mkp(_cols, _k in ("prf5", "prf7")))
 register("prf15")(lambda spark, sf_dir: PR.roles(_prof_raw(spark, sf_dir)))
@@ -524,7 +526,9 @@ def _exp3(spark, sf_dir):
     test = res.data.filter(F.col("split") == "test")
     raw_cols = res.numeric + res.categorical
     key = res.trainer.key
-    return EX.permutation_importance(test, raw_cols, lambda d: res.trainer.score(res.final, d), key)
+    return EX.permutation_importance(
+        test, raw_cols, lambda d: res.trainer.score(res.final, d, keep=[c for c in ("__f", "__k") if c in d.columns]),
+        key)
 
 
 def _shap(spark, sf_dir):

@@ -4,7 +4,7 @@ plain GROUP BY / window SQL over a UNION ALL unpivot)."""
 from __future__ import annotations
 
 from churnspark import config as C
-from churnspark.functions.stats import chi2_isf
+from churnspark.functions.chi2 import chi2_isf
 
 MAX_DOF = 64
 

@@ -3,7 +3,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from churnspark.functions.stats import chi2_sf
+from churnspark.functions.chi2 import chi2_sf
 from churnspark.operators import metrics as M
 from churnspark.operators.signal import assess_signal
 
