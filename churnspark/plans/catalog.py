@@ -643,3 +643,61 @@ def _stream_monitor(spark, sf_dir):
     res = _pipeline(spark, sf_dir)
     src, schema = _stream_source(spark, sf_dir)
     return spark.read.parquet(ST.run_monitor(spark, src, schema, res))
+
+# --- preprocessing plans fitted on the training part ------------------------------------------
+from churnspark.operators import prep as PP  # noqa: E402
+
+PRE_NUM = CF_NUMERIC + CF_BOOL
+PRE_CAT = ["c_mktsegment"]
+
+
+def _train_rows(spark, sf_dir):
+    sp = SP.stratified_split(CLEAN.build(spark, sf_dir), "label", ["c_custkey"])
+    return sp.filter(F.col("split") == "train").drop("split"), sp
+
+
+@register("pre1")
+def _pre1(spark, sf_dir):
+    train, _ = _train_rows(spark, sf_dir)
+    m = PP.PrepEstimator(PRE_NUM, []).fit(train)
+    return spark.createDataFrame([(c, float(v) if v is not None else None) for c, v in m.medians.items()],
+                                 "column string, median double").transform(_r6)
+
+
+@register("pre2")
+def _pre2(spark, sf_dir):
+    train, sp = _train_rows(spark, sf_dir)
+    m = PP.PrepEstimator(PRE_NUM, [], scale=True).fit(train)
+    cols = m.columns()
+    wide = sp.select("c_custkey", *cols)
+    return _r6(_long(wide, [f"num__{c}" for c in PRE_NUM]))
+
+
+@register("pre3")
+def _pre3(spark, sf_dir):
+    train, _ = _train_rows(spark, sf_dir)
+    m = PP.PrepEstimator([], PRE_CAT).fit(train)
+    return spark.createDataFrame(list(m.modes.items()), "column string, mode string")
+
+
+@register("pre4")
+def _pre4(spark, sf_dir):
+    train, sp = _train_rows(spark, sf_dir)
+    m = PP.PrepEstimator([], PRE_CAT).fit(train)
+    wide = sp.select("c_custkey", *m.columns())
+    names = m.output_names()
+    return _long(wide, names).filter(F.col("value") != 0)
+
+
+@register("pre5")
+def _pre5(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    train, sp = _train_rows(spark, sf_dir)
+    m = PP.PrepEstimator(PRE_NUM, PRE_CAT).fit(train)
+    return m.transform(sp, keep=["c_custkey"]).select("c_custkey", F.size(vector_to_array("features")).alias("n_slots"))
+
+
+register("pre6")(lambda spark, sf_dir: _r6(PP.class_weights(_train_rows(spark, sf_dir)[0]).select(
+    "label", "n_c", "balanced_weight")))
+register("pre7")(lambda spark, sf_dir: _r6(PP.class_weights(_train_rows(spark, sf_dir)[0]).select(
+    "label", "scale_pos_weight")))

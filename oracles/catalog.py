@@ -117,3 +117,7 @@ SQL["src2"] = f"""SELECT doc_id, CASE
   WHEN {_cnt[';']} >= greatest({_cnt[chr(9)]}, {_cnt['|']}) THEN ';'
   WHEN {_cnt[chr(9)]} >= {_cnt['|']} THEN chr(9) ELSE '|' END AS delimiter FROM documents"""
 SQL["src5"] = "SELECT count(*) AS n_rows, 5 AS n_cols FROM customer"
+
+from oracles.features_sql import build_prep as _build_prep  # noqa: E402
+
+SQL.update(_build_prep())

@@ -69,3 +69,47 @@ SELECT c_custkey, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER B
     q["set2"] = (f"WITH {CF} SELECT c_custkey, n_orders, c_acctbal, c_mktsegment, tenure_days, "
                  f"NULL::DOUBLE AS support_calls FROM cf")
     return q
+
+
+def build_prep() -> dict[str, str]:
+    q: dict[str, str] = {}
+    b, h = _key("c_custkey", "42|")
+    split = f"""sp AS (SELECT cf.*, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {b}, {h}, CAST(c_custkey AS VARCHAR))
+                          <= floor(count(*) OVER (PARTITION BY label) * {C.TEST_SIZE} + 0.5) THEN 'test' ELSE 'train' END AS split
+       FROM cf), tr AS (SELECT * FROM sp WHERE split = 'train')"""
+    cols = NUM + BOOL
+    med = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", median(CAST({c} AS DOUBLE)) AS median FROM tr" for c in cols)
+    q["pre1"] = f"WITH {CF}, {split}, m AS ({med}) SELECT \"column\", round(median, 6) AS median FROM m"
+    stats = " UNION ALL ".join(
+        f"SELECT '{c}' AS col, avg(coalesce(CAST({c} AS DOUBLE), md)) AS mu, stddev_pop(coalesce(CAST({c} AS DOUBLE), md)) AS sd, "
+        f"any_value(md) AS md FROM tr, (SELECT median(CAST({c} AS DOUBLE)) AS md FROM tr) x" for c in cols)
+    vals = " UNION ALL ".join(f"SELECT c_custkey, '{c}' AS col, CAST({c} AS DOUBLE) AS x FROM sp" for c in cols)
+    q["pre2"] = f"""WITH {CF}, {split}, st AS ({stats}), v AS ({vals})
+SELECT v.c_custkey, 'num__' || v.col AS feature,
+       round((coalesce(v.x, st.md) - st.mu) / CASE WHEN st.sd > 0 THEN st.sd ELSE 1.0 END, 6) AS value
+FROM v JOIN st ON v.col = st.col"""
+    mode = """md AS (SELECT c_mktsegment AS m FROM tr WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment
+                ORDER BY count(*) DESC, c_mktsegment ASC LIMIT 1)"""
+    q["pre3"] = f"WITH {CF}, {split}, {mode} SELECT 'c_mktsegment' AS \"column\", m AS mode FROM md"
+    q["pre4"] = f"""WITH {CF}, {split}, {mode},
+cnt AS (SELECT coalesce(c_mktsegment, (SELECT m FROM md)) AS v, count(*) AS n FROM tr GROUP BY 1),
+tot AS (SELECT sum(n) AS n FROM cnt),
+fr AS (SELECT v, n >= (SELECT n FROM tot) * {C.OHE_MIN_FREQUENCY} AS freq,
+              row_number() OVER (ORDER BY n DESC, v ASC) AS rk FROM cnt),
+lim AS (SELECT CASE WHEN count(*) FILTER (WHERE freq) < count(*) OR count(*) FILTER (WHERE freq) > {C.OHE_MAX_CATEGORIES}
+                    THEN {C.OHE_MAX_CATEGORIES - 1} ELSE {C.OHE_MAX_CATEGORIES} END AS k,
+               count(*) FILTER (WHERE freq) < count(*) OR count(*) FILTER (WHERE freq) > {C.OHE_MAX_CATEGORIES} AS has_inf FROM fr),
+kept AS (SELECT v FROM fr, lim WHERE freq AND rk <= k),
+rare AS (SELECT v FROM fr WHERE v NOT IN (SELECT v FROM kept))
+SELECT c_custkey, CASE WHEN coalesce(c_mktsegment, (SELECT m FROM md)) IN (SELECT v FROM kept)
+                       THEN 'cat__c_mktsegment_' || coalesce(c_mktsegment, (SELECT m FROM md))
+                       ELSE 'cat__c_mktsegment_infrequent_sklearn' END AS feature, 1.0 AS value
+FROM sp WHERE coalesce(c_mktsegment, (SELECT m FROM md)) IN (SELECT v FROM kept)
+   OR coalesce(c_mktsegment, (SELECT m FROM md)) IN (SELECT v FROM rare)"""
+    q["pre6"] = f"""WITH {CF}, {split}, c AS (SELECT label, count(*) AS n_c FROM tr GROUP BY label)
+SELECT label, n_c, round(sum(n_c) OVER () / (2.0 * n_c), 6) AS balanced_weight FROM c"""
+    q["pre7"] = f"""WITH {CF}, {split}, c AS (SELECT label, count(*) AS n_c FROM tr GROUP BY label)
+SELECT label, round(CASE WHEN sum(n_c) FILTER (WHERE label = 1) OVER () > 0
+                    THEN round(sum(n_c) FILTER (WHERE label = 0) OVER () / sum(n_c) FILTER (WHERE label = 1) OVER (), 2)
+                    ELSE 1.0 END, 6) AS scale_pos_weight FROM c"""
+    return q
