@@ -532,7 +532,17 @@ def _exp3(spark, sf_dir):
 
 
 def _shap(spark, sf_dir):
-    """Linear attributions of a logistic model refitted with the found parameters."""
+    """Sampled permutation Shapley values of the final (best) model on the test rows."""
+    res = _pipeline(spark, sf_dir)
+    test = res.data.filter(F.col("split") == "test")
+    keep = ["__r", "__m", "__j", "__w"]
+    return EX.sampled_shap(test, res.numeric + res.categorical, res.numeric,
+                           lambda d: res.trainer.score(res.final, d, keep=keep), res.trainer.key)
+
+
+@register("exp4_linear")
+def _shap_linear(spark, sf_dir):
+    """Closed-form attributions of the tuned logistic regression."""
     res = _pipeline(spark, sf_dir)
     lr = res.families["Logistic Regression"]
     vec = lr.prep.transform(res.data, keep=[res.trainer.key])

@@ -78,8 +78,9 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
     enc = encoding or "UTF-8"
     df = load(enc)
     if encoding is None:
-        bad = spark.read.option("encoding", "UTF-8").text(path).filter(
-            F.instr(F.col("value"), REPLACEMENT_CHAR) > 0).limit(1).count()
+        # the text source keeps raw bytes: invalid UTF-8 means another encoding
+        bad = spark.read.text(path).filter(
+            ~F.is_valid_utf8(F.col("value")) | (F.instr(F.col("value"), REPLACEMENT_CHAR) > 0)).limit(1).count()
         if bad:
             df = load("ISO-8859-1")
     return df.toDF(*clean_header(df.columns))

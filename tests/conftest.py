@@ -18,11 +18,20 @@ def spark():
     yield s
 
 
-@pytest.fixture(scope="session")
-def duck():
+def _duck(sf_dir):
     import duckdb
     from churnspark.sources.tables import TABLES, table_path
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{table_path(SF_SMALL, t)}')")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{table_path(sf_dir, t)}')")
     return con
+
+
+@pytest.fixture(scope="session")
+def duck():
+    return _duck(SF_SMALL)
+
+
+@pytest.fixture(scope="session")
+def duck_mid():
+    return _duck(SF_MID)

@@ -4,7 +4,7 @@ from churnspark.sources import io as IO
 
 
 def test_delimiter_sniff_rules(spark):
-    df = spark.createDataFrame([("a;b;c,d",), ("a|b|c",), ("abc",), ("a,b;c",), ("a\tb\tc;d;e",)], "line string")
+    df = spark.createDataFrame([("a;b;c,d",), ("a|b|c",), ("abc",), ("a,b;c",), ("a\tb\tc\td;e",)], "line string")
     got = [r[0] for r in df.select(IO.delimiter_expr(F.col("line"))).collect()]
     assert got == [";", "|", ",", ",", "\t"]
 

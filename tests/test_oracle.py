@@ -2,7 +2,7 @@
 import pytest
 
 import __spark_entry__ as E
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_MID, SF_SMALL
 from tests.helpers import duck_rows, rows_of
 
 FAST = [k for k in E.oracle_sql() if k.split("_")[0].rstrip("0123456789") in
@@ -10,11 +10,17 @@ FAST = [k for k in E.oracle_sql() if k.split("_")[0].rstrip("0123456789") in
         and k not in ("trn9",)]
 
 
+# Feature candidates depend on the profiler's column roles; at sf 0.001 c_acctbal is all-unique and
+# becomes an identifier (FIXTURES.md), so these queries are checked on the sf 0.01 tables.
+MID = {"fea1", "fea2", "fea3", "fea4", "fea5"}
+
+
 @pytest.mark.parametrize("name", FAST)
-def test_query_matches_oracle(spark, duck, name):
-    sdf = E.queries()[name](spark, SF_SMALL)
+def test_query_matches_oracle(spark, duck, duck_mid, name):
+    sf, con = (SF_MID, duck_mid) if name in MID else (SF_SMALL, duck)
+    sdf = E.queries()[name](spark, sf)
     got = rows_of(sdf)
-    want, cols = duck_rows(duck, E.oracle_sql()[name])
+    want, cols = duck_rows(con, E.oracle_sql()[name])
     assert sorted(sdf.columns) == cols
     assert got == want
 
