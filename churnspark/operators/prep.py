@@ -81,20 +81,29 @@ class PrepModel:
         return json.dumps(d, default=str)
 
 
+# exact medians keep a count per distinct value; above this many distinct values a column's
+# median is taken with percentile_approx at accuracy 1e6 (rank error <= n / 1e6)
+EXACT_MEDIAN_MAX_DISTINCT = 1_000_000
+
+
 class PrepEstimator:
-    def __init__(self, numeric: list[str], categorical: list[str], scale: bool = False, exact_median: bool = True):
+    def __init__(self, numeric: list[str], categorical: list[str], scale: bool = False,
+                 exact_median_max_distinct: int = EXACT_MEDIAN_MAX_DISTINCT):
         self.numeric = list(numeric)
         self.categorical = list(categorical)
         self.scale = scale
-        self.exact_median = exact_median
+        self.max_distinct = exact_median_max_distinct
 
     def fit(self, df: DataFrame) -> PrepModel:
         m = PrepModel(numeric=self.numeric, categorical=self.categorical, scale=self.scale)
         if self.numeric:
+            nd = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}")
+                          for i, c in enumerate(self.numeric)]).first()
             aggs = []
             for i, c in enumerate(self.numeric):
                 x = F.col(f"`{c}`").cast("double")
-                med = F.median(x) if self.exact_median else F.percentile_approx(x, 0.5, 1000000)
+                exact = (nd[f"d{i}"] or 0) <= self.max_distinct
+                med = F.median(x) if exact else F.percentile_approx(x, 0.5, 1000000)
                 aggs += [med.alias(f"md{i}")]
             row = df.agg(*aggs).first()
             m.medians = {c: row[f"md{i}"] for i, c in enumerate(self.numeric)}
@@ -113,7 +122,7 @@ class PrepEstimator:
                 m.modes[c] = next((r["value"] for r in rows if r["is_mode"]), None)
                 m.categories[c] = sorted(r["value"] for r in rows if r["kept"])
                 rare = sorted(r["value"] for r in rows if not r["kept"])
-                m.has_infrequent[c] = bool(rare) or any(r["n_rare"] > 0 for r in rows)
+                m.has_infrequent[c] = bool(rare)
                 m.__dict__.setdefault("_rare", {})[c] = rare
         return m
 
@@ -123,9 +132,10 @@ def category_plan(df: DataFrame, cols: list[str]) -> DataFrame:
 
     Counts are taken after most-frequent imputation (nulls become the mode),
     categories below 1 % are infrequent, and at most 30 output columns remain
-    (29 + infrequent when some category is infrequent). Only the top 31
-    categories per column leave the aggregation (a group limit), the rest are
-    counted as rare in n_rare.
+    (29 + infrequent when some category is infrequent). One row per distinct
+    category reaches the driver: categorical inputs are the profiler's kept
+    columns, which have at most 50 distinct values (higher cardinality is
+    dropped as "High cardinality"), so the plan is bounded.
     """
     arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols])
     long = df.select(F.explode(arr).alias("kv")).select("kv.*")
@@ -151,9 +161,8 @@ def category_plan(df: DataFrame, cols: list[str]) -> DataFrame:
         C.OHE_MAX_CATEGORIES)
     kept = F.col("is_frequent") & (F.col("rk") <= limit)
     out = r.select("column", "value", "cnt", kept.alias("kept"), (F.col("value") == F.col("mode")).alias("is_mode"),
-                   F.lit(0).alias("n_rare"), "rk")
-    # the keep-list and a bounded sample of rare values travel to the driver
-    return out.filter(F.col("kept") | F.col("is_mode") | (F.col("rk") <= 1000)).drop("rk")
+                   "rk")
+    return out.drop("rk")
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

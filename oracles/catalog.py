@@ -121,3 +121,26 @@ SQL["src5"] = "SELECT count(*) AS n_rows, 5 AS n_cols FROM customer"
 from oracles.features_sql import build_prep as _build_prep  # noqa: E402
 
 SQL.update(_build_prep())
+
+# PRF17: id candidates of the raw upload (names are metadata, uniqueness is data)
+from oracles.profile_sql import V as _V  # noqa: E402
+
+_RAW_COLS = [("Customer ID", False), ("Churn", True), ("Total Spend", True), ("N-Orders", False),
+             ("Acct Bal", False), ("Segment", True), ("nation", True), ("Has Urgent", True), ("has_open", True),
+             ("constant_col", True), ("nearly_constant", True), ("email", True), ("row_hash", True),
+             ("phone", True), ("account_uuid", True), ("signup_date", True), ("churn_date", True),
+             ("mostly_null", False)]
+
+
+def _prf17() -> str:
+    parts = []
+    for i, (c, is_str) in enumerate(_RAW_COLS):
+        norm = c.lower().replace(" ", "_")
+        hint = C.ID_HINTS.index(norm) if norm in C.ID_HINTS else "NULL"
+        frag = is_str and any(k in c.lower() for k in C.ID_NAME_FRAGMENTS)
+        parts.append(f"""SELECT '{c}' AS "column", {i} AS pos, CAST({hint} AS INTEGER) AS hint_rank,
+  count(DISTINCT "{c}") = count(*) AND {str(frag).lower()} AS fallback FROM raw""")
+    return f"WITH raw AS ({_V.customer_raw()}) " + " UNION ALL ".join(parts)
+
+
+SQL["prf17"] = _prf17()
