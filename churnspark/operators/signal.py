@@ -27,17 +27,30 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnspark import config as C
 from churnspark.functions.exprs import clean_name, clean_names, lenient_target
+from churnspark.functions.chi2 import chi2_isf
 from churnspark.functions.stats import chi2_pvalue
 from churnspark.operators.split import stratified_take
 
 MI_BINS = 16
 EPS = 1e-9
+MAX_DOF = C.SIGNAL_MAX_CATS - 1          # two classes: dof = categories - 1 <= 49
+
+
+def _critical(alpha: float) -> Column:
+    """chi-square critical values for dof 1..49 as a literal map (computed once on the driver)."""
+    pairs = []
+    for dof in range(1, MAX_DOF + 1):
+        pairs += [F.lit(dof), F.lit(chi2_isf(alpha, dof))]
+    return F.create_map(*pairs)
+
+
 Y = "__y"
 
 FEATURE_SCHEMA = (
@@ -253,7 +266,11 @@ def assess_signal(df: DataFrame, target: str, id_col: str | None = None,
     i = clean_name(id_col) if id_col else None
     if t not in df.columns:
         return _error_report(spark, "Target column not found.")
-    base = df.withColumn(Y, lenient_target(F.col(f"`{t}`"), df.schema[t].dataType)).filter(F.col(Y).isNotNull())
+    feats0 = [c for c in df.columns if c not in (t, i)]
+    # several passes read the frame: keep only the feature columns and the class, once
+    base = df.select(*[F.col(f"`{c}`") for c in feats0],
+                     lenient_target(F.col(f"`{t}`"), df.schema[t].dataType).alias(Y)).filter(F.col(Y).isNotNull())
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     class_counts = {r[Y]: r["count"] for r in base.groupBy(Y).count().collect()}
     if len(class_counts) < 2:
         return _error_report(spark, "Target column has only one class — cannot assess signal.")
@@ -291,10 +308,15 @@ def assess_signal(df: DataFrame, target: str, id_col: str | None = None,
 
     cat_rows = None
     if cats:
+        # p < alpha  <=>  chi2 > critical(alpha, dof): the score stays in the JVM; the p-value
+        # itself (a pandas UDF) is only evaluated when the column is selected
         with_p = cat_stats.filter(F.col("n_all") >= C.SIGNAL_MIN_VALID).withColumn(
             "p_value", chi2_pvalue(F.col("chi2"), F.col("dof")))
-        p = F.col("p_value")
-        bonus = (F.when(p < 0.001, 1.0).when(p < 0.01, 0.7).when(p < 0.05, 0.4).otherwise(0.0))
+        x2, dof = F.col("chi2"), F.col("dof")
+        bonus = (F.when(dof <= 0, 0.0)
+                 .when(x2 > F.element_at(_critical(0.001), dof), 1.0)
+                 .when(x2 > F.element_at(_critical(0.01), dof), 0.7)
+                 .when(x2 > F.element_at(_critical(0.05), dof), 0.4).otherwise(0.0))
         cat_sig = F.least(F.greatest(
             0.45 * F.least(F.col("cramers_v"), F.lit(1.0)) + 0.40 * F.least(F.col("ig"), F.lit(1.0))
             + 0.15 * bonus, F.lit(0.0)), F.lit(1.0))

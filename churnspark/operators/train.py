@@ -55,7 +55,7 @@ class TrainConfig:
     boost_cap: int = C.MAX_BOOST_ROUNDS
     boost_floor: int = 50
     patience: int = C.EARLY_STOP_ROUNDS
-    parallelism: int = 4
+    parallelism: int = 8
     seed: int = C.RANDOM_STATE
 
 
@@ -188,9 +188,23 @@ class Trainer:
         self.cfg = cfg or TrainConfig()
         self.key = key
         self.label = label
+        self._folds: dict = {}
+        self._counts: dict = {}
+
+    def release(self):
+        """Unpersist the cached per-fold vectors."""
+        for folds in self._folds.values():
+            for _, trv, vav in folds:
+                trv.unpersist()
+                vav.unpersist()
+        self._folds.clear()
 
     def _fold_vectors(self, train: DataFrame, scale: bool):
-        """Per fold: preprocessing fitted on the fold's training part, vectors persisted once."""
+        """Per fold: preprocessing fitted on the fold's training part, vectors persisted once and
+        shared by every family that uses the same (unscaled or scaled) preprocessing."""
+        k = (id(train), scale)
+        if k in self._folds:
+            return self._folds[k]
         out = []
         for f in range(self.cfg.folds):
             tr = train.filter(F.col("fold") != f)
@@ -200,6 +214,7 @@ class Trainer:
             trv = prep.transform(tr, keep=keep).persist(StorageLevel.MEMORY_AND_DISK)
             vav = prep.transform(va, keep=keep).persist(StorageLevel.MEMORY_AND_DISK)
             out.append((f, trv, vav))
+        self._folds[k] = out
         return out
 
     def search(self, name: str, train: DataFrame, is_imbalanced: bool) -> FamilyResult:
@@ -207,7 +222,9 @@ class Trainer:
         t0 = time.time()
         res = FamilyResult(name)
         try:
-            n_rows = train.count()
+            if id(train) not in self._counts:
+                self._counts[id(train)] = train.count()
+            n_rows = self._counts[id(train)]
             n_trials = self.cfg.n_trials or trial_budget(n_rows)
             rng = np.random.default_rng([self.cfg.seed, PRODUCTION_MODELS.index(name)
                                          if name in PRODUCTION_MODELS else 10 + REGISTRY_MODELS.index(name)])
@@ -254,9 +271,6 @@ class Trainer:
                 med = float(np.median(ns)) if ns else self.cfg.boost_cap
                 res.n_estimators = int(min(max(med, min(self.cfg.boost_floor, self.cfg.boost_cap)),
                                            self.cfg.boost_cap))
-            for _, trv, vav in folds:
-                trv.unpersist()
-                vav.unpersist()
             res.prep, res.model = self.refit(name, res.params, train, is_imbalanced, res.n_estimators)
         except Exception as exc:  # TRN11: one family failing does not stop the others
             res.error = f"{type(exc).__name__}: {exc}"[:500]

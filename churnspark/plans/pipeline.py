@@ -94,6 +94,7 @@ def run_pipeline(raw: DataFrame, target: str, id_col: str, models: list[str] | N
     train_f = stratified_folds(train, "label", [key], k=cfg.folds)
     for name in models:
         res.families[name] = trainer.search(name, train_f, imb)
+    trainer.release()
 
     ok = [n for n, r in res.families.items() if r.error is None]
     preds, train_preds = None, None
