@@ -144,3 +144,7 @@ def _prf17() -> str:
 
 
 SQL["prf17"] = _prf17()
+
+from oracles.features_sql import build_selection as _build_selection  # noqa: E402
+
+SQL.update(_build_selection())

@@ -113,3 +113,51 @@ SELECT label, round(CASE WHEN sum(n_c) FILTER (WHERE label = 1) OVER () > 0
                     THEN round(sum(n_c) FILTER (WHERE label = 0) OVER () / sum(n_c) FILTER (WHERE label = 1) OVER (), 2)
                     ELSE 1.0 END, 6) AS scale_pos_weight FROM c"""
     return q
+
+
+def build_selection() -> dict[str, str]:
+    """FEA6 / FEA7 on the training part, candidates as in fea1-fea5."""
+    q: dict[str, str] = {}
+    b, h = _key("c_custkey", "42|")
+    pairs_n = f"""pairs AS (SELECT a.col AS ca, b.col AS cb,
+                 'feat_ratio_' || {_short('a.col')} || '_' || {_short('b.col')} AS name,
+                 row_number() OVER (ORDER BY a.rk, b.rk) AS pn
+          FROM el a JOIN el b ON a.rk < b.rk WHERE a.rk <= {C.MAX_RATIO_COLS} AND b.rk <= {C.MAX_RATIO_COLS})"""
+    body = f"""WITH {CF}, {LONG}, {STATS}, {pairs_n}, {LOGS},
+rv AS (SELECT a.c_custkey, p.name AS feature, p.pn AS ord, coalesce(a.x / nullif(b.x, 0), 0.0) AS value
+       FROM pairs p JOIN lg a ON a.col = p.ca JOIN lg b ON b.col = p.cb AND a.c_custkey = b.c_custkey),
+lv AS (SELECT a.c_custkey, l.name AS feature, 100 + s.pos AS ord, ln(1 + coalesce(a.x, 0.0)) AS value
+       FROM logs l JOIN lg a ON a.col = l.col JOIN st s ON s.col = l.col),
+{SERVICES},
+allv AS (SELECT * FROM rv UNION ALL SELECT * FROM lv
+         UNION ALL SELECT c_custkey, 'feat_n_active_services', 1000, feat_n_active_services FROM sv),
+kept AS (SELECT feature FROM allv GROUP BY feature HAVING min(value) < max(value)),
+sp AS (SELECT c_custkey, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {b}, {h}, CAST(c_custkey AS VARCHAR))
+                          <= floor(count(*) OVER (PARTITION BY label) * {C.TEST_SIZE} + 0.5) THEN 'test' ELSE 'train' END AS split,
+              label FROM cf),
+tv AS (SELECT allv.*, sp.label FROM allv JOIN sp ON allv.c_custkey = sp.c_custkey
+       WHERE sp.split = 'train' AND allv.feature IN (SELECT feature FROM kept))"""
+    q["fea6"] = f"""{body},
+fo AS (SELECT feature, any_value(ord) AS ord, var_samp(value) AS v FROM tv GROUP BY feature),
+pc AS (SELECT a.feature AS fa, b.feature AS fb, corr(a.value, b.value) AS r
+       FROM tv a JOIN tv b ON a.c_custkey = b.c_custkey JOIN fo oa ON oa.feature = a.feature
+       JOIN fo ob ON ob.feature = b.feature WHERE oa.ord < ob.ord GROUP BY 1, 2),
+losers AS (SELECT CASE WHEN ob.v < oa.v THEN pc.fb ELSE pc.fa END AS loser
+           FROM pc JOIN fo oa ON pc.fa = oa.feature JOIN fo ob ON pc.fb = ob.feature
+           WHERE NOT isnan(pc.r) AND abs(pc.r) > {C.CORR_DEDUP_LIMIT})
+SELECT feature, feature IN (SELECT loser FROM losers) AS dropped FROM fo"""
+    q["fea7"] = f"""{body},
+rg AS (SELECT feature, min(value) AS mn, max(value) AS mx FROM tv GROUP BY feature),
+cells AS (SELECT t.feature,
+            CAST(CASE WHEN r.mx > r.mn THEN least(floor((t.value - r.mn) / (r.mx - r.mn) * 16), 15) ELSE 0 END AS INT) AS bin,
+            count(*) FILTER (WHERE t.label = 0) AS c0, count(*) FILTER (WHERE t.label = 1) AS c1
+          FROM tv t JOIN rg r ON t.feature = r.feature GROUP BY 1, 2),
+tot AS (SELECT feature, sum(c0) AS t0, sum(c1) AS t1, count(*) AS nb FROM cells GROUP BY feature),
+mi AS (SELECT c.feature,
+         sum(CASE WHEN c.c0 > 0 THEN (c.c0 / (t.t0 + t.t1)) * ln(c.c0 * (t.t0 + t.t1) / ((c.c0 + c.c1) * t.t0)) ELSE 0 END
+           + CASE WHEN c.c1 > 0 THEN (c.c1 / (t.t0 + t.t1)) * ln(c.c1 * (t.t0 + t.t1) / ((c.c0 + c.c1) * t.t1)) ELSE 0 END) AS raw,
+         any_value(t.nb) AS nb, any_value(t.t0) AS t0, any_value(t.t1) AS t1
+       FROM cells c JOIN tot t ON c.feature = t.feature GROUP BY c.feature)
+SELECT feature, round(greatest(0.0, raw - (nb - 1) * (CAST(t0 > 0 AS INT) + CAST(t1 > 0 AS INT) - 1)
+                                      / (2.0 * (t0 + t1))), 6) AS mi FROM mi"""
+    return q
