@@ -285,7 +285,8 @@ def assess_signal(df: DataFrame, target: str, id_col: str | None = None,
                and not isinstance(types[c], (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
 
     num_stats, bins = _numeric_stats(base, numeric, positions)
-    # routing decisions are one row per numeric column
+    # one row per numeric column: cached, because routing reads it on the driver and the plan reuses it
+    num_stats = num_stats.cache() if numeric else num_stats
     route_rows = num_stats.select("feature", "n_valid", "n0", "n1", "n_mid").collect() if numeric else []
     binary_numeric = [r["feature"] for r in route_rows if r["n_valid"] >= C.SIGNAL_MIN_VALID and r["n_mid"] == 0]
     cats = strings + [c for c in numeric if c in set(binary_numeric)]

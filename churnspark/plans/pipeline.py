@@ -23,6 +23,7 @@ from churnspark.operators.clean import CleanEstimator, CleanModel, convert_targe
 from churnspark.operators.features import FeatureEstimator, FeatureModel, select_features
 from churnspark.operators.profile import profile as profile_frame
 from churnspark.operators.split import stratified_folds, stratified_split
+from churnspark.session import ensure_checkpoint_dir
 from churnspark.operators.train import (FamilyResult, TrainConfig, Trainer, apply_isotonic, apply_platt,
                                         brier_of, choose_calibration, fit_isotonic, fit_platt, params_json)
 
@@ -83,6 +84,7 @@ def run_pipeline(raw: DataFrame, target: str, id_col: str, models: list[str] | N
     selected = select_features(train, fm.keep, "label")
     extra = [n for n in fm.keep if n not in selected]
     # cut the lineage once: every fit below starts from this checkpoint (in spark.checkpoint.dir)
+    ensure_checkpoint_dir(raw.sparkSession)
     sp = sp.drop(*extra).checkpoint(eager=True)
     num_all = numeric + boolean + selected
     res = PipelineResult(clean=cm, profile=prof, drops=drops, features=fm, selected=selected, numeric=num_all,
