@@ -711,3 +711,10 @@ register("pre6")(lambda spark, sf_dir: _r6(PP.class_weights(_train_rows(spark, s
     "label", "n_c", "balanced_weight")))
 register("pre7")(lambda spark, sf_dir: _r6(PP.class_weights(_train_rows(spark, sf_dir)[0]).select(
     "label", "scale_pos_weight")))
+
+
+@register("stream_window_monitor")
+def _stream_window_monitor(spark, sf_dir):
+    res = _pipeline(spark, sf_dir)
+    src, schema = _stream_source(spark, sf_dir)
+    return ST.latest_windows(spark, ST.run_windowed_monitor(spark, src, schema, res))

@@ -63,3 +63,43 @@ def run_monitor(spark: SparkSession, source_dir: str, schema, result, fmt: str =
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return sink
+
+
+def run_windowed_monitor(spark: SparkSession, source_dir: str, schema, result, time_col: str = "signup_date",
+                         window: str = "30 days", watermark: str = "90 days", fmt: str = "parquet",
+                         max_files: int = 1) -> str:
+    """SCR5 per event-time window with a watermark: predicted churn share of each window (e.g. signup
+    cohorts) against the historical rate. Late rows within the watermark update their window; older
+    window state is dropped. Updates go to a Parquet table, one row per (batch, window)."""
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format(fmt)
+              .load(source_dir))
+    batch = result.features.transform(result.clean.transform(stream))
+    t_col = time_col.strip().lower().replace(" ", "_").replace("-", "_")
+    scored = result.trainer.score(result.final, batch, keep=[t_col])
+    t = F.to_timestamp(F.col(t_col))
+    thr = float(result.threshold)
+    windows = (scored.withColumn("__t", t).withWatermark("__t", watermark)
+               .groupBy(F.window("__t", window).alias("w"))
+               .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("p") >= thr).alias("churning")))
+    hist = float(result.churn_rate or 0.0)
+    sink = new_output_path(spark, "stream-window-monitor")
+    ckpt = new_output_path(spark, "stream-window-monitor-checkpoint")
+
+    def emit(b: DataFrame, batch_id: int):
+        rate = F.col("churning") / F.greatest(F.col("total"), F.lit(1))
+        b.select(F.lit(batch_id).alias("batch_id"), F.col("w.start").alias("window_start"),
+                 F.col("w.end").alias("window_end"), "total", "churning",
+                 *S.churn_monitor(rate, F.lit(hist))).write.mode("append").parquet(sink)
+
+    q = (windows.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return sink
+
+
+def latest_windows(spark: SparkSession, sink: str) -> DataFrame:
+    """The last update of every window (one row per window)."""
+    from pyspark.sql import Window
+    df = spark.read.parquet(sink)
+    w = Window.partitionBy("window_start").orderBy(F.col("batch_id").desc())
+    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "batch_id")

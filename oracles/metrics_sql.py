@@ -12,10 +12,6 @@ S = f"s AS ({V.scored()})"
 GRID = "grid(threshold) AS (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in C.THRESHOLDS) + ")"
 
 
-def r6(cols: str) -> str:
-    return cols
-
-
 SCORE_TABLE = """
 g AS (SELECT model, p, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
       FROM s GROUP BY model, p),

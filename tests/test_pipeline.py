@@ -60,3 +60,11 @@ def test_frozen_clean_plan(spark, result):
     out = result.clean.transform(raw)
     assert dict(out.dtypes)["total_spend"] == "double"
     assert dict(out.dtypes)["has_urgent"] == "int"
+
+
+def test_windowed_monitor_equals_batch_counts(spark, result):
+    raw = FX.customer_raw(spark, SF_SMALL)
+    src = IO.new_output_path(spark, "test-window-src")
+    raw.repartition(3).write.parquet(src)
+    out = ST.latest_windows(spark, ST.run_windowed_monitor(spark, src, raw.schema, result, watermark="100000 days"))
+    assert out.agg(F.sum("total")).first()[0] == raw.count()

@@ -1,5 +1,4 @@
 """Split, fold and invariance properties."""
-from pyspark.sql import functions as F
 
 from churnspark.operators import metrics as M
 from churnspark.operators.split import stratified_folds, stratified_split
