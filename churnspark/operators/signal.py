@@ -67,6 +67,12 @@ class SignalReport:
     routing: DataFrame       # one row per candidate column: counts and the path taken
     contingency: DataFrame   # (feature, value, n_neg, n_pos) after the cardinality cap
     numeric_bins: DataFrame  # (feature, bin, n_neg, n_pos)
+    cached: tuple = ()       # frames persisted for the passes; see release()
+
+    def release(self) -> None:
+        """Unpersist the input projection and the per-column statistics."""
+        for d in self.cached:
+            d.unpersist()
 
 
 def _unpivot(df: DataFrame, cols: list[str], value: Column | None = None, cast: str = "double",
@@ -273,6 +279,7 @@ def assess_signal(df: DataFrame, target: str, id_col: str | None = None,
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     class_counts = {r[Y]: r["count"] for r in base.groupBy(Y).count().collect()}
     if len(class_counts) < 2:
+        base.unpersist()
         return _error_report(spark, "Target column has only one class — cannot assess signal.")
     if max_rows is not None and sum(class_counts.values()) > max_rows:
         base = stratified_take(base, Y, max_rows // 2, key_cols=[c for c in df.columns])
@@ -342,7 +349,8 @@ def assess_signal(df: DataFrame, target: str, id_col: str | None = None,
     routing = _routing(base, num_stats if numeric else None, cat_stats if cats else None,
                        binary_numeric)
     return SignalReport(features=features, summary=summarize(features), routing=routing,
-                        contingency=contingency, numeric_bins=bins)
+                        contingency=contingency, numeric_bins=bins,
+                        cached=(base, num_stats) if numeric else (base,))
 
 
 def _routing(base, num_stats, cat_stats, binary_numeric) -> DataFrame:

@@ -148,3 +148,7 @@ SQL["prf17"] = _prf17()
 from oracles.features_sql import build_selection as _build_selection  # noqa: E402
 
 SQL.update(_build_selection())
+
+from oracles.features_sql import build_replay as _build_replay  # noqa: E402
+
+SQL.update(_build_replay())

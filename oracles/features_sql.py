@@ -161,3 +161,29 @@ mi AS (SELECT c.feature,
 SELECT feature, round(greatest(0.0, raw - (nb - 1) * (CAST(t0 > 0 AS INT) + CAST(t1 > 0 AS INT) - 1)
                                       / (2.0 * (t0 + t1))), 6) AS mi FROM mi"""
     return q
+
+
+def build_replay() -> dict[str, str]:
+    """FEA8: candidates decided on the training part, replayed on the test part."""
+    b, h = _key("c_custkey", "42|")
+    split = f"""sp AS (SELECT cf.*, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {b}, {h}, CAST(c_custkey AS VARCHAR))
+                          <= floor(count(*) OVER (PARTITION BY label) * {C.TEST_SIZE} + 0.5) THEN 'test' ELSE 'train' END AS split
+       FROM cf)"""
+    lg_all = "lga AS (" + " UNION ALL ".join(
+        f"SELECT c_custkey, split, '{c}' AS col, {i} AS pos, CAST({c} AS DOUBLE) AS x FROM sp"
+        for i, c in enumerate(NUM)) + ")"
+    stats = """st AS (SELECT col, pos, count(x) AS n, min(x) AS mn, var_samp(x) AS v, skewness(x) AS sk
+                FROM lga WHERE split = 'train' GROUP BY col, pos),
+el AS (SELECT *, row_number() OVER (ORDER BY v DESC, pos) AS rk FROM st WHERE mn >= 0 AND sqrt(v) > 0)"""
+    services = "sva AS (SELECT c_custkey, split, " + " + ".join(
+        f"coalesce(CAST({x} AS DOUBLE), 0.0)" for x in BOOL) + " AS value FROM sp)"
+    return {"fea8": f"""WITH {CF}, {split}, {lg_all}, {stats}, {PAIRS}, {LOGS}, {services},
+allv AS (SELECT a.c_custkey, a.split, p.name AS feature, coalesce(a.x / nullif(b2.x, 0), 0.0) AS value
+         FROM pairs p JOIN lga a ON a.col = p.ca JOIN lga b2 ON b2.col = p.cb AND a.c_custkey = b2.c_custkey
+         UNION ALL
+         SELECT a.c_custkey, a.split, l.name, ln(1 + coalesce(a.x, 0.0)) FROM logs l JOIN lga a ON a.col = l.col
+         UNION ALL
+         SELECT c_custkey, split, 'feat_n_active_services', value FROM sva),
+kept AS (SELECT feature FROM allv WHERE split = 'train' GROUP BY feature HAVING min(value) < max(value))
+SELECT c_custkey, feature, CASE WHEN suffix(feature, '_log') THEN round(value, 6) ELSE value END AS value FROM allv
+WHERE split = 'test' AND feature IN (SELECT feature FROM kept)"""}
