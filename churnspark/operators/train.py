@@ -26,9 +26,11 @@ from __future__ import annotations
 
 import json
 import math
+import threading
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel
@@ -219,63 +221,90 @@ class Trainer:
 
     def search(self, name: str, train: DataFrame, is_imbalanced: bool) -> FamilyResult:
         """``train`` carries ``fold`` (stratified folds of the training rows)."""
-        t0 = time.time()
-        res = FamilyResult(name)
-        try:
-            if id(train) not in self._counts:
-                self._counts[id(train)] = train.count()
-            n_rows = self._counts[id(train)]
-            n_trials = self.cfg.n_trials or trial_budget(n_rows)
-            rng = np.random.default_rng([self.cfg.seed, PRODUCTION_MODELS.index(name)
-                                         if name in PRODUCTION_MODELS else 10 + REGISTRY_MODELS.index(name)])
-            trials = [suggest(name, rng, is_imbalanced) for _ in range(n_trials)]
-            folds = self._fold_vectors(train, scale=(name == "Logistic Regression"))
-            weighted_folds = {}
-
-            def fold_data(f, trv, mode):
-                k = (f, mode)
-                if k not in weighted_folds:
-                    weighted_folds[k] = with_weights(trv, mode, self.label) if mode else trv
-                return weighted_folds[k]
-
-            def run(ti_f):
-                ti, (f, trv, vav) = ti_f
-                params = trials[ti]
-                mode = weight_mode(name, params, is_imbalanced)
-                data = fold_data(f, trv, mode)
-                clf = make_classifier(name, params, n_rows, self.cfg, weighted=mode is not None)
-                m = clf.fit(data)
+        return self.search_many([name], train, is_imbalanced)[name]
+
+    def search_many(self, names: list[str], train: DataFrame, is_imbalanced: bool) -> dict:
+        """TRN8 for several families at once: every (family, trial, fold) fit goes to one bounded
+        thread pool, the fold AUCs of all trials of all families are one grouped job, and the
+        refits of the winners run in parallel too. A failing family keeps its error (TRN11)."""
+        results = {n: FamilyResult(n) for n in names}
+        if id(train) not in self._counts:
+            self._counts[id(train)] = train.count()
+        n_rows = self._counts[id(train)]
+        trials, folds = {}, {}
+        for n in names:
+            try:
+                n_trials = self.cfg.n_trials or trial_budget(n_rows)
+                rng = np.random.default_rng([self.cfg.seed, PRODUCTION_MODELS.index(n)
+                                             if n in PRODUCTION_MODELS else 10 + REGISTRY_MODELS.index(n)])
+                trials[n] = [suggest(n, rng, is_imbalanced) for _ in range(n_trials)]
+                folds[n] = self._fold_vectors(train, scale=(n == "Logistic Regression"))
+            except Exception as exc:  # noqa: BLE001
+                results[n].error = f"{type(exc).__name__}: {exc}"[:500]
+        lock = threading.Lock()
+        weighted: dict = {}
+
+        def fold_data(f, trv, mode, scaled):
+            k = (f, mode, scaled)
+            with lock:
+                if k not in weighted:
+                    weighted[k] = with_weights(trv, mode, self.label) if mode else trv
+                return weighted[k]
+
+        def run(job):
+            n, ti, (f, trv, vav) = job
+            t0 = time.time()
+            try:
+                params = trials[n][ti]
+                mode = weight_mode(n, params, is_imbalanced)
+                data = fold_data(f, trv, mode, n == "Logistic Regression")
+                m = make_classifier(n, params, n_rows, self.cfg, weighted=mode is not None).fit(data)
                 n_best = None
-                if name in BOOSTING and name != "Gradient Boosting":
+                if n in BOOSTING and n != "Gradient Boosting":
                     val = vav.withColumn("weight", F.lit(1.0)) if mode is not None else vav
-                    losses = m.evaluateEachIteration(val)
-                    n_best = best_iteration(list(losses), self.cfg.patience)
-                pred = positive_probability(m, vav).select(F.lit(ti).alias("trial"), F.lit(f).alias("fold"),
-                                                           self.label, "p")
-                return ti, f, pred, n_best
-
-            jobs = [(ti, fv) for ti in range(n_trials) for fv in folds]
-            with ThreadPoolExecutor(max_workers=self.cfg.parallelism) as ex:
-                outs = list(ex.map(run, jobs))
-            preds = outs[0][2]
-            for o in outs[1:]:
-                preds = preds.unionByName(o[2])
-            auc = ranking_metrics(preds, keys=["trial", "fold"]).groupBy("trial").agg(
-                F.avg("roc_auc").alias("cv_auc")).collect()   # one row per trial
-            scores = {r["trial"]: r["cv_auc"] for r in auc}
-            best = max(scores, key=lambda t: (scores[t] if scores[t] is not None else -1, -t))
-            res.params = trials[best]
-            res.cv_score = scores[best]
-            if name in BOOSTING and name != "Gradient Boosting":
-                ns = [o[3] for o in outs if o[0] == best and o[3] is not None]
-                med = float(np.median(ns)) if ns else self.cfg.boost_cap
-                res.n_estimators = int(min(max(med, min(self.cfg.boost_floor, self.cfg.boost_cap)),
-                                           self.cfg.boost_cap))
-            res.prep, res.model = self.refit(name, res.params, train, is_imbalanced, res.n_estimators)
-        except Exception as exc:  # TRN11: one family failing does not stop the others
-            res.error = f"{type(exc).__name__}: {exc}"[:500]
-        res.train_time = time.time() - t0
-        return res
+                    n_best = best_iteration(list(m.evaluateEachIteration(val)), self.cfg.patience)
+                pred = positive_probability(m, vav).select(
+                    F.lit(n).alias("family"), F.lit(ti).alias("trial"), F.lit(f).alias("fold"), self.label, "p")
+                return n, ti, pred, n_best, None, time.time() - t0
+            except Exception as exc:  # noqa: BLE001
+                return n, ti, None, None, f"{type(exc).__name__}: {exc}"[:500], time.time() - t0
+
+        jobs = [(n, ti, fv) for n in names if results[n].error is None
+                for ti in range(len(trials[n])) for fv in folds[n]]
+        with ThreadPoolExecutor(max_workers=self.cfg.parallelism) as ex:
+            outs = list(ex.map(run, jobs))
+        for o in outs:
+            results[o[0]].train_time += o[5]
+            if o[4] and results[o[0]].error is None:
+                results[o[0]].error = o[4]
+        good = [o for o in outs if results[o[0]].error is None]
+        if good:
+            preds = reduce(lambda a, b: a.unionByName(b), [o[2] for o in good])
+            auc = ranking_metrics(preds, keys=["family", "trial", "fold"]).groupBy("family", "trial").agg(
+                F.avg("roc_auc").alias("cv_auc")).collect()   # one row per (family, trial)
+            for n in {o[0] for o in good}:
+                scores = {r["trial"]: r["cv_auc"] for r in auc if r["family"] == n}
+                best = max(scores, key=lambda t: (scores[t] if scores[t] is not None else -1, -t))
+                res = results[n]
+                res.params, res.cv_score = trials[n][best], scores[best]
+                if n in BOOSTING and n != "Gradient Boosting":
+                    ns = [o[3] for o in good if o[0] == n and o[1] == best and o[3] is not None]
+                    med = float(np.median(ns)) if ns else self.cfg.boost_cap
+                    res.n_estimators = int(min(max(med, min(self.cfg.boost_floor, self.cfg.boost_cap)),
+                                               self.cfg.boost_cap))
+
+        def refit_one(n):
+            res = results[n]
+            t0 = time.time()
+            try:
+                res.prep, res.model = self.refit(n, res.params, train, is_imbalanced, res.n_estimators)
+            except Exception as exc:  # noqa: BLE001
+                res.error = f"{type(exc).__name__}: {exc}"[:500]
+            res.train_time += time.time() - t0
+
+        with ThreadPoolExecutor(max_workers=self.cfg.parallelism) as ex:
+            list(ex.map(refit_one, [n for n in names if results[n].error is None]))
+        return results
 
     def refit(self, name: str, params: dict, rows: DataFrame, is_imbalanced: bool, n_iter: int | None = None):
         """Fit preprocessing and the classifier on all given rows (Q1: weights kept in the refit)."""

@@ -12,6 +12,7 @@ column, model, fold or threshold.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -94,8 +95,7 @@ def run_pipeline(raw: DataFrame, target: str, id_col: str, models: list[str] | N
     train = sp.filter(F.col("split") == "train")
     test = sp.filter(F.col("split") == "test")
     train_f = stratified_folds(train, "label", [key], k=cfg.folds)
-    for name in models:
-        res.families[name] = trainer.search(name, train_f, imb)
+    res.families = trainer.search_many(list(models), train_f, imb)
     trainer.release()
 
     ok = [n for n, r in res.families.items() if r.error is None]
@@ -121,10 +121,15 @@ def run_pipeline(raw: DataFrame, target: str, id_col: str, models: list[str] | N
         res.metrics = info
         res.best = next(iter(res.families))
     if res.best and res.families[res.best].error is None:
-        _cross_validate(res, sp, key, cfg)
-        _calibrate(res, train, test, key)
         fam = res.families[res.best]
-        prep, model = trainer.refit(res.best, fam.params, sp, imb, fam.n_estimators)   # EVL21: all rows
+        # CV threshold, calibration and the final refit are independent jobs: run them side by side
+        with ThreadPoolExecutor(max_workers=3) as ex:
+            cv = ex.submit(_cross_validate, res, sp, key, cfg)
+            cal = ex.submit(_calibrate, res, train, test, key)
+            fin = ex.submit(trainer.refit, res.best, fam.params, sp, imb, fam.n_estimators)   # EVL21: all rows
+            cv.result()
+            cal.result()
+            prep, model = fin.result()
         res.final = FamilyResult(res.best, fam.params, fam.cv_score, fam.n_estimators, prep, model)
     return res
 
@@ -133,14 +138,19 @@ def _cross_validate(res: PipelineResult, rows: DataFrame, key: str, cfg: TrainCo
     """EVL11: out-of-fold scores of the best configuration over all rows, per-fold thresholds."""
     fam = res.families[res.best]
     folds = stratified_folds(rows, "label", [key], k=cfg.folds)
-    oof = None
-    for f in range(cfg.folds):
+
+    def one(f):
         tr = folds.filter(F.col("fold") != f)
         te = folds.filter(F.col("fold") == f)
         prep, model = res.trainer.refit(res.best, fam.params, tr, res.is_imbalanced, fam.n_estimators)
         r = FamilyResult(res.best, prep=prep, model=model)
-        p = res.trainer.score(r, te).select(F.lit(res.best).alias("model"), F.lit(f).alias("fold"), "label", "p")
-        oof = p if oof is None else oof.unionByName(p)
+        return res.trainer.score(r, te).select(F.lit(res.best).alias("model"), F.lit(f).alias("fold"), "label", "p")
+
+    with ThreadPoolExecutor(max_workers=cfg.folds) as ex:
+        parts = list(ex.map(one, range(cfg.folds)))
+    oof = parts[0]
+    for p in parts[1:]:
+        oof = oof.unionByName(p)
     res.cv = M.cv_evaluate(oof)
     row = res.cv.first()
     res.threshold = float(row["cv_avg_threshold"]) if row and row["cv_avg_threshold"] is not None else 0.5
