@@ -37,10 +37,15 @@ class PrepModel:
     categories: dict = field(default_factory=dict)        # column -> frequent categories (sorted)
     has_infrequent: dict = field(default_factory=dict)    # column -> bool
     scale: bool = False
+    target_encode: bool = False                           # categorical -> smoothed class-1 rate
+    encodings: dict = field(default_factory=dict)         # column -> {value: rate}
+    prior: float = 0.0
 
     def output_names(self) -> list[str]:
         """EXP1: names of the assembled vector slots, in order."""
         names = [f"num__{c}" for c in self.numeric]
+        if self.target_encode:
+            return names + [f"te__{c}" for c in self.categorical]
         for c in self.categorical:
             names += [f"cat__{c}_{v}" for v in self.categories[c]]
             if self.has_infrequent[c]:
@@ -55,6 +60,16 @@ class PrepModel:
                 sd = self.stds.get(c) or 0.0
                 x = (x - F.lit(float(self.means[c] or 0.0))) / F.lit(float(sd if sd > 0 else 1.0))
             out.append(x.alias(f"num__{c}"))
+        if self.target_encode:
+            for c in self.categorical:
+                v = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(self.modes[c]))
+                enc = self.encodings.get(c, {})
+                m = F.create_map(*[x for k, r in sorted(enc.items()) for x in (F.lit(k), F.lit(float(r)))]) \
+                    if enc else None
+                val = F.coalesce(F.element_at(m, v), F.lit(float(self.prior))) if m is not None \
+                    else F.lit(float(self.prior))
+                out.append(val.alias(f"te__{c}"))
+            return out
         for c in self.categorical:
             v = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(self.modes[c]))
             cats = self.categories[c]
@@ -88,14 +103,19 @@ EXACT_MEDIAN_MAX_DISTINCT = 1_000_000
 
 class PrepEstimator:
     def __init__(self, numeric: list[str], categorical: list[str], scale: bool = False,
-                 exact_median_max_distinct: int = EXACT_MEDIAN_MAX_DISTINCT):
+                 exact_median_max_distinct: int = EXACT_MEDIAN_MAX_DISTINCT, target_encode: bool = False,
+                 label: str = "label", smoothing: float = 1.0):
         self.numeric = list(numeric)
         self.categorical = list(categorical)
         self.scale = scale
         self.max_distinct = exact_median_max_distinct
+        self.target_encode = target_encode
+        self.label = label
+        self.smoothing = smoothing
 
     def fit(self, df: DataFrame) -> PrepModel:
-        m = PrepModel(numeric=self.numeric, categorical=self.categorical, scale=self.scale)
+        m = PrepModel(numeric=self.numeric, categorical=self.categorical, scale=self.scale,
+                      target_encode=self.target_encode)
         if self.numeric:
             nd = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}")
                           for i, c in enumerate(self.numeric)]).first()
@@ -124,9 +144,30 @@ class PrepEstimator:
                 rare = sorted(r["value"] for r in rows if not r["kept"])
                 m.has_infrequent[c] = bool(rare)
                 m.__dict__.setdefault("_rare", {})[c] = rare
+            if self.target_encode:
+                _fit_target_encoding(m, df, self.categorical, self.label, self.smoothing)
         return m
 
 
+def _fit_target_encoding(m: PrepModel, df: DataFrame, cols: list[str], label: str, smoothing: float) -> None:
+    """TRN5 preset: each category (after mode imputation) -> (sum y + prior * s) / (n + s); unseen -> prior.
+
+    One unpivoted aggregate; one row per (column, category) reaches the driver (bounded, see category_plan).
+    """
+    y = F.col(label).cast("double")
+    prior = df.agg(F.avg(y).alias("p")).first()["p"] or 0.0
+    arr = F.array(*[F.struct(F.lit(c).alias("column"),
+                             F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(m.modes[c])).alias("value"))
+                    for c in cols])
+    rows = df.select(y.alias("__y"), F.explode(arr).alias("kv")).groupBy("kv.column", "kv.value").agg(
+        F.sum("__y").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    m.prior = float(prior)
+    m.encodings = {c: {} for c in cols}
+    for r in rows:
+        if r["value"] is not None:
+            m.encodings[r["column"]][r["value"]] = (r["s"] + prior * smoothing) / (r["n"] + smoothing)
+
+
 def category_plan(df: DataFrame, cols: list[str]) -> DataFrame:
     """PRE3/PRE4 keep-list: per column the mode, and which categories get their own indicator.
 

@@ -6,7 +6,7 @@ Logistic Regression   LogisticRegression, L2, regParam = 1 / (C * n), scaled inp
 Random Forest         RandomForestClassifier
 XGBoost (depthwise)   GBTClassifier preset: depth 3-6, step, row/column sampling, min gain
 LightGBM (histogram)  GBTClassifier preset: more bins, depth 3-6, row/column sampling
-CatBoost (ordered)    GBTClassifier preset: depth 3-6, smaller steps, sampling
+CatBoost (ordered)    GBTClassifier preset on target-encoded categoricals (smoothed class rate)
 Decision Tree         DecisionTreeClassifier (registry)
 Gradient Boosting     GBTClassifier classic preset (registry)
 
@@ -201,17 +201,26 @@ class Trainer:
                 vav.unpersist()
         self._folds.clear()
 
-    def _fold_vectors(self, train: DataFrame, scale: bool):
+    @staticmethod
+    def prep_kind(name: str) -> tuple[bool, bool]:
+        """(scale, target_encode) of a family's preprocessing."""
+        return name == "Logistic Regression", name == "CatBoost"
+
+    def _prep(self, name: str) -> PrepEstimator:
+        scale, te = self.prep_kind(name)
+        return PrepEstimator(self.numeric, self.categorical, scale=scale, target_encode=te, label=self.label)
+
+    def _fold_vectors(self, train: DataFrame, name: str):
         """Per fold: preprocessing fitted on the fold's training part, vectors persisted once and
         shared by every family that uses the same (unscaled or scaled) preprocessing."""
-        k = (id(train), scale)
+        k = (id(train), self.prep_kind(name))
         if k in self._folds:
             return self._folds[k]
         out = []
         for f in range(self.cfg.folds):
             tr = train.filter(F.col("fold") != f)
             va = train.filter(F.col("fold") == f)
-            prep = PrepEstimator(self.numeric, self.categorical, scale=scale).fit(tr)
+            prep = self._prep(name).fit(tr)
             keep = [self.key, self.label]
             trv = prep.transform(tr, keep=keep).persist(StorageLevel.MEMORY_AND_DISK)
             vav = prep.transform(va, keep=keep).persist(StorageLevel.MEMORY_AND_DISK)
@@ -238,7 +247,7 @@ class Trainer:
                 rng = np.random.default_rng([self.cfg.seed, PRODUCTION_MODELS.index(n)
                                              if n in PRODUCTION_MODELS else 10 + REGISTRY_MODELS.index(n)])
                 trials[n] = [suggest(n, rng, is_imbalanced) for _ in range(n_trials)]
-                folds[n] = self._fold_vectors(train, scale=(n == "Logistic Regression"))
+                folds[n] = self._fold_vectors(train, n)
             except Exception as exc:  # noqa: BLE001
                 results[n].error = f"{type(exc).__name__}: {exc}"[:500]
         lock = threading.Lock()
@@ -257,7 +266,7 @@ class Trainer:
             try:
                 params = trials[n][ti]
                 mode = weight_mode(n, params, is_imbalanced)
-                data = fold_data(f, trv, mode, n == "Logistic Regression")
+                data = fold_data(f, trv, mode, self.prep_kind(n))
                 m = make_classifier(n, params, n_rows, self.cfg, weighted=mode is not None).fit(data)
                 n_best = None
                 if n in BOOSTING and n != "Gradient Boosting":
@@ -308,7 +317,7 @@ class Trainer:
 
     def refit(self, name: str, params: dict, rows: DataFrame, is_imbalanced: bool, n_iter: int | None = None):
         """Fit preprocessing and the classifier on all given rows (Q1: weights kept in the refit)."""
-        prep = PrepEstimator(self.numeric, self.categorical, scale=(name == "Logistic Regression")).fit(rows)
+        prep = self._prep(name).fit(rows)
         vec = prep.transform(rows, keep=[self.key, self.label])
         mode = weight_mode(name, params, is_imbalanced)
         data = with_weights(vec, mode, self.label) if mode else vec
