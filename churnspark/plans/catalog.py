@@ -721,3 +721,15 @@ def _stream_window_monitor(spark, sf_dir):
     res = _pipeline(spark, sf_dir)
     src, schema = _stream_source(spark, sf_dir)
     return ST.latest_windows(spark, ST.run_windowed_monitor(spark, src, schema, res))
+
+
+@register("scr4_model")
+def _scr4_model(spark, sf_dir):
+    """Batch summary of the trained model's predictions for the upload (SCR4 on real scores)."""
+    return PL.score_new_customers(_pipeline(spark, sf_dir), RAW.build(spark, sf_dir))["summary"]
+
+
+@register("scr5_model")
+def _scr5_model(spark, sf_dir):
+    """Churn-rate monitor of the trained model's predictions against the training rate."""
+    return PL.score_new_customers(_pipeline(spark, sf_dir), RAW.build(spark, sf_dir))["monitor"]

@@ -12,9 +12,11 @@ column, model, fold or threshold.
 from __future__ import annotations
 
 import json
+import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,11 +54,20 @@ class PipelineResult:
     churn_rate: float | None = None
     is_imbalanced: bool = False
     trainer: Trainer | None = None
+    timings: dict = field(default_factory=dict)
+
+
+def _mark(timings: dict, name: str, t0: list) -> None:
+    now = time.time()
+    timings[name] = round(now - t0[0], 3)
+    t0[0] = now
 
 
 def run_pipeline(raw: DataFrame, target: str, id_col: str, models: list[str] | None = None,
                  cfg: TrainConfig | None = None) -> PipelineResult:
     cfg = cfg or TrainConfig()
+    timings: dict = {}
+    t0 = [time.time()]
     models = models or ["Logistic Regression", "Random Forest", "XGBoost", "LightGBM", "CatBoost"]
     cm = CleanEstimator().fit(raw)
     df = cm.transform(raw)
@@ -65,6 +76,9 @@ def run_pipeline(raw: DataFrame, target: str, id_col: str, models: list[str] | N
     df = convert_target(df, t, out="label")
     if t != "label":
         df = df.drop(t)
+    # profile, split, feature fit and selection each read the cleaned rows: materialise them once
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cleaned = df
     prof = profile_frame(df, "label", key)
     prow = prof.select("column", "detected_type", "drop_reason").collect()   # one row per column
     drops = {r["column"]: r["drop_reason"] for r in prow if r["drop_reason"]}
@@ -87,6 +101,8 @@ def run_pipeline(raw: DataFrame, target: str, id_col: str, models: list[str] | N
     # cut the lineage once: every fit below starts from this checkpoint (in spark.checkpoint.dir)
     ensure_checkpoint_dir(raw.sparkSession)
     sp = sp.drop(*extra).checkpoint(eager=True)
+    cleaned.unpersist()
+    _mark(timings, "prepare", t0)
     num_all = numeric + boolean + selected
     res = PipelineResult(clean=cm, profile=prof, drops=drops, features=fm, selected=selected, numeric=num_all,
                          categorical=categorical, data=sp, churn_rate=churn_rate, is_imbalanced=imb)
@@ -97,6 +113,7 @@ def run_pipeline(raw: DataFrame, target: str, id_col: str, models: list[str] | N
     train_f = stratified_folds(train, "label", [key], k=cfg.folds)
     res.families = trainer.search_many(list(models), train_f, imb)
     trainer.release()
+    _mark(timings, "search", t0)
 
     ok = [n for n, r in res.families.items() if r.error is None]
     preds, train_preds = None, None
@@ -120,6 +137,7 @@ def run_pipeline(raw: DataFrame, target: str, id_col: str, models: list[str] | N
     else:
         res.metrics = info
         res.best = next(iter(res.families))
+    _mark(timings, "evaluate", t0)
     if res.best and res.families[res.best].error is None:
         fam = res.families[res.best]
         # CV threshold, calibration and the final refit are independent jobs: run them side by side
@@ -131,6 +149,8 @@ def run_pipeline(raw: DataFrame, target: str, id_col: str, models: list[str] | N
             cal.result()
             prep, model = fin.result()
         res.final = FamilyResult(res.best, fam.params, fam.cv_score, fam.n_estimators, prep, model)
+    _mark(timings, "cv_calibrate_refit", t0)
+    res.timings = timings
     return res
 
 
@@ -201,9 +221,27 @@ def final_report(res: PipelineResult) -> dict:
         "dropped_columns": res.drops,
         "engineered_features": res.selected,
         "calibration": res.calibration,
+        "timings_sec": res.timings,
         "models": {r["model"]: {k: r[k] for k in r.asDict() if k != "model"} for r in rows},
     }
 
 
 def report_json(res: PipelineResult) -> str:
     return json.dumps(final_report(res), default=str, sort_keys=True)
+
+
+def score_new_customers(res: PipelineResult, raw: DataFrame, threshold: float | None = None) -> dict:
+    """The scoring plan for a new batch: frozen clean -> frozen features -> model -> outputs.
+
+    Returns lazy frames: predictions (SCR1-3), summary (SCR4) and monitor (SCR5 against the
+    training churn rate). Narrow transformations only until the two small aggregates.
+    """
+    from churnspark.operators import score as S
+    t = res.threshold if threshold is None else threshold
+    batch = res.features.transform(res.clean.transform(raw))
+    scored = res.trainer.score(res.final, batch)
+    preds = S.predictions(scored, res.trainer.key, t)
+    summary = S.batch_summary(scored, t)
+    rate = F.col("churning") / F.greatest(F.col("total"), F.lit(1))
+    monitor = summary.select(*S.churn_monitor(rate, F.lit(float(res.churn_rate or 0.0))))
+    return {"predictions": preds, "summary": summary, "monitor": monitor}
