@@ -128,3 +128,47 @@ OVERFIT_FALLBACK = "Overfitting"
 # --- fixed values: sensitivity modes (threshold ceilings) -----------------------------------
 SENSITIVITY_RECALL_MAX = 0.40
 SENSITIVITY_BALANCED_MAX = 0.55
+
+# --- fixed values: output sentences (placeholders in braces) ------------------------------
+# signal assessment, per feature
+SIG_WEAK = "{label} has little influence on whether a customer churns."
+SIG_NUM_STRONG_UP = "Customers with higher {low} are significantly more likely to churn."
+SIG_NUM_STRONG_DOWN = "Customers with higher {low} are significantly less likely to churn."
+SIG_NUM_MEDIUM_UP = "Customers with higher {low} tend to churn somewhat more often."
+SIG_NUM_MEDIUM_DOWN = "Customers with higher {low} tend to be somewhat more loyal."
+SIG_CAT_STRONG_TWO = "The two groups in {low} show a strong difference in churn behavior."
+SIG_CAT_STRONG = "Customers with different {low} values show a strong difference in churn behavior."
+SIG_CAT_MEDIUM_TWO = "The two groups in {low} show a moderate difference in churn behavior."
+SIG_CAT_MEDIUM = "Customers with different {low} values show a moderate difference in churn behavior."
+# signal assessment, summary
+SIG_HIGH_TEXT = ("The dataset contains strong statistical signals for churn prediction. "
+                 "{n_strong} out of {n_total} features ({pct}%) show a clear difference "
+                 "between customers who churned and those who stayed. "
+                 "A well-tuned model should be able to learn these patterns reliably. "
+                 "The most informative feature is **{top}**.")
+SIG_MEDIUM_TEXT = ("The dataset has moderate predictive signal. "
+                   "{n_strong} features show strong separation, {n_medium} show moderate separation, "
+                   "and {n_weak} contribute little to no signal. "
+                   "A model can learn useful patterns here, but results will depend heavily on "
+                   "feature engineering and model choice. **{top}** is the most informative feature.")
+SIG_LOW_TEXT = ("The dataset has weak overall predictive signal. "
+                "Only {n_strong} out of {n_total} features show meaningful separation "
+                "between churners and loyal customers. "
+                "This suggests that the available features may not fully capture the reasons customers leave. "
+                "Consider adding behavioural, engagement, or usage features if possible. "
+                "Currently the most informative feature is **{top}**.")
+SIG_WEAK_NOTE = (" Note: {n_weak} features appear to carry almost no predictive value — "
+                 "they may be noise or irrelevant to churn in this dataset.")
+SIG_ERR_NO_TARGET = "Target column not found."
+SIG_ERR_ONE_CLASS = "Target column has only one class — cannot assess signal."
+SIG_ERR_NO_FEATURES = "No features with sufficient data for signal assessment."
+# profile
+DROP_NULLS = "Too many missing values ({pct}% null)"
+DROP_CONSTANT = "Constant column — carries no signal"
+DROP_NEAR_CONSTANT = "Near-constant ({pct}% same value — carries no signal)"
+DROP_IDENTIFIER = "Identifier column ({flags})"
+DROP_IDENTIFIER_DEFAULT = "all-unique values"
+DROP_HIGH_CARD = "High cardinality ({n} unique values — likely free-text or ID)"
+DROP_EMPTY = "Empty column"
+WARN_LEAK = "{column} — name suggests a post-churn event (data leakage risk)"
+WARN_MISSING = "{column} has {pct}% missing values — will be imputed"

@@ -96,3 +96,17 @@ def title_case(col: Column) -> Column:
 def feature_label(name_col: Column) -> Column:
     """SIG14 label: underscores to blanks, trimmed, title case."""
     return title_case(F.trim(F.regexp_replace(name_col, "_", " ")))
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A fixed sentence with ``{name}`` placeholders filled by string columns (concat of pieces)."""
+    import re
+    parts = []
+    for piece in re.split(r"(\{[a-z_]+\})", template):
+        if not piece:
+            continue
+        if piece.startswith("{") and piece.endswith("}"):
+            parts.append(values[piece[1:-1]].cast("string"))
+        else:
+            parts.append(F.lit(piece))
+    return F.concat(*parts)

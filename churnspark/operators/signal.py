@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnspark import config as C
-from churnspark.functions.exprs import clean_name, clean_names, lenient_target
+from churnspark.functions.exprs import clean_name, clean_names, fill, lenient_target
 from churnspark.functions.chi2 import chi2_isf
 from churnspark.functions.stats import chi2_pvalue
 from churnspark.operators.split import stratified_take
@@ -104,25 +104,17 @@ def _explanation(feature: Column, tier: Column, ftype: Column, mean_diff: Column
     label = F.initcap(F.trim(F.regexp_replace(feature, "_", " ")))
     low = F.lower(label)
     up = mean_diff > 0
+    num = ftype == "Numerical"
     return (
-        F.when(tier == "Weak", F.concat(label, F.lit(" has little influence on whether a customer churns.")))
-        .when((ftype == "Numerical") & (tier == "Strong") & up,
-              F.concat(F.lit("Customers with higher "), low, F.lit(" are significantly more likely to churn.")))
-        .when((ftype == "Numerical") & (tier == "Strong"),
-              F.concat(F.lit("Customers with higher "), low, F.lit(" are significantly less likely to churn.")))
-        .when((ftype == "Numerical") & up,
-              F.concat(F.lit("Customers with higher "), low, F.lit(" tend to churn somewhat more often.")))
-        .when(ftype == "Numerical",
-              F.concat(F.lit("Customers with higher "), low, F.lit(" tend to be somewhat more loyal.")))
-        .when((tier == "Strong") & (n_cats == 2),
-              F.concat(F.lit("The two groups in "), low, F.lit(" show a strong difference in churn behavior.")))
-        .when(tier == "Strong",
-              F.concat(F.lit("Customers with different "), low,
-                       F.lit(" values show a strong difference in churn behavior.")))
-        .when(n_cats == 2,
-              F.concat(F.lit("The two groups in "), low, F.lit(" show a moderate difference in churn behavior.")))
-        .otherwise(F.concat(F.lit("Customers with different "), low,
-                            F.lit(" values show a moderate difference in churn behavior.")))
+        F.when(tier == "Weak", fill(C.SIG_WEAK, label=label))
+        .when(num & (tier == "Strong") & up, fill(C.SIG_NUM_STRONG_UP, low=low))
+        .when(num & (tier == "Strong"), fill(C.SIG_NUM_STRONG_DOWN, low=low))
+        .when(num & up, fill(C.SIG_NUM_MEDIUM_UP, low=low))
+        .when(num, fill(C.SIG_NUM_MEDIUM_DOWN, low=low))
+        .when((tier == "Strong") & (n_cats == 2), fill(C.SIG_CAT_STRONG_TWO, low=low))
+        .when(tier == "Strong", fill(C.SIG_CAT_STRONG, low=low))
+        .when(n_cats == 2, fill(C.SIG_CAT_MEDIUM_TWO, low=low))
+        .otherwise(fill(C.SIG_CAT_MEDIUM, low=low))
     )
 
 
@@ -271,7 +263,7 @@ def assess_signal(df: DataFrame, target: str, id_col: str | None = None,
     t = clean_name(target)
     i = clean_name(id_col) if id_col else None
     if t not in df.columns:
-        return _error_report(spark, "Target column not found.")
+        return _error_report(spark, C.SIG_ERR_NO_TARGET)
     feats0 = [c for c in df.columns if c not in (t, i)]
     # several passes read the frame: keep only the feature columns and the class, once
     base = df.select(*[F.col(f"`{c}`") for c in feats0],
@@ -280,7 +272,7 @@ def assess_signal(df: DataFrame, target: str, id_col: str | None = None,
     class_counts = {r[Y]: r["count"] for r in base.groupBy(Y).count().collect()}
     if len(class_counts) < 2:
         base.unpersist()
-        return _error_report(spark, "Target column has only one class — cannot assess signal.")
+        return _error_report(spark, C.SIG_ERR_ONE_CLASS)
     if max_rows is not None and sum(class_counts.values()) > max_rows:
         base = stratified_take(base, Y, max_rows // 2, key_cols=[c for c in df.columns])
 
@@ -339,7 +331,7 @@ def assess_signal(df: DataFrame, target: str, id_col: str | None = None,
         )
     parts = [x for x in (num_rows, cat_rows) if x is not None]
     if not parts:
-        return _error_report(spark, "No features with sufficient data for signal assessment.")
+        return _error_report(spark, C.SIG_ERR_NO_FEATURES)
     rows = reduce(lambda a, b: a.unionByName(b), parts)
     tier = _tier(F.col("signal"))
     features = rows.withColumn("tier", tier).withColumn(
@@ -417,34 +409,14 @@ def summarize(features: DataFrame) -> DataFrame:
 
 def _narrative() -> Column:
     ns, nm, nw, nt = (F.col("n_strong"), F.col("n_medium"), F.col("n_weak"), F.col("n_total"))
-    pct = F.bround(ns / F.greatest(nt, F.lit(1)) * 100.0, 0).cast("long").cast("string")
+    # percent as the original prints it: round half to even
+    pct = F.bround(ns / F.greatest(nt, F.lit(1)) * 100.0, 0).cast("long")
     top = F.col("top_name")
-    high = F.concat(
-        F.lit("The dataset contains strong statistical signals for churn prediction. "),
-        ns.cast("string"), F.lit(" out of "), nt.cast("string"), F.lit(" features ("), pct,
-        F.lit("%) show a clear difference between customers who churned and those who stayed."),
-        F.lit(" A well-tuned model should be able to learn these patterns reliably. "
-              "The most informative feature is **"), top, F.lit("**."))
-    medium = F.concat(
-        F.lit("The dataset has moderate predictive signal. "), ns.cast("string"),
-        F.lit(" features show strong separation, "), nm.cast("string"),
-        F.lit(" show moderate separation, and "), nw.cast("string"),
-        F.lit(" contribute little to no signal."),
-        F.lit(" A model can learn useful patterns here, but results will depend heavily on "
-              "feature engineering and model choice. **"), top, F.lit("** is the most informative feature."))
-    low = F.concat(
-        F.lit("The dataset has weak overall predictive signal. Only "), ns.cast("string"),
-        F.lit(" out of "), nt.cast("string"),
-        F.lit(" features show meaningful separation between churners and loyal customers."),
-        F.lit(" This suggests that the available features may not fully capture the reasons customers leave. "
-              "Consider adding behavioural, engagement, or usage features if possible. "
-              "Currently the most informative feature is **"), top, F.lit("**."))
-    body = (F.when(F.col("potential_label") == "High", high)
-            .when(F.col("potential_label") == "Medium", medium).otherwise(low))
-    note = F.when(nw > nt * 0.5, F.concat(
-        F.lit(" Note: "), nw.cast("string"),
-        F.lit(" features appear to carry almost no predictive value — "
-              "they may be noise or irrelevant to churn in this dataset."))).otherwise(F.lit(""))
+    body = (F.when(F.col("potential_label") == "High", fill(C.SIG_HIGH_TEXT, n_strong=ns, n_total=nt, pct=pct, top=top))
+            .when(F.col("potential_label") == "Medium",
+                  fill(C.SIG_MEDIUM_TEXT, n_strong=ns, n_medium=nm, n_weak=nw, top=top))
+            .otherwise(fill(C.SIG_LOW_TEXT, n_strong=ns, n_total=nt, top=top)))
+    note = F.when(nw > nt * 0.5, fill(C.SIG_WEAK_NOTE, n_weak=nw)).otherwise(F.lit(""))
     return F.concat(body, note)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from churnspark import config as C
 from churnspark.functions.exprs import NUMBER_RE
 from oracles import fixtures_sql as V
+from oracles.text_sql import fill_sql
 
 # Spark pattern -> strptime pattern, same order as the Spark list
 DATE_FORMATS_SQL = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d", "%m/%d/%Y"]
@@ -60,6 +61,12 @@ SELECT "column", n_rows, n_numeric, round(n_numeric / greatest(n_rows, 1), 6) AS
        NOT (n_numeric / greatest(n_rows, 1) > 0.8) AND n_nonnull > 0 AND bw AS to_bool FROM d"""
 
 
+def _flags_sql() -> str:
+    flags = ", ".join(f"CASE WHEN {f} THEN '{f}' END" for f in ("is_email", "is_uuid", "is_hash", "is_phone",
+                                                                  "is_id_like"))
+    return f"coalesce(nullif(concat_ws(', ', {flags}), ''), '{C.DROP_IDENTIFIER_DEFAULT}')"
+
+
 def profile(src: str, cols: list[tuple[str, str, str]]) -> str:
     stats = []
     vfs = []
@@ -120,18 +127,15 @@ SELECT "column", dtype, CAST(n - nn AS BIGINT) AS null_count, round(null_pct, 6)
   detected_type, top_value, round(top_freq, 6) AS top_freq,
   round(mean, 6) AS mean, round(std, 6) AS std,
   round(CASE WHEN nn > 2 AND NOT isnan(skew) THEN skew END, 6) AS skewness,
-  CASE WHEN null_pct > {C.NULL_THRESHOLD} THEN 'Too many missing values (' || CAST(CAST(round_even(null_pct * 100, 0) AS BIGINT) AS VARCHAR) || '% null)'
-       WHEN nu <= 1 AND detected_type <> 'empty' THEN 'Constant column — carries no signal'
-       WHEN coalesce(top_freq, 0) >= {C.NEAR_CONSTANT_THRESHOLD} THEN 'Near-constant (' || printf('%.1f', round_even(top_freq * 100, 1)) || '% same value — carries no signal)'
-       WHEN detected_type = 'identifier' THEN 'Identifier column (' ||
-            coalesce(nullif(concat_ws(', ', CASE WHEN is_email THEN 'is_email' END, CASE WHEN is_uuid THEN 'is_uuid' END,
-                               CASE WHEN is_hash THEN 'is_hash' END, CASE WHEN is_phone THEN 'is_phone' END,
-                               CASE WHEN is_id_like THEN 'is_id_like' END), ''), 'all-unique values') || ')'
-       WHEN high_card AND detected_type = 'categorical' THEN 'High cardinality (' || CAST(nu AS VARCHAR) || ' unique values — likely free-text or ID)'
-       WHEN detected_type = 'empty' THEN 'Empty column' END AS drop_reason,
-  CASE WHEN {leak} THEN "column" || ' — name suggests a post-churn event (data leakage risk)' END AS leak_warning,
+  CASE WHEN null_pct > {C.NULL_THRESHOLD} THEN {fill_sql(C.DROP_NULLS, pct="CAST(round_even(null_pct * 100, 0) AS BIGINT)")}
+       WHEN nu <= 1 AND detected_type <> 'empty' THEN '{C.DROP_CONSTANT}'
+       WHEN coalesce(top_freq, 0) >= {C.NEAR_CONSTANT_THRESHOLD} THEN {fill_sql(C.DROP_NEAR_CONSTANT, pct="printf('%.1f', round_even(top_freq * 100, 1))")}
+       WHEN detected_type = 'identifier' THEN {fill_sql(C.DROP_IDENTIFIER, flags=_flags_sql())}
+       WHEN high_card AND detected_type = 'categorical' THEN {fill_sql(C.DROP_HIGH_CARD, n="nu")}
+       WHEN detected_type = 'empty' THEN '{C.DROP_EMPTY}' END AS drop_reason,
+  CASE WHEN {leak} THEN {fill_sql(C.WARN_LEAK, column='"column"')} END AS leak_warning,
   CASE WHEN null_pct > 0.05 AND null_pct <= {C.NULL_THRESHOLD}
-       THEN "column" || ' has ' || printf('%.1f', round_even(null_pct * 100, 1)) || '% missing values — will be imputed' END
+       THEN {fill_sql(C.WARN_MISSING, column='"column"', pct="printf('%.1f', round_even(null_pct * 100, 1))")} END
     AS missing_warning
 FROM u"""
 

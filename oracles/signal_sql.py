@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from churnspark import config as C
 from churnspark.functions.chi2 import chi2_isf
+from oracles.text_sql import fill_sql
 
 MAX_DOF = 64
 
@@ -136,15 +137,15 @@ ftier AS (
                  ELSE 'Weak' END AS tier FROM frows),
 features AS (
   SELECT *,
-    CASE WHEN tier = 'Weak' THEN {label} || ' has little influence on whether a customer churns.'
-         WHEN type = 'Numerical' AND tier = 'Strong' AND mean_diff > 0 THEN 'Customers with higher ' || {low} || ' are significantly more likely to churn.'
-         WHEN type = 'Numerical' AND tier = 'Strong' THEN 'Customers with higher ' || {low} || ' are significantly less likely to churn.'
-         WHEN type = 'Numerical' AND mean_diff > 0 THEN 'Customers with higher ' || {low} || ' tend to churn somewhat more often.'
-         WHEN type = 'Numerical' THEN 'Customers with higher ' || {low} || ' tend to be somewhat more loyal.'
-         WHEN tier = 'Strong' AND n_categories = 2 THEN 'The two groups in ' || {low} || ' show a strong difference in churn behavior.'
-         WHEN tier = 'Strong' THEN 'Customers with different ' || {low} || ' values show a strong difference in churn behavior.'
-         WHEN n_categories = 2 THEN 'The two groups in ' || {low} || ' show a moderate difference in churn behavior.'
-         ELSE 'Customers with different ' || {low} || ' values show a moderate difference in churn behavior.' END
+    CASE WHEN tier = 'Weak' THEN {fill_sql(C.SIG_WEAK, label=label)}
+         WHEN type = 'Numerical' AND tier = 'Strong' AND mean_diff > 0 THEN {fill_sql(C.SIG_NUM_STRONG_UP, low=low)}
+         WHEN type = 'Numerical' AND tier = 'Strong' THEN {fill_sql(C.SIG_NUM_STRONG_DOWN, low=low)}
+         WHEN type = 'Numerical' AND mean_diff > 0 THEN {fill_sql(C.SIG_NUM_MEDIUM_UP, low=low)}
+         WHEN type = 'Numerical' THEN {fill_sql(C.SIG_NUM_MEDIUM_DOWN, low=low)}
+         WHEN tier = 'Strong' AND n_categories = 2 THEN {fill_sql(C.SIG_CAT_STRONG_TWO, low=low)}
+         WHEN tier = 'Strong' THEN {fill_sql(C.SIG_CAT_STRONG, low=low)}
+         WHEN n_categories = 2 THEN {fill_sql(C.SIG_CAT_MEDIUM_TWO, low=low)}
+         ELSE {fill_sql(C.SIG_CAT_MEDIUM, low=low)} END
       AS explanation
   FROM ftier),
 routing AS (
@@ -181,23 +182,9 @@ slabel AS (
   FROM sscore),
 summary AS (
   SELECT overall_score, potential_label, n_strong, n_medium, n_weak, n_total, top_features, weak_features,
-    CASE WHEN potential_label = 'High' THEN
-           'The dataset contains strong statistical signals for churn prediction. ' || n_strong || ' out of ' || n_total
-           || ' features (' || pct || '%) show a clear difference between customers who churned and those who stayed.'
-           || ' A well-tuned model should be able to learn these patterns reliably. The most informative feature is **'
-           || top_name || '**.'
-         WHEN potential_label = 'Medium' THEN
-           'The dataset has moderate predictive signal. ' || n_strong || ' features show strong separation, ' || n_medium
-           || ' show moderate separation, and ' || n_weak || ' contribute little to no signal.'
-           || ' A model can learn useful patterns here, but results will depend heavily on feature engineering and model choice. **'
-           || top_name || '** is the most informative feature.'
-         ELSE 'The dataset has weak overall predictive signal. Only ' || n_strong || ' out of ' || n_total
-           || ' features show meaningful separation between churners and loyal customers.'
-           || ' This suggests that the available features may not fully capture the reasons customers leave. '
-           || 'Consider adding behavioural, engagement, or usage features if possible. Currently the most informative feature is **'
-           || top_name || '**.' END
-    || CASE WHEN n_weak > n_total * 0.5 THEN ' Note: ' || n_weak
-           || ' features appear to carry almost no predictive value — they may be noise or irrelevant to churn in this dataset.'
-            ELSE '' END AS explanation,
+    CASE WHEN potential_label = 'High' THEN {fill_sql(C.SIG_HIGH_TEXT, n_strong='n_strong', n_total='n_total', pct='pct', top='top_name')}
+         WHEN potential_label = 'Medium' THEN {fill_sql(C.SIG_MEDIUM_TEXT, n_strong='n_strong', n_medium='n_medium', n_weak='n_weak', top='top_name')}
+         ELSE {fill_sql(C.SIG_LOW_TEXT, n_strong='n_strong', n_total='n_total', top='top_name')} END
+    || CASE WHEN n_weak > n_total * 0.5 THEN {fill_sql(C.SIG_WEAK_NOTE, n_weak='n_weak')} ELSE '' END AS explanation,
     NULL::VARCHAR AS error
   FROM slabel)"""
