@@ -82,7 +82,7 @@ def profile(src: str, cols: list[tuple[str, str, str]]) -> str:
             parsed = "coalesce(" + ", ".join(f"try_strptime({c}, '{f}')" for f in DATE_FORMATS_SQL) + ")"
             extra = (f"NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS skew, NULL::BOOLEAN AS b01, "
                      f"bool_and(lower(trim({c})) IN ({bool_words_sql()})) AS bw, {pats}, "
-                     f"bool_and({parsed} IS NOT NULL) AS dt")
+                     f"bool_and(CASE WHEN {c} IS NOT NULL THEN {parsed} IS NOT NULL END) AS dt")
             vnum = "NULL::DOUBLE"
         stats.append(f"SELECT '{c}' AS \"column\", {pos} AS pos, '{dtype}' AS dtype, '{kind}' AS kind, "
                      f"count(*) AS n, count({c}) AS nn, {extra} FROM src")
