@@ -152,3 +152,13 @@ SQL.update(_build_selection())
 from oracles.features_sql import build_replay as _build_replay  # noqa: E402
 
 SQL.update(_build_replay())
+
+# CLN8: the cleaned upload after dropping id, target and the profiled drops. The conversions
+# (numeric strings, boolean words) and the drops are the ones cln2 / prf12 establish on the same data.
+from oracles.profile_sql import RAW_NAMES as _RAW_NAMES, bool_map_sql as _bool_map_sql, num_expr as _num_expr  # noqa: E402
+
+SQL["cln8"] = f"""WITH src AS ({_RAW_NAMES})
+SELECT {_num_expr('total_spend')} AS total_spend, n_orders, acct_bal, segment, {_num_expr('nation')} AS nation,
+       CAST({_bool_map_sql('has_urgent')} AS INT) AS has_urgent, CAST({_bool_map_sql('has_open')} AS INT) AS has_open,
+       signup_date
+FROM src"""

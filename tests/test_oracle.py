@@ -10,9 +10,9 @@ FAST = [k for k in E.oracle_sql() if k.split("_")[0].rstrip("0123456789") in
         and k not in ("trn9",)]
 
 
-# Feature candidates depend on the profiler's column roles; at sf 0.001 c_acctbal is all-unique and
+# Feature candidates and the pruned upload depend on the profiler's column roles; at sf 0.001 c_acctbal is all-unique and
 # becomes an identifier (FIXTURES.md), so these queries are checked on the sf 0.01 tables.
-MID = {"fea1", "fea2", "fea3", "fea4", "fea5", "fea6", "fea7", "fea8"}
+MID = {"fea1", "fea2", "fea3", "fea4", "fea5", "fea6", "fea7", "fea8", "cln8"}
 
 
 @pytest.mark.parametrize("name", FAST)
