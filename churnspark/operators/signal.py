@@ -8,20 +8,22 @@ information gain. Scores, tiers, sentences and one summary row follow.
 
 Physical plan
 -------------
-* one scan: every feature column is unpivoted to (feature, value) and grouped
-  with both class counts as columns -> VF(feature, value, value_num, n_neg,
-  n_pos). Partial aggregation runs before the shuffle, so a value held by a
-  third of all rows is one partial row per input split. VF is persisted; it
-  is as large as the number of distinct values, never the row count. A
-  pseudo-feature row carries the class totals.
-* numeric features from VF: weighted sums give class means, then central sums
-  around them (per-feature means joined by broadcast: one row per column)
-  give variances and the point-biserial correlation; the same join assigns
-  equal-width bins for the mutual information.
-* categorical features from VF (empty cells need no cross join). The top-30
-  cap of high-cardinality columns is ``row_number() <= k`` over the feature,
-  which Spark runs as a partial group limit before the shuffle, so no task
-  holds more than k rows per feature per input split.
+* the input is projected to the feature columns and the class and persisted
+  (MEMORY_AND_DISK; ``SignalReport.release()`` frees it): the passes below
+  read it instead of re-deriving it.
+* numeric moments: one unpivot to (feature, y, x) and ``groupBy(feature)``
+  with conditional aggregates; partial aggregation makes the shuffle one row
+  per feature per input split, whatever the number of rows or distinct values
+  (shipping every distinct value of a continuous column, as a value-frequency
+  table would, costs a shuffle as large as the data).
+* numeric bins: the same unpivot joined to the per-feature min/max (one row
+  per column, broadcast: bounded by the column count), ``groupBy(feature, bin)``;
+  the same pass counts values strictly between min and max (binary test).
+* categorical: unpivot to (feature, value, y), ``groupBy(feature, value)``
+  with both class counts as columns (so empty cells need no cross join). The
+  top-30 cap of high-cardinality columns is ``row_number() <= k`` over the
+  feature, which Spark runs as a partial group limit before the shuffle, so no
+  task holds more than k rows per feature per input split.
 * everything after that is one row per feature; the summary sorts features
   (a window over #columns rows, not over data rows).
 """
@@ -79,6 +81,22 @@ class SignalReport:
             d.unpersist()
 
 
+def _unpivot(df: DataFrame, cols: list[str], value: Column | None = None, cast: str = "double",
+             positions: dict[str, int] | None = None) -> DataFrame:
+    """(y, feature, pos, x) rows for the given columns; nulls/NaN removed."""
+    positions = positions or {c: i for i, c in enumerate(cols)}
+    arr = F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.lit(positions[c]).alias("pos"),
+                 F.col(f"`{c}`").cast(cast).alias("x"))
+        for c in cols
+    ])
+    out = df.select(Y, F.explode(arr).alias("kv")).select(Y, "kv.feature", "kv.pos", "kv.x")
+    keep = F.col("x").isNotNull()
+    if cast == "double":
+        keep = keep & ~F.isnan("x")
+    return out.filter(keep)
+
+
 def _round6(c: Column) -> Column:
     return F.round(c, 6)
 
@@ -106,104 +124,85 @@ def _explanation(feature: Column, tier: Column, ftype: Column, mean_diff: Column
     )
 
 
-ROWS = "__rows"   # pseudo-feature: its VF row carries the class totals
-
-
-def _value_frequencies(base: DataFrame, feats: list[str], numeric: list[str], positions: dict[str, int]) -> DataFrame:
-    """The only scan of the data: (feature, pos, value, value_num, n_neg, n_pos) per distinct value.
-
-    One unpivot and one group-by (partial aggregation before the shuffle); a
-    value held by a third of all rows is one partial row per input split.
-    """
-    arr = F.array(
-        F.struct(F.lit(ROWS).alias("feature"), F.lit(-1).alias("pos"), F.lit("").alias("value"),
-                 F.lit(None).cast("double").alias("value_num")),
-        *[F.struct(F.lit(c).alias("feature"), F.lit(positions[c]).alias("pos"),
-                   F.col(f"`{c}`").cast("string").alias("value"),
-                   (F.col(f"`{c}`").cast("double") if c in numeric else F.lit(None).cast("double"))
-                   .alias("value_num"))
-          for c in feats])
-    long = base.select(Y, F.explode(arr).alias("kv")).select(Y, "kv.*").filter(F.col("value").isNotNull())
-    return long.groupBy("feature", "pos", "value").agg(
-        F.first("value_num").alias("value_num"),
-        F.count_if(F.col(Y) == 0).alias("n_neg"),
-        F.count_if(F.col(Y) == 1).alias("n_pos"))
-
-
-def _numeric_stats(vf: DataFrame, numeric: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Per numeric feature from VF: class moments, d, r, binned MI and the distinct-value count."""
-    spark = vf.sparkSession
+def _numeric_stats(base: DataFrame, numeric: list[str], positions: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """Per numeric feature: class moments, d, r, binned MI, and the mid-value count."""
+    spark = base.sparkSession
     if not numeric:
         empty = spark.createDataFrame([], "feature string, pos int")
         return empty, spark.createDataFrame([], "feature string, bin int, n_neg long, n_pos long")
-    x = F.col("value_num")
-    nv = vf.filter(F.col("feature").isin(numeric) & x.isNotNull() & ~F.isnan(x))
-    per = nv.groupBy("feature", "pos").agg(
-        F.sum("n_neg").alias("n0"), F.sum("n_pos").alias("n1"),
-        F.sum(F.col("n_neg") * x).alias("s0"), F.sum(F.col("n_pos") * x).alias("s1"),
-        F.min(x).alias("mn"), F.max(x).alias("mx"), F.count(F.lit(1)).alias("nd"))
-    per = per.select("*", (F.col("n0") + F.col("n1")).alias("n_valid"),
-                     F.try_divide(F.col("s0"), F.col("n0")).alias("m0"),
-                     F.try_divide(F.col("s1"), F.col("n1")).alias("m1"),
-                     F.try_divide(F.col("s0") + F.col("s1"), F.col("n0") + F.col("n1")).alias("mall"),
-                     F.try_divide(F.col("n1"), F.col("n0") + F.col("n1")).alias("my"))
-    # central sums around the per-feature means: one row per feature, joined by broadcast
-    c = nv.join(F.broadcast(per.select("feature", "m0", "m1", "mall", "my", "mn", "mx")), "feature")
-    d0 = x - F.col("m0")
-    d1 = x - F.col("m1")
-    da = x - F.col("mall")
-    cen = c.groupBy("feature").agg(
-        F.sum(F.col("n_neg") * d0 * d0).alias("q0"), F.sum(F.col("n_pos") * d1 * d1).alias("q1"),
-        F.sum((F.col("n_neg") + F.col("n_pos")) * da * da).alias("sxx"),
-        F.sum(da * (F.col("n_pos") * (1 - F.col("my")) - F.col("n_neg") * F.col("my"))).alias("sxy"))
+    long = _unpivot(base, numeric, positions=positions)
+    y1 = F.col(Y) == 1
+    mom = long.groupBy("feature", "pos").agg(
+        F.count("x").alias("n_valid"),
+        F.count_if(~y1).alias("n0"),
+        F.count_if(y1).alias("n1"),
+        F.avg(F.when(~y1, F.col("x"))).alias("m0"),
+        F.avg(F.when(y1, F.col("x"))).alias("m1"),
+        F.var_samp(F.when(~y1, F.col("x"))).alias("v0"),
+        F.var_samp(F.when(y1, F.col("x"))).alias("v1"),
+        F.corr(F.col("x"), F.col(Y).cast("double")).alias("corr"),
+        F.min("x").alias("mn"),
+        F.max("x").alias("mx"),
+    )
+    # min/max per feature is one row per column: a bounded broadcast
+    rng = F.broadcast(mom.select("feature", "mn", "mx"))
     width = F.col("mx") - F.col("mn")
-    bins = c.select(
-        "feature", "n_neg", "n_pos",
-        F.when(width > 0, F.least(F.floor((x - F.col("mn")) / width * MI_BINS), F.lit(MI_BINS - 1)))
+    binned = long.join(rng, "feature").select(
+        "feature", Y,
+        F.when(width > 0, F.least(F.floor((F.col("x") - F.col("mn")) / width * MI_BINS), F.lit(MI_BINS - 1)))
          .otherwise(F.lit(0)).cast("int").alias("bin"),
-    ).groupBy("feature", "bin").agg(F.sum("n_neg").alias("n_neg"), F.sum("n_pos").alias("n_pos"))
-    bt_tot = bins.groupBy("feature").agg(F.count_if((F.col("n_neg") + F.col("n_pos")) > 0).alias("b_nonempty"))
-    cells = bins.join(F.broadcast(per.select("feature", F.col("n0").alias("t0"), F.col("n1").alias("t1"))), "feature")
+        ((F.col("x") > F.col("mn")) & (F.col("x") < F.col("mx"))).cast("int").alias("mid"),
+    )
+    bins = binned.groupBy("feature", "bin").agg(
+        F.count_if(F.col(Y) == 0).alias("n_neg"),
+        F.count_if(F.col(Y) == 1).alias("n_pos"),
+        F.sum("mid").alias("n_mid"),
+    )
+    per = bins.groupBy("feature").agg(
+        F.sum("n_neg").alias("t0"), F.sum("n_pos").alias("t1"), F.sum("n_mid").alias("n_mid"),
+        F.count_if((F.col("n_neg") + F.col("n_pos")) > 0).alias("b_nonempty"),
+    )
+    cells = bins.join(F.broadcast(per.select("feature", "t0", "t1")), "feature")
     n = F.col("t0") + F.col("t1")
-    bsum = F.col("n_neg") + F.col("n_pos")
+    bt = F.col("n_neg") + F.col("n_pos")
 
     def term(o: Column, tot: Column) -> Column:
-        return F.when(o > 0, (o / n) * F.log(o * n / (bsum * tot)))
+        return F.when(o > 0, (o / n) * F.log(o * n / (bt * tot)))
 
     mi_raw = cells.groupBy("feature").agg(
         F.coalesce(F.sum(term(F.col("n_neg"), F.col("t0"))), F.lit(0.0)).alias("mi0"),
         F.coalesce(F.sum(term(F.col("n_pos"), F.col("t1"))), F.lit(0.0)).alias("mi1"),
     )
-    stats = per.join(cen, "feature").join(bt_tot, "feature").join(mi_raw, "feature")
-    k = (F.col("n0") > 0).cast("int") + (F.col("n1") > 0).cast("int")
+    stats = mom.join(per, "feature").join(mi_raw, "feature")
+    k = (F.col("t0") > 0).cast("int") + (F.col("t1") > 0).cast("int")
     # Miller-Madow: the plug-in MI is biased up by (B-1)(K-1)/(2N); remove it and clip at 0
     mi = F.greatest(F.lit(0.0), F.col("mi0") + F.col("mi1")
                     - (F.col("b_nonempty") - 1) * (k - 1) / (2.0 * F.col("n_valid")))
-    v0 = F.try_divide(F.col("q0"), F.col("n0") - 1)
-    v1 = F.try_divide(F.col("q1"), F.col("n1") - 1)
-    pooled = ((F.col("n1") - 1) * v1 + (F.col("n0") - 1) * v0) / (F.col("n1") + F.col("n0") - 2)
+    pooled = (((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0"))
+              / (F.col("n1") + F.col("n0") - 2))
     d = (F.when((F.col("n1") < 2) | (F.col("n0") < 2), F.lit(0.0))
          .when(pooled <= 0, F.lit(0.0))
          .otherwise(F.abs(F.col("m1") - F.col("m0")) / F.sqrt(pooled)))
-    syy = F.col("n_valid") * F.col("my") * (1 - F.col("my"))
-    r = F.coalesce(F.abs(F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * syy))), F.lit(0.0))
+    r = F.coalesce(F.abs(F.col("corr")), F.lit(0.0))
     r = F.when(F.isnan(r), F.lit(0.0)).otherwise(r)
     stats = stats.select(
-        "feature", "pos", "n_valid", "n0", "n1",
-        (F.col("nd") - F.least(F.col("nd"), F.lit(2))).alias("n_mid"),   # 0 <=> at most two distinct values
+        "feature", "pos", "n_valid", "n0", "n1", "n_mid",
         d.alias("d"), r.alias("r"), mi.alias("mi"),
         (F.col("m1") - F.col("m0")).alias("mean_diff"),
     )
     return stats, bins.select("feature", "bin", "n_neg", "n_pos")
 
 
-def _categorical_stats(vf_all: DataFrame, cats: list[str]) -> tuple[DataFrame, DataFrame]:
-    spark = vf_all.sparkSession
+def _categorical_stats(base: DataFrame, cats: list[str], positions: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    spark = base.sparkSession
     if not cats:
         return (spark.createDataFrame([], "feature string, pos int"),
                 spark.createDataFrame([], "feature string, value string, n_neg long, n_pos long"))
-    vf = vf_all.filter(F.col("feature").isin(cats)).select(
-        "feature", "pos", "value", "n_neg", "n_pos").withColumn("cnt", F.col("n_neg") + F.col("n_pos"))
+    long = _unpivot(base, cats, cast="string", positions=positions)
+    vf = long.groupBy("feature", "pos", F.col("x").alias("value")).agg(
+        F.count_if(F.col(Y) == 0).alias("n_neg"),
+        F.count_if(F.col(Y) == 1).alias("n_pos"),
+    ).withColumn("cnt", F.col("n_neg") + F.col("n_pos"))
     per = vf.groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct"),
                                     F.sum("cnt").alias("n_all"))
     # top values per feature: a group limit (partial before the shuffle)
@@ -272,34 +271,32 @@ def assess_signal(df: DataFrame, target: str, id_col: str | None = None,
     if t not in df.columns:
         return _error_report(spark, C.SIG_ERR_NO_TARGET)
     feats0 = [c for c in df.columns if c not in (t, i)]
+    # several passes read the frame: keep only the feature columns and the class, once
     base = df.select(*[F.col(f"`{c}`") for c in feats0],
                      lenient_target(F.col(f"`{t}`"), df.schema[t].dataType).alias(Y)).filter(F.col(Y).isNotNull())
-    feats = feats0
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    class_counts = {r[Y]: r["count"] for r in base.groupBy(Y).count().collect()}
+    if len(class_counts) < 2:
+        base.unpersist()
+        return _error_report(spark, C.SIG_ERR_ONE_CLASS)
+    if max_rows is not None and sum(class_counts.values()) > max_rows:
+        base = stratified_take(base, Y, max_rows // 2, key_cols=[c for c in df.columns])
+
+    feats = [c for c in df.columns if c not in (t, i)]
     positions = {c: p for p, c in enumerate(feats)}
     types = {f.name: f.dataType for f in df.schema.fields}
     numeric = [c for c in feats if isinstance(types[c], (T.NumericType, T.BooleanType))]
     strings = [c for c in feats if c not in numeric
                and not isinstance(types[c], (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
-    if max_rows is not None:
-        n_all = base.count()
-        if n_all > max_rows:
-            base = stratified_take(base, Y, max_rows // 2, key_cols=feats)
-    # the one scan of the data; everything below reads this (much smaller) table
-    vf = _value_frequencies(base, numeric + strings, numeric, positions).persist(StorageLevel.MEMORY_AND_DISK)
-    totals = vf.filter(F.col("feature") == ROWS).first()
-    class_counts = {0: totals["n_neg"], 1: totals["n_pos"]} if totals else {}
-    if sum(1 for v in class_counts.values() if v) < 2:
-        vf.unpersist()
-        return _error_report(spark, C.SIG_ERR_ONE_CLASS)
 
-    num_stats, bins = _numeric_stats(vf, numeric)
+    num_stats, bins = _numeric_stats(base, numeric, positions)
     # one row per numeric column: cached, because routing reads it on the driver and the plan reuses it
     num_stats = num_stats.cache() if numeric else num_stats
     route_rows = num_stats.select("feature", "n_valid", "n0", "n1", "n_mid").collect() if numeric else []
     binary_numeric = [r["feature"] for r in route_rows if r["n_valid"] >= C.SIGNAL_MIN_VALID and r["n_mid"] == 0]
     cats = strings + [c for c in numeric if c in set(binary_numeric)]
     cats.sort(key=lambda c: positions[c])
-    cat_stats, contingency = _categorical_stats(vf, cats)
+    cat_stats, contingency = _categorical_stats(base, cats, positions)
 
     num_ok = ((F.col("n_valid") >= C.SIGNAL_MIN_VALID) & (F.col("n_mid") > 0)
               & (F.col("n0") >= C.SIGNAL_MIN_CLASS) & (F.col("n1") >= C.SIGNAL_MIN_CLASS))
@@ -351,7 +348,7 @@ def assess_signal(df: DataFrame, target: str, id_col: str | None = None,
                        binary_numeric)
     return SignalReport(features=features, summary=summarize(features), routing=routing,
                         contingency=contingency, numeric_bins=bins,
-                        cached=(vf, num_stats) if numeric else (vf,))
+                        cached=(base, num_stats) if numeric else (base,))
 
 
 def _routing(base, num_stats, cat_stats, binary_numeric) -> DataFrame:
