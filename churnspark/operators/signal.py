@@ -271,16 +271,16 @@ def assess_signal(df: DataFrame, target: str, id_col: str | None = None,
     if t not in df.columns:
         return _error_report(spark, C.SIG_ERR_NO_TARGET)
     feats0 = [c for c in df.columns if c not in (t, i)]
+    labeled = df.withColumn(Y, lenient_target(F.col(f"`{t}`"), df.schema[t].dataType)).filter(F.col(Y).isNotNull())
+    if max_rows is not None and labeled.count() > max_rows:
+        # SIG1: at most max_rows // 2 rows per class, exact and hash-ranked on the id (or the whole row)
+        labeled = stratified_take(labeled, Y, max_rows // 2, key_cols=[i] if i else None)
     # several passes read the frame: keep only the feature columns and the class, once
-    base = df.select(*[F.col(f"`{c}`") for c in feats0],
-                     lenient_target(F.col(f"`{t}`"), df.schema[t].dataType).alias(Y)).filter(F.col(Y).isNotNull())
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    base = labeled.select(*[F.col(f"`{c}`") for c in feats0], Y).persist(StorageLevel.MEMORY_AND_DISK)
     class_counts = {r[Y]: r["count"] for r in base.groupBy(Y).count().collect()}
     if len(class_counts) < 2:
         base.unpersist()
         return _error_report(spark, C.SIG_ERR_ONE_CLASS)
-    if max_rows is not None and sum(class_counts.values()) > max_rows:
-        base = stratified_take(base, Y, max_rows // 2, key_cols=[c for c in df.columns])
 
     feats = [c for c in df.columns if c not in (t, i)]
     positions = {c: p for p, c in enumerate(feats)}
