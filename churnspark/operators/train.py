@@ -178,6 +178,7 @@ class FamilyResult:
     model: object = None
     train_time: float = 0.0
     error: str | None = None
+    trials: list = field(default_factory=list)   # (trial, params json, mean CV ROC-AUC) of every draw
 
 
 class Trainer:
@@ -295,6 +296,7 @@ class Trainer:
                 scores = {r["trial"]: r["cv_auc"] for r in auc if r["family"] == n}
                 best = max(scores, key=lambda t: (scores[t] if scores[t] is not None else -1, -t))
                 res = results[n]
+                res.trials = [(t, params_json(trials[n][t]), scores.get(t)) for t in range(len(trials[n]))]
                 res.params, res.cv_score = trials[n][best], scores[best]
                 if n in BOOSTING and n != "Gradient Boosting":
                     ns = [o[3] for o in good if o[0] == n and o[1] == best and o[3] is not None]
