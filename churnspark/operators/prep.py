@@ -136,7 +136,7 @@ class PrepEstimator:
                 m.means = {c: row[f"mu{i}"] for i, c in enumerate(self.numeric)}
                 m.stds = {c: row[f"sd{i}"] for i, c in enumerate(self.numeric)}
         if self.categorical:
-            plan = category_plan(df, self.categorical).collect()   # <= 31 rows per column
+            plan = category_plan(df, self.categorical).collect()   # one row per category (<= 50 per profiled column)
             for c in self.categorical:
                 rows = [r for r in plan if r["column"] == c]
                 m.modes[c] = next((r["value"] for r in rows if r["is_mode"]), None)
@@ -160,7 +160,7 @@ def _fit_target_encoding(m: PrepModel, df: DataFrame, cols: list[str], label: st
                              F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(m.modes[c])).alias("value"))
                     for c in cols])
     rows = df.select(y.alias("__y"), F.explode(arr).alias("kv")).groupBy("kv.column", "kv.value").agg(
-        F.sum("__y").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+        F.sum("__y").alias("s"), F.count(F.lit(1)).alias("n")).collect()   # one row per category
     m.prior = float(prior)
     m.encodings = {c: {} for c in cols}
     for r in rows:

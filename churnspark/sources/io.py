@@ -47,9 +47,12 @@ def first_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Data
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    rows = first_lines(spark, path).select(delimiter_expr(F.col("line")).alias("d")).collect()   # one per file
-    ds = [r["d"] for r in rows]
-    return max(set(ds), key=ds.count) if ds else ","
+    # the most common delimiter over all files' first lines: at most four rows reach the driver
+    counts = first_lines(spark, path).select(delimiter_expr(F.col("line")).alias("d")).groupBy("d").count().collect()
+    if not counts:
+        return ","
+    order = {d: i for i, d in enumerate(DELIMITERS)}
+    return max(counts, key=lambda r: (r["count"], -order[r["d"]]))["d"]
 
 
 def clean_header(names: list[str]) -> list[str]:
