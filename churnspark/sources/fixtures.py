@@ -61,7 +61,8 @@ def customer_features(spark: SparkSession, sf_dir: str,
     # the cutoff is one value: computed once (a max over one column, partial per split) and
     # inlined as a literal; as a scalar subquery it would be re-planned for every reference
     t = orders.agg((F.max("o_orderdate") - F.expr(f"INTERVAL {int(horizon_days)} DAYS")).alias("t")).first()["t"]
-    cutoff = F.lit(t).cast("timestamp_ntz")
+    # via text: a string to timestamp_ntz cast does not depend on any time zone
+    cutoff = F.lit(t.isoformat(sep=" ") if t is not None else None).cast("timestamp_ntz")
 
     od = F.col("o_orderdate")
     before = od <= cutoff
