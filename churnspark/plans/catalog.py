@@ -424,7 +424,8 @@ _PIPELINES: dict = {}
 
 
 def _pipeline(spark, sf_dir):
-    k = (id(spark), sf_dir)
+    # one training run per Spark application and table folder; every ML query reads from it
+    k = (spark.sparkContext.applicationId, sf_dir)
     if k not in _PIPELINES:
         _PIPELINES[k] = PL.run_pipeline(RAW.build(spark, sf_dir), RAW.target, RAW.id_col, CHECK_MODELS, CHECK_CONFIG)
     return _PIPELINES[k]
