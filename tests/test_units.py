@@ -46,3 +46,20 @@ def test_signal_class_cap_keeps_both_classes(spark):
     rep = assess_signal(cf, "label", "c_custkey", max_rows=100)
     f = rep.features.filter(F.col("feature") == "n_orders").first()
     assert f is not None and f["n_valid"] == 100   # 50 per class
+
+
+def test_target_encoding_and_one_hot(spark):
+    from churnspark.operators.prep import PrepEstimator
+    rows = [("a", 1)] * 3 + [("a", 0)] * 1 + [("b", 0)] * 4 + [(None, 1)] * 2
+    df = spark.createDataFrame(rows, "seg string, label int")
+    te = PrepEstimator([], ["seg"], target_encode=True).fit(df)
+    prior = 5 / 10
+    # nulls take the mode ("a" and "b" tie at 4 non-null rows -> smallest value "a"), so "a" has 6 rows, 5 churned
+    assert te.modes["seg"] == "a"
+    assert abs(te.encodings["seg"]["a"] - (5 + prior) / (6 + 1)) < 1e-12
+    assert abs(te.encodings["seg"]["b"] - (0 + prior) / (4 + 1)) < 1e-12
+    oh = PrepEstimator([], ["seg"]).fit(df)
+    assert oh.output_names() == ["cat__seg_a", "cat__seg_b"]
+    unseen = spark.createDataFrame([("zzz", 0)], "seg string, label int")
+    vec = oh.transform(unseen).first()["features"]
+    assert list(vec.toArray()) == [0.0, 0.0]     # unknown category -> all zeros
