@@ -4,13 +4,15 @@
    MinHash samples, and an odd sketch: each sample (its number and value) flips one of 512 bits, so the XOR of two
    sketches has a bit set about where the samples differ and its population count estimates the similarity.
 2. Documents with equal sets are one node (their smallest id), so thousands of copies cost one row.
-3. Nodes that share a band hash are a bucket. Each node is first compared with one bucket pivot only (the smallest id,
-   of all its buckets the one with the closest sketch); pairs that pass the sketch are confirmed on full sets and
-   joined to components.
+3. Nodes that share a band hash are a bucket. Each node is first compared with one bucket pivot only (the most central
+   node of a bucket, of all its buckets the one with the closest sketch); pairs that pass the sketch are confirmed on full
+   sets and joined to components.
 4. Completion: in buckets whose nodes are still in several components, each node outside the bucket's largest component
-   is compared (sketches, inside the join) with the nodes of other components. Nodes already connected are never compared
-   again, so a large group of copies costs a star instead of all its pairs, yet no candidate link between different
-   components is left out.
+   is compared (sketches, inside the join, in the first bucket that a pair shares) with the nodes of other components.
+   Nodes already connected are never compared again, so a large group of copies costs a star instead of all its pairs,
+   yet no candidate link between different components is left out. Groups of edited copies just below the threshold would
+   pass the short sketch by the million, so here the nodes also get a long one, the odd sketch of the whole set (every
+   shingle a sample): its XOR count can't exceed the symmetric difference, and is close to it.
 5. Final components over all confirmed links.
 
 With 32 bands of 4 rows a pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 5e-8; the sketch bound
@@ -42,6 +44,8 @@ BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 SKETCH_WORDS = SKETCH_BITS // 64
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+WHOLE_BITS = 4096
+_WHOLE = [f"w{i}" for i in range(WHOLE_BITS // 64)]
 
 
 def sketch_limit(percent: int, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> int:
@@ -51,6 +55,14 @@ def sketch_limit(percent: int, samples: int = BANDS * ROWS, bits: int = SKETCH_B
     return math.ceil(bits / 2 * (1 - math.exp(-2 * differing / bits)) + 3 * math.sqrt(bits) / 4)
 
 
+def whole_limit(percent: int, total: Column, bits: int = WHOLE_BITS) -> Column:
+    """Largest XOR count of whole-set sketches at the threshold, for sets of ``total`` shingles together: never below the
+    count that the largest symmetric difference allows (a certain bound), or its expectation plus six deviations."""
+    most = total * ((100 - percent) / (100 + percent))
+    expected = F.lit(bits / 2) * (1 - F.exp(most * (-2 / bits)))
+    return F.least(most, expected + 6 * F.least(most * math.sqrt(2 / bits), F.lit(math.sqrt(bits) / 2))) + F.lit(1e-6)
+
+
 def _multipliers(samples: int) -> tuple[np.ndarray, np.ndarray]:
     draws = np.random.default_rng(20_241).integers(0, 2**64, (2, samples), np.uint64)
     return draws[0] | np.uint64(1), draws[1]
@@ -65,11 +77,14 @@ def minhash(items: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parity(items: np.ndarray, bits: int) -> np.ndarray:
+    odd = (np.bincount((mix(items) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def odd_sketch(mins: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """Parity bitmap of (sample number, value) pairs as signed 64-bit words."""
-    place = mix(mins + np.arange(1, len(mins) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(bits)
-    odd = (np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64)
+    return _parity(mins + np.arange(1, len(mins) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), bits)
 
 
 _SIGNATURE = ("id long, n_shingles long, key_hi long, key_lo long, bands array<long>, "
@@ -104,6 +119,17 @@ def _signer(k: int):
     return run
 
 
+def _whole_signer(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            if batch.num_rows:
+                sk = np.stack([_parity(shingle_set(t.as_py(), k, hashes), WHOLE_BITS) for t in batch.column(1)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *[pa.array(np.ascontiguousarray(sk[:, i])) for i in range(sk.shape[1])]], names=["node", *_WHOLE])
+    return run
+
+
 def _confirmer(k: int, percent: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, last = WordHashes(), (None, None)
@@ -119,9 +145,12 @@ def _confirmer(k: int, percent: int):
     return run
 
 
-def _apart(x: str, y: str) -> Column:
+def _apart(x: str, y: str, sketch: list[str] = _SKETCH) -> Column:
     """Population count of the XOR of two sketches."""
-    return sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in _SKETCH), F.lit(0))
+    counts = [F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in sketch]
+    while len(counts) > 1:  # a balanced sum keeps the expression tree shallow
+        counts = [sum(counts[i + 1:i + 2], counts[i]) for i in range(0, len(counts), 2)]
+    return counts[0]
 
 
 def _close(x: str, y: str, percent: int) -> Column:
@@ -154,12 +183,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     # buckets with two nodes or more, stored with their members
     spread = nodes.select(F.explode("bands").alias("bucket"), "node")
-    pivots = spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot <> top")
-    shared = stored(spread.join(pivots.select("bucket", "pivot"), "bucket"), "dup-buckets")
+    pairs = spread.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("top"), F.count(F.lit(1)).alias("n"))
+    shared = stored(spread.join(pairs.filter("low <> top").select("bucket", "n"), "bucket"), "dup-buckets")
+
+    # the pivot of a bucket is its most central node, the one whose buckets are fullest: of a group of edited copies
+    # that is the text they were edited from, or one close to it
+    central = shared.groupBy("node").agg(F.sum("n").alias("central"))
+    ranked = shared.join(central, "node")
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("node")).alias("m"))).alias("p"))
+    pivots = pivots.select("bucket", (-F.col("p.m")).alias("pivot"))
 
     # one pivot per node: the closest by sketch
     light = nodes.drop("bands")
-    stars = shared.filter("node <> pivot").select("pivot", "node").distinct()
+    stars = shared.join(pivots, "bucket").filter("node <> pivot").select("pivot", "node").distinct()
     first = (stars.join(light.alias("x").withColumnRenamed("node", "pivot"), "pivot")
              .join(light.alias("y"), "node")
              .filter(_close("x", "y", percent))
@@ -175,17 +211,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     joined = stored(components(links), "dup-cc")
 
     # completion inside buckets that still span several components
-    placed = (shared.drop("pivot").join(joined.withColumnRenamed("id", "node"), "node", "left")
+    placed = (shared.drop("n").join(joined.withColumnRenamed("id", "node"), "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
     largest = largest.filter("parts > 1").select("bucket", F.col("top.component").alias("main"))
-    open_rows = stored(placed.join(largest, "bucket").join(light, "node"), "dup-open")
+    loose = stored(placed.join(largest, "bucket"), "dup-open")
+    mine = loose.groupBy("node").agg(F.collect_list("bucket").alias("mine"))  # at most one bucket per band
+    whole = (texts.join(mine.select(F.col("node").alias("id")), "id").select("id", "text")
+             .mapInArrow(_whole_signer(k), "node long, " + ", ".join(f"{w} long" for w in _WHOLE)))
+    known_open = stored(light.join(mine, "node").join(whole, "node"), "dup-whole")
+    open_rows = loose.join(known_open, "node")
     rest = (open_rows.filter("component <> main").alias("x")
             .join(open_rows.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
                   & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-                  & _close("x", "y", percent))
-            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+                  & _close("x", "y", percent)
+                  & (_apart("x", "y", _WHOLE) <= whole_limit(percent, F.col("x.n_shingles") + F.col("y.n_shingles")))
+                  & (F.array_min(F.array_intersect("x.mine", "y.mine")) == F.col("x.bucket")))
+            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
             .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     more = _confirm(rest, texts, k, percent)
     final = stored(components(links.unionByName(more)), "dup-components")
