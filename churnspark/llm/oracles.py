@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from churnspark.llm import quality
-from churnspark.llm.near_dup import BANDS, ROWS  # noqa: F401  (documented parameters of the search that SQL replaces)
+from churnspark.llm import mix, quality
 
 WORDS = r"regexp_extract_all(coalesce({t}, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -75,8 +74,37 @@ from ds join bs on bs.s = ds.s join q on q.id = bs.id where ds.id is not null
 group by 1, 2 having 100 * count(*) >= {percent} * any_value(size)"""
 
 
+def _mix() -> str:
+    weight = "[" + ", ".join(f"{w}.0" for w in mix.WEIGHTS) + "]"
+    return f"""
+with d as (select row_number() over () as r, doc_id, source, len({WORDS.format(t='text')})::bigint as size from documents),
+p0 as (select source, sum(size)::bigint as source_size from d group by source),
+p1 as (select *, row_number() over (order by source nulls last) - 1 as rank from p0),
+p2 as (select *, {weight}[rank % {len(mix.WEIGHTS)} + 1]::double as weight, source_size * {float(mix.REPEAT)}::double as cap,
+              sum(source_size) over () * {mix.SHARE}::double as total from p1),
+p3 as (select *, (total - coalesce(sum(cap) over f, 0)) / (sum(weight) over () - coalesce(sum(weight) over f, 0)) as level
+       from p2 window f as (order by cap / weight, rank rows between unbounded preceding and 1 preceding)),
+p4 as (select *, level * weight >= cap as capped from p3),
+p5 as (select *, case when capped then cap else weight * (select arg_min(level, cap / weight) from p4 where not capped
+              and cap / weight = (select min(cap / weight) from p4 where not capped)) end as target from p4),
+p as (select source, source_size, target, case when source_size > 0 then least({mix.REPEAT}, floor(target / source_size)) else 0 end as passes from p5),
+b as (select r, d.source, d.doc_id, b.block, least({mix.BLOCK}, size - b.block * {mix.BLOCK})::bigint as words,
+             md5('{mix.SEED}-draw:' || coalesce(doc_id::varchar, 'null') || ':' || b.block) as key
+      from d, unnest(range(0, ceil(size / {float(mix.BLOCK)})::bigint)) as b(block)),
+k as (select source, key, sum(words) as w from b group by source, key),
+c as (select k.source, key, sum(w) over (partition by k.source order by key) as upto, w, target - passes * source_size as rest
+      from k join p on p.source is not distinct from k.source),
+x as (select source, key from c where rest > 0 and upto - w / 2 <= rest),
+t as (select r, sum(words * (passes + case when x.key is null then 0 else 1 end))::bigint as taken
+      from b join p on p.source is not distinct from b.source left join x on x.source is not distinct from b.source and x.key = b.key
+      group by r)
+select d.doc_id, d.source, size, source_size, target, coalesce(taken, 0)::bigint as taken
+from d join p on p.source is not distinct from d.source left join t on t.r = d.r"""
+
+
 SQL = {
     "op1_decontaminate": contained_sql(),
+    "op4_mix_sources": _mix(),
     "op6_quality_rules": _quality(),
     "op8_near_dup": _near_dup(),
 }

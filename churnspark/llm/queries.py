@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from churnspark.llm import decontaminate, near_dup, quality
+from churnspark.llm import decontaminate, mix, near_dup, quality, token_file
 from churnspark.llm.common import read
 
 
@@ -15,6 +15,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def tokenizer_path() -> str:
+    """File of the word BPE tokenizer (installed with the public tokenizers, never copied)."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back: start, length and checksum of each document's ids."""
+    return token_file.round_trip(read(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mixture takes of every document."""
+    return mix.taken(read(spark, sf_dir, "documents"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics and verdict of every document."""
     return quality.quality(read(spark, sf_dir, "documents"))
@@ -27,6 +43,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1,
+    "op2_token_file": op2,
+    "op4_mix_sources": op4,
     "op6_quality_rules": op6,
     "op8_near_dup": op8,
 }

@@ -1,11 +1,15 @@
-"""Corpus pipeline: quality rules, near duplicates, benchmark decontamination (further stages follow)."""
+"""Corpus pipeline: quality rules, near duplicates, benchmark decontamination, mixing, token files.
+
+Each stage is written as Parquet to the shared folder and read again by the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from churnspark.llm import decontaminate, near_dup, quality
+from churnspark.llm import decontaminate, mix, near_dup, quality, token_file
 from churnspark.llm.common import read, scratch
+from churnspark.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +27,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination)]
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture of the sources at their target weights: one row per document and copy, with the text taken."""
+    return mix.mixed(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mixture in id order, read back: doc_id, start, n_tokens, ids_crc32 of every row."""
+    return token_file.round_trip(docs, tokenizer_path(), end_id=2)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+          ("mixing", mixing), ("token_output", token_output)]
+#: The last stage is a tokenizer: no SQL; tests/llm compares the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
