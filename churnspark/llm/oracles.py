@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from churnspark.llm import mix, quality
+from churnspark.llm import licenses, lines, lm, mix, quality, urls
 
 WORDS = r"regexp_extract_all(coalesce({t}, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -102,9 +102,119 @@ select d.doc_id, d.source, size, source_size, target, coalesce(taken, 0)::bigint
 from d join p on p.source is not distinct from d.source left join t on t.r = d.r"""
 
 
+def _lines() -> str:
+    return rf"""
+with d as (select row_number() over () as r, doc_id, source, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select r, source, unnest(ls) as line, generate_subscripts(ls, 1) as i from d),
+b as (select r, source, i, line, regexp_matches(line, '[^\x20\x09-\x0D]') as w,
+             regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as bare from l),
+h as (select source, count(*) as host_pages from d group by source),
+f as (select b.source, bare, count(distinct r) as pages from b where w group by 1, 2),
+x as (select f.source, bare from f join h on h.source is not distinct from f.source
+      where pages >= {lines.MIN_PAGES} and pages > {lines.RATIO}::double * host_pages),
+k as (select b.r, b.i, b.line, x.bare is not null as gone from b left join x on b.w and x.bare = b.bare and x.source is not distinct from b.source),
+t as (select r, coalesce(string_agg(line, chr(10) order by i) filter (not gone), '') as text, count(*) as n_lines,
+             count(*) filter (gone) as n_dropped from k group by r)
+select doc_id, t.text, n_lines, n_dropped from d join t using (r)"""
+
+
+def _lm() -> str:
+    p = f"(c + {lm.ADD}::double) / (n + {lm.ADD}::double * (v + 1))"
+    return f"""
+with crc as (select list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+             lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+d as (select row_number() over () as r, doc_id, xor(list_reduce(list_concat([4294967295::bigint],
+             list_transform(string_split(coalesce(doc_id::varchar, ''), ''), lambda x: case when x = '' then null else ord(x)::bigint end)),
+             lambda a, x: case when x is null then a else xor(a >> 8, t[(xor(a, x) & 255) + 1]) end), 4294967295) % 10 = 0 as held_out,
+             list_concat({WORDS.format(t=LOWER.format(t='text'))}, [' end']) as ws from documents, crc),
+k as (select r, held_out, unnest(ws) as w, unnest(list_concat([' start'], ws[:-2])) as h from d),
+u as (select w, count(*) as c from k where not held_out group by w),
+s as (select coalesce(sum(c), 0)::bigint as n, count(*) as v from u),
+b as (select h, w, count(*) as c from k where not held_out group by h, w),
+hs as (select h, sum(c) as c from b group by h),
+q as (select k.r, coalesce(u.c, 0) as c, n, v, coalesce(b.c, 0) as cb, hs.c as ch
+      from k join s on true left join u on u.w = k.w left join b on b.h = k.h and b.w = k.w left join hs on hs.h = k.h),
+z as (select r, c, n, {p} as p, cb, ch from q)
+select doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score from d join (
+  select r, count(*) as n_tokens, count(*) filter (c > 0) as n_known, any_value(n) as train_tokens, sum(log10(p)) as base_score,
+         sum(log10(case when ch > 0 then {lm.FAIL}::double * p + (1 - {lm.FAIL}::double) * cb / ch else p end)) as score from z group by r) using (r)"""
+
+
+def _licenses() -> str:
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+    low = LOWER.format(t="x")
+    keys = "[" + ", ".join(map(quoted, licenses.KNOWN)) + "]"
+    ids = "[" + ", ".join(map(quoted, licenses.KNOWN.values())) + "]"
+
+    def known(text: str) -> str:
+        return rf"""list_transform(list_filter(list_transform(string_split(regexp_replace({text}, '{licenses._BREAK}', '\1' || chr(10), 'g'), chr(10)),
+          lambda x: coalesce(list_position({keys}, regexp_replace(regexp_replace({low}, '[^a-z0-9.]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')), 0)),
+          lambda x: x > 0), lambda x: {ids}[x])"""
+
+    def matched(column: str) -> str:
+        joined = f"list_aggregate(list_transform({column}, lambda x: ',' || x || ','), 'string_agg', '')"
+        for licence, sequence in licenses.RULES:
+            joined = f"replace({joined}, '{''.join(f',{i},' for i in sequence)}', ',={licence},')"
+        return f"list_filter(string_split(coalesce({joined}, ''), ','), lambda x: x <> '')"
+
+    blank = licenses._BLANK_LINE
+    return rf"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+h as (select *, regexp_matches(t, '(?i){"|".join(licenses.ANCHORS)}') as held from d),
+k as (select r, {known('t')} as a, {known(f"replace(replace(regexp_replace(t, '{blank}', chr(1), 'g'), chr(10), ' '), chr(1), chr(10))")} as b
+      from h where held),
+c as (select *, case when len(b) > len(a) then b else a end as ids from k),
+m as (select r, len(ids) as n_known, {matched('a')} as ma, {matched('b')} as mb, {matched('ids')} as mc from c)
+select doc_id, coalesce(n_known, 0)::bigint as n_known,
+       coalesce(replace(list_aggregate(list_sort(list_distinct(list_filter(list_concat(ma, mb), lambda x: starts_with(x, '=')))), 'string_agg', ','), '=', ''), '') as licenses,
+       coalesce(len(list_filter(mc, lambda x: not starts_with(x, '='))), 0)::bigint as n_unmatched
+from d left join m using (r)"""
+
+
+def _urls() -> str:
+    wide = ", ".join(f"'{s}'" for s in urls.TWO_LABEL_SUFFIXES)
+    rules = " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{h}{p}'"
+                     for h, p, _ in sorted(urls.RULES, key=lambda r: -len(r[0] + r[1])))
+    verdicts = " ".join(f"when rule = '{h}{p}' then '{v}'" for h, p, v in urls.RULES)
+    out = rf"""
+with s as (select row_number() over () as r, page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) as rest from pages),
+p as (select r, page_id, {LOWER.format(t="regexp_extract(rest, '^[^/?#]*', 0)")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from s),
+o as (select host, case when toxic = 1 or quality = 0 then 1 else 0 end as bad from p join labels on doc_id = page_id
+      where toxic is not null or quality is not null),
+c as (select host, count(*) as n, sum(bad) as k from o group by host),
+two as (select host, coalesce(n, 0) as n, coalesce(k, 0) as k, string_split(host, '.') as l, array_to_string(l[-2:], '.') as t
+        from (select distinct host from p) left join c using (host)),
+t0 as (select host, n, k, case when t in ({wide}) then t else l[-1] end as suffix,
+              case when t in ({wide}) then array_to_string(l[-3:], '.') else t end as domain from two),
+g as (select coalesce(sum(k) / nullif(sum(n), 0), 0)::double as mean from t0)"""
+    prior = "mean"
+    for i, level in enumerate(urls.LEVELS):
+        out += f""",
+a{i} as (select {level}, sum(n) as ln, sum(k) as lk from t0 group by {level}),
+v{i} as (select mean, coalesce(var_samp(lk / ln), 0) - coalesce(avg(mean * (1 - mean) / ln), 0) as between_ from a{i}, g where ln > 0 group by mean),
+w{i} as (select coalesce(max(case when between_ > 0 then greatest(mean * (1 - mean) / between_ - 1, 1.0) else {urls.FLAT_STRENGTH} end), {urls.FLAT_STRENGTH})::double as st{i} from v{i})"""
+        if level != "host":
+            source = "t0, g" if i == 0 else f"t{i}"
+            out += f""",
+t{i + 1} as (select x.*, (lk + {prior} * st{i}) / (ln + st{i}) as p_{level} from (select * from {source}) x join a{i} using ({level}), w{i})"""
+            prior = f"p_{level}"
+    return out + f""",
+ab as (select host, n, k, k + {prior} * st2 as a, n - k + (1 - {prior}) * st2 as b from t2, w2),
+rep as (select host, n as labelled, k as bad_labelled, a / (a + b) as rate,
+               a / (a + b) - {urls.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as bound from ab),
+fit as (select *, case {rules} end as rule from p)
+select page_id, host, path, rule, case {verdicts} when bound > {urls.LIMIT} then 'block' else 'allow' end as verdict,
+       labelled::bigint as labelled, bad_labelled::bigint as bad_labelled, rate, bound from fit join rep using (host)"""
+
+
 SQL = {
     "op1_decontaminate": contained_sql(),
+    "op3_line_dedup": _lines(),
     "op4_mix_sources": _mix(),
+    "op5_lm_scores": _lm(),
     "op6_quality_rules": _quality(),
+    "op7_licenses": _licenses(),
     "op8_near_dup": _near_dup(),
+    "op9_url_filter": _urls(),
 }
