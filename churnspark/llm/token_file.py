@@ -8,8 +8,7 @@ is value ``t % SEQUENCE`` of row ``t // SEQUENCE`` and a memory-mapped file give
 rows (document, file, offset, length) and a file list go with the files; files of lost or repeated task attempts
 have names of their own and are not in the list.
 
-The writer needs no text in the driver; a document's ids are encoded word by word with a bounded memory of words that
-were seen (the tokenizer splits at white space before its merges, so that is the same as encoding the whole text).
+No text reaches the driver; the memory of a task is a batch of texts, a batch of sequences and the words remembered.
 
 Defined cases: null text counts as empty (one token, the end id); rows with a null id come first; rows with the same id
 each have an entry, in any fixed order; an empty table writes no file and an empty index; other columns are ignored.
@@ -17,11 +16,14 @@ each have an entry, in any fixed order; an empty table writes no file and an emp
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,28 +37,85 @@ from churnspark.llm.common import scratch
 SEQUENCE = 1024
 BATCH = 128
 _SPLIT = re.compile("[ \t\n\r]+").split
+#: Texts encoded together, words that a Python worker remembers, words joined into one call of the library.
+AT_ONCE, REMEMBERED, JOINED = 500, 800_000, 64
+_SIMPLE = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
+class Encoder:
+    """Ids of whole texts as bytes, by the tokenizers library.
+
+    A tokenizer that drops white space and marks word ends (``</w>``) encodes words independently, so only words not seen
+    lately go through the library; the others are remembered. Simple words (letters, then ASCII marks but no apostrophe) are joined by
+    blanks and their ids cut apart again at the word ends. Other tokenizers get whole texts.
+    """
+
+    def __init__(self, path: str, end_id: int):
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(*vocabulary.values(), end_id) < 1 << 16 else "<u4")
+        with open(path, encoding="utf-8") as f:
+            self.by_word = json.load(f)["model"].get("end_of_word_suffix") == "</w>"
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.end = self._bytes([end_id])
+        self.seen: dict[str, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        """Words, with A-Z lower-cased first where the tokenizer's own normal form makes that the same."""
+        if "<|" in text:  # special tokens are found before lower-casing
+            return _SPLIT(text)
+        if text.isascii():
+            # the four separators count as blanks in Python only
+            return _SPLIT(text.lower()) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.lower().split()
+        low = text.encode().lower().decode()
+        same = unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
+        return _SPLIT(low if same else text)
+
+    def _learn(self, words: set[str]) -> None:
+        seen, simple, pieces = self.seen, [], []
+        for w in words:
+            m = _SIMPLE(w)
+            if m and w:
+                simple.append(w)
+                pieces.append((m[1] != "") + (m[2] != ""))  # letters, and the run of marks behind them
+            else:
+                seen[w] = self._bytes(self.tokenizer.encode(w, add_special_tokens=False).ids)
+        if not simple:
+            return
+        groups = [" ".join(simple[i:i + JOINED]) for i in range(0, len(simple), JOINED)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)), np.int64)
+        pieces = np.cumsum(pieces)
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != pieces[-1]:
+            raise ValueError("the tokenizer does not end every piece of a word with a word end")
+        data, width, begin = ids.astype(self.dtype).tobytes(), self.dtype.itemsize, 0
+        for w, to in zip(simple, (at[pieces - 1] * width).tolist()):
+            seen[w] = data[begin:to]
+            begin = to
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text and the end id, as little-endian bytes."""
+        if not self.by_word:
+            found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+            return [self._bytes(e.ids) + self.end for e in found]
+        split = [self._words(t) if t else [] for t in texts]
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        seen = self.seen
+        self._learn(set().union(*split).difference(seen))
+        return [b"".join(map(seen.__getitem__, ws)) + self.end for ws in split]
 
 
 @lru_cache(maxsize=2)
-def load_tokenizer(path: str):
-    from tokenizers import Tokenizer
-    return Tokenizer.from_file(path)
-
-
-class WordIds(dict):
-    """Word -> its ids as bytes; forgets everything when full, so memory is bounded."""
-
-    limit = 400_000
-
-    def __init__(self, tokenizer, dtype):
-        super().__init__()
-        self.tokenizer, self.dtype = tokenizer, dtype
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
-        return value
+def load_encoder(path: str, end_id: int) -> Encoder:
+    """One encoder per Python worker; it outlives the task."""
+    return Encoder(path, end_id)
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -137,20 +196,17 @@ class SequenceFile:
 
 def _writer(folder: str, tokenizer_path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(tokenizer_path)
-        dtype = np.dtype("<u2" if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        ids, end = WordIds(tokenizer, dtype), np.array([end_id], dtype).tobytes()
+        encoder = load_encoder(tokenizer_path, end_id)
         part = TaskContext.get().partitionId()
         path, writer = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow", None
         for batch in batches:
             offsets, lengths = [], []
-            for text in batch.column(1):
-                text = text.as_py()
-                encoded = b"".join(map(ids.__getitem__, _SPLIT(text))) + end if text else end
-                writer = writer or SequenceWriter(path, dtype)
-                offsets.append(writer.total)
-                lengths.append(len(encoded) // dtype.itemsize)
-                writer.add(encoded)
+            for first in range(0, batch.num_rows, AT_ONCE):
+                for ids in encoder.encode(batch.column(1).slice(first, AT_ONCE).to_pylist()):
+                    writer = writer or SequenceWriter(path, encoder.dtype)
+                    offsets.append(writer.total)
+                    lengths.append(len(ids) // encoder.dtype.itemsize)
+                    writer.add(ids)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([part] * len(offsets), pa.int32()), pa.array([path] * len(offsets), pa.string()),
                  pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())],
