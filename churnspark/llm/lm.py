@@ -39,7 +39,7 @@ ADD = 0.1
 #: Weight of the failure arcs.
 FAIL = 0.8
 #: Text per block (a task holds one block), and text per range of the hash space.
-BLOCK_BYTES, RANGE_BYTES = 12 << 20, 24 << 20
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
 # Neither can be a word: both hold a blank.
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(s)) for s in (b" end", b" start"))
 _MUL = np.uint64(0x9E3779B97F4A7C15)

@@ -197,7 +197,7 @@ w{i} as (select coalesce(max(case when between_ > 0 then greatest(mean * (1 - me
         if level != "host":
             source = "t0, g" if i == 0 else f"t{i}"
             out += f""",
-t{i + 1} as (select x.*, (lk + {prior} * st{i}) / (ln + st{i}) as p_{level} from (select * from {source}) x join a{i} using ({level}), w{i})"""
+t{i + 1} as (select x.*, (lk - k + {prior} * st{i}) / (ln - n + st{i}) as p_{level} from (select * from {source}) x join a{i} using ({level}), w{i})"""
             prior = f"p_{level}"
     return out + f""",
 ab as (select host, n, k, k + {prior} * st2 as a, n - k + (1 - {prior}) * st2 as b from t2, w2),

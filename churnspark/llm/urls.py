@@ -2,7 +2,7 @@
 
 Labelled outcomes (bad or not) are counted per host, summed to registered domains and suffixes. Each level's rate is
 shrunk towards the level above with a beta prior: suffixes towards the overall rate, domains towards their suffix, hosts
-towards their domain; a level's prior strength comes from the variance of its raw rates beyond the binomial part. A
+towards their domain, each without the host's own pages, which come in once at the end; a level's prior strength comes from the variance of its raw rates beyond the binomial part. A
 host is blocked if the lower bound of its beta posterior lies above ``LIMIT``. Hosts without labels have their domain's
 prior, which is too wide to block unless the domain itself has a long record.
 
@@ -80,7 +80,7 @@ def reputation(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
             return table.select("host", F.col("n").alias("labelled"), F.col("k").alias("bad_labelled"), rate.alias("rate"), bound.alias("bound"))
         per = stored(per.withColumnRenamed(level, f"{level}_key"), "url-level")
         table = table.join(small(per), F.col(level) == F.col(f"{level}_key"))
-        table = table.withColumn(f"p_{level}", (F.col("lk") + prior * strength) / (F.col("ln") + F.lit(strength)))
+        table = table.withColumn(f"p_{level}", (F.col("lk") - F.col("k") + prior * strength) / (F.col("ln") - F.col("n") + F.lit(strength)))
         table, prior = table.drop("ln", "lk", f"{level}_key"), F.col(f"p_{level}")
 
 
