@@ -358,13 +358,12 @@ def test_licence_texts_and_order(spark):
 
 def test_pipeline_equals_brute_force(spark):
     """Every stage against a direct version on the documents that the stage before kept."""
-    c, docs = duckdb.connect(), spark.read.parquet(f"{SF}/documents.parquet")
-    c.execute(f"create view benchmark as select * from read_parquet('{SF}/benchmark.parquet')")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         before, out = docs.toPandas(), stage(spark, docs, SF)
         rows = out.toPandas()
-        if c.execute("select count(*) from information_schema.tables where table_name = 'documents'").fetchone()[0]:
-            c.unregister("documents")
+        c = duckdb.connect()
+        c.execute(f"create view benchmark as select * from read_parquet('{SF}/benchmark.parquet')")
         c.register("documents", before)
         if name == "quality_rules":
             want = {r[0] for r in c.execute(f"select doc_id from ({SQL['op6_quality_rules']}) where kept").fetchall()}
