@@ -30,16 +30,21 @@ def clean_names(df: DataFrame) -> DataFrame:
     return df.toDF(*new)
 
 
+def strip(col: Column) -> Column:
+    """White space of any kind (tabs, line ends) off both ends; ``trim`` removes blanks only."""
+    return F.regexp_replace(col.cast("string"), r"^\s+|\s+$", "")
+
+
 def norm_str(col: Column | str) -> Column:
-    """lower(trim(cast(c as string)))."""
+    """lower(strip(cast(c as string)))."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.lower(F.trim(c.cast("string")))
+    return F.lower(strip(c))
 
 
 def numeric_string(col: Column | str) -> Column:
     """CLN2: ``' 1,234.50 '`` -> 1234.5; anything that is not a number -> null."""
     c = F.col(col) if isinstance(col, str) else col
-    s = F.regexp_replace(F.trim(c.cast("string")), ",", "")
+    s = F.regexp_replace(strip(c), ",", "")
     v = F.when(s.rlike(NUMBER_RE), s.try_cast("double"))
     # overflowing literals such as 1e400 are not numbers either
     return F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,10 +128,18 @@ def churn_summary(df: DataFrame, target: str) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, id_col: str | None, out: str = "row_id") -> DataFrame:
-    """CLN7: keep the id column, or derive a reproducible id from the row content."""
+    """CLN7: keep the id column, or derive a reproducible id: the md5 of the row and a running number among equal rows.
+
+    Equal rows are interchangeable, so any numbering of them gives the same table. On a stream (no ranking) equal rows
+    share their hash."""
     if id_col and id_col in df.columns:
         return df.withColumn(out, F.col(f"`{id_col}`"))
-    return df.withColumn(out, F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    digest = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    if df.isStreaming:
+        return df.withColumn(out, digest)
+    ranked = df.withColumn("__digest", digest)
+    number = F.row_number().over(Window.partitionBy("__digest").orderBy("__digest"))
+    return ranked.withColumn(out, F.concat_ws("-", "__digest", number)).drop("__digest")
 
 
 def prune(df: DataFrame, drop: list[str]) -> DataFrame:

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from churnspark import config as C
 
-SCORE_BUCKETS = 65536
+#: Buckets per unit of log odds; scores beyond 40 either way share the last bucket.
+SCORE_BUCKETS, MAX_LOG_ODDS = 1024, 40
 
 
 def _keys(keys) -> list[str]:
@@ -35,8 +36,12 @@ def score_table(pred: DataFrame, keys=("model",), label: str = "label", p: str =
     g = pred.groupBy(*ks, F.col(p).alias("p")).agg(
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(F.col(label) == 0).alias("neg"),
-    ).withColumn("bk", F.least(F.greatest(F.floor(F.col("p") * SCORE_BUCKETS), F.lit(0)),
-                               F.lit(SCORE_BUCKETS - 1)).cast("int"))
+    )
+    # log odds spread the scores of rare events, which a linear scale would put into one bucket
+    q = F.col("p")
+    odds = F.when(q <= 0, F.lit(-float(MAX_LOG_ODDS))).when(q >= 1, F.lit(float(MAX_LOG_ODDS))).otherwise(F.log(q / (1 - q)))
+    odds = F.least(F.greatest(odds, F.lit(-float(MAX_LOG_ODDS))), F.lit(float(MAX_LOG_ODDS)))
+    g = g.withColumn("bk", F.floor(odds * SCORE_BUCKETS).cast("int"))
     bt = g.groupBy(*ks, "bk").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
     wb = (Window.partitionBy(*ks).orderBy(F.col("bk").desc())
           .rowsBetween(Window.unboundedPreceding, Window.currentRow)) if ks else \

@@ -51,7 +51,7 @@ BOOSTING = {"XGBoost", "LightGBM", "CatBoost", "Gradient Boosting"}
 
 @dataclass
 class TrainConfig:
-    n_trials: int | None = None        # None: budget rule of TRN9
+    n_trials: int = C.N_TRIALS         # the same at every size (TRN9 reports the original's rule)
     folds: int = C.CV_FOLDS
     rf_trees: int = 300
     boost_cap: int = C.MAX_BOOST_ROUNDS
@@ -178,6 +178,7 @@ class FamilyResult:
     model: object = None
     train_time: float = 0.0
     error: str | None = None
+    calibrator: tuple | None = None              # (method, fitted) applied to every score
     trials: list = field(default_factory=list)   # (trial, params json, mean CV ROC-AUC) of every draw
 
 
@@ -244,7 +245,7 @@ class Trainer:
         trials, folds = {}, {}
         for n in names:
             try:
-                n_trials = self.cfg.n_trials or trial_budget(n_rows)
+                n_trials = self.cfg.n_trials
                 rng = np.random.default_rng([self.cfg.seed, PRODUCTION_MODELS.index(n)
                                              if n in PRODUCTION_MODELS else 10 + REGISTRY_MODELS.index(n)])
                 trials[n] = [suggest(n, rng, is_imbalanced) for _ in range(n_trials)]
@@ -268,7 +269,8 @@ class Trainer:
                 params = trials[n][ti]
                 mode = weight_mode(n, params, is_imbalanced)
                 data = fold_data(f, trv, mode, self.prep_kind(n))
-                m = make_classifier(n, params, n_rows, self.cfg, weighted=mode is not None).fit(data)
+                fold_rows = n_rows * (self.cfg.folds - 1) // self.cfg.folds   # stratified folds: equal sizes
+                m = make_classifier(n, params, fold_rows, self.cfg, weighted=mode is not None).fit(data)
                 n_best = None
                 if n in BOOSTING and n != "Gradient Boosting":
                     val = vav.withColumn("weight", F.lit(1.0)) if mode is not None else vav
@@ -331,7 +333,7 @@ class Trainer:
         """SCR1: P(churn) for rows with the family's frozen preprocessing and model."""
         cols = [c for c in df.columns if c in (self.key, self.label)] + list(keep or [])
         vec = res.prep.transform(df, keep=cols)
-        return positive_probability(res.model, vec)
+        return calibrated(positive_probability(res.model, vec), res.calibrator)
 
 
 def params_json(params: dict) -> str:
@@ -346,11 +348,15 @@ def _logit(p):
 
 
 def fit_platt(cal: DataFrame, p: str = "p", label: str = "label"):
-    """EVL14: sigmoid calibration = one-feature logistic regression on the score's logit."""
+    """EVL14: sigmoid calibration = one-feature logistic regression on the score's logit, with Platt's smoothed targets
+    (n+ + 1) / (n+ + 2) and 1 / (n- + 2): every row counts towards both classes with those weights."""
     from pyspark.ml.feature import VectorAssembler
-    x = cal.withColumn("__z", _logit(F.col(p)))
-    v = VectorAssembler(inputCols=["__z"], outputCol="__zv").transform(x)
-    return LogisticRegression(featuresCol="__zv", labelCol=label, regParam=0.0, maxIter=100).fit(v)
+    n = cal.agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")).first()
+    target = F.when(F.col(label) == 1, F.lit((n["pos"] + 1) / (n["pos"] + 2))).otherwise(F.lit(1 / (n["neg"] + 2)))
+    x = cal.select(_logit(F.col(p)).alias("__z"), F.explode(F.array(
+        F.struct(F.lit(1.0).alias("y"), target.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w")))).alias("t"))
+    v = VectorAssembler(inputCols=["__z"], outputCol="__zv").transform(x.select("__z", "t.y", "t.w"))
+    return LogisticRegression(featuresCol="__zv", labelCol="y", weightCol="w", regParam=0.0, maxIter=100).fit(v)
 
 
 def apply_platt(model, df: DataFrame, p: str = "p", out: str = "p_cal") -> DataFrame:
@@ -372,6 +378,15 @@ def apply_isotonic(model, df: DataFrame, p: str = "p", out: str = "p_cal") -> Da
     return model.setFeaturesCol(p).setPredictionCol(out).transform(df)
 
 
+def calibrated(df: DataFrame, calibrator: tuple | None, p: str = "p") -> DataFrame:
+    """``df`` with the chosen calibrator applied to ``p`` (EVL16); unchanged without one."""
+    if not calibrator:
+        return df
+    method, model = calibrator
+    out = (apply_platt if method == "sigmoid" else apply_isotonic)(model, df, p, "__cal")
+    return out.withColumn(p, F.col("__cal")).drop("__cal")
+
+
 def brier_of(df: DataFrame, p: str, label: str = "label") -> float:
     return df.agg(F.avg(F.pow(F.col(p) - F.col(label), 2)).alias("b")).first()["b"]
 

@@ -250,8 +250,8 @@ _PRF = {
     "prf7": lambda: ["column", "detected_type"],
     "prf8": lambda: ["column", (F.col("detected_type") == "boolean").alias("is_boolean")],
     "prf9": lambda: ["column", "detected_type", "drop_reason"],
-    "prf10": lambda: ["column", (F.col("detected_type") == "identifier").alias("is_identifier")],
-    "prf11": lambda: ["column", "n_unique", "detected_type"],
+    "prf10": lambda: ["column", (F.col("detected_type") == "identifier").alias("is_identifier"), "is_id_like"],
+    "prf11": lambda: ["column", "n_unique", "detected_type", "high_card"],
     "prf12": lambda: ["column", "drop_reason"], "prf13": lambda: ["column", "leak_warning"],
     "prf14": lambda: ["column", "missing_warning"],
 }
@@ -415,25 +415,43 @@ from churnspark.operators import explain as EX  # noqa: E402
 from churnspark.operators import train as TR  # noqa: E402
 from churnspark.plans import pipeline as PL  # noqa: E402
 
-# The registered checks use a small search (2 trials x 3 folds, 20 trees) so the
-# whole ML section runs in minutes on sf 0.01; the library default is the
+# The registered checks use a small search (2 trials x 3 folds, 20 trees) so that
+# every query ends in minutes on its own on sf 0.01; the library default is the
 # original budget (30 trials x 5 folds, 300 trees, 500 boosting rounds).
 CHECK_CONFIG = TR.TrainConfig(n_trials=2, folds=3, rf_trees=20, boost_cap=20, boost_floor=5, patience=5)
-CHECK_MODELS = TR.PRODUCTION_MODELS + TR.REGISTRY_MODELS
+#: Models of the queries that need any trained pipeline (calibration, explanation, scoring, streams), and of those
+#: that compare families.
+CHECK_MODELS = ["Logistic Regression", "Random Forest"]
+COMPARED_MODELS = ["Logistic Regression", "Random Forest", "XGBoost"]
 _PIPELINES: dict = {}
 
 
-def _pipeline(spark, sf_dir):
-    # one training run per Spark application and table folder; every ML query reads from it
+def fits_models(name: str) -> bool:
+    """Whether a registered query fits models (these run longest)."""
+    return name.startswith(("trn", "exp", "stream_", "evl14", "evl15", "evl16", "evl21", "evl22", "scr1", "snk3")) and name not in (
+        "trn9", "trn11", "trn12", "trn13", "scr10", "scr11") or name in ("scr4_model", "scr5_model")
+
+
+def _prepared(spark, sf_dir):
+    """Cleaned, split and engineered rows, before any model; one per Spark application and table folder."""
     k = (spark.sparkContext.applicationId, sf_dir)
     if k not in _PIPELINES:
-        _PIPELINES[k] = PL.run_pipeline(RAW.build(spark, sf_dir), RAW.target, RAW.id_col, CHECK_MODELS, CHECK_CONFIG)
+        _PIPELINES[k] = PL.prepare(RAW.build(spark, sf_dir), RAW.target, RAW.id_col, CHECK_CONFIG)
+    return _PIPELINES[k]
+
+
+def _pipeline(spark, sf_dir, models=tuple(CHECK_MODELS)):
+    """A trained pipeline over ``models``; runs once per Spark application, table folder and models."""
+    k = (spark.sparkContext.applicationId, sf_dir, models)
+    if k not in _PIPELINES:
+        _PIPELINES[k] = PL.run_pipeline(RAW.build(spark, sf_dir), RAW.target, RAW.id_col, list(models), CHECK_CONFIG,
+                                        finish=len(models) > 1)
     return _PIPELINES[k]
 
 
 def _family_row(name):
     def q(spark, sf_dir):
-        return _pipeline(spark, sf_dir).metrics.filter(F.col("model") == name).select(
+        return _pipeline(spark, sf_dir, (name,)).metrics.select(
             "model", "cv_roc_auc", "best_params", "error", "roc_auc", "pr_auc", "recall")
     return q
 
@@ -442,7 +460,8 @@ for _id, _name in (("trn1", "Logistic Regression"), ("trn2", "Random Forest"), (
                    ("trn4", "LightGBM"), ("trn5", "CatBoost"), ("trn6", "Decision Tree"),
                    ("trn7", "Gradient Boosting")):
     register(_id)(_family_row(_name))
-register("trn8")(lambda spark, sf_dir: _pipeline(spark, sf_dir).metrics.select("model", "cv_roc_auc", "best_params"))
+register("trn8")(lambda spark, sf_dir: _pipeline(spark, sf_dir, tuple(COMPARED_MODELS)).metrics.select(
+    "model", "cv_roc_auc", "best_params"))
 
 
 @register("trn9")
@@ -456,23 +475,24 @@ def _trn9(spark, sf_dir):
         .otherwise(F.lit(C.N_TRIALS)).alias("n_trials"))
 
 
-register("trn10")(lambda spark, sf_dir: _pipeline(spark, sf_dir).metrics.filter(
+register("trn10")(lambda spark, sf_dir: _pipeline(spark, sf_dir, ("XGBoost",)).metrics.filter(
     F.col("n_estimators").isNotNull()).select("model", "n_estimators"))
 
 
 @register("trn11")
 def _trn11(spark, sf_dir):
-    """A family that fails (no usable features) is reported with its error, the others are unaffected."""
+    """A family that fails is reported with its error, the others are unaffected."""
     cf = SP.stratified_folds(CLEAN.build(spark, sf_dir), "label", ["c_custkey"], k=2)
-    t = TR.Trainer(["no_such_column"], [], TR.TrainConfig(n_trials=1, folds=2))
-    r = t.search("Logistic Regression", cf, False)
-    return cf.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        F.lit("Logistic Regression").alias("model"), F.lit(r.error).alias("error"), "n_rows")
+    t = TR.Trainer(CF_NUMERIC, [], TR.TrainConfig(n_trials=1, folds=2, boost_cap=0, boost_floor=0))   # no boosting round: that family fails
+    found = t.search_many(["Logistic Regression", "XGBoost"], cf, False)
+    rows = [(n, r.cv_score, r.error) for n, r in found.items()]
+    n_rows = cf.count()
+    return spark.createDataFrame(rows, "model string, cv_roc_auc double, error string").withColumn("n_rows", F.lit(n_rows))
 
 
 @register("trn12")
 def _trn12(spark, sf_dir):
-    res = _pipeline(spark, sf_dir)
+    res = _prepared(spark, sf_dir)
     meta = AD.meta_features(res.data.filter(F.col("split") == "train"), res.numeric, res.categorical)
     return AD.recommend(meta)
 
@@ -480,7 +500,7 @@ def _trn12(spark, sf_dir):
 @register("trn13")
 def _trn13(spark, sf_dir):
     """Every parameter draw of the search with its mean CV ROC-AUC (the grids as searched)."""
-    res = _pipeline(spark, sf_dir)
+    res = _pipeline(spark, sf_dir, ("Logistic Regression",))
     rows = [(n, t, p, a) for n, r in res.families.items() for t, p, a in r.trials]
     return spark.createDataFrame(rows, "model string, trial int, params string, cv_roc_auc double")
 

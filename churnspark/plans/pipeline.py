@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from churnspark import config as C
 from churnspark.operators import metrics as M
-from churnspark.operators.clean import CleanEstimator, CleanModel, convert_target, prune
+from churnspark.operators.clean import CleanEstimator, CleanModel, convert_target, prune, with_row_id
 from churnspark.operators.features import FeatureEstimator, FeatureModel, select_features
 from churnspark.operators.profile import profile as profile_frame
-from churnspark.operators.split import stratified_folds, stratified_split
+from churnspark.operators.split import align_columns, stratified_folds, stratified_split
 from churnspark.session import ensure_checkpoint_dir
 from churnspark.operators.train import (FamilyResult, TrainConfig, Trainer, apply_isotonic, apply_platt,
                                         brier_of, choose_calibration, fit_isotonic, fit_platt, params_json)
@@ -50,7 +50,8 @@ class PipelineResult:
     fold_thresholds: list = field(default_factory=list)
     calibration: dict = field(default_factory=dict)
     final: FamilyResult | None = None
-    calibrator: object = None
+    calibrator: tuple | None = None      # (method, fitted calibrator) that the final model applies
+    columns: dict = field(default_factory=dict)   # cleaned training columns and their types
     churn_rate: float | None = None
     is_imbalanced: bool = False
     trainer: Trainer | None = None
@@ -63,16 +64,26 @@ def _mark(timings: dict, name: str, t0: list) -> None:
     t0[0] = now
 
 
-def run_pipeline(raw: DataFrame, target: str, id_col: str, models: list[str] | None = None,
-                 cfg: TrainConfig | None = None) -> PipelineResult:
+ROW_ID = "row_id"
+
+
+def _name(column: str) -> str:
+    return column.strip().lower().replace(" ", "_").replace("-", "_")
+
+
+def prepare(raw: DataFrame, target: str, id_col: str | None, cfg: TrainConfig | None = None) -> PipelineResult:
+    """Everything before the models: cleaned, pruned, split and engineered rows with a trainer for them.
+
+    Without an id column the rows get a reproducible id (CLN7)."""
     cfg = cfg or TrainConfig()
     timings: dict = {}
     t0 = [time.time()]
-    models = models or ["Logistic Regression", "Random Forest", "XGBoost", "LightGBM", "CatBoost"]
+    if id_col is None:
+        raw, id_col = with_row_id(raw, None, ROW_ID), ROW_ID
     cm = CleanEstimator().fit(raw)
     df = cm.transform(raw)
-    t = target.strip().lower().replace(" ", "_").replace("-", "_")
-    key = id_col.strip().lower().replace(" ", "_").replace("-", "_")
+    t = _name(target)
+    key = _name(id_col)
     df = convert_target(df, t, out="label")
     if t != "label":
         df = df.drop(t)
@@ -104,10 +115,20 @@ def run_pipeline(raw: DataFrame, target: str, id_col: str, models: list[str] | N
     cleaned.unpersist()
     _mark(timings, "prepare", t0)
     num_all = numeric + boolean + selected
-    res = PipelineResult(clean=cm, profile=prof, drops=drops, features=fm, selected=selected, numeric=num_all,
-                         categorical=categorical, data=sp, churn_rate=churn_rate, is_imbalanced=imb)
-    trainer = Trainer(num_all, categorical, cfg, key=key, label="label")
-    res.trainer = trainer
+    columns = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name != "label"}
+    return PipelineResult(clean=cm, profile=prof, drops=drops, features=fm, selected=selected, numeric=num_all,
+                          categorical=categorical, data=sp, churn_rate=churn_rate, is_imbalanced=imb, columns=columns,
+                          trainer=Trainer(num_all, categorical, cfg, key=key, label="label"), timings=timings)
+
+
+def run_pipeline(raw: DataFrame, target: str, id_col: str | None, models: list[str] | None = None,
+                 cfg: TrainConfig | None = None, finish: bool = True) -> PipelineResult:
+    """The whole plan; ``finish=False`` ends after the test metrics (no threshold, calibration or final refit)."""
+    cfg = cfg or TrainConfig()
+    models = models or ["Logistic Regression", "Random Forest", "XGBoost", "LightGBM", "CatBoost"]
+    res = prepare(raw, target, id_col, cfg)
+    timings, t0 = res.timings, [time.time()]
+    trainer, sp, key, imb = res.trainer, res.data, res.trainer.key, res.is_imbalanced
     train = sp.filter(F.col("split") == "train")
     test = sp.filter(F.col("split") == "test")
     train_f = stratified_folds(train, "label", [key], k=cfg.folds)
@@ -138,7 +159,7 @@ def run_pipeline(raw: DataFrame, target: str, id_col: str, models: list[str] | N
         res.metrics = info
         res.best = next(iter(res.families))
     _mark(timings, "evaluate", t0)
-    if res.best and res.families[res.best].error is None:
+    if finish and res.best and res.families[res.best].error is None:
         fam = res.families[res.best]
         # CV threshold, calibration and the final refit are independent jobs: run them side by side
         with ThreadPoolExecutor(max_workers=3) as ex:
@@ -148,7 +169,7 @@ def run_pipeline(raw: DataFrame, target: str, id_col: str, models: list[str] | N
             cv.result()
             cal.result()
             prep, model = fin.result()
-        res.final = FamilyResult(res.best, fam.params, fam.cv_score, fam.n_estimators, prep, model)
+        res.final = FamilyResult(res.best, fam.params, fam.cv_score, fam.n_estimators, prep, model, calibrator=res.calibrator)
     _mark(timings, "cv_calibrate_refit", t0)
     res.timings = timings
     return res
@@ -206,7 +227,7 @@ def _calibrate(res: PipelineResult, train: DataFrame, test: DataFrame, key: str)
     method, after = choose_calibration(before, cands)
     res.calibration = {"brier_before": before, "candidates": cands, "method": method, "brier_after": after,
                        "calibrated": method is not None}
-    res.calibrator = fitted.get(method) if method else None
+    res.calibrator = (method, fitted[method]) if method else None
 
 
 def final_report(res: PipelineResult) -> dict:
@@ -230,6 +251,15 @@ def report_json(res: PipelineResult) -> str:
     return json.dumps(final_report(res), default=str, sort_keys=True)
 
 
+def new_rows(res: PipelineResult, raw: DataFrame) -> DataFrame:
+    """Rows of a new upload with the frozen plans: cleaned, aligned to the training columns (missing ones null, extras
+    dropped), engineered. Works on streams as well."""
+    key = res.trainer.key
+    if key == ROW_ID and ROW_ID not in raw.columns:
+        raw = with_row_id(raw, None, ROW_ID)
+    return res.features.transform(align_columns(res.clean.transform(raw), list(res.columns), res.columns))
+
+
 def score_new_customers(res: PipelineResult, raw: DataFrame, threshold: float | None = None) -> dict:
     """The scoring plan for a new batch: frozen clean -> frozen features -> model -> outputs.
 
@@ -238,8 +268,7 @@ def score_new_customers(res: PipelineResult, raw: DataFrame, threshold: float |
     """
     from churnspark.operators import score as S
     t = res.threshold if threshold is None else threshold
-    batch = res.features.transform(res.clean.transform(raw))
-    scored = res.trainer.score(res.final, batch)
+    scored = res.trainer.score(res.final, new_rows(res, raw))
     preds = S.predictions(scored, res.trainer.key, t)
     summary = S.batch_summary(scored, t)
     rate = F.col("churning") / F.greatest(F.col("total"), F.lit(1))

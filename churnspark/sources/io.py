@@ -2,7 +2,7 @@
 
 Uploads are CSV files of any size: the delimiter is sniffed from the first
 line of each file (SRC2), the encoding falls back from UTF-8 to ISO-8859-1
-when replacement characters appear (SRC3; latin-1 decodes any byte, so the
+where the bytes are not valid UTF-8 (SRC3; latin-1 decodes any byte, so the
 original's last fallback is unreachable), and header names are trimmed and
 stripped of a byte-order mark (SRC4). Outputs go to the shared output folder
 (never a machine-local temporary folder): CSV/Parquet for predictions, JSON
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 # --- fixed values: candidate delimiters in tie-break order ------------------------------
 DELIMITERS = [",", ";", "\t", "|"]
 BOM = "﻿"
-REPLACEMENT_CHAR = "�"
+# --- fixed values: words that stand for a missing value in uploads -----------------------
+MISSING_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+                 "NaN", "None", "n/a", "nan", "null"]
 
 
 def delimiter_expr(line: Column) -> Column:
@@ -67,26 +69,43 @@ def clean_header(names: list[str]) -> list[str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-             infer_schema: bool = True, schema=None) -> DataFrame:
-    """SRC1: CSV with header, sniffed delimiter and the encoding fallback."""
-    sep = sep or sniff_delimiter(spark, path)
+def infer_types(df: DataFrame) -> DataFrame:
+    """String columns as bigint, double, boolean or timestamp where every value parses; one aggregate over the frame."""
+    kinds = {"bigint": lambda c: c.try_cast("bigint").isNotNull() & ~c.contains("."),
+             "double": lambda c: c.try_cast("double").isNotNull() & c.rlike(r"^[+-]?[0-9.]"),
+             "boolean": lambda c: F.lower(c).isin("true", "false"),
+             "date": lambda c: F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).isNotNull(),
+             "timestamp": lambda c: c.try_cast("timestamp").isNotNull() & c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]")}
+    names = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    if not names:
+        return df
+    fits = df.agg(*[F.bool_and(F.when(F.col(f"`{n}`").isNotNull(), test(F.col(f"`{n}`")))).alias(f"{k}_{i}") for i, n in enumerate(names) for k, test in kinds.items()]).first()
+    types = {n: next((k for k in kinds if fits[f"{k}_{i}"]), None) for i, n in enumerate(names)}
+    return df.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if types.get(c) else F.col(f"`{c}`") for c in df.columns])
 
-    def load(enc):
-        r = spark.read.option("header", True).option("sep", sep).option("encoding", enc).option(
-            "multiLine", False).option("mode", "PERMISSIVE")
-        r = r.schema(schema) if schema is not None else r.option("inferSchema", infer_schema)
-        return r.csv(path)
 
-    enc = encoding or "UTF-8"
-    df = load(enc)
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
+             infer_schema: bool = True, schema=None, embedded_newlines: bool = True) -> DataFrame:
+    """SRC1: CSV with header, sniffed delimiter, the encoding fallback and the usual words for missing values.
+
+    Quoted values may hold line breaks, so a file is read by one task; large uploads should come as many files, or the
+    caller declares ``embedded_newlines=False`` and files are split. A file that is valid UTF-8 is read as UTF-8 whatever
+    characters it holds.
+    """
+    sep = sep or sniff_delimiter(spark, path)
     if encoding is None:
         # the text source keeps raw bytes: invalid UTF-8 means another encoding
-        bad = spark.read.text(path).filter(
-            ~F.is_valid_utf8(F.col("value")) | (F.instr(F.col("value"), REPLACEMENT_CHAR) > 0)).limit(1).count()
-        if bad:
-            df = load("ISO-8859-1")
-    return df.toDF(*clean_header(df.columns))
+        bad = spark.read.text(path).filter(~F.is_valid_utf8(F.col("value"))).limit(1).count()
+        encoding = "ISO-8859-1" if bad else "UTF-8"
+    r = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("quote", '"').option("escape", '"')
+         .option("multiLine", embedded_newlines).option("mode", "PERMISSIVE"))
+    if schema is not None:
+        df = r.schema(schema).csv(path)
+        return df.toDF(*clean_header(df.columns))
+    df = r.option("inferSchema", False).csv(path)
+    df = df.toDF(*clean_header(df.columns))
+    df = df.select(*[F.when(~F.col(f"`{c}`").isin(MISSING_WORDS), F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return infer_types(df) if infer_schema else df
 
 
 def shape_and_preview(df: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnspark.operators import score as S
+from churnspark.plans.pipeline import new_rows
 from churnspark.sources.io import new_output_path
 
 
 def scored_stream(stream: DataFrame, result, threshold: float | None = None) -> DataFrame:
     """SCR1-3 on a streaming frame with a fitted ``PipelineResult``."""
-    batch = result.clean.transform(stream)
-    batch = result.features.transform(batch)
+    batch = new_rows(result, stream)
     scored = result.trainer.score(result.final, batch)
     t = result.threshold if threshold is None else threshold
     return S.predictions(scored, result.trainer.key, t)
@@ -56,8 +56,9 @@ def run_monitor(spark: SparkSession, source_dir: str, schema, result, fmt: str =
 
     def emit(batch: DataFrame, batch_id: int):
         rate = F.col("churning") / F.greatest(F.col("total"), F.lit(1))
-        batch.select(F.lit(batch_id).alias("batch_id"), "total", "churning",
-                     *S.churn_monitor(rate, F.lit(hist))).write.mode("append").parquet(sink)
+        # a folder per batch, overwritten when the batch is repeated after a failure
+        batch.select("total", "churning", *S.churn_monitor(rate, F.lit(hist))).write.mode("overwrite").parquet(
+            f"{sink}/batch_id={batch_id}")
 
     q = (running.writeStream.outputMode("complete").foreachBatch(emit).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
@@ -66,19 +67,21 @@ def run_monitor(spark: SparkSession, source_dir: str, schema, result, fmt: str =
 
 
 def run_windowed_monitor(spark: SparkSession, source_dir: str, schema, result, time_col: str = "signup_date",
-                         window: str = "30 days", watermark: str = "90 days", fmt: str = "parquet",
+                         window: str = "30 days", watermark: str | None = None, fmt: str = "parquet",
                          max_files: int = 1) -> str:
-    """SCR5 per event-time window with a watermark: predicted churn share of each window (e.g. signup
-    cohorts) against the historical rate. Late rows within the watermark update their window; older
-    window state is dropped. Updates go to a Parquet table, one row per (batch, window)."""
+    """SCR5 per event-time window: predicted churn share of each window (e.g. signup cohorts) against the
+    historical rate. Every window stays in state (as many as the cohorts have months), so rows count in
+    whatever order the files come; a ``watermark`` may be given where event times arrive in order. Updates
+    go to a Parquet table, one row per (batch, window)."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format(fmt)
               .load(source_dir))
-    batch = result.features.transform(result.clean.transform(stream))
+    batch = new_rows(result, stream)
     t_col = time_col.strip().lower().replace(" ", "_").replace("-", "_")
     scored = result.trainer.score(result.final, batch, keep=[t_col])
     t = F.to_timestamp(F.col(t_col))
     thr = float(result.threshold)
-    windows = (scored.withColumn("__t", t).withWatermark("__t", watermark)
+    timed = scored.withColumn("__t", t)
+    windows = ((timed.withWatermark("__t", watermark) if watermark else timed)
                .groupBy(F.window("__t", window).alias("w"))
                .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("p") >= thr).alias("churning")))
     hist = float(result.churn_rate or 0.0)
@@ -87,9 +90,8 @@ def run_windowed_monitor(spark: SparkSession, source_dir: str, schema, result, t
 
     def emit(b: DataFrame, batch_id: int):
         rate = F.col("churning") / F.greatest(F.col("total"), F.lit(1))
-        b.select(F.lit(batch_id).alias("batch_id"), F.col("w.start").alias("window_start"),
-                 F.col("w.end").alias("window_end"), "total", "churning",
-                 *S.churn_monitor(rate, F.lit(hist))).write.mode("append").parquet(sink)
+        b.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "total", "churning",
+                 *S.churn_monitor(rate, F.lit(hist))).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     q = (windows.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())

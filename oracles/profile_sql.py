@@ -122,22 +122,27 @@ t AS (SELECT *,
       FROM k),
 u AS (SELECT *, detected_type = 'identifier' AND NOT (is_email OR is_uuid OR is_hash OR is_phone) AS is_id_like,
              nu > {C.HIGH_CARDINALITY_LIMIT} OR nu / greatest(n, 1) > 0.5 AS high_card
-      FROM t)
-SELECT "column", dtype, CAST(n - nn AS BIGINT) AS null_count, round(null_pct, 6) AS null_pct, CAST(nu AS BIGINT) AS n_unique,
-  detected_type, top_value, round(top_freq, 6) AS top_freq,
-  round(mean, 6) AS mean, round(std, 6) AS std,
-  round(CASE WHEN nn > 2 AND NOT isnan(skew) THEN skew END, 6) AS skewness,
+      FROM t),
+r AS (SELECT *,
   CASE WHEN null_pct > {C.NULL_THRESHOLD} THEN {fill_sql(C.DROP_NULLS, pct="CAST(round_even(null_pct * 100, 0) AS BIGINT)")}
        WHEN nu <= 1 AND detected_type <> 'empty' THEN '{C.DROP_CONSTANT}'
        WHEN coalesce(top_freq, 0) >= {C.NEAR_CONSTANT_THRESHOLD} THEN {fill_sql(C.DROP_NEAR_CONSTANT, pct="printf('%.1f', round_even(top_freq * 100, 1))")}
        WHEN detected_type = 'identifier' THEN {fill_sql(C.DROP_IDENTIFIER, flags=_flags_sql())}
        WHEN high_card AND detected_type = 'categorical' THEN {fill_sql(C.DROP_HIGH_CARD, n="nu")}
-       WHEN detected_type = 'empty' THEN '{C.DROP_EMPTY}' END AS drop_reason,
-  CASE WHEN {leak} THEN {fill_sql(C.WARN_LEAK, column='"column"')} END AS leak_warning,
-  CASE WHEN null_pct > 0.05 AND null_pct <= {C.NULL_THRESHOLD}
+       WHEN detected_type = 'empty' THEN '{C.DROP_EMPTY}' END AS drop_reason
+      FROM u)
+SELECT "column", dtype, CAST(n - nn AS BIGINT) AS null_count, round(null_pct, 6) AS null_pct, CAST(nu AS BIGINT) AS n_unique,
+  detected_type, top_value, round(top_freq, 6) AS top_freq,
+  round(mean, 6) AS mean, round(std, 6) AS std,
+  round(CASE WHEN nn > 2 AND NOT isnan(skew) THEN skew END, 6) AS skewness,
+  drop_reason,
+  CASE WHEN drop_reason IS NULL AND ({leak}) THEN {fill_sql(C.WARN_LEAK, column='"column"')} END AS leak_warning,
+  CASE WHEN drop_reason IS NULL AND null_pct > 0.05 AND null_pct <= {C.NULL_THRESHOLD}
        THEN {fill_sql(C.WARN_MISSING, column='"column"', pct="printf('%.1f', round_even(null_pct * 100, 1))")} END
-    AS missing_warning
-FROM u"""
+    AS missing_warning,
+  nu <= 1 AS is_constant, coalesce(top_freq, 0) >= {C.NEAR_CONSTANT_THRESHOLD} AS is_near_constant,
+  high_card, is_id_like, is_email, is_uuid, is_hash, is_phone
+FROM r"""
 
 
 def build() -> dict[str, str]:
@@ -168,8 +173,8 @@ def build() -> dict[str, str]:
         "prf4": "column, n_unique <= 1 AS is_constant, coalesce(top_freq, 0) >= 0.98 AS is_near_constant",
         "prf5": "column, mean, std, skewness", "prf6": "column, detected_type = 'datetime' AS is_datetime",
         "prf7": "column, detected_type", "prf8": "column, detected_type = 'boolean' AS is_boolean",
-        "prf9": "column, detected_type, drop_reason", "prf10": "column, detected_type = 'identifier' AS is_identifier",
-        "prf11": "column, n_unique, detected_type", "prf12": "column, drop_reason",
+        "prf9": "column, detected_type, drop_reason", "prf10": "column, detected_type = 'identifier' AS is_identifier, is_id_like",
+        "prf11": "column, n_unique, detected_type, high_card", "prf12": "column, drop_reason",
         "prf13": "column, leak_warning", "prf14": "column, missing_warning",
     }
     for k, cols in sel.items():

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from churnspark.operators.train import TrainConfig
-from churnspark.plans.pipeline import final_report, run_pipeline
+from churnspark.plans.pipeline import final_report, run_pipeline, score_new_customers
 from churnspark.sources import fixtures as FX
 from churnspark.sources import io as IO
 from churnspark.streaming import scoring as ST
@@ -66,5 +66,29 @@ def test_windowed_monitor_equals_batch_counts(spark, result):
     raw = FX.customer_raw(spark, SF_SMALL)
     src = IO.new_output_path(spark, "test-window-src")
     raw.repartition(3).write.parquet(src)
-    out = ST.latest_windows(spark, ST.run_windowed_monitor(spark, src, raw.schema, result, watermark="100000 days"))
+    out = ST.latest_windows(spark, ST.run_windowed_monitor(spark, src, raw.schema, result))
     assert out.agg(F.sum("total")).first()[0] == raw.count()
+
+
+def test_final_model_applies_its_calibrator(spark, result):
+    import dataclasses
+
+    from churnspark.operators.train import apply_platt, fit_platt
+    scored = result.trainer.score(dataclasses.replace(result.final, calibrator=None), result.data)
+    platt = fit_platt(scored)
+    with_it = result.trainer.score(dataclasses.replace(result.final, calibrator=("sigmoid", platt)), result.data)
+    want = rows_of(apply_platt(platt, scored).select("customer_id", F.col("p_cal").alias("p")))
+    assert rows_of(with_it.select("customer_id", "p")) == want
+
+
+def test_upload_without_a_training_column_is_scored(spark, result):
+    raw = FX.customer_raw(spark, SF_SMALL)
+    gone = next(c for c in raw.columns if c.strip().lower().replace(" ", "_") in result.numeric)
+    assert score_new_customers(result, raw.drop(gone))["predictions"].count() == raw.count()
+
+
+def test_data_without_an_id_column_trains_and_scores(spark):
+    raw = FX.customer_raw(spark, SF_SMALL).drop("Customer ID")
+    res = run_pipeline(raw.unionByName(raw.limit(5)), "Churn", None, ["Logistic Regression"], CFG)
+    assert res.metrics.first()["error"] is None
+    assert score_new_customers(res, raw)["predictions"].count() == raw.count()

@@ -63,3 +63,30 @@ def test_target_encoding_and_one_hot(spark):
     unseen = spark.createDataFrame([("zzz", 0)], "seg string, label int")
     vec = oh.transform(unseen).first()["features"]
     assert list(vec.toArray()) == [0.0, 0.0]     # unknown category -> all zeros
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    from churnspark.functions.exprs import bool_map_expr, numeric_string, strict_target
+    df = spark.createDataFrame([("Yes\t", " 1,234.5\n")], "a string, b string")
+    r = df.select(strict_target("a").alias("t"), bool_map_expr("a").alias("f"), numeric_string("b").alias("n")).first()
+    assert (r.t, r.f, r.n) == (1, 1, 1234.5)
+
+
+def test_row_ids_are_unique_on_repeated_rows(spark):
+    from churnspark.operators.clean import with_row_id
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (1, "a")], "x int, y string")
+    assert with_row_id(df, None).select("row_id").distinct().count() == 4
+
+
+def test_nan_counts_as_missing_in_the_profile(spark):
+    from churnspark.operators.profile import profile
+    df = spark.createDataFrame([(float("nan") if i < 40 else float(i),) for i in range(200)], "v double")
+    r = profile(df).first()
+    assert r.null_count == 40 and r.n_unique == 160 and abs(r["mean"] - 119.5) < 1e-9
+
+
+def test_rare_event_scores_spread_over_buckets(spark):
+    from churnspark.operators.metrics import ranking_metrics, score_table
+    df = spark.range(4000).selectExpr("'m' as model", "cast(id % 50 = 0 as int) as label", "(id + 1) * 1e-9 as p")
+    st = score_table(df)
+    assert st.count() == 4000 and 0.4 < ranking_metrics(df).first()["roc_auc"] < 0.6
