@@ -55,7 +55,7 @@ class PrepModel:
     def columns(self) -> list[Column]:
         out = []
         for c in self.numeric:
-            x = F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(self.medians[c] or 0.0)))
+            x = F.coalesce(number(c), F.lit(float(self.medians[c] or 0.0)))
             if self.scale:
                 sd = self.stds.get(c) or 0.0
                 x = (x - F.lit(float(self.means[c] or 0.0))) / F.lit(float(sd if sd > 0 else 1.0))
@@ -96,19 +96,48 @@ class PrepModel:
         return json.dumps(d, default=str)
 
 
-# exact medians keep a count per distinct value; above this many distinct values a column's
-# median is taken with percentile_approx at accuracy 1e6 (rank error <= n / 1e6)
-EXACT_MEDIAN_MAX_DISTINCT = 1_000_000
+#: Half width, in ranks, of the bracket around the median; twice the error bound of the probe below.
+MEDIAN_BRACKET, MEDIAN_ACCURACY = 2e-5, 100_000
+
+
+def number(c: str) -> Column:
+    """A numeric column as double, NaN as null."""
+    return F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+
+
+def exact_medians(df: DataFrame, cols: list[str]) -> dict:
+    """Exact median per column, by one algorithm at every size.
+
+    Approximate quantiles a little below and above the middle bracket each median (their error bound is half the
+    bracket's); values below the bracket are only counted, those inside it (about 0.004 % of the rows, and ties) are
+    grouped to distinct values and ranked. Two rows per column reach the driver.
+    """
+    xs = [number(c) for c in cols]
+    probe = df.agg(*[F.percentile_approx(x, [0.5 - MEDIAN_BRACKET, 0.5 + MEDIAN_BRACKET], MEDIAN_ACCURACY).alias(f"q{i}")
+                     for i, x in enumerate(xs)], *[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)]).first()
+    known = [i for i in range(len(cols)) if probe[f"n{i}"]]
+    if not known:
+        return dict.fromkeys(cols)
+    below = df.agg(*[F.count_if(xs[i] < probe[f"q{i}"][0]).alias(f"b{i}") for i in known]).first()
+    inside = F.array(*[F.struct(F.lit(i).alias("i"), F.when(xs[i].between(*probe[f"q{i}"]), xs[i]).alias("x")) for i in known])
+    freq = df.select(F.explode(inside).alias("v")).select("v.*").filter("x is not null").groupBy("i", "x").agg(
+        F.count(F.lit(1)).alias("n"))
+    ranks = F.array(*[F.array(F.lit((probe[f"n{i}"] - 1) // 2 - below[f"b{i}"]), F.lit(probe[f"n{i}"] // 2 - below[f"b{i}"]))
+                      if i in known else F.array(F.lit(-1), F.lit(-1)) for i in range(len(cols))])
+    upto = F.sum("n").over(Window.partitionBy("i").orderBy("x"))
+    at = freq.withColumn("upto", upto).withColumn("r", F.get(ranks, F.col("i")))
+    hit = F.filter("r", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
+    rows = at.select("i", "x", F.size(hit).alias("k")).filter("k > 0").collect()   # at most two per column
+    return {c: (sum(r["x"] * r["k"] for r in rows if r["i"] == i) / 2 if i in known else None) for i, c in enumerate(cols)}
 
 
 class PrepEstimator:
     def __init__(self, numeric: list[str], categorical: list[str], scale: bool = False,
-                 exact_median_max_distinct: int = EXACT_MEDIAN_MAX_DISTINCT, target_encode: bool = False,
+                 target_encode: bool = False,
                  label: str = "label", smoothing: float = 1.0):
         self.numeric = list(numeric)
         self.categorical = list(categorical)
         self.scale = scale
-        self.max_distinct = exact_median_max_distinct
         self.target_encode = target_encode
         self.label = label
         self.smoothing = smoothing
@@ -117,19 +146,10 @@ class PrepEstimator:
         m = PrepModel(numeric=self.numeric, categorical=self.categorical, scale=self.scale,
                       target_encode=self.target_encode)
         if self.numeric:
-            nd = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}")
-                          for i, c in enumerate(self.numeric)]).first()
-            aggs = []
-            for i, c in enumerate(self.numeric):
-                x = F.col(f"`{c}`").cast("double")
-                exact = (nd[f"d{i}"] or 0) <= self.max_distinct
-                med = F.median(x) if exact else F.percentile_approx(x, 0.5, 1000000)
-                aggs += [med.alias(f"md{i}")]
-            row = df.agg(*aggs).first()
-            m.medians = {c: row[f"md{i}"] for i, c in enumerate(self.numeric)}
+            m.medians = exact_medians(df, self.numeric)
             if self.scale:
                 # moments of the imputed values (imputation happens before scaling)
-                imp = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(m.medians[c] or 0.0)))
+                imp = [F.coalesce(number(c), F.lit(float(m.medians[c] or 0.0)))
                        for c in self.numeric]
                 row = df.agg(*[F.avg(x).alias(f"mu{i}") for i, x in enumerate(imp)],
                              *[F.stddev_pop(x).alias(f"sd{i}") for i, x in enumerate(imp)]).first()

@@ -81,17 +81,17 @@ def suggest(name: str, rng: np.random.Generator, is_imbalanced: bool) -> dict:
                 "class_weight": "balanced" if is_imbalanced else str(rng.choice(["balanced", "none"]))}
     if name == "Random Forest":
         return {"max_depth": int(rng.integers(3, 16)), "min_samples_leaf": int(rng.integers(2, 51)),
-                "min_samples_split": int(rng.integers(2, 21)),
                 "max_features": str(rng.choice(["sqrt", "log2"]))}
     if name == "XGBoost":
         return {"max_depth": int(rng.integers(3, 7)), "learning_rate": _loguniform(rng, 0.01, 0.3),
                 "subsample": float(rng.uniform(0.5, 1.0)), "colsample_bytree": float(rng.uniform(0.5, 1.0)),
-                "gamma": float(rng.uniform(0.0, 2.0)), "min_child_weight": int(rng.integers(1, 11))}
+                "min_info_gain": float(rng.uniform(0.0, 0.02)), "min_child_weight": int(rng.integers(1, 11))}
     if name == "LightGBM":
-        return {"num_leaves": int(rng.integers(15, 64)), "max_depth": int(rng.integers(3, 9)),
+        leaves = int(rng.integers(15, 64))   # Spark grows trees by depth: no deeper than that many leaves allow
+        return {"num_leaves": leaves, "max_depth": min(int(rng.integers(3, 9)), int(math.log2(leaves))),
                 "feature_fraction": float(rng.uniform(0.5, 1.0)), "bagging_fraction": float(rng.uniform(0.5, 1.0))}
     if name == "CatBoost":
-        return {"depth": int(rng.integers(3, 8)), "learning_rate": _loguniform(rng, 0.01, 0.3),
+        return {"depth": int(rng.integers(3, 7)), "learning_rate": _loguniform(rng, 0.01, 0.3),
                 "bagging_temperature": float(rng.uniform(0.0, 1.0))}
     if name == "Decision Tree":
         return {"criterion": str(rng.choice(["gini", "entropy"])), "max_depth": int(rng.integers(2, 16)),
@@ -134,15 +134,14 @@ def make_classifier(name: str, params: dict, n_rows: int, cfg: TrainConfig, n_it
         return GBTClassifier(maxIter=iters, maxDepth=params["max_depth"], stepSize=params["learning_rate"],
                              subsamplingRate=params["subsample"],
                              featureSubsetStrategy=f"{params['colsample_bytree']:.3f}",
-                             minInfoGain=params["gamma"] / 100.0,
+                             minInfoGain=params["min_info_gain"],
                              minInstancesPerNode=params["min_child_weight"], seed=cfg.seed, **common)
     if name == "LightGBM":
-        depth = min(params["max_depth"], max(1, int(math.log2(params["num_leaves"]))))
-        return GBTClassifier(maxIter=iters, maxDepth=depth, maxBins=64, stepSize=0.1,
+        return GBTClassifier(maxIter=iters, maxDepth=params["max_depth"], maxBins=64, stepSize=0.1,
                              subsamplingRate=params["bagging_fraction"],
                              featureSubsetStrategy=f"{params['feature_fraction']:.3f}", seed=cfg.seed, **common)
     if name == "CatBoost":
-        return GBTClassifier(maxIter=iters, maxDepth=min(params["depth"], 6), stepSize=params["learning_rate"],
+        return GBTClassifier(maxIter=iters, maxDepth=params["depth"], stepSize=params["learning_rate"],
                              subsamplingRate=1.0 - 0.5 * params["bagging_temperature"], seed=cfg.seed, **common)
     if name == "Gradient Boosting":
         # the round cap bounds every boosting family (default 500 >= the 100/200 grid)
@@ -194,6 +193,7 @@ class Trainer:
         self.label = label
         self._folds: dict = {}
         self._counts: dict = {}
+        self._held: list = []   # frames whose id() is a cache key stay alive
 
     def release(self):
         """Unpersist the cached per-fold vectors."""
@@ -202,6 +202,8 @@ class Trainer:
                 trv.unpersist()
                 vav.unpersist()
         self._folds.clear()
+        self._held.clear()
+        self._counts.clear()
 
     @staticmethod
     def prep_kind(name: str) -> tuple[bool, bool]:
@@ -239,6 +241,7 @@ class Trainer:
         thread pool, the fold AUCs of all trials of all families are one grouped job, and the
         refits of the winners run in parallel too. A failing family keeps its error (TRN11)."""
         results = {n: FamilyResult(n) for n in names}
+        self._held.append(train)
         if id(train) not in self._counts:
             self._counts[id(train)] = train.count()
         n_rows = self._counts[id(train)]

@@ -6,7 +6,7 @@ from tests.conftest import SF_MID, SF_SMALL
 from tests.helpers import duck_rows, rows_of
 
 FAST = [k for k in E.oracle_sql() if k.split("_")[0].rstrip("0123456789") in
-        ("view", "sig", "evl", "scr", "cln", "prf", "fea", "spl", "set", "src")
+        ("view", "sig", "evl", "scr", "cln", "prf", "fea", "spl", "set", "src", "pre")
         and k not in ("trn9",)]
 
 

@@ -90,3 +90,18 @@ def test_rare_event_scores_spread_over_buckets(spark):
     df = spark.range(4000).selectExpr("'m' as model", "cast(id % 50 = 0 as int) as label", "(id + 1) * 1e-9 as p")
     st = score_table(df)
     assert st.count() == 4000 and 0.4 < ranking_metrics(df).first()["roc_auc"] < 0.6
+
+
+def test_exact_medians_of_odd_even_tied_and_missing_values(spark):
+    import random
+    import statistics
+
+    from churnspark.operators.prep import PrepEstimator, exact_medians
+    rng = random.Random(1)
+    rows = [(float(rng.randrange(10**6)), float(rng.randrange(2)), None if i % 3 else float(i), float("nan") if i % 2 else float(i), None)
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(4)
+    got = exact_medians(df, ["a", "b", "c", "d", "e"])
+    want = {c: statistics.median([r[i] for r in rows if r[i] is not None and r[i] == r[i]]) for i, c in enumerate("abcd")}
+    assert got == {**want, "e": None}
+    assert PrepEstimator(["a", "d"], [], scale=True).fit(df).means["d"] == want["d"]
