@@ -38,7 +38,7 @@ SEQUENCE = 1024
 BATCH = 128
 _SPLIT = re.compile("[ \t\n\r]+").split
 #: Texts encoded together, words that a Python worker remembers, words joined into one call of the library.
-AT_ONCE, REMEMBERED, JOINED = 500, 800_000, 64
+AT_ONCE, REMEMBERED, JOINED = 500, 350_000, 64
 _SIMPLE = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
