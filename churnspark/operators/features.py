@@ -14,7 +14,9 @@ the Miller-Madow correction, >= 0.003 kept.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
+from itertools import combinations, islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +26,17 @@ from churnspark import config as C
 MI_BINS = 16
 
 
-def short_name(col: str, max_len: int = C.SHORT_NAME_LEN) -> str:
-    """Compact name for generated features: lower, no blanks/dashes/underscores, 10 chars."""
-    return col.lower().replace(" ", "").replace("-", "").replace("_", "")[:max_len]
+def squeezed(column: str) -> str:
+    """A column's part of a ratio name: lower case without separators, cut to the name length."""
+    return re.sub(r"[ _-]+", "", column.lower())[:C.SHORT_NAME_LEN]
+
+
+def ratio_plan(ranked: list[str], limit: int = C.MAX_RATIO_PAIRS) -> list[tuple[str, str, str]]:
+    """FEA2: (name, numerator, denominator) of the pairs of ``ranked``, higher rank above; of equal names the first stays."""
+    pairs: dict[str, tuple[str, str]] = {}
+    for pair in combinations(ranked, 2):
+        pairs.setdefault("_".join(["feat_ratio", *map(squeezed, pair)]), pair)
+    return [(name, *pair) for name, pair in islice(pairs.items(), limit)]
 
 
 @dataclass
@@ -95,27 +105,12 @@ class FeatureEstimator:
         elig = [r for r in stats if r["ratio_eligible"]]
         elig.sort(key=lambda r: (-r["variance"], r["pos"]))   # variance desc, column order on ties
         top = [r["column"] for r in elig[:C.MAX_RATIO_COLS]]
-        model = FeatureModel()
-        names: list[str] = []
-        for i, a in enumerate(top):
-            for b in top[i + 1:]:
-                if len(model.ratios) >= C.MAX_RATIO_PAIRS:
-                    break
-                name = f"feat_ratio_{short_name(a)}_{short_name(b)}"
-                if name in names:
-                    continue
-                model.ratios.append((name, a, b))
-                names.append(name)
-        for r in sorted(stats, key=lambda r: r["pos"]):
-            if r["column"] in names:
-                continue
-            if r["log_eligible"]:
-                name = f"feat_{r['column']}_log"
-                model.logs.append((name, r["column"]))
-                names.append(name)
+        model = FeatureModel(ratios=ratio_plan(top))
+        made = {name for name, _, _ in model.ratios}
+        by_position = sorted((r for r in stats if r["log_eligible"]), key=lambda r: r["pos"])
+        model.logs = [(f"feat_{r['column']}_log", r["column"]) for r in by_position if r["column"] not in made]
         if len(bool_cols) >= 2:
             model.service_cols = list(bool_cols)
-            names.append("feat_n_active_services")
         model.keep = spread_check(df, model)
         return model
 

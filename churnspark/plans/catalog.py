@@ -634,7 +634,7 @@ register("src5_preview")(lambda spark, sf_dir: IO.shape_and_preview(read_table(s
 
 @register("snk1")
 def _snk1(spark, sf_dir):
-    preds = S.predictions(FX.scored(spark, sf_dir).filter(F.col("model") == "m1"), "c_custkey")
+    preds = S.predictions(FX.scored(spark, sf_dir), "c_custkey", keep=["model"])
     path = IO.write_predictions(preds, IO.new_output_path(spark, "predictions"))
     return spark.read.option("header", True).csv(path)
 

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from churnspark.operators import advisor as AD
-from churnspark.operators.features import short_name
+from churnspark.operators.features import ratio_plan, squeezed
 from churnspark.operators.signal import assess_signal
 from churnspark.operators.train import best_iteration, choose_calibration, trial_budget
 from churnspark.sources import fixtures as FX
@@ -26,8 +26,12 @@ def test_calibration_needs_real_gain():
     assert choose_calibration(0.200, {"sigmoid": 0.198, "isotonic": 0.190}) == ("isotonic", 0.190)
 
 
-def test_short_name():
-    assert short_name("Total-Spend_per month") == "totalspend"
+def test_ratio_names():
+    assert squeezed("Total-Spend_per month") == "totalspend"
+    # equal names: the first pair stays and the limit counts names
+    assert ratio_plan(["a", "b_1", "b1", "c"], 4) == [
+        ("feat_ratio_a_b1", "a", "b_1"), ("feat_ratio_a_c", "a", "c"), ("feat_ratio_b1_b1", "b_1", "b1"),
+        ("feat_ratio_b1_c", "b_1", "c")]
 
 
 def test_recommendation_rules(spark):
