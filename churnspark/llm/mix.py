@@ -171,6 +171,20 @@ def shard_quotas(drawn: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFram
     return nodes.select("source", F.col("node").alias("shard"), "quota", before.alias("before"))
 
 
+def shard_ranges(quotas: DataFrame) -> DataFrame:
+    """(qs, qc, width, shard, begin, end): the rank range of every source and shard, once per cell of ranks that it meets.
+
+    A cell of a source holds ``width`` ranks, the source's mean quota, so there are about two rows per source and shard
+    and a draw finds its shard by an equal join on the cell, whatever the number of shards.
+    """
+    q = quotas.filter("quota > 0").select(F.col("source").alias("qs"), "shard", F.col("before").alias("begin"),
+                                          (F.col("before") + F.col("quota")).alias("end"))
+    width = q.groupBy(F.col("qs").alias("wq")).agg(F.ceil(F.max("end") / F.count(F.lit(1))).cast("long").alias("width"))
+    q = q.join(width, F.col("qs").eqNullSafe(F.col("wq"))).drop("wq")
+    return q.select("*", F.explode(F.sequence(F.floor(F.col("begin") / F.col("width")),
+                                              F.floor((F.col("end") - 1) / F.col("width")))).alias("qc"))
+
+
 def mixture(drawn: DataFrame, quotas: DataFrame) -> DataFrame:
     """(shard, place, doc_id, source, block, copy, words): every draw with its shard and its place in the shard's local shuffle.
 
@@ -184,11 +198,14 @@ def mixture(drawn: DataFrame, quotas: DataFrame) -> DataFrame:
     ranked = d.join(hist, F.col("source").eqNullSafe(F.col("hs")) & (F.col("prefix") == F.col("hp")))
     rank = F.col("skip") + F.row_number().over(Window.partitionBy("source", "prefix").orderBy("key", "doc_id")) - 1
     ranked = ranked.withColumn("rank", rank)
-    q = quotas.filter("quota > 0").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("before", "quota", "shard"))).alias("ranges"))
-    q = stored(q.withColumnRenamed("source", "qs"), "mix-ranges")
-    placed = ranked.join(small(q), F.col("source").eqNullSafe(F.col("qs")))
-    shard = F.expr("filter(ranges, r -> rank >= r.before and rank < r.before + r.quota)[0].shard")
-    placed = placed.withColumn("shard", shard).withColumn("local", _order("local", "doc_id", "block", "copy"))
+    ranges = stored(shard_ranges(quotas), "mix-ranges")
+    width = F.col("width")
+    widths = stored(ranges.select(F.col("qs").alias("ws"), "width").distinct(), "mix-widths")
+    ranked = ranked.join(small(widths), F.col("source").eqNullSafe(F.col("ws")))
+    placed = ranked.withColumn("cell", F.floor(F.col("rank") / width)).drop("width").join(
+        small(ranges.drop("width")), F.col("source").eqNullSafe(F.col("qs")) & (F.col("cell") == F.col("qc"))
+        & (F.col("rank") >= F.col("begin")) & (F.col("rank") < F.col("end")))
+    placed = placed.withColumn("local", _order("local", "doc_id", "block", "copy"))
     place = F.row_number().over(Window.partitionBy("shard").orderBy("local", "doc_id", "block", "copy")) - 1
     return placed.select("shard", place.alias("place"), "doc_id", "source", "size", "source_size", "target", "block", "copy", "words")
 
