@@ -15,8 +15,6 @@ HIGH_CARDINALITY_LIMIT = 50
 
 LARGE_DATASET_ROWS = 50_000
 VERY_LARGE_DATASET_ROWS = 200_000
-SHAP_SAMPLE_SIZE = 300
-PERMUTATION_SAMPLE_SIZE = 2_000
 
 IMBALANCE_LOW = 0.20
 IMBALANCE_HIGH = 0.80

@@ -1,10 +1,11 @@
 """Explanations (EXP1-EXP7).
 
-Permutation importance is one stacked job: every (feature, repeat) copy of
-the sample is a row group, the permuted value comes from a join on a hashed
-row permutation (no cross join, no per-feature loop of jobs), the model
-transforms the stack once and ROC-AUC is computed per group by
-``metrics.ranking_metrics``.
+Permutation importance and sampled Shapley values are one stacked job each: rows
+are permuted by joining two hash orders on their global rank (histogram offsets
+and a window per hash bucket, so no window spans all rows), the model transforms
+the stack once and the results are grouped (importance: ROC-AUC by
+``metrics.ranking_metrics``). All given rows are explained; ``n_rows`` takes a
+hashed sample of that many.
 """
 
 from __future__ import annotations
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 from churnspark import config as C
 from churnspark.operators.metrics import ranking_metrics
 from churnspark.operators.prep import PrepModel
+from churnspark.operators.split import hash_order
+
+
+#: Columns of the stack that ``score_fn`` of ``sampled_shap`` must keep beside the key.
+SHAP_KEEP = ["__k", "__t"]
 
 
 def feature_names(prep: PrepModel) -> DataFrame | list[str]:
@@ -39,56 +45,66 @@ def builtin_importance(spark, prep: PrepModel, model) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w))
 
 
-def _indexed_sample(df: DataFrame, n: int, key: str, salt: str) -> DataFrame:
-    h = F.md5(F.concat(F.lit(salt), F.col(key).cast("string")))
-    top = df.withColumn("__h", h).orderBy("__h", key).limit(n)          # top-k, bounded by n
-    return top.withColumn("__r", F.row_number().over(Window.orderBy("__h", key)) - 1).drop("__h")
+def _sample(df: DataFrame, n: int | None, key: str, salt: str) -> DataFrame:
+    """All rows, or the first ``n`` in hash order."""
+    if n is None:
+        return df
+    return df.withColumn("__h", F.md5(F.concat(F.lit(salt), F.col(key).cast("string")))).orderBy("__h", key).limit(n).drop("__h")
+
+
+def _hash_ranked(df: DataFrame, key: str, salts: dict[int, str]) -> DataFrame:
+    """``df`` once per salt (number ``__k``) with ``__r``, the row's rank in that hash order of the keys."""
+    orders = []
+    for k, salt in salts.items():
+        bucket, digest = hash_order(F.col(key).cast("string"), salt)
+        orders.append(F.struct(F.lit(k).alias("__k"), bucket.alias("__b"), digest.alias("__h")))
+    x = df.withColumn("__o", F.explode(F.array(*orders))).select("*", "__o.*").drop("__o")
+    hist = x.groupBy("__k", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    offset = F.sum("__n").over(Window.partitionBy("__k").orderBy("__b")) - F.col("__n")
+    hist = hist.select("__k", "__b", offset.alias("__skip"))
+    rank = F.col("__skip") + F.row_number().over(Window.partitionBy("__k", "__b").orderBy("__h", key)) - 1
+    return x.join(hist, ["__k", "__b"]).withColumn("__r", rank).drop("__b", "__h", "__skip")
+
+
+def _with_partner(rows: DataFrame, cols: list[str], key: str, repeats: int, salt: str) -> DataFrame:
+    """Every row once per repeat ``__k``, beside the columns (``__z0``, ``__z1``, ...) of another row: a permutation of the rows."""
+    here = _hash_ranked(rows, key, {k: f"{salt}{k}|row|" for k in range(repeats)})
+    there = _hash_ranked(rows.select(key, *[F.col(f"`{c}`").alias(f"__z{i}") for i, c in enumerate(cols)]), key,
+                         {k: f"{salt}{k}|partner|" for k in range(repeats)})
+    return here.join(there.drop(key), ["__k", "__r"]).drop("__r")
 
 
 def permutation_importance(df: DataFrame, raw_cols: list[str], score_fn, key: str, label: str = "label",
-                           n_rows: int = C.PERMUTATION_SAMPLE_SIZE, repeats: int = 5,
-                           salt: str = "42|perm|") -> DataFrame:
+                           n_rows: int | None = None, repeats: int = 5, salt: str = "42|perm|") -> DataFrame:
     """EXP3: mean and std of the ROC-AUC drop when one raw column is shuffled.
 
     ``score_fn(frame) -> frame with p`` applies preprocessing and model.
     """
-    sample = _indexed_sample(df, n_rows, key, salt)
-    m = sample.count()
-    reps = list(range(repeats))
-    # permutation k: row r takes the values of row perm_k(r)
-    pr = sample.select("__r").withColumn("__k", F.explode(F.array(*[F.lit(k) for k in reps])))
-    wk = Window.partitionBy("__k").orderBy(F.md5(F.concat(F.lit(salt), F.col("__k").cast("string"), F.lit("|"),
-                                                           F.col("__r").cast("string"))), "__r")
-    perm = pr.withColumn("__src", F.row_number().over(wk) - 1)
-    pairs = F.array(*[F.struct(F.lit(c).alias("__f"), F.lit(k).alias("__k")) for c in raw_cols for k in reps])
-    stack = sample.withColumn("__fk", F.explode(pairs)).select("*", "__fk.__f", "__fk.__k").drop("__fk")
-    stack = stack.join(perm, ["__r", "__k"])
-    src = sample.select(F.col("__r").alias("__src"), *[F.col(f"`{c}`").alias(f"__src_{i}")
-                                                       for i, c in enumerate(raw_cols)])
-    stack = stack.join(src, "__src")
+    sample = _sample(df, n_rows, key, salt)
+    paired = _with_partner(sample, raw_cols, key, repeats, salt)
+    stack = paired.withColumn("__f", F.explode(F.array(*[F.lit(c) for c in raw_cols])))
     swapped = stack.select(
         "__f", "__k", key, label,
-        *[F.when(F.col("__f") == c, F.col(f"__src_{i}")).otherwise(F.col(f"`{c}`")).alias(c)
-          for i, c in enumerate(raw_cols)],
+        *[F.when(F.col("__f") == c, F.col(f"__z{i}")).otherwise(F.col(f"`{c}`")).alias(c) for i, c in enumerate(raw_cols)],
         *[F.col(f"`{c}`") for c in df.columns if c not in raw_cols and c not in (key, label)])
     scored = score_fn(swapped).select("__f", "__k", label, "p")
     aucs = ranking_metrics(scored, keys=["__f", "__k"], label=label)
-    base = ranking_metrics(score_fn(sample).select(F.lit(0).alias("__g"), label, "p"), keys=["__g"],
-                           label=label).first()["roc_auc"]
-    drop = aucs.select(F.col("__f").alias("feature"), (F.lit(base) - F.col("roc_auc")).alias("drop"))
+    whole = score_fn(sample).select(F.lit(0).alias("__g"), label, "p")
+    base = ranking_metrics(whole, keys=["__g"], label=label).first()
+    drop = aucs.select(F.col("__f").alias("feature"), (F.lit(base["roc_auc"] if base else None).cast("double") - F.col("roc_auc")).alias("drop"))
     return drop.groupBy("feature").agg(F.avg("drop").alias("importance_mean"),
                                        F.stddev_pop("drop").alias("importance_std")).withColumn(
-        "n_rows", F.lit(m))
+        "n_rows", F.lit(sample.count()))
 
 
 def linear_shap(vectors: DataFrame, prep: PrepModel, model, key: str, features: str = "features",
-                n_rows: int = C.SHAP_SAMPLE_SIZE, salt: str = "42|shap|") -> DataFrame:
-    """EXP4 for linear models: phi_j = w_j (x_j - mean_j) on the margin, per sampled row and slot."""
+                n_rows: int | None = None, salt: str = "42|shap|") -> DataFrame:
+    """EXP4 for linear models: phi_j = w_j (x_j - mean_j) on the margin, per row and slot."""
     names = prep.output_names()
     coef = model.coefficients.toArray().tolist()
     x = vectors.withColumn("__x", vector_to_array(F.col(features)))
     means = x.agg(*[F.avg(F.col("__x")[i]).alias(f"m{i}") for i in range(len(names))]).first()
-    sample = _indexed_sample(x, n_rows, key, salt)
+    sample = _sample(x, n_rows, key, salt)
     rows = F.array(*[F.struct(F.lit(n).alias("feature"), F.col("__x")[i].alias("value"),
                               (F.lit(coef[i]) * (F.col("__x")[i] - F.lit(means[f"m{i}"] or 0.0))).alias("phi"))
                      for i, n in enumerate(names)])
@@ -117,45 +133,37 @@ def top_importance(imp: DataFrame, n: int = 15) -> DataFrame:
 
 
 def sampled_shap(df: DataFrame, raw_cols: list[str], numeric_cols: list[str], score_fn, key: str,
-                 n_rows: int = C.SHAP_SAMPLE_SIZE, n_perm: int = 8, seed: int = C.RANDOM_STATE,
+                 n_rows: int | None = None, n_perm: int = 8, seed: int = C.RANDOM_STATE,
                  salt: str = "42|shap|") -> DataFrame:
     """EXP4 for any model: sampled permutation Shapley values (Strumbelj-Kononenko) on P(churn).
 
-    For each sampled row x, permutation m (seeded) and feature j, two points
-    are scored: features before j in the permutation (and j itself in the
-    "with" point) come from x, the rest from a background row z (another
-    sampled row chosen by a hashed permutation). phi_j = mean_m [f(with) -
-    f(without)]. The n x m x features x 2 points are one stacked frame (a
-    generator over a literal plan, a join for z), transformed once.
+    Every row x meets, in each of ``n_perm`` rounds, a feature order (seeded) and a
+    background row z of its own (a hashed permutation of the rows). Step t of a
+    round takes the first t features of the order from x, the others from z; the
+    feature added between two steps gets the difference of their scores. A row's
+    values sum to f(x) minus the mean score of its background rows.
+    ``score_fn`` keeps the columns in ``SHAP_KEEP``.
     """
     import numpy as np
-    sample = _indexed_sample(df, n_rows, key, salt)
     rng = np.random.default_rng(seed)
-    perms = [rng.permutation(len(raw_cols)).tolist() for _ in range(n_perm)]
-    combos = [(m, j, w) for m in range(n_perm) for j in range(len(raw_cols)) for w in (1, 0)]
-    # take_x[c][combo]: does feature c come from x in this scoring point?
-    take_x = []
-    for c in range(len(raw_cols)):
-        row = []
-        for m, j, w in combos:
-            pos = {f: i for i, f in enumerate(perms[m])}
-            row.append(pos[c] < pos[j] or (c == j and w == 1))
-        take_x.append(row)
-    plan = F.array(*[F.struct(F.lit(i).alias("__ci"), F.lit(m).alias("__m"), F.lit(j).alias("__j"),
-                              F.lit(w).alias("__w")) for i, (m, j, w) in enumerate(combos)])
-    stack = sample.select("__r", key, *[F.col(f"`{c}`") for c in raw_cols],
-                          F.explode(plan).alias("__p")).select("*", "__p.*").drop("__p")
-    wz = Window.partitionBy(F.lit(1)).orderBy(F.md5(F.concat(F.lit(salt + "z|"), F.col("__r").cast("string"))))
-    zmap = sample.select("__r").withColumn("__zr", F.row_number().over(wz) - 1)   # <= n_rows rows
-    z = sample.select(F.col("__r").alias("__zr"), *[F.col(f"`{c}`").alias(f"__z{i}") for i, c in enumerate(raw_cols)])
-    stack = stack.join(zmap, "__r").join(z, "__zr")
-    mixed = stack.select(
-        "__r", key, "__m", "__j", "__w",
-        *[F.when(F.element_at(F.array(*[F.lit(b) for b in take_x[i]]), F.col("__ci") + 1), F.col(f"`{c}`"))
-          .otherwise(F.col(f"__z{i}")).alias(c) for i, c in enumerate(raw_cols)])
+    d = len(raw_cols)
+    orders = [rng.permutation(d).tolist() for _ in range(n_perm)]
+    place = [[order.index(c) for order in orders] for c in range(d)]   # by feature: its place in every order
+    sample = _sample(df, n_rows, key, salt).select(key, *[F.col(f"`{c}`") for c in raw_cols])
+    stack = _with_partner(sample, raw_cols, key, n_perm, salt).withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(d))))
+
+    def of_round(values: list[int]):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("__k") + 1)
+
+    mixed = stack.select(key, "__k", "__t", *[
+        F.when(of_round(place[i]) < F.col("__t"), F.col(f"`{c}`")).otherwise(F.col(f"__z{i}")).alias(c)
+        for i, c in enumerate(raw_cols)])
     scored = score_fn(mixed)
-    signed = F.when(F.col("__w") == 1, F.col("p")).otherwise(-F.col("p"))
-    phi = scored.groupBy(key, "__j").agg((F.sum(signed) / n_perm).alias("phi"))
+    order = F.element_at(F.array(*[F.array(*[F.lit(j) for j in o]) for o in orders]), F.col("__k") + 1)
+    ends = F.array(F.struct(F.get(order, F.col("__t") - 1).alias("__j"), F.col("p").alias("v")),
+                   F.struct(F.get(order, F.col("__t")).alias("__j"), (-F.col("p")).alias("v")))
+    steps = scored.select(key, F.explode(ends).alias("e")).select(key, "e.*").filter("__j is not null")
+    phi = steps.groupBy(key, "__j").agg((F.sum("v") / n_perm).alias("phi"))
     names = F.array(*[F.lit(c) for c in raw_cols])
     vals = sample.select(key, F.explode(F.array(*[
         F.struct(F.lit(i).alias("__j"),

@@ -261,8 +261,8 @@ def assess_signal(df: DataFrame, target: str, id_col: str | None = None,
                   max_rows: int | None = None) -> SignalReport:
     """SIG1-SIG18 on a raw customer frame.
 
-    ``max_rows``: when set and the frame is larger, keep at most max_rows // 2
-    rows per class (exact, hash-ranked; SIG1). Default: every row.
+    ``max_rows``: when set, a sample of at most max_rows // 2 rows per class,
+    whatever the size (exact, hash-ranked; SIG1). Default: every row.
     """
     spark = df.sparkSession
     df = clean_names(df)
@@ -272,8 +272,7 @@ def assess_signal(df: DataFrame, target: str, id_col: str | None = None,
         return _error_report(spark, C.SIG_ERR_NO_TARGET)
     feats0 = [c for c in df.columns if c not in (t, i)]
     labeled = df.withColumn(Y, lenient_target(F.col(f"`{t}`"), df.schema[t].dataType)).filter(F.col(Y).isNotNull())
-    if max_rows is not None and labeled.count() > max_rows:
-        # SIG1: at most max_rows // 2 rows per class, exact and hash-ranked on the id (or the whole row)
+    if max_rows is not None:  # hash-ranked on the id (or the whole row)
         labeled = stratified_take(labeled, Y, max_rows // 2, key_cols=[i] if i else None)
     # several passes read the frame: keep only the feature columns and the class, once
     base = labeled.select(*[F.col(f"`{c}`") for c in feats0], Y).persist(StorageLevel.MEMORY_AND_DISK)

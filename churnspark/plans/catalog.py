@@ -101,12 +101,12 @@ register("sig17")(lambda spark, sf_dir: _signal(spark, sf_dir, RAW).summary.sele
 
 
 def _sig1(spark, sf_dir):
-    """SIG1 per-class cap: the assessment on at most 1,000 rows per class (cap is the feature)."""
+    """SIG1 per-class sample of the assessment, at the feature's own size."""
     from churnspark.operators.split import stratified_take
     from churnspark.functions.exprs import lenient_target
     cf = CLEAN.build(spark, sf_dir)
     x = cf.withColumn("__y", lenient_target(F.col("label"), cf.schema["label"].dataType))
-    kept = stratified_take(x, "__y", 500, key_cols=["c_custkey"])
+    kept = stratified_take(x, "__y", C.SIGNAL_MAX_ROWS // 2, key_cols=["c_custkey"])
     return kept.groupBy("__y").agg(F.count(F.lit(1)).alias("n_rows")).withColumnRenamed("__y", "label")
 
 
@@ -557,9 +557,8 @@ def _shap(spark, sf_dir):
     """Sampled permutation Shapley values of the final (best) model on the test rows."""
     res = _pipeline(spark, sf_dir)
     test = res.data.filter(F.col("split") == "test")
-    keep = ["__r", "__m", "__j", "__w"]
     return EX.sampled_shap(test, res.numeric + res.categorical, res.numeric,
-                           lambda d: res.trainer.score(res.final, d, keep=keep), res.trainer.key)
+                           lambda d: res.trainer.score(res.final, d, keep=EX.SHAP_KEEP), res.trainer.key)
 
 
 @register("exp4_linear")

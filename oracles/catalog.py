@@ -65,7 +65,7 @@ def _sig(cols, kind=None):
 
 
 SQL["sig1"] = f"""WITH cf AS ({V.customer_features()})
-SELECT label, CAST(least(count(*), 500) AS BIGINT) AS n_rows FROM cf GROUP BY label"""
+SELECT label, CAST(least(count(*), {C.SIGNAL_MAX_ROWS // 2}) AS BIGINT) AS n_rows FROM cf GROUP BY label"""
 SQL["sig2"] = f"WITH {RAW_SIG} SELECT * FROM routing"
 SQL["sig3"] = _sig(["feature", "d", "mean_diff"], "Numerical")
 SQL["sig4"] = _sig(["feature", "r"], "Numerical")
@@ -75,6 +75,8 @@ SQL["sig7"] = _sig(["feature", "cramers_v", "chi2", "dof"], "Categorical")
 SQL["sig9"] = _sig(["feature", "ig"], "Categorical")
 SQL["sig10"] = (f"WITH {RAW_SIG} SELECT feature, count(*) AS n_values, sum(n_neg + n_pos) AS n_rows "
                 f"FROM contingency GROUP BY feature")
+SQL["sig18"] = ("SELECT 0 AS overall_score, 'Unknown' AS potential_label, '" + C.SIG_ERR_ONE_CLASS.replace("'", "''") + "' AS error "
+                "FROM customer LIMIT 1")
 SQL["sig11"] = _sig(["feature", "signal"], "Numerical")
 SQL["sig12"] = _sig(["feature", "signal"], "Categorical")
 SQL["sig13"] = _sig(["feature", "tier"])

@@ -109,3 +109,28 @@ def test_exact_medians_of_odd_even_tied_and_missing_values(spark):
     want = {c: statistics.median([r[i] for r in rows if r[i] is not None and r[i] == r[i]]) for i, c in enumerate("abcd")}
     assert got == {**want, "e": None}
     assert PrepEstimator(["a", "d"], [], scale=True).fit(df).means["d"] == want["d"]
+
+
+def test_explanations_cover_every_row(spark):
+    """Shapley values of a linear score: the weight times the distance to the mean of the row's own background rows, so
+    each feature sums to 0 over all rows; shuffling a column that the score ignores costs nothing."""
+    from pyspark.sql import functions as F
+
+    from churnspark.operators.explain import permutation_importance, sampled_shap
+    n = 400
+    df = spark.range(n).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("a"),
+                               (F.col("id") % 11).cast("double").alias("b"), (F.col("id") % 3).cast("double").alias("c"))
+    df = df.withColumn("label", (2 * F.col("a") + F.col("b") > 11).cast("int"))
+    score = F.col("a") * 2 + F.col("b")
+    phi = sampled_shap(df, ["a", "b", "c"], ["a", "b", "c"], lambda d: d.withColumn("p", score), "k").collect()
+    assert len(phi) == 3 * n
+    for f in "abc":
+        assert abs(sum(r["phi"] for r in phi if r["feature"] == f)) < 1e-6
+    assert all(abs(r["phi"]) < 1e-9 for r in phi if r["feature"] == "c")
+    # rows with equal values differ only by their background: the weight is the slope between values
+    spread = [r for r in phi if r["feature"] == "a"]
+    low, high = ([r["phi"] for r in spread if r["value"] == v] for v in (0.0, 6.0))
+    assert abs((sum(high) / len(high) - sum(low) / len(low)) - 12) < 2
+    imp = {r["feature"]: r for r in permutation_importance(df, ["a", "b", "c"], lambda d: d.withColumn("p", score), "k").collect()}
+    assert imp["c"]["importance_mean"] == 0 and imp["a"]["importance_mean"] > 0.1
+    assert {r["n_rows"] for r in imp.values()} == {n}
