@@ -648,9 +648,8 @@ def _snk2(spark, sf_dir):
 @register("snk3")
 def _snk3(spark, sf_dir):
     res = _pipeline(spark, sf_dir)
-    path = IO.save_model(res.final, IO.new_output_path(spark, "model"))
-    loaded = IO.load_model(spark, path)
-    return res.trainer.score(loaded, res.data).select(res.trainer.key, "p")
+    loaded = PL.load_pipeline(spark, PL.save_pipeline(res, IO.new_output_path(spark, "model")))
+    return PL.score_new_customers(loaded, RAW.build(spark, sf_dir))["predictions"]
 
 
 def _stream_source(spark, sf_dir):

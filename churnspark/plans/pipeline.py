@@ -17,7 +17,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.regression import IsotonicRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnspark import config as C
@@ -27,6 +29,7 @@ from churnspark.operators.features import FeatureEstimator, FeatureModel, select
 from churnspark.operators.profile import profile as profile_frame
 from churnspark.operators.split import align_columns, stratified_folds, stratified_split
 from churnspark.session import ensure_checkpoint_dir
+from churnspark.sources.io import load_model, save_model
 from churnspark.operators.train import (FamilyResult, TrainConfig, Trainer, apply_isotonic, apply_platt,
                                         brier_of, choose_calibration, fit_isotonic, fit_platt, params_json)
 
@@ -34,13 +37,13 @@ from churnspark.operators.train import (FamilyResult, TrainConfig, Trainer, appl
 @dataclass
 class PipelineResult:
     clean: CleanModel
-    profile: DataFrame
+    profile: DataFrame | None
     drops: dict
     features: FeatureModel
     selected: list[str]
     numeric: list[str]
     categorical: list[str]
-    data: DataFrame                      # cleaned, pruned, engineered rows with split
+    data: DataFrame | None               # cleaned, pruned, engineered rows with split
     families: dict = field(default_factory=dict)
     test_predictions: DataFrame | None = None
     metrics: DataFrame | None = None
@@ -274,3 +277,35 @@ def score_new_customers(res: PipelineResult, raw: DataFrame, threshold: float |
     rate = F.col("churning") / F.greatest(F.col("total"), F.lit(1))
     monitor = summary.select(*S.churn_monitor(rate, F.lit(float(res.churn_rate or 0.0))))
     return {"predictions": preds, "summary": summary, "monitor": monitor}
+
+
+#: Fields of a result that scoring a new upload needs beside the fitted plans and the model.
+SAVED = ("selected", "numeric", "categorical", "columns", "threshold", "churn_rate", "is_imbalanced", "drops", "best")
+
+
+def save_pipeline(res: PipelineResult, path: str) -> str:
+    """SNK3: the whole scoring plan: cleaning, features, columns, preprocessing, model, calibrator, threshold, churn rate."""
+    save_model(res.final, path)
+    method, fitted = res.final.calibrator or (None, None)
+    if fitted is not None:
+        fitted.write().overwrite().save(f"{path}/calibrator")
+    plan = {name: getattr(res, name) for name in SAVED}
+    plan |= {"clean": res.clean.to_json(), "features": res.features.to_json(), "calibrator": method,
+             "key": res.trainer.key, "label": res.trainer.label}
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(json.dumps(plan),)], "plan string").coalesce(1).write.mode("overwrite").json(f"{path}/plan")
+    return path
+
+
+def load_pipeline(spark: SparkSession, path: str) -> PipelineResult:
+    """A saved scoring plan; it scores uploads and streams like the result it was saved from (no training rows or metrics)."""
+    plan = json.loads(spark.read.json(f"{path}/plan").first()["plan"])
+    readers = {"sigmoid": LogisticRegressionModel, "isotonic": IsotonicRegressionModel}
+    method = plan["calibrator"]
+    final = load_model(spark, path)
+    final.calibrator = (method, readers[method].load(f"{path}/calibrator")) if method else None
+    return PipelineResult(
+        clean=CleanModel.from_json(plan["clean"]), features=FeatureModel(**json.loads(plan["features"])), profile=None, data=None,
+        final=final, calibrator=final.calibrator,
+        trainer=Trainer(plan["numeric"], plan["categorical"], key=plan["key"], label=plan["label"]),
+        **{name: plan[name] for name in SAVED})

@@ -6,8 +6,9 @@ transformations, so every micro-batch is scored independently and the
 stream result equals the batch result for the same files. The monitor keeps
 running counts in state (one row per stream) and reports the predicted churn
 rate against the historical one, per micro-batch, through ``foreachBatch``
-into a Parquet table in the shared output folder. Checkpoints live in the
-shared checkpoint folder, so a restarted query resumes where it stopped.
+into a Parquet table in the shared output folder. A query that is given the
+``sink`` and ``checkpoint`` folders of an earlier one resumes where that stopped;
+without them it gets new ones.
 """
 
 from __future__ import annotations
@@ -29,13 +30,13 @@ def scored_stream(stream: DataFrame, result, threshold: float | None = None) ->
 
 
 def run_scoring(spark: SparkSession, source_dir: str, schema, result, fmt: str = "parquet",
-                max_files: int = 1) -> tuple[str, str]:
+                max_files: int = 1, sink: str | None = None, checkpoint: str | None = None) -> tuple[str, str]:
     """Score every file in ``source_dir`` (availableNow) into a Parquet sink; returns (sink, checkpoint)."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format(fmt)
               .load(source_dir))
     out = scored_stream(stream, result)
-    sink = new_output_path(spark, "stream-predictions")
-    ckpt = new_output_path(spark, "stream-checkpoint")
+    sink = sink or new_output_path(spark, "stream-predictions")
+    ckpt = checkpoint or new_output_path(spark, "stream-checkpoint")
     q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -43,7 +44,7 @@ def run_scoring(spark: SparkSession, source_dir: str, schema, result, fmt: str =
 
 
 def run_monitor(spark: SparkSession, source_dir: str, schema, result, fmt: str = "parquet",
-                max_files: int = 1) -> str:
+                max_files: int = 1, sink: str | None = None, checkpoint: str | None = None) -> str:
     """SCR5 on a stream: running predicted churn rate vs the historical rate after each micro-batch."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format(fmt)
               .load(source_dir))
@@ -51,8 +52,8 @@ def run_monitor(spark: SparkSession, source_dir: str, schema, result, fmt: str =
     running = preds.groupBy().agg(F.count(F.lit(1)).alias("total"),
                                   F.count_if(F.col("churn_prediction") == "Yes").alias("churning"))
     hist = float(result.churn_rate or 0.0)
-    sink = new_output_path(spark, "stream-monitor")
-    ckpt = new_output_path(spark, "stream-monitor-checkpoint")
+    sink = sink or new_output_path(spark, "stream-monitor")
+    ckpt = checkpoint or new_output_path(spark, "stream-monitor-checkpoint")
 
     def emit(batch: DataFrame, batch_id: int):
         rate = F.col("churning") / F.greatest(F.col("total"), F.lit(1))
@@ -68,7 +69,7 @@ def run_monitor(spark: SparkSession, source_dir: str, schema, result, fmt: str =
 
 def run_windowed_monitor(spark: SparkSession, source_dir: str, schema, result, time_col: str = "signup_date",
                          window: str = "30 days", watermark: str | None = None, fmt: str = "parquet",
-                         max_files: int = 1) -> str:
+                         max_files: int = 1, sink: str | None = None, checkpoint: str | None = None) -> str:
     """SCR5 per event-time window: predicted churn share of each window (e.g. signup cohorts) against the
     historical rate. Every window stays in state (as many as the cohorts have months), so rows count in
     whatever order the files come; a ``watermark`` may be given where event times arrive in order. Updates
@@ -85,8 +86,8 @@ def run_windowed_monitor(spark: SparkSession, source_dir: str, schema, result, t
                .groupBy(F.window("__t", window).alias("w"))
                .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("p") >= thr).alias("churning")))
     hist = float(result.churn_rate or 0.0)
-    sink = new_output_path(spark, "stream-window-monitor")
-    ckpt = new_output_path(spark, "stream-window-monitor-checkpoint")
+    sink = sink or new_output_path(spark, "stream-window-monitor")
+    ckpt = checkpoint or new_output_path(spark, "stream-window-monitor-checkpoint")
 
     def emit(b: DataFrame, batch_id: int):
         rate = F.col("churning") / F.greatest(F.col("total"), F.lit(1))

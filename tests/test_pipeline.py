@@ -92,3 +92,27 @@ def test_data_without_an_id_column_trains_and_scores(spark):
     res = run_pipeline(raw.unionByName(raw.limit(5)), "Churn", None, ["Logistic Regression"], CFG)
     assert res.metrics.first()["error"] is None
     assert score_new_customers(res, raw)["predictions"].count() == raw.count()
+
+
+def test_saved_pipeline_scores_an_upload_like_the_one_in_memory(spark, result):
+    import dataclasses
+
+    from churnspark.operators.train import fit_platt
+    from churnspark.plans.pipeline import load_pipeline, save_pipeline
+    platt = fit_platt(result.trainer.score(dataclasses.replace(result.final, calibrator=None), result.data))
+    cal = dataclasses.replace(result, final=dataclasses.replace(result.final, calibrator=("sigmoid", platt)))
+    raw = FX.customer_raw(spark, SF_SMALL)
+    raw = raw.drop(next(c for c in raw.columns if c.strip().lower().replace(" ", "_") in result.numeric))
+    loaded = load_pipeline(spark, save_pipeline(cal, IO.new_output_path(spark, "test-model")))
+    for part in ("predictions", "monitor"):
+        assert rows_of(score_new_customers(loaded, raw)[part]) == rows_of(score_new_customers(cal, raw)[part])
+
+
+def test_restarted_stream_adds_no_duplicates(spark, result):
+    raw = FX.customer_raw(spark, SF_SMALL)
+    src = IO.new_output_path(spark, "test-restart-src")
+    raw.repartition(2).write.parquet(src)
+    sink, checkpoint = ST.run_scoring(spark, src, raw.schema, result)
+    raw.limit(10).write.mode("append").parquet(src)
+    ST.run_scoring(spark, src, raw.schema, result, sink=sink, checkpoint=checkpoint)
+    assert spark.read.parquet(sink).count() == raw.count() + 10
