@@ -265,24 +265,37 @@ def metric_bands(metrics: DataFrame, keys=("model",)) -> DataFrame:
         _band(F.col("f1"), C.F1_BANDS, C.F1_FALLBACK).alias("f1_band"))
 
 
-def overfit_report(train_auc: DataFrame, test_auc: DataFrame, keys=("model",)) -> DataFrame:
-    """EVL12: train - test ROC-AUC gap and its band (< .02, < .05, else)."""
+def overfit_report(train_auc: DataFrame, test_auc: DataFrame, keys=("model",), cv_auc: DataFrame | None = None) -> DataFrame:
+    """EVL12: train, cross-validated (null where not given) and test ROC-AUC, the train - test gap and its band."""
     ks = _keys(keys)
     j = train_auc.select(*ks, F.col("roc_auc").alias("train_roc_auc")).join(
         test_auc.select(*ks, F.col("roc_auc").alias("test_roc_auc")), ks)
+    j = j.join(cv_auc.select(*ks, "cv_roc_auc"), ks, "left") if cv_auc is not None else j.withColumn(
+        "cv_roc_auc", F.lit(None).cast("double"))
     gap = F.col("train_roc_auc") - F.col("test_roc_auc")
     status = F.when(gap.isNull(), "-")
     for bound, word in C.OVERFIT_BANDS:
         status = status.when(gap < bound, word)
-    return j.select(*ks, "train_roc_auc", "test_roc_auc", gap.alias("gap"),
+    return j.select(*ks, "train_roc_auc", "cv_roc_auc", "test_roc_auc", gap.alias("gap"),
                     status.otherwise(C.OVERFIT_FALLBACK).alias("status"))
 
 
-def comparison_table(metrics: DataFrame) -> DataFrame:
-    """EVL17: models by score, best first (numeric sort), with their rank."""
+def comparison_table(metrics: DataFrame, cv: DataFrame | None = None) -> DataFrame:
+    """EVL17: models by score, best first (numeric sort), with their rank and status.
+
+    A model in ``cv`` (from cv_evaluate) shows its cross-validated values; one with an ``error`` has no values and
+    comes last with the reason. One row per model."""
+    names = ["pr_auc", "recall", "roc_auc", "best_overall_score"]
+    error = F.col("error") if "error" in metrics.columns else F.lit(None).cast("string")
+    x = metrics.select("model", error.alias("error"), *names)
+    if cv is not None:
+        x = x.join(cv.select("model", *[F.col(f"cv_{n}") for n in names]), "model", "left").select(
+            "model", "error", *[F.coalesce(f"cv_{n}", n).alias(n) for n in names])
+    fine = F.col("error").isNull()
+    x = x.select("model", F.when(fine, "ok").otherwise(F.concat(F.lit("failed: "), F.col("error"))).alias("status"),
+                 *[F.when(fine, F.col(n)).alias(n) for n in names])
     w = Window.orderBy(F.col("best_overall_score").desc_nulls_last(), F.col("model").asc())
-    return metrics.select("model", "pr_auc", "recall", "roc_auc", "best_overall_score",
-                          F.row_number().over(w).alias("rank"))
+    return x.withColumn("rank", F.row_number().over(w))
 
 
 def roc_curve(pred: DataFrame, keys=("model",), label: str = "label", p: str = "p") -> DataFrame:

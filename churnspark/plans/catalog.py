@@ -161,7 +161,7 @@ def _evl12(spark, sf_dir):
     s = _scored(spark, sf_dir)
     train = M.ranking_metrics(s.filter(F.col("fold") != 0))
     test = M.ranking_metrics(s.filter(F.col("fold") == 0))
-    return _r6(M.overfit_report(train, test))
+    return _r6(M.overfit_report(train, test, cv_auc=M.cv_evaluate(s)))
 
 
 register("evl13")(_q(lambda s: M.brier(s)))
@@ -220,6 +220,10 @@ register("cln7")(lambda spark, sf_dir: CL.with_row_id(RAW.build(spark, sf_dir).d
     "row_id"))
 
 
+register("cln7_unique")(lambda spark, sf_dir: CL.with_row_id(RAW.build(spark, sf_dir).drop("Customer ID"), None).agg(
+    F.count(F.lit(1)).alias("n_rows"), F.count_distinct("row_id").alias("n_ids")))
+
+
 @register("cln8")
 def _cln8(spark, sf_dir):
     """Full cleaning of the raw upload, then id, target and profiled drops pruned."""

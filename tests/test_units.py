@@ -134,3 +134,13 @@ def test_explanations_cover_every_row(spark):
     imp = {r["feature"]: r for r in permutation_importance(df, ["a", "b", "c"], lambda d: d.withColumn("p", score), "k").collect()}
     assert imp["c"]["importance_mean"] == 0 and imp["a"]["importance_mean"] > 0.1
     assert {r["n_rows"] for r in imp.values()} == {n}
+
+
+def test_comparison_shows_failed_models_last(spark):
+    from churnspark.operators.metrics import comparison_table
+    m = spark.createDataFrame([("a", None, 0.5, 0.5, 0.6, 0.5), ("b", "no rows", None, None, None, None), ("c", None, 0.4, 0.5, 0.6, 0.4)],
+                              "model string, error string, pr_auc double, recall double, roc_auc double, best_overall_score double")
+    cv = spark.createDataFrame([("c", 0.8, 0.8, 0.8, 0.8)],
+                               "model string, cv_pr_auc double, cv_recall double, cv_roc_auc double, cv_best_overall_score double")
+    rows = [(r["model"], r["status"], r["best_overall_score"], r["rank"]) for r in comparison_table(m, cv).orderBy("rank").collect()]
+    assert rows == [("c", "ok", 0.8, 1), ("a", "ok", 0.5, 2), ("b", "failed: no rows", None, 3)]
