@@ -13,7 +13,6 @@ NULL_THRESHOLD = 0.50
 NEAR_CONSTANT_THRESHOLD = 0.98
 HIGH_CARDINALITY_LIMIT = 50
 
-LARGE_DATASET_ROWS = 50_000
 VERY_LARGE_DATASET_ROWS = 200_000
 
 IMBALANCE_LOW = 0.20

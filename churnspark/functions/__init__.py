@@ -4,10 +4,8 @@ from churnspark.functions.exprs import (  # noqa: F401
     clean_name,
     clean_names,
     bool_map_expr,
-    feature_label,
     lenient_target,
     numeric_string,
     strict_target,
     summary_target,
-    title_case,
 )

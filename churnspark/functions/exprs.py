@@ -93,16 +93,6 @@ def summary_target(col: Column | str) -> Column:
     return F.coalesce(norm_str(col).isin(C.SUMMARY_POSITIVE), F.lit(False)).cast("int")
 
 
-def title_case(col: Column) -> Column:
-    """Capitalise each blank-separated word (the words are column names)."""
-    return F.initcap(col)
-
-
-def feature_label(name_col: Column) -> Column:
-    """SIG14 label: underscores to blanks, trimmed, title case."""
-    return title_case(F.trim(F.regexp_replace(name_col, "_", " ")))
-
-
 def fill(template: str, **values: Column) -> Column:
     """A fixed sentence with ``{name}`` placeholders filled by string columns (concat of pieces)."""
     import re

@@ -7,20 +7,12 @@ the final small aggregate.
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnspark import config as C
 
 
-def probability(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
-    """SCR1: P(churn) of new rows with a fitted pipeline (narrow, no shuffle)."""
-    scored = model.transform(df)
-    return scored.withColumn(out, vector_to_array(F.col("probability"))[1])
-
-
 def risk_level(p: Column) -> Column:
     """SCR3: High >= 0.70, Medium >= 0.40, else Low (on the unrounded probability)."""
     return F.when(p >= C.RISK_HIGH, "High").when(p >= C.RISK_MEDIUM, "Medium").otherwise("Low")

@@ -112,12 +112,6 @@ def stratified_folds(df: DataFrame, label: str, key_cols: list[str] | None = Non
         "__b", "__h", "__k", "__off", "__rank")
 
 
-def hash_fold(key: Column, k: int = C.CV_FOLDS, salt: str = DEFAULT_SALT) -> Column:
-    """Approximate folds without a shuffle: bucket mod k."""
-    b, _ = hash_order(key, salt)
-    return (b % k).cast("int")
-
-
 def hash_sample(df: DataFrame, n: int, key_cols: list[str] | None = None, salt: str = DEFAULT_SALT) -> DataFrame:
     """SPL4: simple random sample of n rows = the n smallest hashes (a top-k, not a sort)."""
     key = row_key(df, key_cols)

@@ -20,5 +20,4 @@ class Input:
 
 RAW = Input("customer_raw", FX.customer_raw, "Churn", "Customer ID")
 CLEAN = Input("customer_features", FX.customer_features, "label", "c_custkey")
-IMB = Input("customer_features_imb", FX.customer_features_imb, "label", "c_custkey")
 DOCS = Input("doc_features", FX.doc_features, "label", "doc_id")
