@@ -18,8 +18,8 @@ trial is scored by the mean ROC-AUC over stratified folds of the training
 rows; preprocessing is fitted per fold on that fold's training part (no
 leakage) and the per-fold vectors are persisted once and reused by all
 trials. (trial, fold) fits run from a bounded thread pool; every fit is a
-distributed Spark ML job. ROC-AUC comes from ``metrics.ranking_metrics`` over
-all folds of a trial in one job.
+distributed Spark ML job. ROC-AUC comes from ``metrics.ranking_metrics``, one
+job per fit, so that no plan or model outlives its fit however large the search.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ import threading
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel
@@ -238,7 +237,7 @@ class Trainer:
 
     def search_many(self, names: list[str], train: DataFrame, is_imbalanced: bool) -> dict:
         """TRN8 for several families at once: every (family, trial, fold) fit goes to one bounded
-        thread pool, the fold AUCs of all trials of all families are one grouped job, and the
+        thread pool and is scored there in a job of its own, and the
         refits of the winners run in parallel too. A failing family keeps its error (TRN11)."""
         results = {n: FamilyResult(n) for n in names}
         self._held.append(train)
@@ -278,9 +277,9 @@ class Trainer:
                 if n in BOOSTING and n != "Gradient Boosting":
                     val = vav.withColumn("weight", F.lit(1.0)) if mode is not None else vav
                     n_best = best_iteration(list(m.evaluateEachIteration(val)), self.cfg.patience)
-                pred = positive_probability(m, vav).select(
-                    F.lit(n).alias("family"), F.lit(ti).alias("trial"), F.lit(f).alias("fold"), self.label, "p")
-                return n, ti, pred, n_best, None, time.time() - t0
+                pred = positive_probability(m, vav).select(F.lit(f).alias("fold"), self.label, "p")
+                row = ranking_metrics(pred, keys=["fold"]).first()
+                return n, ti, row["roc_auc"] if row else None, n_best, None, time.time() - t0
             except Exception as exc:  # noqa: BLE001
                 return n, ti, None, None, f"{type(exc).__name__}: {exc}"[:500], time.time() - t0
 
@@ -294,11 +293,11 @@ class Trainer:
                 results[o[0]].error = o[4]
         good = [o for o in outs if results[o[0]].error is None]
         if good:
-            preds = reduce(lambda a, b: a.unionByName(b), [o[2] for o in good])
-            auc = ranking_metrics(preds, keys=["family", "trial", "fold"]).groupBy("family", "trial").agg(
-                F.avg("roc_auc").alias("cv_auc")).collect()   # one row per (family, trial)
             for n in {o[0] for o in good}:
-                scores = {r["trial"]: r["cv_auc"] for r in auc if r["family"] == n}
+                scores = {}
+                for t in range(len(trials[n])):
+                    aucs = [o[2] for o in good if o[:2] == (n, t) and o[2] is not None]
+                    scores[t] = sum(aucs) / len(aucs) if aucs else None
                 best = max(scores, key=lambda t: (scores[t] if scores[t] is not None else -1, -t))
                 res = results[n]
                 res.trials = [(t, params_json(trials[n][t]), scores.get(t)) for t in range(len(trials[n]))]

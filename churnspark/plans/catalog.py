@@ -419,36 +419,33 @@ from churnspark.operators import explain as EX  # noqa: E402
 from churnspark.operators import train as TR  # noqa: E402
 from churnspark.plans import pipeline as PL  # noqa: E402
 
-# The registered checks use a small search (2 trials x 3 folds, 20 trees) so that
-# every query ends in minutes on its own on sf 0.01; the library default is the
-# original budget (30 trials x 5 folds, 300 trees, 500 boosting rounds).
-CHECK_CONFIG = TR.TrainConfig(n_trials=2, folds=3, rf_trees=20, boost_cap=20, boost_floor=5, patience=5)
-#: Models of the queries that need any trained pipeline (calibration, explanation, scoring, streams), and of those
-#: that compare families.
-CHECK_MODELS = ["Logistic Regression", "Random Forest"]
-COMPARED_MODELS = ["Logistic Regression", "Random Forest", "XGBoost"]
+# The registered queries search with the library default, the original budget (30 trials x 5 folds, 300 trees, 500
+# boosting rounds). Those that need a best model or compare families search every family; the search runs once per
+# Spark application and table folder and they share it.
+SEARCH_CONFIG = TR.TrainConfig()
+ALL_MODELS = TR.PRODUCTION_MODELS + TR.REGISTRY_MODELS
 _PIPELINES: dict = {}
 
 
 def fits_models(name: str) -> bool:
     """Whether a registered query fits models (these run longest)."""
     return name.startswith(("trn", "exp", "stream_", "evl14", "evl15", "evl16", "evl21", "evl22", "scr1", "snk3")) and name not in (
-        "trn9", "trn11", "trn12", "trn13", "scr10", "scr11") or name in ("scr4_model", "scr5_model")
+        "trn9", "trn11", "trn12", "scr10", "scr11") or name in ("scr4_model", "scr5_model")
 
 
 def _prepared(spark, sf_dir):
     """Cleaned, split and engineered rows, before any model; one per Spark application and table folder."""
     k = (spark.sparkContext.applicationId, sf_dir)
     if k not in _PIPELINES:
-        _PIPELINES[k] = PL.prepare(RAW.build(spark, sf_dir), RAW.target, RAW.id_col, CHECK_CONFIG)
+        _PIPELINES[k] = PL.prepare(RAW.build(spark, sf_dir), RAW.target, RAW.id_col, SEARCH_CONFIG)
     return _PIPELINES[k]
 
 
-def _pipeline(spark, sf_dir, models=tuple(CHECK_MODELS)):
+def _pipeline(spark, sf_dir, models=tuple(ALL_MODELS)):
     """A trained pipeline over ``models``; runs once per Spark application, table folder and models."""
     k = (spark.sparkContext.applicationId, sf_dir, models)
     if k not in _PIPELINES:
-        _PIPELINES[k] = PL.run_pipeline(RAW.build(spark, sf_dir), RAW.target, RAW.id_col, list(models), CHECK_CONFIG,
+        _PIPELINES[k] = PL.run_pipeline(RAW.build(spark, sf_dir), RAW.target, RAW.id_col, list(models), SEARCH_CONFIG,
                                         finish=len(models) > 1)
     return _PIPELINES[k]
 
@@ -464,8 +461,7 @@ for _id, _name in (("trn1", "Logistic Regression"), ("trn2", "Random Forest"), (
                    ("trn4", "LightGBM"), ("trn5", "CatBoost"), ("trn6", "Decision Tree"),
                    ("trn7", "Gradient Boosting")):
     register(_id)(_family_row(_name))
-register("trn8")(lambda spark, sf_dir: _pipeline(spark, sf_dir, tuple(COMPARED_MODELS)).metrics.select(
-    "model", "cv_roc_auc", "best_params"))
+register("trn8")(lambda spark, sf_dir: _pipeline(spark, sf_dir).metrics.select("model", "cv_roc_auc", "best_params"))
 
 
 @register("trn9")
@@ -479,7 +475,7 @@ def _trn9(spark, sf_dir):
         .otherwise(F.lit(C.N_TRIALS)).alias("n_trials"))
 
 
-register("trn10")(lambda spark, sf_dir: _pipeline(spark, sf_dir, ("XGBoost",)).metrics.filter(
+register("trn10")(lambda spark, sf_dir: _pipeline(spark, sf_dir).metrics.filter(
     F.col("n_estimators").isNotNull()).select("model", "n_estimators"))
 
 
@@ -504,7 +500,7 @@ def _trn12(spark, sf_dir):
 @register("trn13")
 def _trn13(spark, sf_dir):
     """Every parameter draw of the search with its mean CV ROC-AUC (the grids as searched)."""
-    res = _pipeline(spark, sf_dir, ("Logistic Regression",))
+    res = _pipeline(spark, sf_dir)
     rows = [(n, t, p, a) for n, r in res.families.items() for t, p, a in r.trials]
     return spark.createDataFrame(rows, "model string, trial int, params string, cv_roc_auc double")
 

@@ -144,3 +144,28 @@ def test_comparison_shows_failed_models_last(spark):
                                "model string, cv_pr_auc double, cv_recall double, cv_roc_auc double, cv_best_overall_score double")
     rows = [(r["model"], r["status"], r["best_overall_score"], r["rank"]) for r in comparison_table(m, cv).orderBy("rank").collect()]
     assert rows == [("c", "ok", 0.8, 1), ("a", "ok", 0.5, 2), ("b", "failed: no rows", None, 3)]
+
+
+def test_training_queries_search_every_family_with_the_library_defaults(spark, monkeypatch):
+    import pytest
+
+    from churnspark.operators.train import PRODUCTION_MODELS, REGISTRY_MODELS, TrainConfig
+    from churnspark.plans import catalog as CAT
+
+    class Asked(Exception):
+        pass
+
+    def asked(raw, target, id_col, models, cfg, finish=True):
+        raise Asked(models, cfg)
+    monkeypatch.setattr(CAT.PL, "run_pipeline", asked)
+    monkeypatch.setattr(CAT, "_PIPELINES", {})
+    for name in ("trn8", "trn10", "trn13", "evl14", "evl15", "evl16", "evl21", "evl22", "exp1", "exp2", "exp3", "exp4", "exp4_linear", "exp5",
+                 "exp6", "exp7", "scr1", "scr4_model", "scr5_model", "snk3", "stream_score", "stream_monitor", "stream_window_monitor"):
+        assert CAT.fits_models(name)
+        with pytest.raises(Asked) as e:
+            CAT.REGISTRY[name](spark, SF_SMALL)
+        assert e.value.args == (PRODUCTION_MODELS + REGISTRY_MODELS, TrainConfig())
+    for name, model in zip(("trn1", "trn2", "trn3", "trn4", "trn5", "trn6", "trn7"), PRODUCTION_MODELS + REGISTRY_MODELS):
+        with pytest.raises(Asked) as e:
+            CAT.REGISTRY[name](spark, SF_SMALL)
+        assert e.value.args == ([model], TrainConfig())
