@@ -1,5 +1,6 @@
 """Training-data operators: registered queries against SQL, edge cases, brute force where SQL cannot express the operator."""
 import random
+import re
 import zlib
 
 import duckdb
@@ -407,3 +408,120 @@ def test_pipeline_equals_brute_force(spark):
         if name != "token_output":
             assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
             docs = spark.createDataFrame(rows, docs.schema)
+
+
+GPL = """    This program is free software{a} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{b} either version {v} of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License{c}
+"""
+GPL_2_END = """ along
+    with this program; if not, write to the Free Software Foundation, Inc.,
+    51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."""
+GPL_3_END = "\n    along with this program.  If not, see <https://www.gnu.org/licenses/>."
+BSD = """Copyright (c) 2001, A Holder
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+BSD_THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2001 A Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+CC = "This work is licensed under a Creative Commons {} 4.0 International License."
+OFFICIAL = [
+    ("Apache-2.0", APACHE), ("MIT", MIT), ("MPL-2.0", MPL), ("MPL-2.0", MPL.replace("\n", " ")),
+    ("BSD-2-Clause", BSD.format(third="")), ("BSD-3-Clause", BSD.format(third=BSD_THIRD)),
+    ("BSD-2-Clause", re.sub("\n+", "\n", BSD.format(third=""))), ("BSD-3-Clause", re.sub("\n+", "\n", BSD.format(third=BSD_THIRD))),
+    ("GPL-2.0-or-later", GPL.format(a=";", b=";", v=2, c=GPL_2_END)), ("GPL-3.0-or-later", GPL.format(a=":", b=",", v=3, c=GPL_3_END)),
+    ("GPL-2.0-or-later", GPL.format(a=":", b=",", v=2, c=GPL_3_END)), ("GPL-3.0-or-later", GPL.format(a=";", b=",", v=3, c=GPL_3_END)),
+    ("GPL-3.0-or-later", GPL.format(a=":", b=";", v=3, c=".").replace("You should have received a copy of the GNU General Public License.", "")),
+    ("BSD", "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("CC0-1.0", "This work is dedicated to the public domain under the CC0 license."),
+    *((f"CC-{n}-4.0", f"This work is licensed under CC {n} 4.0.") for n in ("BY", "BY-SA", "BY-NC", "BY-NC-ND")),
+    *((f"CC-{n}-4.0", CC.format(t)) for n, t in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"),
+                                                 ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))),
+    *((want, f"// SPDX-License-Identifier: {spdx}") for want, spdx in (
+        ("Apache-2.0", "Apache-2.0"), ("MIT", "MIT"), ("BSD-3-Clause", "BSD-3-Clause"), ("BSD-2-Clause", "BSD-2-Clause"), ("MPL-2.0", "MPL-2.0"),
+        ("GPL-3.0", "GPL-3.0-only"), ("GPL-2.0", "GPL-2.0-only"))),
+]
+
+
+def test_every_licence_by_its_official_text(spark, tmp_path):
+    assert {want for want, _ in OFFICIAL} == {licence for licence, _ in licenses.RULES}
+    # a lone version or an abbreviation is no licence
+    rows = list(enumerate([t for _, t in OFFICIAL] + ["The software of Mozilla, v. 2.0. Nothing else.", "Software\n2.0\nLicense v. 2.0."]))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(d).collect()}
+    for i, (want, text) in enumerate(OFFICIAL):
+        assert (got[i].licenses, got[i].n_unmatched) == (want, 0), text
+        assert got[i].n_known > 0
+    assert all(got[i].licenses == "" and got[i].n_known == 0 for i in range(len(OFFICIAL), len(rows)))
+    con = duckdb.connect()
+    d.write.parquet(f"{tmp_path}/documents")
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents/*.parquet')")
+    same(licenses.scan(d), con, SQL["op7_licenses"])
