@@ -235,21 +235,29 @@ def taken(docs: DataFrame) -> DataFrame:
 _PIECES = r"(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){1,%d}" % BLOCK
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def shards(docs: DataFrame) -> DataFrame:
+    """(shard, place, doc_id, block, copy, words): every draw of the mixture of ``docs`` at its place in its shard."""
+    return mix(docs)[2].select("shard", "place", "doc_id", "block", "copy", "words")
+
+
+def mixed(docs: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """The mixture as rows of ``docs``: one row per document and copy, holding the text of the blocks taken (all: the whole text).
 
-    ``n_chars``, if there is one, follows the text. Text crosses one shuffle, on the document's key.
+    A row stands in the first shard that drew from it, at the first place there; every shard's rows are in one partition, in
+    place order. ``n_chars``, if there is one, follows the text. Text crosses two shuffles: the document's key, the shard.
     """
-    _, _, rows = mix(docs)
-    got = rows.groupBy("doc_id", "source", "size", "copy").agg(F.sort_array(F.collect_set("block")).alias("__blocks"))
-    got = got.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "__blocks")
+    _, _, rows = mix(docs, shard_blocks=shard_blocks)
+    got = rows.groupBy("doc_id", "source", "size", "copy").agg(F.sort_array(F.collect_set("block")).alias("__blocks"),
+                                                               F.min(F.struct("shard", "place")).alias("__at"))
+    got = got.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "__blocks", "__at.shard", "__at.place")
     keyed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
                         F.size(words(F.col("text"))).cast("long").alias("__size"))
     joined = keyed.join(got, F.col("__id").eqNullSafe(F.col("__d")) & F.col("__source").eqNullSafe(F.col("__s"))
                         & (F.col("__size") == F.col("__z")))
     part = F.array_join(F.transform("__blocks", lambda b: F.get(F.regexp_extract_all("__row.text", F.lit(_PIECES), F.lit(0)), b)), "")
     text = F.when(F.size("__blocks") * BLOCK >= F.col("__size"), F.col("__row.text")).otherwise(part)
-    out = joined.select("__row", text.alias("__text"))
-    return out.select(*[F.col("__text").alias("text") if c == "text" else
-                        F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else
-                        F.col("__row").getField(c).alias(c) for c in docs.columns])
+    out = joined.select("__row", text.alias("__text"), F.col("shard").alias("__shard"), F.col("place").alias("__place"))
+    out = out.select(*[F.col("__text").alias("text") if c == "text" else
+                       F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else
+                       F.col("__row").getField(c).alias(c) for c in docs.columns], "__shard", "__place")
+    return out.repartition("__shard").sortWithinPartitions("__shard", "__place").drop("__shard", "__place")

@@ -36,6 +36,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken(read(spark, sf_dir, "documents"))
 
 
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every draw of the mixture."""
+    return mix.shards(read(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model score of every document."""
     return lm.scores(read(spark, sf_dir, "documents"))
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2,
     "op3_line_dedup": op3,
     "op4_mix_sources": op4,
+    "op4_mix_shards": op4_shards,
     "op5_lm_scores": op5,
     "op6_quality_rules": op6,
     "op7_licenses": op7,

@@ -28,7 +28,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of the sources at their target weights: one row per document and copy, with the text taken."""
+    """The mixture of the sources at their target weights: one row per document and copy, with the text taken, in shard and place order."""
     return mix.mixed(docs)
 
 

@@ -292,6 +292,33 @@ def test_mixed_texts_hold_the_words_taken(spark):
     assert got == want
 
 
+def test_mixed_rows_stand_in_shard_and_place_order(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    first = {}
+    for r in mix.mix(d, shard_blocks=16)[2].collect():
+        at = (r.shard, r.place)
+        first[(r.doc_id, r.copy)] = min(first.get((r.doc_id, r.copy), at), at)
+    want = {}
+    for (i, _), (shard, _) in sorted(first.items(), key=lambda x: x[1]):
+        want.setdefault(shard, []).append(i)
+    assert len(want) > 4
+    got = [r.doc_id for r in mix.mixed(d, shard_blocks=16).collect()]
+    while got:   # one shard after the other, whichever comes first
+        shard = next(s for s, ids in want.items() if got[:len(ids)] == ids)
+        got = got[len(want.pop(shard)):]
+    assert not want
+
+
+def test_registered_shards_hold_the_words_taken(spark):
+    rows = QUERIES["op4_mix_shards"](spark, SF).collect()
+    places, words = {}, {}
+    for r in rows:
+        places.setdefault(r.shard, []).append(r.place)
+        words[r.doc_id] = words.get(r.doc_id, 0) + r.words
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert words == {r.doc_id: r.taken for r in QUERIES["op4_mix_sources"](spark, SF).collect() if r.taken}
+
+
 def test_held_out_text_scores_better_than_the_base(spark):
     r = lm.scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").agg(
         F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
