@@ -127,19 +127,32 @@ def churn_summary(df: DataFrame, target: str) -> DataFrame:
         F.when(F.col("n_rows") > 0, F.col("n_churn") / F.col("n_rows")).otherwise(F.lit(0.0)).alias("pct_churn"))
 
 
+#: Equal rows that one task writes out in a row.
+ROW_CHUNK = 10_000
+
+
 def with_row_id(df: DataFrame, id_col: str | None, out: str = "row_id") -> DataFrame:
     """CLN7: keep the id column, or derive a reproducible id: the md5 of the row and a running number among equal rows.
 
-    Equal rows are interchangeable, so any numbering of them gives the same table. On a stream (no ranking) equal rows
-    share their hash."""
+    Equal rows are interchangeable, so any numbering of them gives the same table: they are counted (partial aggregation,
+    one row per split crosses the shuffle) and written out again in chunks dealt over the tasks. On a stream (no ranking)
+    equal rows share their hash."""
     if id_col and id_col in df.columns:
         return df.withColumn(out, F.col(f"`{id_col}`"))
     digest = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
     if df.isStreaming:
         return df.withColumn(out, digest)
-    ranked = df.withColumn("__digest", digest)
-    number = F.row_number().over(Window.partitionBy("__digest").orderBy("__digest"))
-    return ranked.withColumn(out, F.concat_ws("-", "__digest", number)).drop("__digest")
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    counted = df.withColumn("__digest", digest).groupBy("__digest", *cols).agg(F.count(F.lit(1)).alias("__n"))
+    # rows that differ only in what their JSON leaves out (microseconds) share a digest: they are numbered on
+    run = Window.partitionBy("__digest").orderBy(*[c.cast("string") for c in cols])
+    counted = counted.withColumn("__skip", F.sum("__n").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n"))
+    begin = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"), F.lit(ROW_CHUNK).cast("long")))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))   # a given number is not coalesced by the few bytes of the counts
+    chunks = counted.withColumn("__from", begin).repartition(tasks, "__digest", "__from")
+    number = F.explode(F.sequence("__from", F.least("__n", F.col("__from") + ROW_CHUNK - 1)))
+    numbered = chunks.withColumn("__number", number)
+    return numbered.select(*cols, F.concat_ws("-", "__digest", F.col("__skip") + F.col("__number")).alias(out))
 
 
 def prune(df: DataFrame, drop: list[str]) -> DataFrame:

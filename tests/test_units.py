@@ -169,3 +169,29 @@ def test_training_queries_search_every_family_with_the_library_defaults(spark, m
         with pytest.raises(Asked) as e:
             CAT.REGISTRY[name](spark, SF_SMALL)
         assert e.value.args == ([model], TrainConfig())
+
+
+def test_equal_rows_are_numbered_by_many_tasks(spark, monkeypatch):
+    from churnspark.operators import clean
+
+    monkeypatch.setattr(clean, "ROW_CHUNK", 500, raising=False)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        x = spark.range(30_000).select(F.when(F.col("id") < 20_000, F.lit(None)).otherwise(F.col("id")).alias("a b"),
+                                       F.timestamp_micros(F.when(F.col("id") < 20_000, 7).otherwise(F.col("id") % 3)).alias("t"))
+        got = clean.with_row_id(x, None)
+        tasks = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert got.columns == ["a b", "t", "row_id"]
+        assert got.select("row_id").distinct().count() == got.count() == 30_000
+        assert got.drop("row_id").exceptAll(x).count() == x.exceptAll(got.drop("row_id")).count() == 0
+        equal = [int(r.row_id.split("-")[1]) for r in got.filter("`a b` is null").collect()]
+        assert sorted(equal) == list(range(1, 20_001))
+        assert max(tasks) < 15_000
+        # a digest that several rows share: milliseconds are all that JSON keeps
+        near = spark.range(6).select(F.timestamp_micros(F.col("id") % 3).alias("t"))
+        assert clean.with_row_id(near, None).select("row_id").distinct().count() == 6
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
