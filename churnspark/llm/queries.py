@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from churnspark.llm import decontaminate, licenses, lines, lm, mix, near_dup, quality, token_counts, token_file, urls
+from churnspark.llm import (alignment, decontaminate, exact_dedup, licenses, lines, lm, manifest, mix, near_dup, quality, token_counts, token_file,
+                            urls)
 from churnspark.llm.common import read
 
 
@@ -72,6 +73,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of the byte-level and the sentencepiece tokens of every document."""
+    import public_tokenizers
+    return alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and tampered fold of every document in the Merkle manifest."""
+    return manifest.manifest(read(spark, sf_dir, "documents"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row that stays of every document's group of equal texts."""
+    return exact_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1,
     "op2_token_file": op2,
@@ -84,4 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dup": op8,
     "op9_url_filter": op9,
     "op10_token_counts": op10,
+    "op11_tokenizer_alignment": op11,
+    "op12_merkle_manifest": op12,
+    "op13_exact_dedup": op13,
 }
