@@ -7,6 +7,10 @@ token before it. Offsets where tokens of both end cut the tokens into groups; wi
 
 The number of documents that hold an (A id, B id) pair linked is counted over the corpus; a document's links are then looked up in those counts.
 
+Neither tokenizer joins anything across a single blank between two words (their files are asked: a byte-level pre-tokenizer that starts a piece at
+such a blank, and no sentencepiece piece with a blank behind another character). So a text is cut there into units, which are
+aligned on their own and remembered per Python worker; other tokenizers get whole texts as one unit.
+
 Plan: one pass encodes and writes per document the groups' digest and its distinct pairs with their multiplicity. Counting is
 a partial aggregation. For the lookup at most ``HOT`` pairs, those with at least 1 / ``HOT`` of all (document, pair) rows, are broadcast; the
 others meet their counts by a shuffle in which no pair has more than 1 / ``HOT`` of the rows. The highest count of every A id
@@ -20,9 +24,14 @@ intermediate table; empty table: empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +41,11 @@ from pyspark.sql import functions as F
 
 from churnspark.llm.common import stored
 
-#: Texts encoded by one call, distinct pairs of one row, pairs that may be broadcast.
-AT_ONCE, PAIRS_AT_ONCE, HOT = 64, 1 << 20, 50_000
+#: Texts handled together, distinct pairs of one row, pairs that may be broadcast.
+AT_ONCE, PAIRS_AT_ONCE, HOT = 256, 1 << 20, 50_000
+#: Units that a worker remembers, and their longest length; units encoded by one call.
+REMEMBERED, LONGEST, UNITS_AT_ONCE = 200_000, 64, 2_000
+_CUT = re.compile(r"(?<=\S) (?=\S)").split
 #: Larger groups are linked id by id with multiplicities, not token by token.
 LARGE_GROUP = 1 << 16
 
@@ -45,6 +57,16 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Unit(NamedTuple):
+    """What a piece of text gives: numbers of tokens and groups, the groups' ids as text, pairs and how often each is linked (packed)."""
+    n_a: int
+    n_b: int
+    n_groups: int
+    ids: str
+    pairs: bytes
+    times: bytes
+
+
 class Aligner:
     """Both tokenizers and their tables; one per Python worker."""
 
@@ -60,35 +82,110 @@ class Aligner:
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
-        self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-                        for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_length, self.b_length = (np.array([len(t) for t in table], np.int64) for table in (self.a_bytes, self.b_bytes))
-        # digest pieces: an id and what follows it, inside and at the end of its side of a group
-        self.pieces = ([f"{i}," for i in range(len(self.a_bytes))] + [f"{i}|" for i in range(len(self.a_bytes))]
-                       + [f"{i}," for i in range(len(self.b_bytes))] + [f"{i};" for i in range(len(self.b_bytes))])
+        # ids as text with what follows them: inside and at the end of their side of a group
+        v, w = len(self.a_bytes), len(self.b_bytes)
+        self.texts = [f"{i}{m}" for m, n in ((",", v), ("|", v), (",", w), (";", w)) for i in range(n)]
+        with open(a_path, encoding="utf-8") as f:
+            file = json.load(f)
+        before = file.get("pre_tokenizer") or {}
+        self.cuts = (file.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+                     and not before.get("add_prefix_space") and all("▁" not in p.lstrip("▁") for p in pieces))
+        self.seen: dict[str, Unit | None] = {}
 
     @property
     def width(self) -> int:
         """Number of B ids: a pair is A id * width + B id."""
         return len(self.b_bytes)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, ...] | None]:
-        """(A ids, A ends, B ids, B ends) of each text in bytes of space + text; None where the bytes do not come back."""
-        found = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        for text, enc in zip(texts, found):
-            raw = text.encode()
-            other = self.b.encode(raw, return_type="offset_mapping")
-            a, b, whole = enc.ids, other["ids"], b" " + raw
-            if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+    def encode(self, text: str) -> tuple[np.ndarray, ...] | None:
+        """(A ids, A ends, B ids, B ends) in bytes of space + text (A gets the space, B adds it); None where the bytes do not come back."""
+        raw = text.encode()
+        enc, other, whole = self.a.encode(" " + text, add_special_tokens=False), self.b.encode(raw, return_type="offset_mapping"), b" " + raw
+        a, b = enc.ids, other["ids"]
+        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+            return None
+        spans = np.fromiter(chain.from_iterable(enc.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
+        if len(raw) != len(text):
+            spans = _byte_at(" " + text)[spans]
+        coarse = np.fromiter(chain.from_iterable(other["offsets"]), np.int64, 2 * len(b)).reshape(-1, 2) + 1
+        coarse[0, 0] = 0   # the text begins behind the added space
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return a, refined(spans, self.a_length[a]), b, refined(coarse, self.b_length[b])
+
+    def group_texts(self, a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray) -> list[str]:
+        """The ids of every group in order, as the pieces of ``a1,a2|b1;a3|b2,b3;``."""
+        v, w = len(self.a_bytes), len(self.b_bytes)
+        last_a, last_b = np.append(in_a[1:] != in_a[:-1], True), np.append(in_b[1:] != in_b[:-1], True)
+        codes = np.concatenate([a + v * last_a, 2 * v + b + w * last_b])
+        order = np.argsort(np.concatenate([2 * in_a, 2 * in_b + 1]), kind="stable")
+        return list(map(self.texts.__getitem__, codes[order].tolist()))
+
+    def one(self, text: str) -> Unit | None:
+        """A whole text or a long unit."""
+        tokens = self.encode(text)
+        if tokens is None:
+            return None
+        a, a_ends, b, b_ends = tokens
+        n, in_a, in_b = groups(a_ends, b_ends)
+        pairs, times = linked(a, in_a, b, in_b, n, self.width)
+        return Unit(len(a), len(b), n, "".join(self.group_texts(a, in_a, b, in_b))[:-1], pairs.tobytes(), times.tobytes())
+
+    def many(self, units: list[str]) -> Iterator[Unit | None]:
+        """Short units, encoded together as one text with blanks between them and cut apart again."""
+        tokens = self.encode(" ".join(units))
+        if tokens is None:   # one of them does not come back
+            if len(units) == 1:
+                yield None
+            else:
+                yield from self.many(units[:len(units) // 2])
+                yield from self.many(units[len(units) // 2:])
+            return
+        a, a_ends, b, b_ends = tokens
+        n, in_a, in_b = groups(a_ends, b_ends)
+        n_a, n_b = np.bincount(in_a, minlength=n), np.bincount(in_b, minlength=n)
+        left, right = link_all(in_a, n_a, n_b)
+        pairs, texts = a[left] * self.width + b[right], self.group_texts(a, in_a, b, in_b)
+        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        cut_a, cut_b = np.searchsorted(a_ends, ends, "right"), np.searchsorted(b_ends, ends, "right")
+        cut_g = in_a[cut_a - 1] + 1
+        cut_p, cut_t = np.cumsum(n_a * n_b)[cut_g - 1], cut_a + cut_b
+        ones = np.ones(int(np.diff(cut_p, prepend=0).max()), np.int64).tobytes()
+        data, f = pairs.tobytes(), [0] * 5
+        for t in zip(cut_a.tolist(), cut_b.tolist(), cut_g.tolist(), cut_p.tolist(), cut_t.tolist()):
+            yield Unit(t[0] - f[0], t[1] - f[1], t[2] - f[2], "".join(texts[f[4]:t[4]])[:-1], data[8 * f[3]:8 * t[3]], ones[:8 * (t[3] - f[3])])
+            f = t
+
+    def align(self, texts: list[str]) -> Iterator[tuple | None]:
+        """(tokens of A, of B, groups, links, digest, pairs, times) of each text; None where the bytes do not come back."""
+        split = [_CUT(t) if self.cuts else [t] for t in texts]
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        new = list(set().union(*split).difference(self.seen)) if split else []
+        short = [u for u in new if self.cuts and len(u) <= LONGEST and not u[0].isspace() and not u[-1].isspace()]
+        long = set(new).difference(short)
+        for i in range(0, len(short), UNITS_AT_ONCE):
+            some = short[i:i + UNITS_AT_ONCE]
+            self.seen.update(zip(some, self.many(some)))
+        known = ChainMap({u: self.one(u) for u in long}, self.seen) if long else self.seen
+        for units in split:
+            counted = Counter(units)
+            own = list(map(known.__getitem__, counted))
+            if None in own:
                 yield None
                 continue
-            spans = np.array(enc.offsets, np.int64).reshape(-1, 2)
-            if len(whole) != len(text) + 1:
-                spans = _byte_at(" " + text)[spans]
-            a, b = np.array(a, np.int64), np.array(b, np.int64)
-            coarse = np.array(other["offsets"], np.int64).reshape(-1, 2) + 1   # the text begins behind the added space
-            coarse[0, 0] = 0
-            yield a, refined(spans, self.a_length[a]), b, refined(coarse, self.b_length[b])
+            weights = np.fromiter(counted.values(), np.int64, len(own))
+            n_a, n_b, n_groups, _, packed, _ = zip(*own)
+            links = np.frombuffer(b"".join(packed), np.int64)
+            each = np.frombuffer(b"".join([o[5] for o in own]), np.int64) * np.repeat(weights, [len(p) // 8 for p in packed])
+            order = np.argsort(links)
+            links, each = links[order], each[order]
+            first = np.flatnonzero(np.append(True, links[1:] != links[:-1]))
+            texts_of = dict(zip(counted, [o[3] for o in own]))
+            sha = hashlib.sha256(";".join(map(texts_of.__getitem__, units)).encode()).hexdigest()
+            yield int(weights @ n_a), int(weights @ n_b), int(weights @ n_groups), int(each.sum()), sha, links[first], np.add.reduceat(each, first)
 
 
 def _byte_at(text: str) -> np.ndarray:
@@ -99,13 +196,12 @@ def _byte_at(text: str) -> np.ndarray:
 
 def refined(spans: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Token ends: the span's where it is as long as the token's bytes, else as many bytes after the last such end."""
-    ends, upto = spans[:, 1], np.cumsum(lengths)
-    sure = (spans[:, 1] - spans[:, 0] == lengths) & (lengths > 0)
+    ends, sure = spans[:, 1], spans[:, 1] - spans[:, 0] == lengths
     if sure.all():
         return ends
+    upto = np.cumsum(lengths)
     last = np.maximum.accumulate(np.where(sure, np.arange(len(ends)), -1))
-    start = np.where(last >= 0, ends[last] - upto[last], 0)
-    return start + upto
+    return np.where(last >= 0, ends[last] - upto[last], 0) + upto
 
 
 def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
@@ -114,15 +210,21 @@ def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[int, np.ndarray, np.
     return len(cuts), np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
 
 
+def link_all(in_a: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the A and B token of every link, group by group; groups of ``n_b`` 0 have none."""
+    times = n_b[in_a]
+    left = np.repeat(np.arange(len(in_a)), times)
+    first_b = np.cumsum(n_b) - n_b
+    return left, first_b[in_a[left]] + np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
+
+
 def linked(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of the groups (sorted) and how often each is linked."""
     n_a, n_b = np.bincount(in_a, minlength=n), np.bincount(in_b, minlength=n)
-    first_b = np.cumsum(n_b) - n_b
     large = n_a * n_b > LARGE_GROUP
-    times = np.where(large, 0, n_b)[in_a]     # B tokens that each A token is linked to one by one
-    left = np.repeat(np.arange(len(a)), times)
-    offset = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
-    pairs, counts = np.unique(a[left] * width + b[first_b[in_a[left]] + offset], return_counts=True)
+    keep = ~large[in_b]
+    left, right = link_all(in_a, n_a, np.where(large, 0, n_b))
+    pairs, counts = np.unique(a[left] * width + b[keep][right], return_counts=True)
     if large.any():
         parts, weights = [pairs], [counts]
         for g in np.flatnonzero(large):
@@ -136,15 +238,6 @@ def linked(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray, n:
     return pairs, counts
 
 
-def group_digest(aligner: Aligner, a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray) -> str:
-    """SHA-256 of ``a1,a2|b1;a3|b2,b3``: the ids of every group."""
-    v, w = len(aligner.a_bytes), len(aligner.b_bytes)
-    last_a, last_b = np.append(in_a[1:] != in_a[:-1], True), np.append(in_b[1:] != in_b[:-1], True)
-    codes = np.concatenate([a + v * last_a, 2 * v + b + w * last_b])
-    order = np.argsort(np.concatenate([2 * in_a, 2 * in_b + 1]), kind="stable")
-    return hashlib.sha256("".join(map(aligner.pieces.__getitem__, codes[order].tolist()))[:-1].encode()).hexdigest()
-
-
 @lru_cache(maxsize=1)
 def load_aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
@@ -165,21 +258,18 @@ def _encoder(a_path: str, b_path: str):
             for begin in range(0, batch.num_rows, AT_ONCE):
                 some = batch.slice(begin, AT_ONCE)
                 texts = some.column(1).to_pylist()
-                found = iter(aligner.encode([t for t in texts if t]))
+                found = aligner.align([t for t in texts if t])
                 columns: list[list] = [[] for _ in _SCHEMA]
                 for doc_id, text in zip(some.column(0).to_pylist(), texts):
                     row += 1
-                    tokens = next(found) if text else None
-                    if tokens is None:
+                    got = next(found) if text else None
+                    if got is None:
                         _add(columns, (row, 0, doc_id, 0, 0, 0, 0, "", [], []))
                         continue
-                    a, a_ends, b, b_ends = tokens
-                    n, in_a, in_b = groups(a_ends, b_ends)
-                    pairs, times = linked(a, in_a, b, in_b, n, aligner.width)
-                    sha = group_digest(aligner, a, in_a, b, in_b)
+                    n_a, n_b, n_groups, n_links, sha, pairs, times = got
                     for part, at in enumerate(range(0, len(pairs), PAIRS_AT_ONCE)):
                         cut = slice(at, at + PAIRS_AT_ONCE)
-                        own = (len(a), len(b), n, int(times.sum()), sha) if part == 0 else (0, 0, 0, 0, "")
+                        own = (n_a, n_b, n_groups, n_links, sha) if part == 0 else (0, 0, 0, 0, "")
                         _add(columns, (row, part, doc_id, *own, pairs[cut], times[cut].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
     return run
