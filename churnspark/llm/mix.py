@@ -120,23 +120,71 @@ def draws(sized: DataFrame, per: DataFrame) -> DataFrame:
                            F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")), "mix-draws")
 
 
-# A hypergeometric draw by inversion: pool n, of which q are marked, m drawn. Weights relative to the mode come from the
-# ratio of neighbouring probabilities, upwards and downwards over 12 deviations; the quantile at u is taken.
+def _let(name: str, values: dict[str, str], body: str) -> str:
+    """SQL ``body`` with ``name`` bound to a struct of ``values``, each computed once."""
+    return f"element_at(transform(array(named_struct({', '.join(f"'{k}', {v}" for k, v in values.items())})), {name} -> {body}), 1)"
+
+
+#: Deviation up to which a draw walks from the mode; a wider one takes the first accepted of ``PROPOSALS`` proposals (each is accepted more
+#: often than not).
+WALK, PROPOSALS = 50, 100
+
+
+def _walk(e: str, steps: str, goal: str, up: bool) -> str:
+    """Weights relative to the mode's, step by step away from it: their sum, and the first value at which the sum passes ``goal``."""
+    k = f"({e}.mode {'+' if up else '-'} i)"
+    ratio = (f"if({k} > {e}.high, 0D, h.w * ({e}.q - {k} + 1D) * ({e}.m - {k} + 1D) / ({k} * ({e}.n - {e}.q - {e}.m + {k} + 0D)))" if up else
+             f"if({k} < {e}.low, 0D, h.w * (({k} + 1D) * ({e}.n - {e}.q - {e}.m + {k} + 1D)) / (({e}.q - {k}) * ({e}.m - {k} + 0D)))")
+    return (f"aggregate(sequence(1L, {steps}), named_struct('w', 1D, 's', 0D, 'k', cast(null as bigint)), (h, i) -> named_struct("
+            f"'w', {ratio}, 's', h.s + {ratio}, 'k', if(h.k is null and h.s + {ratio} >= {goal}, {k}, h.k)))")
+
+
+def _log_weight(e: str, z: str) -> str:
+    """Log probability of ``z`` up to a constant, for cells of at least one: two binomial terms in the deviance form, exact at any pool size."""
+    def deviance(x: str, mean: str) -> str:
+        return f"({x} * log1p(({x} - {mean}) / {mean}) - ({x} - {mean}))"
+
+    def stirling(x: str) -> str:
+        return f"(1D / (12D * {x}) - 1D / (360D * {x} * {x} * {x}))"
+
+    cells = {"a": z, "b": f"({e}.g - {z})", "c": f"({e}.s - {z})", "d": f"({e}.n - {e}.g - {e}.s + {z})"}
+    means = {"a": f"{e}.g * ({e}.s / {e}.n)", "b": f"{e}.g * (1D - {e}.s / {e}.n)", "c": f"({e}.n - {e}.g) * ({e}.s / {e}.n)",
+             "d": f"({e}.n - {e}.g) * (1D - {e}.s / {e}.n)"}
+    terms = " - ".join(f"{deviance(f'v.{c}', f'({means[c]})')} - {stirling(f'v.{c}')} - 0.5D * ln(v.{c})" for c in cells)
+    return _let("v", {c: f"({x} + 0D)" for c, x in cells.items()}, f"(0D - {terms})")
+
+
 def _hypergeometric(n: str, q: str, m: str, u: str) -> str:
-    low, high = f"greatest(0L, {m} - ({n} - {q}))", f"least({q}, {m})"
-    mode = f"least({high}, greatest({low}, cast(floor(({m} + 1D) * ({q} + 1D) / ({n} + 2D)) as bigint)))"
-    span = f"(20L + cast(ceil(12 * sqrt(greatest(0D, {m} * ({q} / greatest(1L, {n})) * (1 - {q} / greatest(1L, {n})) * (({n} - {m}) / greatest(1L, {n} - 1))))) as bigint))"
-    up = (f"aggregate(sequence({mode}, least({high}, {mode} + {span})), array(named_struct('k', {mode}, 'w', 1D)), (h, k) -> "
-          f"if(k = {mode}, h, concat(h, array(named_struct('k', k, 'w', element_at(h, -1).w * ({q} - k + 1D) * ({m} - k + 1D) "
-          f"/ (k * ({n} - {q} - {m} + k + 0D)))))))")
-    down = (f"aggregate(sequence({mode}, greatest({low}, {mode} - {span})), array(named_struct('k', {mode}, 'w', 1D)), (h, k) -> "
-            f"if(k = {mode}, h, concat(h, array(named_struct('k', k, 'w', element_at(h, -1).w * ((k + 1D) * ({n} - {q} - {m} + k + 1D)) "
-            f"/ (({q} - k) * ({m} - k + 0D)))))))")
-    # `each` binds the weights once; its sum scales u
-    curve = f"concat(reverse(slice({down}, 2, 1000000)), {up})"
-    return (f"aggregate(array({curve}), 0L, (o, each) -> aggregate(each, named_struct('s', 0D, 'k', cast(null as bigint), "
-            f"'goal', {u} * aggregate(each, 0D, (t, e) -> t + e.w)), (f, e) -> named_struct('s', f.s + e.w, 'k', "
-            f"if(f.k is null and f.s + e.w >= f.goal, e.k, f.k), 'goal', f.goal), f -> coalesce(f.k, {high})))")
+    """A hypergeometric draw as SQL: pool ``n``, of which ``q`` are marked, ``m`` drawn; ``u`` in (0, 1) fixes the draw.
+
+    Narrow distributions are inverted: values in the order mode, upwards, downwards, until their weights pass u times the sum. Wide ones take
+    the first accepted proposal of the ratio of uniforms (Stadlober, 1990), the uniforms hashed from ``u``. Neither keeps a curve, and the
+    work is bounded whatever the pool.
+    """
+    steps = "(20L + cast(ceil(12 * e.sd) as bigint))"
+    small = _let("t", {"up": _walk("e", steps, "1e300D", True) + ".s", "down": _walk("e", steps, "1e300D", False) + ".s"},
+                 f"if(e.u * (1D + t.up + t.down) <= 1D, e.mode, coalesce({_walk('e', steps, '(e.u * (1D + t.up + t.down) - 1D)', True)}.k, "
+                 f"{_walk('e', steps, '(e.u * (1D + t.up + t.down) - 1D - t.up)', False)}.k, e.mode))")
+    random = "((shiftrightunsigned(xxhash64(e.u, i, {}), 11) + 0.5D) / 9007199254740992D)"
+    spread, shift = 2 * math.sqrt(2 / math.e), 3 - 2 * math.sqrt(3 / math.e)
+    inside = "o.z >= 1 and o.z < f.g and o.z < f.s and f.n - f.g - f.s + o.z >= 1"
+    one = _let("p", {"x": random.format(1), "y": random.format(2)}, _let(
+        "o", {"z": "floor(f.center + f.width * (p.y - 0.5D) / p.x)", "x": "p.x"},
+        f"if({inside} and 2D * ln(o.x) <= {_log_weight('f', 'o.z')} - f.top, o.z, cast(null as bigint))"))
+    # by symmetry the rarer mark and the smaller sample
+    wide = _let("g", {"n": "e.n", "g": "least(e.q, e.n - e.q)", "s": "least(e.m, e.n - e.m)", "sd": "e.sd"}, _let(
+        "f", {"n": "g.n", "g": "g.g", "s": "g.s", "center": "g.s * (g.g / g.n) + 0.5D", "width": f"{spread!r}D * sqrt(g.sd * g.sd + 0.5D) + {shift!r}D",
+              "mode": "cast(floor((g.s + 1D) * (g.g + 1D) / (g.n + 2D)) as bigint)",
+              "top": _log_weight("g", "cast(floor((g.s + 1D) * (g.g + 1D) / (g.n + 2D)) as bigint)")},
+        f"aggregate(sequence(1, {PROPOSALS}), cast(null as bigint), (k, i) -> if(k is not null, k, {one}), k -> coalesce(k, f.mode))"))
+    back = _let("w", {"z": wide, "s": "least(e.m, e.n - e.m)"}, _let(
+        "r", {"z": "if(e.q > e.n - e.q, w.s - w.z, w.z)"}, "if(e.m > e.n - e.m, e.q - r.z, r.z)"))
+    low, high = "greatest(0L, d.m - (d.n - d.q))", "least(d.q, d.m)"
+    ends = {"n": "d.n", "q": "d.q", "m": "d.m", "u": "d.u", "low": low, "high": high,
+            "mode": f"least({high}, greatest({low}, cast(floor((d.m + 1D) * (d.q + 1D) / (d.n + 2D)) as bigint)))",
+            "sd": "sqrt(greatest(0D, d.m * (d.q / greatest(1L, d.n)) * (1 - d.q / greatest(1L, d.n)) * ((d.n - d.m) / greatest(1L, d.n - 1))))"}
+    values = {"n": f"cast({n} as bigint)", "q": f"cast({q} as bigint)", "m": f"cast({m} as bigint)", "u": f"cast({u} as double)"}
+    return _let("d", values, _let("e", ends, f"if(e.sd > {WALK}, {back}, {small})"))
 
 
 def shard_quotas(drawn: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
