@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnspark import config as C
+from churnspark.operators.split import hash_order
+from churnspark.session import stored
 
 INFREQUENT = "infrequent_sklearn"
 
@@ -188,6 +190,29 @@ def _fit_target_encoding(m: PrepModel, df: DataFrame, cols: list[str], label: st
             m.encodings[r["column"]][r["value"]] = (r["s"] + prior * smoothing) / (r["n"] + smoothing)
 
 
+def ordered_target_stats(df: DataFrame, cols: list[str], modes: dict, prior: float, label: str, key: str, smoothing: float = 1.0,
+                         salt: str = f"{C.RANDOM_STATE}|order|", out: str = "te__") -> DataFrame:
+    """TRN5: per row and categorical column the smoothed class rate of the rows of its category that come before it in a hashed
+    permutation, so that no row's own label goes into its value.
+
+    Prefix sums in two levels: (column, category, hash bucket) totals, at most ``BUCKETS`` rows per category, and ranks inside a bucket; a
+    category with a third of all rows is spread over its buckets. Rows whose key repeats follow each other in any fixed order."""
+    bucket, digest = hash_order(F.col(f"`{key}`").cast("string"), salt)
+    rows = stored(df.withColumn("__rid", F.monotonically_increasing_id()), "ordered-rows")   # joined back below by this number
+    values = F.array(*[F.struct(F.lit(i).alias("i"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(modes[c])).alias("v")) for i, c in enumerate(cols)])
+    long = rows.select("__rid", bucket.alias("b"), digest.alias("h"), F.col(label).cast("double").alias("y"), F.explode(values).alias("s")).select(
+        "__rid", "b", "h", "y", F.col("s.i").alias("i"), F.coalesce("s.v", F.lit("")).alias("v"))
+    totals = long.groupBy("i", "v", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    upto = Window.partitionBy("i", "v").orderBy("b")
+    totals = totals.select("i", "v", "b", (F.sum("n").over(upto) - F.col("n")).alias("n_before"), (F.sum("s").over(upto) - F.col("s")).alias("s_before"))
+    inside = Window.partitionBy("i", "v", "b").orderBy("h", "__rid")
+    x = long.join(totals, ["i", "v", "b"])
+    before = (F.col("s_before") + F.sum("y").over(inside) - F.col("y") + F.lit(prior * smoothing)) / (
+        F.col("n_before") + F.row_number().over(inside) - 1 + F.lit(smoothing))
+    found = x.select("__rid", "i", before.alias("te")).groupBy("__rid").agg(F.map_from_entries(F.collect_list(F.struct("i", "te"))).alias("__te"))
+    return rows.join(found, "__rid").select(*df.columns, *[F.element_at("__te", F.lit(i)).alias(f"{out}{c}") for i, c in enumerate(cols)])
+
+
 def category_plan(df: DataFrame, cols: list[str]) -> DataFrame:
     """PRE3/PRE4 keep-list: per column the mode, and which categories get their own indicator.
 

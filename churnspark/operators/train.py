@@ -1,47 +1,41 @@
-"""Model training and tuning with Spark ML (TRN1-TRN13, EVL14-16).
+"""Model training and tuning (TRN1-TRN13, EVL14-16).
 
 Families
 --------
-Logistic Regression   LogisticRegression, L2, regParam = 1 / (C * n), scaled inputs
-Random Forest         RandomForestClassifier
-XGBoost (depthwise)   GBTClassifier preset: depth 3-6, step, row/column sampling, min gain
-LightGBM (histogram)  GBTClassifier preset: more bins, depth 3-6, row/column sampling
-CatBoost (ordered)    GBTClassifier preset on target-encoded categoricals (smoothed class rate)
-Decision Tree         DecisionTreeClassifier (registry)
-Gradient Boosting     GBTClassifier classic preset (registry)
-
-The XGBoost/LightGBM/CatBoost engines are single-machine libraries; here each
-is a parameter preset of Spark's distributed GBT (documented difference).
-
-Search: a seeded random search (no TPE sampler) over the same spaces. Every
-trial is scored by the mean ROC-AUC over stratified folds of the training
-rows; preprocessing is fitted per fold on that fold's training part (no
-leakage) and the per-fold vectors are persisted once and reused by all
-trials. (trial, fold) fits run from a bounded thread pool; every fit is a
-distributed Spark ML job. ROC-AUC comes from ``metrics.ranking_metrics``, one
-job per fit, so that no plan or model outlives its fit however large the search.
+Logistic Regression   L2, regParam = 1 / (C * n), scaled inputs
+Random Forest         bootstrap (Poisson) trees, sqrt or log2 columns a node, Gini
+XGBoost               second-order boosting by level: L1 / L2 leaf penalties, gamma, row and column samples, least child hessian
+LightGBM              second-order boosting leaf by leaf (num_leaves), row sample renewed every five rounds, column samples
+CatBoost              oblivious trees on ordered target statistics, Bayesian row weights, score noise
+Decision Tree         Gini or entropy (registry)
+Gradient Boosting     first-order boosting (registry)
+
+Search: a seeded random search (no TPE sampler) over the same spaces. Every trial is scored by the mean ROC-AUC over stratified folds of
+the training rows; preprocessing and bin edges are fitted per fold on that fold's training part (no leakage). All trials and folds of a family
+are trained together: trees by ``tree_search`` (boosting stops early inside it), coefficients by ``logistic_search``. The ROC-AUC of all models
+comes from one ``metrics.ranking_metrics`` job.
 """
 
 from __future__ import annotations
 
 import json
 import math
-import threading
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnspark import config as C
+from churnspark.operators import logistic_search as LS
+from churnspark.operators import tree_search as TS
+from churnspark.operators.hist_trees import Spec
 from churnspark.operators.metrics import ranking_metrics
-from churnspark.operators.prep import PrepEstimator, PrepModel, with_weights
+from churnspark.operators.prep import PrepEstimator, PrepModel, ordered_target_stats, with_weights
 
 PRODUCTION_MODELS = ["Logistic Regression", "Random Forest", "XGBoost", "LightGBM", "CatBoost"]
 REGISTRY_MODELS = ["Decision Tree", "Gradient Boosting"]
@@ -80,18 +74,20 @@ def suggest(name: str, rng: np.random.Generator, is_imbalanced: bool) -> dict:
                 "class_weight": "balanced" if is_imbalanced else str(rng.choice(["balanced", "none"]))}
     if name == "Random Forest":
         return {"max_depth": int(rng.integers(3, 16)), "min_samples_leaf": int(rng.integers(2, 51)),
-                "max_features": str(rng.choice(["sqrt", "log2"]))}
+                "min_samples_split": int(rng.integers(2, 21)), "max_features": str(rng.choice(["sqrt", "log2"]))}
     if name == "XGBoost":
         return {"max_depth": int(rng.integers(3, 7)), "learning_rate": _loguniform(rng, 0.01, 0.3),
                 "subsample": float(rng.uniform(0.5, 1.0)), "colsample_bytree": float(rng.uniform(0.5, 1.0)),
-                "min_info_gain": float(rng.uniform(0.0, 0.02)), "min_child_weight": int(rng.integers(1, 11))}
+                "gamma": float(rng.uniform(0.0, 2.0)), "reg_alpha": float(rng.uniform(0.0, 5.0)),
+                "reg_lambda": float(rng.uniform(1.0, 10.0)), "min_child_weight": int(rng.integers(1, 11))}
     if name == "LightGBM":
-        leaves = int(rng.integers(15, 64))   # Spark grows trees by depth: no deeper than that many leaves allow
-        return {"num_leaves": leaves, "max_depth": min(int(rng.integers(3, 9)), int(math.log2(leaves))),
-                "feature_fraction": float(rng.uniform(0.5, 1.0)), "bagging_fraction": float(rng.uniform(0.5, 1.0))}
+        return {"num_leaves": int(rng.integers(15, 64)), "max_depth": int(rng.integers(3, 9)),
+                "feature_fraction": float(rng.uniform(0.5, 1.0)), "bagging_fraction": float(rng.uniform(0.5, 1.0)),
+                "lambda_l1": float(rng.uniform(0.0, 5.0)), "lambda_l2": float(rng.uniform(1.0, 10.0))}
     if name == "CatBoost":
-        return {"depth": int(rng.integers(3, 7)), "learning_rate": _loguniform(rng, 0.01, 0.3),
-                "bagging_temperature": float(rng.uniform(0.0, 1.0))}
+        return {"depth": int(rng.integers(3, 8)), "learning_rate": _loguniform(rng, 0.01, 0.3),
+                "l2_leaf_reg": float(rng.uniform(1.0, 15.0)), "bagging_temperature": float(rng.uniform(0.0, 1.0)),
+                "random_strength": float(rng.uniform(0.0, 2.0))}
     if name == "Decision Tree":
         return {"criterion": str(rng.choice(["gini", "entropy"])), "max_depth": int(rng.integers(2, 16)),
                 "min_samples_leaf": int(rng.integers(1, 21))}
@@ -112,43 +108,64 @@ def weight_mode(name: str, params: dict, is_imbalanced: bool) -> str | None:
     return None
 
 
-def make_classifier(name: str, params: dict, n_rows: int, cfg: TrainConfig, n_iter: int | None = None,
-                    weighted: bool = False):
-    """TRN1-TRN7: the Spark ML estimator for a family and a parameter draw."""
-    common = dict(featuresCol="features", labelCol="label")
-    if weighted:
-        common["weightCol"] = "weight"
-    if name == "Logistic Regression":
-        return LogisticRegression(maxIter=1000, elasticNetParam=0.0, standardization=False,
-                                  regParam=1.0 / (params["C"] * max(n_rows, 1)), **common)
+def class_counts(counts: dict, mode: str | None) -> tuple[float, float]:
+    """(weight of a positive row, of a negative row) for class counts {label: rows}."""
+    pos, neg = counts.get(1, 0), counts.get(0, 0)
+    if mode == "balanced":
+        return ((pos + neg) / (2.0 * pos) if pos else 1.0), ((pos + neg) / (2.0 * neg) if neg else 1.0)
+    if mode == "pos":
+        return (math.floor(100 * neg / pos + 0.5) / 100 if pos else 1.0), 1.0
+    return 1.0, 1.0
+
+
+#: Trees of a random forest grown together in one round.
+FOREST_ROUND = 10
+
+
+def tree_spec(name: str, params: dict, trial: int, fold: int, counts: dict, mode: str | None, cfg: TrainConfig, n_iter: int | None = None,
+              stop: bool = True) -> Spec:
+    """TRN2-TRN7: the model that a family and a parameter draw name. ``counts``: training rows per label."""
+    w_pos, w_neg = class_counts(counts, mode)
+    common = dict(trial=trial, fold=fold, w_pos=w_pos, w_neg=w_neg, n_train=sum(counts.values()), seed=cfg.seed)
     if name == "Random Forest":
-        return RandomForestClassifier(numTrees=cfg.rf_trees, maxDepth=params["max_depth"],
-                                      minInstancesPerNode=params["min_samples_leaf"],
-                                      featureSubsetStrategy=params["max_features"], seed=cfg.seed, **common)
+        each = min(FOREST_ROUND, cfg.rf_trees)
+        while cfg.rf_trees % each:
+            each -= 1
+        return Spec(rule="gini", rounds=cfg.rf_trees // each, trees=each, depth=params["max_depth"], min_n=params["min_samples_leaf"],
+                    min_split=params["min_samples_split"], mtry=params["max_features"], rows="poisson", **common)
     if name == "Decision Tree":
-        return DecisionTreeClassifier(impurity=params["criterion"], maxDepth=params["max_depth"],
-                                      minInstancesPerNode=params["min_samples_leaf"], seed=cfg.seed, **common)
-    iters = n_iter or cfg.boost_cap
+        return Spec(rule=params["criterion"], depth=params["max_depth"], min_n=params["min_samples_leaf"], **common)
+    rounds = n_iter or cfg.boost_cap
+    if rounds < 1:
+        raise ValueError("boosting needs at least one round")
+    up, down = w_pos * counts.get(1, 0), w_neg * counts.get(0, 0)
+    init = math.log(up / down) if up and down else 0.0
+    if name == "Gradient Boosting":
+        # the round cap bounds every boosting family (default 500 >= the 100/200 grid)
+        return Spec(rule="friedman", rounds=n_iter or min(params["n_estimators"], cfg.boost_cap), rate=params["learning_rate"],
+                    depth=params["max_depth"], init=init, **common)
+    common |= dict(rounds=rounds, patience=cfg.patience)
     if name == "XGBoost":
-        return GBTClassifier(maxIter=iters, maxDepth=params["max_depth"], stepSize=params["learning_rate"],
-                             subsamplingRate=params["subsample"],
-                             featureSubsetStrategy=f"{params['colsample_bytree']:.3f}",
-                             minInfoGain=params["min_info_gain"],
-                             minInstancesPerNode=params["min_child_weight"], seed=cfg.seed, **common)
+        return Spec(rate=params["learning_rate"], depth=params["max_depth"], min_h=params["min_child_weight"], l1=params["reg_alpha"],
+                    l2=params["reg_lambda"], gamma=params["gamma"], rows="bernoulli", row_p=params["subsample"],
+                    cols=params["colsample_bytree"], stop="auc" if stop else "", init=init, **common)
     if name == "LightGBM":
-        return GBTClassifier(maxIter=iters, maxDepth=params["max_depth"], maxBins=64, stepSize=0.1,
-                             subsamplingRate=params["bagging_fraction"],
-                             featureSubsetStrategy=f"{params['feature_fraction']:.3f}", seed=cfg.seed, **common)
+        bagged = params["bagging_fraction"] < 1
+        return Spec(growth="leaf", rate=0.1, depth=params["max_depth"], leaves=params["num_leaves"], min_n=20, min_h=1e-3,
+                    l1=params["lambda_l1"], l2=params["lambda_l2"], rows="bagging" if bagged else "all", row_p=params["bagging_fraction"],
+                    cols=params["feature_fraction"], stop="logloss" if stop else "", init=init, **common)
     if name == "CatBoost":
-        return GBTClassifier(maxIter=iters, maxDepth=params["depth"], stepSize=params["learning_rate"],
-                             subsamplingRate=1.0 - 0.5 * params["bagging_temperature"], seed=cfg.seed, **common)
-    if name == "Gradient Boosting":
-        # the round cap bounds every boosting family (default 500 >= the 100/200 grid)
-        return GBTClassifier(maxIter=n_iter or min(params["n_estimators"], cfg.boost_cap), maxDepth=params["max_depth"],
-                             stepSize=params["learning_rate"], seed=cfg.seed, **common)
+        return Spec(growth="oblivious", rate=params["learning_rate"], depth=params["depth"], l2=params["l2_leaf_reg"], rows="bayes",
+                    row_p=params["bagging_temperature"], noise=params["random_strength"], stop="auc" if stop else "", **common)
     raise ValueError(name)
 
 
+def logistic_regression(params: dict, n_rows: int, weighted: bool) -> LogisticRegression:
+    """TRN1: the Spark ML estimator of a parameter draw."""
+    common = dict(featuresCol="features", labelCol="label", **({"weightCol": "weight"} if weighted else {}))
+    return LogisticRegression(maxIter=1000, elasticNetParam=0.0, standardization=False, regParam=1.0 / (params["C"] * max(n_rows, 1)), **common)
+
+
 def best_iteration(losses: list[float], patience: int) -> int:
     """TRN10: number of trees at the validation-loss minimum, stopping after ``patience`` rounds without gain."""
     best, best_i, since = float("inf"), 0, 0
@@ -163,6 +180,8 @@ def best_iteration(losses: list[float], patience: int) -> int:
 
 
 def positive_probability(model, df: DataFrame, out: str = "p") -> DataFrame:
+    if isinstance(model, TS.TreeEnsembleModel):
+        return model.score(df, out)
     return model.transform(df).withColumn(out, vector_to_array(F.col("probability"))[1])
 
 
@@ -178,6 +197,7 @@ class FamilyResult:
     error: str | None = None
     calibrator: tuple | None = None              # (method, fitted) applied to every score
     trials: list = field(default_factory=list)   # (trial, params json, mean CV ROC-AUC) of every draw
+    fold_rounds: list = field(default_factory=list)   # best round of every fold (families that stop early)
 
 
 class Trainer:
@@ -190,19 +210,15 @@ class Trainer:
         self.cfg = cfg or TrainConfig()
         self.key = key
         self.label = label
-        self._folds: dict = {}
-        self._counts: dict = {}
-        self._held: list = []   # frames whose id() is a cache key stay alive
+        self._cache: dict = {}   # binned or scaled rows of the folds by kind of preprocessing
+        self._rows: dict = {}    # class counts of the folds
+        self._held: list = []    # frames whose id() is a cache key stay alive
 
     def release(self):
-        """Unpersist the cached per-fold vectors."""
-        for folds in self._folds.values():
-            for _, trv, vav in folds:
-                trv.unpersist()
-                vav.unpersist()
-        self._folds.clear()
+        """Forget the rows of the folds."""
+        self._cache.clear()
+        self._rows.clear()
         self._held.clear()
-        self._counts.clear()
 
     @staticmethod
     def prep_kind(name: str) -> tuple[bool, bool]:
@@ -213,123 +229,123 @@ class Trainer:
         scale, te = self.prep_kind(name)
         return PrepEstimator(self.numeric, self.categorical, scale=scale, target_encode=te, label=self.label)
 
-    def _fold_vectors(self, train: DataFrame, name: str):
-        """Per fold: preprocessing fitted on the fold's training part, vectors persisted once and
-        shared by every family that uses the same (unscaled or scaled) preprocessing."""
-        k = (id(train), self.prep_kind(name))
-        if k in self._folds:
-            return self._folds[k]
-        out = []
-        for f in range(self.cfg.folds):
-            tr = train.filter(F.col("fold") != f)
-            va = train.filter(F.col("fold") == f)
+    def _columns(self, prep: PrepModel, rows: DataFrame, fitted: bool) -> tuple[DataFrame, list]:
+        """Rows and feature columns; the rows that a target encoding was fitted on get ordered statistics instead."""
+        if not (prep.target_encode and prep.categorical):
+            return rows, prep.columns()
+        names = prep.output_names()
+        if fitted:
+            rows = ordered_target_stats(rows, prep.categorical, prep.modes, prep.prior, self.label, self.key)
+            return rows, prep.columns()[:len(prep.numeric)] + [F.col(f"`te__{c}`") for c in prep.categorical]
+        extra = prep.columns()[len(prep.numeric):]
+        return rows.select("*", *extra), prep.columns()[:len(prep.numeric)] + [F.col(f"`{n}`") for n in names[len(prep.numeric):]]
+
+    def _fold_rows(self, train: DataFrame, name: str):
+        """Blocks of all folds, their features and number of blocks: preprocessing and edges from each fold's training part, shared by
+        every family with the same preprocessing."""
+        kind = (id(train), self.prep_kind(name))
+        if kind in self._cache:
+            return self._cache[kind]
+        counts = self._fold_counts(train)
+        n_blocks = -(-sum(sum(c.values()) for c in counts.values()) // TS.BLOCK_ROWS) or 1
+
+        def one(f):
+            tr, va = train.filter(F.col("fold") != f), train.filter(F.col("fold") == f)
             prep = self._prep(name).fit(tr)
-            keep = [self.key, self.label]
-            trv = prep.transform(tr, keep=keep).persist(StorageLevel.MEMORY_AND_DISK)
-            vav = prep.transform(va, keep=keep).persist(StorageLevel.MEMORY_AND_DISK)
-            out.append((f, trv, vav))
-        self._folds[k] = out
-        return out
+            tr, columns = self._columns(prep, tr, True)
+            edges = None if prep.scale else TS.bin_edges(tr, columns, prep.output_names())
+            va, _ = self._columns(prep, va, False)
+            rows = tr.withColumn("__held", F.lit(False)).unionByName(va.withColumn("__held", F.lit(True)))
+            return f, rows, columns, edges, F.col("__held")
+
+        with ThreadPoolExecutor(max_workers=self.cfg.parallelism) as ex:
+            parts = list(ex.map(one, range(self.cfg.folds)))
+        blocks = TS.fold_blocks(parts, self.key, self.label, n_blocks)
+        self._cache[kind] = blocks, {f: len(columns) for f, _, columns, _, _ in parts}, n_blocks
+        return self._cache[kind]
+
+    def _fold_counts(self, train: DataFrame) -> dict[int, dict[int, int]]:
+        """Rows per fold and label."""
+        if id(train) not in self._rows:
+            self._held.append(train)
+            found = train.groupBy("fold", F.col(self.label).cast("int").alias("y")).count().collect()   # two rows per fold
+            self._rows[id(train)] = {f: {r["y"]: r["count"] for r in found if r["fold"] == f} for f in range(self.cfg.folds)}
+        return self._rows[id(train)]
 
     def search(self, name: str, train: DataFrame, is_imbalanced: bool) -> FamilyResult:
         """``train`` carries ``fold`` (stratified folds of the training rows)."""
         return self.search_many([name], train, is_imbalanced)[name]
 
+    def _search_family(self, name: str, train: DataFrame, is_imbalanced: bool) -> FamilyResult:
+        """Every draw and fold of a family together; the best draw by mean validation ROC-AUC."""
+        res, cfg = FamilyResult(name), self.cfg
+        known = PRODUCTION_MODELS.index(name) if name in PRODUCTION_MODELS else 10 + REGISTRY_MODELS.index(name)
+        rng = np.random.default_rng([cfg.seed, known])
+        draws = [suggest(name, rng, is_imbalanced) for _ in range(cfg.n_trials)]
+        counts = self._fold_counts(train)
+        inside = {f: {y: sum(c.get(y, 0) for g, c in counts.items() if g != f) for y in (0, 1)} for f in counts}
+        modes = [weight_mode(name, p, is_imbalanced) for p in draws]
+        specs = [] if name == "Logistic Regression" else [
+            tree_spec(name, p, t, f, inside[f], m, cfg) for f in inside for t, (p, m) in enumerate(zip(draws, modes))]
+        blocks, width, n_blocks = self._fold_rows(train, name)
+        rounds: dict[tuple[int, int], int] = {}
+        if name == "Logistic Regression":
+            weights = {f: np.array([class_counts(inside[f], m)[::-1] for m in modes]) for f in inside}
+            reg = {f: np.array([1.0 / (p["C"] * max(sum(inside[f].values()), 1)) for p in draws]) for f in inside}
+            scored = LS.held_out_scores(blocks, LS.fit_all(blocks, reg, weights, width, n_blocks))
+        else:
+            state, books, _ = TS.train(blocks, specs, n_blocks, blocks.sparkSession.sparkContext.defaultParallelism, columns=width)
+            scored = TS.held_out_scores(state)
+            rounds = {(s.trial, s.fold): int(r) for b in books.values() for s, r in zip(b.specs, b.best_round)}
+        aucs = ranking_metrics(scored, keys=["trial", "fold"]).select("trial", "fold", "roc_auc").collect()   # one row per model
+        by_trial = [[r["roc_auc"] for r in aucs if r["trial"] == t and r["roc_auc"] is not None] for t in range(len(draws))]
+        means = [sum(a) / len(a) if a else None for a in by_trial]
+        best = max(range(len(draws)), key=lambda t: (means[t] if means[t] is not None else -1, -t))
+        res.params, res.cv_score = draws[best], means[best]
+        res.trials = [(t, params_json(p), means[t]) for t, p in enumerate(draws)]
+        if name in BOOSTING and name != "Gradient Boosting":
+            med = float(np.median([rounds[best, f] for f in inside]))
+            res.n_estimators = int(min(max(med, min(cfg.boost_floor, cfg.boost_cap)), cfg.boost_cap))
+            res.fold_rounds = [rounds[best, f] for f in sorted(inside)]
+        return res
+
     def search_many(self, names: list[str], train: DataFrame, is_imbalanced: bool) -> dict:
-        """TRN8 for several families at once: every (family, trial, fold) fit goes to one bounded
-        thread pool and is scored there in a job of its own, and the
-        refits of the winners run in parallel too. A failing family keeps its error (TRN11)."""
-        results = {n: FamilyResult(n) for n in names}
-        self._held.append(train)
-        if id(train) not in self._counts:
-            self._counts[id(train)] = train.count()
-        n_rows = self._counts[id(train)]
-        trials, folds = {}, {}
-        for n in names:
-            try:
-                n_trials = self.cfg.n_trials
-                rng = np.random.default_rng([self.cfg.seed, PRODUCTION_MODELS.index(n)
-                                             if n in PRODUCTION_MODELS else 10 + REGISTRY_MODELS.index(n)])
-                trials[n] = [suggest(n, rng, is_imbalanced) for _ in range(n_trials)]
-                folds[n] = self._fold_vectors(train, n)
-            except Exception as exc:  # noqa: BLE001
-                results[n].error = f"{type(exc).__name__}: {exc}"[:500]
-        lock = threading.Lock()
-        weighted: dict = {}
-
-        def fold_data(f, trv, mode, scaled):
-            k = (f, mode, scaled)
-            with lock:
-                if k not in weighted:
-                    weighted[k] = with_weights(trv, mode, self.label) if mode else trv
-                return weighted[k]
-
-        def run(job):
-            n, ti, (f, trv, vav) = job
-            t0 = time.time()
+        """TRN8 for several families: the families' searches and the winners' refits side by side, each a sequence of jobs over all rows. A
+        failing family keeps its error (TRN11)."""
+        results = {}
+        for n in {self.prep_kind(n): n for n in names}.values():   # shared by the families of a kind
             try:
-                params = trials[n][ti]
-                mode = weight_mode(n, params, is_imbalanced)
-                data = fold_data(f, trv, mode, self.prep_kind(n))
-                fold_rows = n_rows * (self.cfg.folds - 1) // self.cfg.folds   # stratified folds: equal sizes
-                m = make_classifier(n, params, fold_rows, self.cfg, weighted=mode is not None).fit(data)
-                n_best = None
-                if n in BOOSTING and n != "Gradient Boosting":
-                    val = vav.withColumn("weight", F.lit(1.0)) if mode is not None else vav
-                    n_best = best_iteration(list(m.evaluateEachIteration(val)), self.cfg.patience)
-                pred = positive_probability(m, vav).select(F.lit(f).alias("fold"), self.label, "p")
-                row = ranking_metrics(pred, keys=["fold"]).first()
-                return n, ti, row["roc_auc"] if row else None, n_best, None, time.time() - t0
-            except Exception as exc:  # noqa: BLE001
-                return n, ti, None, None, f"{type(exc).__name__}: {exc}"[:500], time.time() - t0
+                self._fold_rows(train, n)
+            except Exception:  # noqa: BLE001 (the family's own search reports it)
+                pass
 
-        jobs = [(n, ti, fv) for n in names if results[n].error is None
-                for ti in range(len(trials[n])) for fv in folds[n]]
-        with ThreadPoolExecutor(max_workers=self.cfg.parallelism) as ex:
-            outs = list(ex.map(run, jobs))
-        for o in outs:
-            results[o[0]].train_time += o[5]
-            if o[4] and results[o[0]].error is None:
-                results[o[0]].error = o[4]
-        good = [o for o in outs if results[o[0]].error is None]
-        if good:
-            for n in {o[0] for o in good}:
-                scores = {}
-                for t in range(len(trials[n])):
-                    aucs = [o[2] for o in good if o[:2] == (n, t) and o[2] is not None]
-                    scores[t] = sum(aucs) / len(aucs) if aucs else None
-                best = max(scores, key=lambda t: (scores[t] if scores[t] is not None else -1, -t))
-                res = results[n]
-                res.trials = [(t, params_json(trials[n][t]), scores.get(t)) for t in range(len(trials[n]))]
-                res.params, res.cv_score = trials[n][best], scores[best]
-                if n in BOOSTING and n != "Gradient Boosting":
-                    ns = [o[3] for o in good if o[0] == n and o[1] == best and o[3] is not None]
-                    med = float(np.median(ns)) if ns else self.cfg.boost_cap
-                    res.n_estimators = int(min(max(med, min(self.cfg.boost_floor, self.cfg.boost_cap)),
-                                               self.cfg.boost_cap))
-
-        def refit_one(n):
-            res = results[n]
+        def run(n):
             t0 = time.time()
             try:
+                res = self._search_family(n, train, is_imbalanced)
                 res.prep, res.model = self.refit(n, res.params, train, is_imbalanced, res.n_estimators)
             except Exception as exc:  # noqa: BLE001
-                res.error = f"{type(exc).__name__}: {exc}"[:500]
-            res.train_time += time.time() - t0
+                res = FamilyResult(n, error=f"{type(exc).__name__}: {exc}"[:500])
+            res.train_time = time.time() - t0
+            return res
 
-        with ThreadPoolExecutor(max_workers=self.cfg.parallelism) as ex:
-            list(ex.map(refit_one, [n for n in names if results[n].error is None]))
+        with ThreadPoolExecutor(max_workers=min(len(names), self.cfg.parallelism)) as ex:
+            results = dict(zip(names, ex.map(run, names)))
         return results
 
     def refit(self, name: str, params: dict, rows: DataFrame, is_imbalanced: bool, n_iter: int | None = None):
-        """Fit preprocessing and the classifier on all given rows (Q1: weights kept in the refit)."""
+        """Fit preprocessing and the model on all given rows (Q1: weights kept in the refit)."""
         prep = self._prep(name).fit(rows)
-        vec = prep.transform(rows, keep=[self.key, self.label])
         mode = weight_mode(name, params, is_imbalanced)
-        data = with_weights(vec, mode, self.label) if mode else vec
-        n = rows.count()
-        model = make_classifier(name, params, n, self.cfg, n_iter=n_iter, weighted=mode is not None).fit(data)
-        return prep, model
+        counts = {r[0]: r[1] for r in rows.groupBy(F.col(self.label).cast("int")).count().collect()}   # two rows
+        if name == "Logistic Regression":
+            vec = prep.transform(rows, keep=[self.key, self.label])
+            data = with_weights(vec, mode, self.label) if mode else vec
+            return prep, logistic_regression(params, sum(counts.values()), mode is not None).fit(data)
+        spec = tree_spec(name, params, 0, 0, counts, mode, self.cfg, n_iter=n_iter, stop=False)
+        rows, columns = self._columns(prep, rows, True)
+        n_blocks = -(-sum(counts.values()) // TS.BLOCK_ROWS) or 1
+        return prep, TS.fit(rows, prep, columns, spec, self.key, self.label, n_blocks, rows.sparkSession.sparkContext.defaultParallelism)
 
     def score(self, res: FamilyResult, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """SCR1: P(churn) for rows with the family's frozen preprocessing and model."""
@@ -369,23 +385,12 @@ def apply_platt(model, df: DataFrame, p: str = "p", out: str = "p_cal") -> DataF
     return x.withColumn(out, 1.0 / (1.0 + F.exp(-(F.lit(coef) * F.col("__z") + F.lit(b))))).drop("__z", "__zv")
 
 
-def fit_isotonic(cal: DataFrame, p: str = "p", label: str = "label"):
-    """EVL15: isotonic calibration (Spark's pool-adjacent-violators, distributed)."""
-    from pyspark.ml.regression import IsotonicRegression
-    return IsotonicRegression(featuresCol=p, labelCol=label, predictionCol="p_cal").fit(
-        cal.select(F.col(p), F.col(label).cast("double").alias(label)))
-
-
-def apply_isotonic(model, df: DataFrame, p: str = "p", out: str = "p_cal") -> DataFrame:
-    return model.setFeaturesCol(p).setPredictionCol(out).transform(df)
-
-
 def calibrated(df: DataFrame, calibrator: tuple | None, p: str = "p") -> DataFrame:
     """``df`` with the chosen calibrator applied to ``p`` (EVL16); unchanged without one."""
     if not calibrator:
         return df
     method, model = calibrator
-    out = (apply_platt if method == "sigmoid" else apply_isotonic)(model, df, p, "__cal")
+    out = apply_platt(model, df, p, "__cal") if method == "sigmoid" else model.apply(df, p, "__cal")
     return out.withColumn(p, F.col("__cal")).drop("__cal")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnspark import config as C
+from churnspark.operators import neighbours as NB
 from churnspark.operators.signal import assess_signal
 from churnspark.plans.inputs import CLEAN, DOCS, RAW, Input
 from churnspark.sources import fixtures as FX
@@ -79,6 +80,7 @@ def _sig_cols(cols, kind=None, inp=RAW):
 
 
 register("sig1")(lambda spark, sf_dir: _sig1(spark, sf_dir))
+register("sig5_neighbours")(lambda spark, sf_dir: _r6(NB.neighbour_mi(CLEAN.build(spark, sf_dir), CF_NUMERIC)))
 register("sig2")(lambda spark, sf_dir: _signal(spark, sf_dir, RAW).routing)
 register("sig3")(_sig_cols(["feature", "d", "mean_diff"], "Numerical"))
 register("sig4")(_sig_cols(["feature", "r"], "Numerical"))
@@ -372,6 +374,13 @@ def _fea7(spark, sf_dir):
     return _r6(FE.binned_mi(train, m.keep))
 
 
+@register("fea7_neighbours")
+def _fea7_neighbours(spark, sf_dir):
+    """The statistic of FEA7 by nearest neighbours, nulls as 0."""
+    train, m = _train_part(spark, sf_dir)
+    return _r6(NB.neighbour_mi(train, m.keep, fill=0.0))
+
+
 @register("fea8")
 def _fea8(spark, sf_dir):
     """Frozen plan fitted on the train part, replayed on the test part."""
@@ -727,6 +736,15 @@ def _pre5(spark, sf_dir):
     return m.transform(sp, keep=["c_custkey"]).select("c_custkey", F.size(vector_to_array("features")).alias("n_slots"))
 
 
+@register("trn5_ordered")
+def _trn5_ordered(spark, sf_dir):
+    """Ordered target statistics of the training rows (what the CatBoost family trains on)."""
+    train, _ = _train_rows(spark, sf_dir)
+    prior = train.agg(F.avg("label")).first()[0] or 0.0
+    modes = PP.PrepEstimator([], PRE_CAT).fit(train).modes
+    return _r6(PP.ordered_target_stats(train, PRE_CAT, modes, float(prior), "label", "c_custkey").select("c_custkey", *[f"te__{c}" for c in PRE_CAT]))
+
+
 register("pre6")(lambda spark, sf_dir: _r6(PP.class_weights(_train_rows(spark, sf_dir)[0]).select(
     "label", "n_c", "balanced_weight")))
 register("pre7")(lambda spark, sf_dir: _r6(PP.class_weights(_train_rows(spark, sf_dir)[0]).select(

@@ -18,7 +18,6 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +25,13 @@ from churnspark import config as C
 from churnspark.operators import metrics as M
 from churnspark.operators.clean import CleanEstimator, CleanModel, convert_target, prune, with_row_id
 from churnspark.operators.features import FeatureEstimator, FeatureModel, select_features
+from churnspark.operators.isotonic import IsotonicModel, fit_isotonic
 from churnspark.operators.profile import profile as profile_frame
 from churnspark.operators.split import align_columns, stratified_folds, stratified_split
 from churnspark.session import ensure_checkpoint_dir
 from churnspark.sources.io import load_model, save_model
-from churnspark.operators.train import (FamilyResult, TrainConfig, Trainer, apply_isotonic, apply_platt,
-                                        brier_of, choose_calibration, fit_isotonic, fit_platt, params_json)
+from churnspark.operators.train import (FamilyResult, TrainConfig, Trainer, apply_platt, brier_of, choose_calibration,
+                                        fit_platt, params_json)
 
 
 @dataclass
@@ -223,7 +223,7 @@ def _calibrate(res: PipelineResult, train: DataFrame, test: DataFrame, key: str)
         pass
     try:
         iso = fit_isotonic(val_p)
-        cands["isotonic"] = brier_of(apply_isotonic(iso, test_p), "p_cal")
+        cands["isotonic"] = brier_of(iso.apply(test_p), "p_cal")
         fitted["isotonic"] = iso
     except Exception:  # noqa: BLE001
         pass
@@ -303,8 +303,10 @@ def save_pipeline(res: PipelineResult, path: str) -> str:
     """SNK3: the whole scoring plan: cleaning, features, columns, preprocessing, model, calibrator, threshold, churn rate."""
     save_model(res.final, path)
     method, fitted = res.final.calibrator or (None, None)
-    if fitted is not None:
+    if method == "sigmoid":
         fitted.write().overwrite().save(f"{path}/calibrator")
+    elif method == "isotonic":
+        fitted.save(f"{path}/calibrator")
     plan = {name: getattr(res, name) for name in SAVED}
     plan |= {"clean": res.clean.to_json(), "features": res.features.to_json(), "calibrator": method,
              "key": res.trainer.key, "label": res.trainer.label}
@@ -316,10 +318,10 @@ def save_pipeline(res: PipelineResult, path: str) -> str:
 def load_pipeline(spark: SparkSession, path: str) -> PipelineResult:
     """A saved scoring plan; it scores uploads and streams like the result it was saved from (no training rows or metrics)."""
     plan = json.loads(spark.read.json(f"{path}/plan").first()["plan"])
-    readers = {"sigmoid": LogisticRegressionModel, "isotonic": IsotonicRegressionModel}
+    readers = {"sigmoid": LogisticRegressionModel.load, "isotonic": lambda p: IsotonicModel.load(spark, p)}
     method = plan["calibrator"]
     final = load_model(spark, path)
-    final.calibrator = (method, readers[method].load(f"{path}/calibrator")) if method else None
+    final.calibrator = (method, readers[method](f"{path}/calibrator")) if method else None
     return PipelineResult(
         clean=CleanModel.from_json(plan["clean"]), features=FeatureModel(**json.loads(plan["features"])), profile=None, data=None,
         final=final, calibrator=final.calibrator,

@@ -145,8 +145,12 @@ def write_report(spark: SparkSession, report: dict, path: str) -> str:
 
 
 def save_model(family, path: str) -> str:
-    """SNK3: preprocessing plan (JSON) + Spark ML model (its own writer)."""
-    family.model.write().overwrite().save(os.path.join(path, "model"))
+    """SNK3: preprocessing plan (JSON) + the model (Spark ML's own writer, or one row per tree)."""
+    where = os.path.join(path, "model")
+    if family.name == "Logistic Regression":
+        family.model.write().overwrite().save(where)
+    else:
+        family.model.save(where)
     spark = SparkSession.getActiveSession()
     spark.createDataFrame([(family.prep.to_json(), family.name)], "prep string, family string") \
         .coalesce(1).write.mode("overwrite").json(os.path.join(path, "prep"))
@@ -154,16 +158,15 @@ def save_model(family, path: str) -> str:
 
 
 def load_model(spark: SparkSession, path: str):
-    from pyspark.ml.classification import (DecisionTreeClassificationModel, GBTClassificationModel,
-                                           LogisticRegressionModel, RandomForestClassificationModel)
+    from pyspark.ml.classification import LogisticRegressionModel
     from churnspark.operators.prep import PrepModel
     from churnspark.operators.train import FamilyResult
+    from churnspark.operators.tree_search import TreeEnsembleModel
     meta = spark.read.json(os.path.join(path, "prep")).first()
     d = json.loads(meta["prep"])
     rare = d.pop("_rare", {})
     prep = PrepModel(**d)
     prep.__dict__["_rare"] = rare
-    fam = meta["family"]
-    loader = {"Logistic Regression": LogisticRegressionModel, "Random Forest": RandomForestClassificationModel,
-              "Decision Tree": DecisionTreeClassificationModel}.get(fam, GBTClassificationModel)
-    return FamilyResult(fam, prep=prep, model=loader.load(os.path.join(path, "model")))
+    fam, where = meta["family"], os.path.join(path, "model")
+    model = LogisticRegressionModel.load(where) if fam == "Logistic Regression" else TreeEnsembleModel.load(spark, where)
+    return FamilyResult(fam, prep=prep, model=model)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from churnspark import config as C
 from oracles import fixtures_sql as V
+from oracles.neighbours_sql import neighbour_mi_sql
 
 NUM = ["c_nationkey", "c_acctbal", "n_orders", "total_spend", "avg_spend", "max_spend", "n_open", "n_final",
        "n_urgent", "tenure_days"]
@@ -160,6 +161,25 @@ mi AS (SELECT c.feature,
        FROM cells c JOIN tot t ON c.feature = t.feature GROUP BY c.feature)
 SELECT feature, round(greatest(0.0, raw - (nb - 1) * (CAST(t0 > 0 AS INT) + CAST(t1 > 0 AS INT) - 1)
                                       / (2.0 * (t0 + t1))), 6) AS mi FROM mi"""
+    q["fea7_neighbours"] = f"""{body},
+nl AS (SELECT feature, CAST(c_custkey AS VARCHAR) AS key, CAST(label AS INT) AS y, coalesce(value, 0.0) AS x FROM tv),
+{neighbour_mi_sql('nl')}
+SELECT feature, round(mi, 6) AS mi FROM nmi"""
+    q["sig5_neighbours"] = f"""WITH {CF}, {LONG},
+nl AS (SELECT lg.col AS feature, CAST(lg.c_custkey AS VARCHAR) AS key, CAST(cf.label AS INT) AS y, x
+       FROM lg JOIN cf ON cf.c_custkey = lg.c_custkey WHERE x IS NOT NULL AND NOT isnan(x)),
+{neighbour_mi_sql('nl')}
+SELECT feature, round(mi, 6) AS mi FROM nmi"""
+    seg = "coalesce(c_mktsegment, (SELECT mode FROM md))"
+    q["trn5_ordered"] = f"""WITH {CF},
+sp AS (SELECT cf.*, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {b}, {h}, CAST(c_custkey AS VARCHAR))
+                          <= floor(count(*) OVER (PARTITION BY label) * {C.TEST_SIZE} + 0.5) THEN 'test' ELSE 'train' END AS split FROM cf),
+tr AS (SELECT * FROM sp WHERE split = 'train'),
+md AS (SELECT c_mktsegment AS mode FROM tr WHERE c_mktsegment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+w AS (SELECT c_custkey, label, count(*) OVER o - 1 AS n, sum(label) OVER o - label AS s FROM tr
+      WINDOW o AS (PARTITION BY {seg} ORDER BY {_key('c_custkey', '42|order|')[0]}, {_key('c_custkey', '42|order|')[1]}
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT c_custkey, round((s + (SELECT avg(label) FROM tr)) / (n + 1.0), 6) AS te__c_mktsegment FROM w"""
     return q
 
 
