@@ -43,8 +43,8 @@ from churnspark.llm.common import stored
 
 #: Texts handled together, distinct pairs of one row, pairs that may be broadcast.
 AT_ONCE, PAIRS_AT_ONCE, HOT = 256, 1 << 20, 50_000
-#: Units that a worker remembers, and their longest length; units encoded by one call.
-REMEMBERED, LONGEST, UNITS_AT_ONCE = 200_000, 64, 2_000
+#: Units of one generation that a worker remembers (two are kept), and their longest length; units encoded by one call.
+REMEMBERED, LONGEST, UNITS_AT_ONCE = 300_000, 64, 2_000
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
 #: Larger groups are linked id by id with multiplicities, not token by token.
 LARGE_GROUP = 1 << 16
@@ -93,7 +93,8 @@ class Aligner:
         before = file.get("pre_tokenizer") or {}
         self.cuts = (file.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
                      and not before.get("add_prefix_space") and all("▁" not in p.lstrip("▁") for p in pieces))
-        self.seen: dict[str, Unit | None] = {}
+        self.seen: dict[str, Unit | None] = {}    # units met lately
+        self.older: dict[str, Unit | None] = {}   # and those met before; the ones met again move up
 
     @property
     def width(self) -> int:
@@ -162,10 +163,13 @@ class Aligner:
         """(tokens of A, of B, groups, links, digest, pairs, times) of each text; None where the bytes do not come back."""
         split = [_CUT(t) if self.cuts else [t] for t in texts]
         if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        new = list(set().union(*split).difference(self.seen)) if split else []
+            self.seen, self.older = {}, self.seen
+        new = set().union(*split).difference(self.seen)
+        again = new.intersection(self.older)
+        self.seen.update((u, self.older[u]) for u in again)
+        new -= again
         short = [u for u in new if self.cuts and len(u) <= LONGEST and not u[0].isspace() and not u[-1].isspace()]
-        long = set(new).difference(short)
+        long = new.difference(short)
         for i in range(0, len(short), UNITS_AT_ONCE):
             some = short[i:i + UNITS_AT_ONCE]
             self.seen.update(zip(some, self.many(some)))
