@@ -255,7 +255,7 @@ def mixture(drawn: DataFrame, quotas: DataFrame) -> DataFrame:
         & (F.col("rank") >= F.col("begin")) & (F.col("rank") < F.col("end")))
     placed = placed.withColumn("local", _order("local", "doc_id", "block", "copy"))
     place = F.row_number().over(Window.partitionBy("shard").orderBy("local", "doc_id", "block", "copy")) - 1
-    return placed.select("shard", place.alias("place"), "doc_id", "source", "size", "source_size", "target", "block", "copy", "words")
+    return placed.select("shard", place.alias("place"), "local", "doc_id", "source", "size", "source_size", "target", "block", "copy", "words")
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeat: int = REPEAT,
@@ -291,19 +291,23 @@ def shards(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """The mixture as rows of ``docs``: one row per document and copy, holding the text of the blocks taken (all: the whole text).
 
-    A row stands in the first shard that drew from it, at the first place there; every shard's rows are in one partition, in
-    place order. ``n_chars``, if there is one, follows the text. Text crosses two shuffles: the document's key, the shard.
+    A row stands where one of its draws does, the first by their local order (a hash), so a shard gets its share of the words and no shard
+    comes before another; every shard's rows are in one partition, in place order. ``n_chars``, if there is one, follows the text. Text crosses two shuffles: the document's key, the shard.
     """
     _, _, rows = mix(docs, shard_blocks=shard_blocks)
     got = rows.groupBy("doc_id", "source", "size", "copy").agg(F.sort_array(F.collect_set("block")).alias("__blocks"),
-                                                               F.min(F.struct("shard", "place")).alias("__at"))
+                                                               F.min(F.struct("local", "shard", "place")).alias("__at"))
     got = got.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "__blocks", "__at.shard", "__at.place")
     keyed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
                         F.size(words(F.col("text"))).cast("long").alias("__size"))
     joined = keyed.join(got, F.col("__id").eqNullSafe(F.col("__d")) & F.col("__source").eqNullSafe(F.col("__s"))
                         & (F.col("__size") == F.col("__z")))
-    part = F.array_join(F.transform("__blocks", lambda b: F.get(F.regexp_extract_all("__row.text", F.lit(_PIECES), F.lit(0)), b)), "")
-    text = F.when(F.size("__blocks") * BLOCK >= F.col("__size"), F.col("__row.text")).otherwise(part)
+    # a text is cut once, behind a Generate (else the cut would be evaluated for every block)
+    whole = F.size("__blocks") * BLOCK >= F.col("__size")
+    cut = F.when(~whole, F.regexp_extract_all("__row.text", F.lit(_PIECES), F.lit(0)))
+    joined = joined.select("__row", "__blocks", "shard", "place", F.inline(F.array(F.struct(whole.alias("__whole"), cut.alias("__pieces")))))
+    part = F.array_join(F.transform("__blocks", lambda b: F.get("__pieces", b)), "")
+    text = F.when(F.col("__whole"), F.col("__row.text")).otherwise(part)
     out = joined.select("__row", text.alias("__text"), F.col("shard").alias("__shard"), F.col("place").alias("__place"))
     out = out.select(*[F.col("__text").alias("text") if c == "text" else
                        F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else

@@ -12,10 +12,15 @@ def _quality() -> str:
     rules = quality.RULES
     base = " or ".join(f"({rules[r]})" for r in quality.BASE_RULES)
     counts = ", ".join(f"sum(case when {sql} then 1 else 0 end) as k_{r}" for r, sql in rules.items())
-    moments = ", ".join(f"avg(k_{r} / host_docs) as m_{r}, coalesce(var_samp(k_{r} / host_docs), 0) as v_{r}" for r in rules)
-    strength = ", ".join(f"case when v_{r} > 0 then greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, 1.0) "
-                         f"else {quality.FLAT_STRENGTH} end as s_{r}" for r in rules)
-    rates = ", ".join(f"(k_{r} + m_{r} * s_{r}) / (host_docs + s_{r})" for r in rules)
+    sums = ", ".join(f"sum(k_{r} / host_docs) as s_{r}, sum((k_{r} / host_docs) * (k_{r} / host_docs)) as q_{r}" for r in rules)
+    means = ", ".join(f"case when hosts > 1 then (s_{r} - k_{r} / host_docs) / (hosts - 1) else k_{r} / host_docs end as m_{r}" for r in rules)
+    variances = ", ".join(f"case when hosts > 2 then (q_{r} - (k_{r} / host_docs) * (k_{r} / host_docs) - (hosts - 1) * m_{r} * m_{r}) / (hosts - 2) "
+                          f"else 0 end as v_{r}" for r in rules)
+    strengths = ", ".join(f"case when v_{r} > {quality.FLAT} then greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, 1.0) else {quality.FLAT_STRENGTH} end as st_{r}"
+                          for r in rules)
+    rates = ", ".join(f"(k_{r} + m_{r} * st_{r}) / (host_docs + st_{r}) as r_{r}" for r in rules)
+    worst = ", ".join(f"r_{r}" for r in rules)
+    bad = " or ".join(f"r_{r} > greatest({quality.LEAST_RATE}, m_{r} + {quality.DEVIATIONS} * sqrt(greatest(0.0, m_{r} * (1 - m_{r})) / (st_{r} + 1)))" for r in rules)
     return rf"""
 with d as (select doc_id, source, coalesce(text, '') as t from documents),
 w as (select *, {WORDS.format(t='t')} as ws,
@@ -30,10 +35,13 @@ s as (select w.doc_id, source, len(ws) as n_words, coalesce(list_sum(list_transf
              len(ls) as n_lines from w left join p on p.doc_id = w.doc_id),
 b as (select *, ({base}) as base_failed from s),
 k as (select source, count(*) as host_docs, {counts} from s group by source),
-m as (select {moments} from k),
-st as (select *, {strength} from m),
-v as (select source, host_docs, greatest({rates}) as worst_rate from k, st)
-select b.*, host_docs, worst_rate, not base_failed and worst_rate <= {quality.RATE_LIMIT} as kept
+m as (select count(*) as hosts, {sums} from k),
+m1 as (select *, {means} from k, m),
+m2 as (select *, {variances} from m1),
+m3 as (select *, {strengths} from m2),
+m4 as (select *, {rates} from m3),
+v as (select source, host_docs, greatest({worst}) as worst_rate, not ({bad}) as host_ok from m4)
+select b.*, host_docs, worst_rate, not base_failed and host_ok as kept
 from b join v on v.source is not distinct from b.source"""
 
 
@@ -204,7 +212,7 @@ ab as (select host, n, k, k + {prior} * st2 as a, n - k + (1 - {prior}) * st2 as
 rep as (select host, n as labelled, k as bad_labelled, a / (a + b) as rate,
                a / (a + b) - {urls.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as bound from ab),
 fit as (select *, case {rules} end as rule from p)
-select page_id, host, path, rule, case {verdicts} when bound > {urls.LIMIT} then 'block' else 'allow' end as verdict,
+select page_id, host, path, rule, case {verdicts} when bound > (select mean from g) then 'block' else 'allow' end as verdict,
        labelled::bigint as labelled, bad_labelled::bigint as bad_labelled, rate, bound from fit join rep using (host)"""
 
 

@@ -2,9 +2,9 @@
 
 Every document gets text statistics (array functions inside one scan, no shuffle of text). Each rule's failures are
 counted per source (partial aggregation, one row per source and split crosses the shuffle). A rule's failure rate at a
-source is shrunk towards the mean over all sources with a beta prior fitted by moments, so a source with few documents
-is not judged by them alone. A source whose shrunk rate exceeds the limit for any rule loses all its documents; a
-document that fails a base rule is dropped whatever its source.
+source is shrunk towards the mean over the other sources with a beta prior fitted to them by moments, so a source with few documents
+is not judged by them alone. A source loses all its documents if for any rule its shrunk rate lies more than ``DEVIATIONS`` deviations of
+that prior above its mean and is at least ``LEAST_RATE``; a document that fails a base rule is dropped whatever its source.
 
 Defined cases: null text counts as empty (0 words, fails the word rule); null source is a source of its own; repeated
 rows count as often as they occur; an empty table gives an empty result; extra columns are ignored.
@@ -26,10 +26,10 @@ RULES = {
     "word_length": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)",
 }
 BASE_RULES = ("few_words", "repeats")
-#: Highest shrunk failure rate that a source may have for any rule.
-RATE_LIMIT = 0.6
-#: Prior strength (pseudo documents) where the rates of the sources do not vary.
-FLAT_STRENGTH = 1000.0
+#: A source is rejected if a shrunk rate lies this many deviations of the other sources' prior above its mean, from LEAST_RATE on.
+DEVIATIONS, LEAST_RATE = 3.0, 0.2
+#: Prior strength (pseudo documents) where the rates of the sources do not vary (variance up to FLAT).
+FLAT_STRENGTH, FLAT = 1000.0, 1e-12
 
 SYMBOLS = "#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -75,24 +75,27 @@ def text_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     return df.withColumn("base_failed", F.expr(" or ".join(f"({RULES[r]})" for r in BASE_RULES)))
 
 
-def host_verdicts(stats: DataFrame, host: str = "source", limit: float = RATE_LIMIT) -> DataFrame:
-    """One row per host: documents, shrunk failure rate of every rule, worst rate and ``host_ok``."""
+def host_verdicts(stats: DataFrame, host: str = "source") -> DataFrame:
+    """One row per host: documents, worst shrunk failure rate of a rule and ``host_ok``. A lone host is its own prior."""
     counts = stats.groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("host_docs"),
         *[F.sum(F.expr(f"if({sql}, 1L, 0L)")).alias(f"k_{r}") for r, sql in RULES.items()])
     counts = stored(counts, "quality-hosts")
-    # one row of prior moments (means and variances over hosts)
-    moments = [f(F.col(f"k_{r}") / F.col("host_docs")).alias(f"{n}_{r}") for r in RULES
-               for n, f in (("m", F.avg), ("v", F.var_samp))]
-    m = counts.agg(*moments).first()
-    rates = []
+    # one row: number of hosts, sum and sum of squares of their rates
+    x = {r: F.col(f"k_{r}") / F.col("host_docs") for r in RULES}
+    total = counts.agg(F.count(F.lit(1)).alias("hosts"), *[F.sum(x[r]).alias(f"s_{r}") for r in RULES], *[F.sum(x[r] * x[r]).alias(f"q_{r}") for r in RULES]).first()
+    others = float((total["hosts"] or 1) - 1)
+    rates, bad = [], F.lit(False)
     for r in RULES:
-        mean, var = m[f"m_{r}"] or 0.0, m[f"v_{r}"] or 0.0
-        strength = max(mean * (1 - mean) / var - 1, 1.0) if var > 0 else FLAT_STRENGTH
-        rates.append(((F.col(f"k_{r}") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))).alias(f"rate_{r}"))
-    out = counts.select("host", "host_docs", *rates)
-    worst = F.greatest(*[f"rate_{r}" for r in RULES])
-    return out.withColumn("worst_rate", worst).withColumn("host_ok", worst <= F.lit(limit))
+        s, q = float(total[f"s_{r}"] or 0), float(total[f"q_{r}"] or 0)
+        mean = (F.lit(s) - x[r]) / others if others else x[r]
+        var = (F.lit(q) - x[r] * x[r] - F.lit(others) * mean * mean) / (others - 1) if others > 1 else F.lit(0.0)
+        strength = F.when(var > FLAT, F.greatest(mean * (1 - mean) / var - 1, F.lit(1.0))).otherwise(F.lit(FLAT_STRENGTH))
+        rate = (F.col(f"k_{r}") + mean * strength) / (F.col("host_docs") + strength)
+        limit = F.greatest(F.lit(LEAST_RATE), mean + F.lit(DEVIATIONS) * F.sqrt(F.greatest(F.lit(0.0), mean * (1 - mean)) / (strength + 1)))
+        rates.append(rate)
+        bad = bad | (rate > limit)
+    return counts.select("host", "host_docs", F.greatest(*rates).alias("worst_rate"), (~bad).alias("host_ok"))
 
 
 def judge(stats: DataFrame, host: str = "source") -> DataFrame:
@@ -109,8 +112,11 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns. Text never crosses a shuffle (hosts are few or joined by AQE)."""
+    """The rows of ``docs`` that pass, with their own columns.
+
+    The statistics are computed once: rows and statistics are written together, the verdicts read only the narrow columns. Text crosses a
+    shuffle only where the hosts are too many to broadcast their verdicts."""
     cols = docs.columns
     packed = docs.select(F.struct(*cols).alias("__row"), F.col("text").alias("__text"), F.col("source").alias("__source"))
-    stats = text_stats(packed, "__text", ("__row", "__source"))
+    stats = stored(text_stats(packed, "__text", ("__row", "__source")), "quality-rows")
     return judge(stats, "__source").filter("kept").select("__row.*")

@@ -1,9 +1,9 @@
 """Token ids in Arrow files: fixed-size-list batches for zero-copy access to equal-length sequences and their masks.
 
 Documents are range-partitioned and sorted by id; each task encodes its range and streams the ids into one Arrow IPC file
-of record batches (``ids``: fixed-size list of unsigned integers, ``mask``: fixed-size list of booleans, ``SEQUENCE``
-values a row). Every document ends with the end id; sequences follow each other without gaps, only the last one of a
-file is padded (mask false). A batch always holds ``BATCH`` sequences (but for a file's last), so token ``t`` of a file
+of record batches (``ids``: fixed-size list of unsigned integers, ``mask``: fixed-size list of bytes 0 or 1, ``SEQUENCE``
+values a row; both are read as views of the memory map). Every document ends with the end id; sequences follow each other without gaps, only the last one of a
+file is padded (mask 0). A batch always holds ``BATCH`` sequences (but for a file's last), so token ``t`` of a file
 is value ``t % SEQUENCE`` of row ``t // SEQUENCE`` and a memory-mapped file gives any sequence as a view. ``index``
 rows (document, file, offset, length) and a file list go with the files; files of lost or repeated task attempts
 have names of their own and are not in the list.
@@ -36,6 +36,8 @@ from churnspark.llm.common import scratch
 
 SEQUENCE = 1024
 BATCH = 128
+#: Bytes of input behind one file at most (as the plan estimates them).
+FILE_BYTES = 256 << 20
 _SPLIT = re.compile("[ \t\n\r]+").split
 #: Texts encoded together, words that a Python worker remembers, words joined into one call of the library.
 AT_ONCE, REMEMBERED, JOINED = 500, 350_000, 64
@@ -128,7 +130,7 @@ class SequenceWriter:
     def __init__(self, path: str, dtype: np.dtype):
         self.fs, where = _open(path)
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, SEQUENCE)), ("mask", pa.list_(pa.bool_(), SEQUENCE))])
+        self.schema = pa.schema([("ids", pa.list_(kind, SEQUENCE)), ("mask", pa.list_(pa.uint8(), SEQUENCE))])
         self.fs.create_dir(where.rsplit("/", 1)[0], recursive=True)
         self.sink = self.fs.open_output_stream(where)
         self.file = pa.ipc.new_file(self.sink, self.schema)
@@ -148,8 +150,8 @@ class SequenceWriter:
         while len(values) - at >= step or (last and at < len(values)):
             part = values[at:at + step]
             rows = -(-len(part) // SEQUENCE)
-            ids, mask = np.zeros(rows * SEQUENCE, self.dtype), np.zeros(rows * SEQUENCE, bool)
-            ids[:len(part)], mask[:len(part)] = part, True
+            ids, mask = np.zeros(rows * SEQUENCE, self.dtype), np.zeros(rows * SEQUENCE, np.uint8)
+            ids[:len(part)], mask[:len(part)] = part, 1
             self.file.write_batch(pa.RecordBatch.from_arrays(
                 [pa.FixedSizeListArray.from_arrays(pa.array(ids), SEQUENCE),
                  pa.FixedSizeListArray.from_arrays(pa.array(mask), SEQUENCE)], schema=self.schema))
@@ -173,15 +175,15 @@ class SequenceFile:
         self.last = (None, None)
 
     def batch(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows x SEQUENCE) ids and flat mask of batch ``i``."""
+        """(rows x SEQUENCE) ids and mask of batch ``i``."""
         if self.last[0] != i:
             b = self.file.get_batch(i)
-            self.last = (i, (b.column(0).flatten().to_numpy(zero_copy_only=True).reshape(-1, SEQUENCE), b.column(1)))
+            self.last = (i, tuple(b.column(c).flatten().to_numpy(zero_copy_only=True).reshape(-1, SEQUENCE) for c in (0, 1)))
         return self.last[1]
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         ids, mask = self.batch(i // BATCH)
-        return ids[i % BATCH], np.asarray(mask[i % BATCH].as_py())
+        return ids[i % BATCH], mask[i % BATCH]
 
     def tokens(self, offset: int, n: int) -> Iterator[np.ndarray]:
         """The ids of [offset, offset + n) as views, batch by batch."""
@@ -216,15 +218,18 @@ def _writer(folder: str, tokenizer_path: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None) -> tuple[str, DataFrame]:
-    """Write the files in ascending id order; returns the folder and the stored index
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None,
+                 order: tuple[str, ...] = ("doc_id",)) -> tuple[str, DataFrame]:
+    """Write the files in ascending ``order`` (ids, if not given); returns the folder and the stored index
     (doc_id, part, path, at, n_tokens, start): ``at`` counts tokens of the file, ``start`` those of all documents before."""
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
     index_path = f"{folder}/index"
-    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-               .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-               .sortWithinPartitions("doc_id"))
+    size = int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES) if size < 1 << 60 else 0)   # larger: not known
+    keys = [f"__o{i}" for i in range(len(order))]
+    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(k) for c, k in zip(order, keys)])
+               .repartitionByRange(files, *keys).sortWithinPartitions(*keys).drop(*keys))
     schema = "doc_id long, part int, path string, at long, n_tokens long"
     ordered.mapInArrow(_writer(folder, tokenizer_path, end_id), schema).write.parquet(index_path)
     index = spark.read.schema(schema).parquet(index_path)
@@ -256,6 +261,6 @@ def read_digest(index: DataFrame) -> DataFrame:
     return by_file.mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Write the token files of ``docs`` and return the digest that reading them gives."""
-    return read_digest(write_tokens(docs, tokenizer_path, end_id)[1])
+    return read_digest(write_tokens(docs, tokenizer_path, end_id, order=order)[1])

@@ -3,8 +3,8 @@
 Labelled outcomes (bad or not) are counted per host, summed to registered domains and suffixes. Each level's rate is
 shrunk towards the level above with a beta prior: suffixes towards the overall rate, domains towards their suffix, hosts
 towards their domain, each without the host's own pages, which come in once at the end; a level's prior strength comes from the variance of its raw rates beyond the binomial part. A
-host is blocked if the lower bound of its beta posterior lies above ``LIMIT``. Hosts without labels have their domain's
-prior, which is too wide to block unless the domain itself has a long record.
+host is blocked if the lower quartile of its beta posterior (``Z`` deviations below its mean) lies above the overall rate: the odds are three
+to one that it is worse than the average. Hosts without labels have their domain's prior.
 
 Plan: only page id and url are read; counts are partially aggregated; the verdicts (one row per host) are joined back to
 the narrow page rows, by broadcast only if counted small. Rules are a fixed list inside the expression.
@@ -25,8 +25,8 @@ from churnspark.llm.common import ascii_lower, small, stored
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Suffixes of two labels under which names are registered (fixed values, public registry practice).
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
-#: A host is blocked if its posterior rate of bad pages lies above LIMIT even Z deviations below its mean.
-LIMIT, Z = 0.5, 1.645
+#: Deviations of the posterior below its mean at which a host is judged: the lower quartile.
+Z = 0.6745
 #: Prior strength where the rates of a level do not vary beyond chance.
 FLAT_STRENGTH = 1000.0
 LEVELS = ("suffix", "domain", "host")
@@ -59,7 +59,8 @@ def levels(host: Column) -> dict[str, Column]:
 
 
 def reputation(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """``hosts`` (host) and ``outcomes`` (host, bad): per host labelled, bad_labelled, rate and bound of the posterior."""
+    """``hosts`` (host) and ``outcomes`` (host, bad): per host labelled, bad_labelled, rate and bound of the posterior, and whether the bound
+    lies above the overall rate."""
     counts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").alias("k"))
     every = hosts.select("host").distinct().join(counts, "host", "left").fillna(0, ["n", "k"])
     table = stored(every.select("host", *[c.alias(x) for x, c in levels(F.col("host")).items()], "n", "k"), "url-hosts")
@@ -77,7 +78,8 @@ def reputation(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
             b = F.col("n") - F.col("k") + (1 - prior) * strength
             rate = a / (a + b)
             bound = rate - Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-            return table.select("host", F.col("n").alias("labelled"), F.col("k").alias("bad_labelled"), rate.alias("rate"), bound.alias("bound"))
+            return table.select("host", F.col("n").alias("labelled"), F.col("k").alias("bad_labelled"), rate.alias("rate"), bound.alias("bound"),
+                                (bound > F.lit(mean)).alias("worse"))
         per = stored(per.withColumnRenamed(level, f"{level}_key"), "url-level")
         table = table.join(small(per), F.col(level) == F.col(f"{level}_key"))
         table = table.withColumn(f"p_{level}", (F.col("lk") - F.col("k") + prior * strength) / (F.col("ln") - F.col("n") + F.lit(strength)))
@@ -97,6 +99,6 @@ def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     outcomes = split.join(marked, F.col("page_id") == F.col("__id")).select("host", "bad")
     known = stored(reputation(split, outcomes).withColumnRenamed("host", "__host"), "url-reputation")
     fit = split.withColumn("__fit", rule_of(F.col("host"), F.col("path"))).join(small(known), F.col("host") == F.col("__host"), "left")
-    own = F.when(F.col("bound") > LIMIT, "block").otherwise("allow")
+    own = F.when(F.col("worse"), "block").otherwise("allow")
     return fit.select("page_id", "host", "path", F.col("__fit.rule").alias("rule"),
                       F.coalesce("__fit.verdict", own).alias("verdict"), "labelled", "bad_labelled", "rate", "bound")
