@@ -5,7 +5,9 @@ Each stage is written as Parquet to the shared folder and read again by the next
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from churnspark.llm import decontaminate, mix, near_dup, quality, token_file
 from churnspark.llm.common import read, scratch
@@ -33,8 +35,14 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mixture in id order, read back: doc_id, start, n_tokens, ids_crc32 of every row."""
-    return token_file.round_trip(docs, tokenizer_path(), end_id=2)
+    """Token files of the mixture in its order (shard after shard, by place), read back: doc_id, start, n_tokens, ids_crc32 of every row.
+
+    The order is that of the mixing stage's files and of the rows in them (of the partitions and their rows, if ``docs`` is not read from files)."""
+    try:
+        placed = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        placed = docs.select("doc_id", "text", F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return token_file.round_trip(placed, tokenizer_path(), end_id=2, order=("file", "row"))
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
