@@ -6,9 +6,9 @@ numeric column, one for the candidates' spread. The fitted ``FeatureModel``
 is a frozen list of expressions, so new batches get exactly the same
 columns (FEA8) instead of re-ranking by their own variance.
 
-Selection (``select_features``): pairwise |corr| > 0.95 dedup in one
-aggregate of all pair correlations, then a binned mutual information with
-the Miller-Madow correction, >= 0.003 kept.
+Selection (``select_features``): pairwise |corr| > 0.95 dedup from the blocks
+of one Gram matrix, then a binned mutual information with the Miller-Madow
+correction, >= 0.003 kept.
 """
 
 from __future__ import annotations
@@ -18,10 +18,15 @@ import re
 from dataclasses import dataclass, field
 from itertools import combinations, islice
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnspark import config as C
+from churnspark.session import stored
 
 MI_BINS = 16
 
@@ -124,26 +129,90 @@ def spread_check(df: DataFrame, model: FeatureModel) -> list[str]:
     return [n for i, n in enumerate(exprs) if row[f"k{i}"]]
 
 
+#: Columns of one block of the Gram matrix, partial sums added up by one task.
+GRAM_COLUMNS, GRAM_FAN = 256, 16
+_GRAM = "bi int, bj int, part int, data binary"
+
+
+def _gram_partials(means: np.ndarray):
+    """Per partition the products of the centred columns, a row per pair of column blocks."""
+    def run(batches):
+        d, total = len(means), None
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, d) - means
+            total = x.T @ x if total is None else total + x.T @ x
+        if total is None:
+            return
+        part, blocks = TaskContext.get().partitionId(), range(0, d, GRAM_COLUMNS)
+        for i in blocks:
+            for j in blocks:
+                if i <= j:
+                    data = np.ascontiguousarray(total[i:i + GRAM_COLUMNS, j:j + GRAM_COLUMNS]).tobytes()
+                    yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in (i // GRAM_COLUMNS, j // GRAM_COLUMNS, part)), pa.array([data], pa.binary())],
+                                                     names=["bi", "bj", "part", "data"])
+    return run
+
+
+def _gram_added(g: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(v) for v in g["data"])
+    return g.iloc[:1].assign(part=int(g["part"].iloc[0]) // GRAM_FAN, data=[total.tobytes()])
+
+
+def gram_blocks(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """(bi, bj, part, data): the upper blocks of the Gram matrix of the centred columns, from one pass over the rows.
+
+    What crosses the shuffle is a row per task and pair of column blocks, added up a fan at a time, whatever the number of column pairs."""
+    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    rows = df.select(F.array(*columns).alias("x"))
+    sums = stored(rows.mapInArrow(_gram_partials(np.array([m or 0.0 for m in means], float)), _GRAM), "gram")
+    parts = (sums.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        sums = sums.groupBy("bi", "bj", F.floor(F.col("part") / GRAM_FAN)).applyInPandas(_gram_added, _GRAM)
+        parts = -(-parts // GRAM_FAN)
+        if parts == 1:
+            return stored(sums, "gram")
+
+
 def correlation_dedup(df: DataFrame, names: list[str]) -> DataFrame:
     """FEA6: (feature, dropped) — of each pair with |r| > 0.95 the lower-variance one is dropped.
 
-    All pair correlations and variances come from one aggregate.
+    All correlations come from the blocks of one Gram matrix; only the diagonal and each block's losers reach the driver.
     """
     spark = df.sparkSession
     if not names:
         return spark.createDataFrame([], "feature string, dropped boolean")
-    x = {n: F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(0.0)) for n in names}
-    aggs = [F.var_samp(x[n]).alias(f"v{i}") for i, n in enumerate(names)]
-    pairs = [(i, j) for j in range(len(names)) for i in range(j)]
-    aggs += [F.corr(x[names[i]], x[names[j]]).alias(f"c{i}_{j}") for i, j in pairs]
-    row = df.agg(*aggs).first()
-    drop = set()
-    for i, j in pairs:
-        r = row[f"c{i}_{j}"]
-        if r is not None and abs(r) > C.CORR_DEDUP_LIMIT:
-            loser = names[j] if row[f"v{j}"] < row[f"v{i}"] else names[i]
-            drop.add(loser)
-    return spark.createDataFrame([(n, n in drop) for n in names], "feature string, dropped boolean")
+    blocks = gram_blocks(df, [F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(0.0)) for n in names])
+    d = len(names)
+
+    def shape(i: int, j: int) -> tuple[int, int]:
+        return tuple(min(GRAM_COLUMNS, d - b * GRAM_COLUMNS) for b in (i, j))
+
+    def diagonals(frames):
+        for g in frames:
+            yield pd.DataFrame([(int(i), np.diag(np.frombuffer(v).reshape(shape(i, i))).tolist()) for i, v in zip(g["bi"], g["data"])], columns=["bi", "v"])
+
+    found = blocks.filter("bi = bj").mapInPandas(diagonals, "bi int, v array<double>").collect()   # one value per column
+    v = np.zeros(d)
+    for r in found:
+        v[r["bi"] * GRAM_COLUMNS:][:len(r["v"])] = r["v"]
+
+    def losers(frames):
+        for g in frames:
+            out = set()
+            for bi, bj, data in zip(g["bi"], g["bj"], g["data"]):
+                i0, j0 = bi * GRAM_COLUMNS, bj * GRAM_COLUMNS
+                m = np.frombuffer(data).reshape(shape(bi, bj))
+                vi, vj = v[i0:i0 + m.shape[0], None], v[None, j0:j0 + m.shape[1]]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    near = np.abs(m / np.sqrt(vi * vj)) > C.CORR_DEDUP_LIMIT
+                i, j = np.nonzero(near)
+                for a, b in zip((i + i0).tolist(), (j + j0).tolist()):
+                    if a < b:
+                        out.add(b if v[b] < v[a] else a)
+            yield pd.DataFrame({"i": sorted(out)}, dtype="int32")
+
+    drop = {r["i"] for r in blocks.mapInPandas(losers, "i int").distinct().collect()}   # at most one row per column
+    return spark.createDataFrame([(n, i in drop) for i, n in enumerate(names)], "feature string, dropped boolean")
 
 
 def binned_mi(df: DataFrame, names: list[str], label: str = "label", bins: int = MI_BINS) -> DataFrame:

@@ -276,27 +276,36 @@ class Trainer:
         """``train`` carries ``fold`` (stratified folds of the training rows)."""
         return self.search_many([name], train, is_imbalanced)[name]
 
-    def _search_family(self, name: str, train: DataFrame, is_imbalanced: bool) -> FamilyResult:
-        """Every draw and fold of a family together; the best draw by mean validation ROC-AUC."""
-        res, cfg = FamilyResult(name), self.cfg
-        known = PRODUCTION_MODELS.index(name) if name in PRODUCTION_MODELS else 10 + REGISTRY_MODELS.index(name)
-        rng = np.random.default_rng([cfg.seed, known])
-        draws = [suggest(name, rng, is_imbalanced) for _ in range(cfg.n_trials)]
+    def _held_out(self, name: str, draws: list[dict], train: DataFrame, is_imbalanced: bool, n_iter: int | None = None):
+        """(trial, fold, label, p) of every fold's held-out rows under every draw, and the best rounds. With ``n_iter`` boosting runs that many
+        rounds and does not stop."""
         counts = self._fold_counts(train)
         inside = {f: {y: sum(c.get(y, 0) for g, c in counts.items() if g != f) for y in (0, 1)} for f in counts}
         modes = [weight_mode(name, p, is_imbalanced) for p in draws]
         specs = [] if name == "Logistic Regression" else [
-            tree_spec(name, p, t, f, inside[f], m, cfg) for f in inside for t, (p, m) in enumerate(zip(draws, modes))]
+            tree_spec(name, p, t, f, inside[f], m, self.cfg, n_iter=n_iter, stop=n_iter is None)
+            for f in inside for t, (p, m) in enumerate(zip(draws, modes))]
         blocks, width, n_blocks = self._fold_rows(train, name)
-        rounds: dict[tuple[int, int], int] = {}
         if name == "Logistic Regression":
             weights = {f: np.array([class_counts(inside[f], m)[::-1] for m in modes]) for f in inside}
             reg = {f: np.array([1.0 / (p["C"] * max(sum(inside[f].values()), 1)) for p in draws]) for f in inside}
-            scored = LS.held_out_scores(blocks, LS.fit_all(blocks, reg, weights, width, n_blocks))
-        else:
-            state, books, _ = TS.train(blocks, specs, n_blocks, blocks.sparkSession.sparkContext.defaultParallelism, columns=width)
-            scored = TS.held_out_scores(state)
-            rounds = {(s.trial, s.fold): int(r) for b in books.values() for s, r in zip(b.specs, b.best_round)}
+            return LS.held_out_scores(blocks, LS.fit_all(blocks, reg, weights, width, n_blocks)), {}
+        state, books, _ = TS.train(blocks, specs, n_blocks, blocks.sparkSession.sparkContext.defaultParallelism, columns=width)
+        return TS.held_out_scores(state), {(s.trial, s.fold): int(r) for b in books.values() for s, r in zip(b.specs, b.best_round)}
+
+    def out_of_fold(self, name: str, params: dict, rows: DataFrame, is_imbalanced: bool, n_iter: int | None = None) -> DataFrame:
+        """(fold, label, p): every row scored by the model of the folds it is not in (``rows`` carries ``fold``)."""
+        boosts = name in BOOSTING and name != "Gradient Boosting"
+        scored, _ = self._held_out(name, [params], rows, is_imbalanced, (n_iter or self.cfg.boost_cap) if boosts else None)
+        return scored.select("fold", F.col("label").alias(self.label), "p")
+
+    def _search_family(self, name: str, train: DataFrame, is_imbalanced: bool) -> FamilyResult:
+        """Every draw and fold of a family together; the best draw by mean validation ROC-AUC."""
+        res, cfg = FamilyResult(name), self.cfg
+        known = PRODUCTION_MODELS.index(name) if name in PRODUCTION_MODELS else 10 + REGISTRY_MODELS.index(name)
+        rng = np.random.default_rng([cfg.seed, known])
+        draws = [suggest(name, rng, is_imbalanced) for _ in range(cfg.n_trials)]
+        scored, rounds = self._held_out(name, draws, train, is_imbalanced)
         aucs = ranking_metrics(scored, keys=["trial", "fold"]).select("trial", "fold", "roc_auc").collect()   # one row per model
         by_trial = [[r["roc_auc"] for r in aucs if r["trial"] == t and r["roc_auc"] is not None] for t in range(len(draws))]
         means = [sum(a) / len(a) if a else None for a in by_trial]
@@ -304,9 +313,9 @@ class Trainer:
         res.params, res.cv_score = draws[best], means[best]
         res.trials = [(t, params_json(p), means[t]) for t, p in enumerate(draws)]
         if name in BOOSTING and name != "Gradient Boosting":
-            med = float(np.median([rounds[best, f] for f in inside]))
+            med = float(np.median([rounds[best, f] for f in range(cfg.folds)]))
             res.n_estimators = int(min(max(med, min(cfg.boost_floor, cfg.boost_cap)), cfg.boost_cap))
-            res.fold_rounds = [rounds[best, f] for f in sorted(inside)]
+            res.fold_rounds = [rounds[best, f] for f in range(cfg.folds)]
         return res
 
     def search_many(self, names: list[str], train: DataFrame, is_imbalanced: bool) -> dict:

@@ -429,17 +429,20 @@ from churnspark.operators import train as TR  # noqa: E402
 from churnspark.plans import pipeline as PL  # noqa: E402
 
 # The registered queries search with the library default, the original budget (30 trials x 5 folds, 300 trees, 500
-# boosting rounds). Those that need a best model or compare families search every family; the search runs once per
-# Spark application and table folder and they share it.
+# boosting rounds). Those whose feature is the comparison of families (trn8, trn13, evl22) search every family, trn10 those that stop
+# early; those that need one trained plan (calibration, explanation, scoring, streams) search PLAN_MODEL. A search runs once per
+# Spark application, table folder and set of models.
 SEARCH_CONFIG = TR.TrainConfig()
 ALL_MODELS = TR.PRODUCTION_MODELS + TR.REGISTRY_MODELS
+PLAN_MODEL = "LightGBM"
+EARLY_STOPPED = ("XGBoost", "LightGBM", "CatBoost")
 _PIPELINES: dict = {}
 
 
 def fits_models(name: str) -> bool:
     """Whether a registered query fits models (these run longest)."""
     return name.startswith(("trn", "exp", "stream_", "evl14", "evl15", "evl16", "evl21", "evl22", "scr1", "snk3")) and name not in (
-        "trn9", "trn11", "trn12", "scr10", "scr11") or name in ("scr4_model", "scr5_model")
+        "trn9", "trn11", "trn12", "trn5_ordered", "scr10", "scr11") or name in ("scr4_model", "scr5_model")
 
 
 def _prepared(spark, sf_dir):
@@ -450,18 +453,23 @@ def _prepared(spark, sf_dir):
     return _PIPELINES[k]
 
 
-def _pipeline(spark, sf_dir, models=tuple(ALL_MODELS)):
-    """A trained pipeline over ``models``; runs once per Spark application, table folder and models."""
-    k = (spark.sparkContext.applicationId, sf_dir, models)
+def _pipeline(spark, sf_dir, models=tuple(ALL_MODELS), finish=True):
+    """A trained pipeline over ``models``; runs once per Spark application, table folder and models. ``finish``: with threshold, calibration
+    and the final refit."""
+    k = (spark.sparkContext.applicationId, sf_dir, models, finish)
     if k not in _PIPELINES:
-        _PIPELINES[k] = PL.run_pipeline(RAW.build(spark, sf_dir), RAW.target, RAW.id_col, list(models), SEARCH_CONFIG,
-                                        finish=len(models) > 1)
+        _PIPELINES[k] = PL.run_pipeline(RAW.build(spark, sf_dir), RAW.target, RAW.id_col, list(models), SEARCH_CONFIG, finish=finish)
     return _PIPELINES[k]
 
 
+def _plan(spark, sf_dir):
+    """The whole plan with one family at the full budget."""
+    return _pipeline(spark, sf_dir, (PLAN_MODEL,))
+
+
 def _family_row(name):
     def q(spark, sf_dir):
-        return _pipeline(spark, sf_dir, (name,)).metrics.select(
+        return _pipeline(spark, sf_dir, (name,), finish=False).metrics.select(
             "model", "cv_roc_auc", "best_params", "error", "roc_auc", "pr_auc", "recall")
     return q
 
@@ -470,7 +478,7 @@ for _id, _name in (("trn1", "Logistic Regression"), ("trn2", "Random Forest"), (
                    ("trn4", "LightGBM"), ("trn5", "CatBoost"), ("trn6", "Decision Tree"),
                    ("trn7", "Gradient Boosting")):
     register(_id)(_family_row(_name))
-register("trn8")(lambda spark, sf_dir: _pipeline(spark, sf_dir).metrics.select("model", "cv_roc_auc", "best_params"))
+register("trn8")(lambda spark, sf_dir: _pipeline(spark, sf_dir, finish=False).metrics.select("model", "cv_roc_auc", "best_params"))
 
 
 @register("trn9")
@@ -484,7 +492,7 @@ def _trn9(spark, sf_dir):
         .otherwise(F.lit(C.N_TRIALS)).alias("n_trials"))
 
 
-register("trn10")(lambda spark, sf_dir: _pipeline(spark, sf_dir).metrics.filter(
+register("trn10")(lambda spark, sf_dir: _pipeline(spark, sf_dir, EARLY_STOPPED, finish=False).metrics.filter(
     F.col("n_estimators").isNotNull()).select("model", "n_estimators"))
 
 
@@ -509,22 +517,22 @@ def _trn12(spark, sf_dir):
 @register("trn13")
 def _trn13(spark, sf_dir):
     """Every parameter draw of the search with its mean CV ROC-AUC (the grids as searched)."""
-    res = _pipeline(spark, sf_dir)
+    res = _pipeline(spark, sf_dir, finish=False)
     rows = [(n, t, p, a) for n, r in res.families.items() for t, p, a in r.trials]
     return spark.createDataFrame(rows, "model string, trial int, params string, cv_roc_auc double")
 
 
 register("evl14")(lambda spark, sf_dir: spark.createDataFrame(
-    [("sigmoid", _pipeline(spark, sf_dir).calibration.get("candidates", {}).get("sigmoid"))],
+    [("sigmoid", _plan(spark, sf_dir).calibration.get("candidates", {}).get("sigmoid"))],
     "method string, brier double"))
 register("evl15")(lambda spark, sf_dir: spark.createDataFrame(
-    [("isotonic", _pipeline(spark, sf_dir).calibration.get("candidates", {}).get("isotonic"))],
+    [("isotonic", _plan(spark, sf_dir).calibration.get("candidates", {}).get("isotonic"))],
     "method string, brier double"))
 
 
 @register("evl16")
 def _evl16(spark, sf_dir):
-    c = _pipeline(spark, sf_dir).calibration
+    c = _plan(spark, sf_dir).calibration
     return spark.createDataFrame([(c.get("brier_before"), c.get("brier_after"), c.get("method"),
                                    bool(c.get("calibrated")))],
                                  "brier_before double, brier_after double, method string, calibrated boolean")
@@ -532,7 +540,7 @@ def _evl16(spark, sf_dir):
 
 @register("evl21")
 def _evl21(spark, sf_dir):
-    res = _pipeline(spark, sf_dir)
+    res = _plan(spark, sf_dir)
     return res.trainer.score(res.final, res.data).select("c_custkey" if "c_custkey" in res.data.columns
                                                          else res.trainer.key, "label", "p")
 
@@ -543,17 +551,17 @@ register("evl22")(lambda spark, sf_dir: spark.createDataFrame([(PL.report_json(_
 
 @register("exp1")
 def _exp1(spark, sf_dir):
-    names = EX.feature_names(_pipeline(spark, sf_dir).final.prep)
+    names = EX.feature_names(_plan(spark, sf_dir).final.prep)
     return spark.createDataFrame(list(enumerate(names)), "slot int, feature string")
 
 
-register("exp2")(lambda spark, sf_dir: EX.builtin_importance(spark, _pipeline(spark, sf_dir).final.prep,
-                                                             _pipeline(spark, sf_dir).final.model))
+register("exp2")(lambda spark, sf_dir: EX.builtin_importance(spark, _plan(spark, sf_dir).final.prep,
+                                                             _plan(spark, sf_dir).final.model))
 
 
 @register("exp3")
 def _exp3(spark, sf_dir):
-    res = _pipeline(spark, sf_dir)
+    res = _plan(spark, sf_dir)
     test = res.data.filter(F.col("split") == "test")
     raw_cols = res.numeric + res.categorical
     key = res.trainer.key
@@ -564,7 +572,7 @@ def _exp3(spark, sf_dir):
 
 def _shap(spark, sf_dir):
     """Sampled permutation Shapley values of the final (best) model on the test rows."""
-    res = _pipeline(spark, sf_dir)
+    res = _plan(spark, sf_dir)
     test = res.data.filter(F.col("split") == "test")
     return EX.sampled_shap(test, res.numeric + res.categorical, res.numeric,
                            lambda d: res.trainer.score(res.final, d, keep=EX.SHAP_KEEP), res.trainer.key)
@@ -573,23 +581,31 @@ def _shap(spark, sf_dir):
 @register("exp4_linear")
 def _shap_linear(spark, sf_dir):
     """Closed-form attributions of the tuned logistic regression."""
-    res = _pipeline(spark, sf_dir)
+    res = _pipeline(spark, sf_dir, ("Logistic Regression",), finish=False)
     lr = res.families["Logistic Regression"]
     vec = lr.prep.transform(res.data, keep=[res.trainer.key])
     return EX.linear_shap(vec, lr.prep, lr.model, res.trainer.key)
 
 
+@register("exp4_tree")
+def _shap_tree(spark, sf_dir):
+    """Exact attributions of the final tree ensemble's margin, every row of the data."""
+    res = _plan(spark, sf_dir)
+    vec = res.final.prep.transform(res.data, keep=[res.trainer.key])
+    return EX.tree_shap(vec, res.final.prep, res.final.model, res.trainer.key)
+
+
 register("exp4")(_shap)
 register("exp5")(lambda spark, sf_dir: EX.mean_abs_shap(_shap(spark, sf_dir)))
 register("exp6")(lambda spark, sf_dir: EX.normalised_values(_shap(spark, sf_dir)))
 register("exp7")(lambda spark, sf_dir: EX.top_importance(EX.builtin_importance(
-    spark, _pipeline(spark, sf_dir).final.prep, _pipeline(spark, sf_dir).final.model)))
+    spark, _plan(spark, sf_dir).final.prep, _plan(spark, sf_dir).final.model)))
 
 
 @register("scr1")
 def _scr1(spark, sf_dir):
     """Score a new batch with the frozen plans: clean -> features -> model (no refit, no re-decisions)."""
-    res = _pipeline(spark, sf_dir)
+    res = _plan(spark, sf_dir)
     batch = res.clean.transform(RAW.build(spark, sf_dir))
     batch = res.features.transform(batch)
     scored = res.trainer.score(res.final, batch)
@@ -656,7 +672,7 @@ def _snk2(spark, sf_dir):
 
 @register("snk3")
 def _snk3(spark, sf_dir):
-    res = _pipeline(spark, sf_dir)
+    res = _plan(spark, sf_dir)
     loaded = PL.load_pipeline(spark, PL.save_pipeline(res, IO.new_output_path(spark, "model")))
     return PL.score_new_customers(loaded, RAW.build(spark, sf_dir))["predictions"]
 
@@ -671,7 +687,7 @@ def _stream_source(spark, sf_dir):
 
 @register("stream_score")
 def _stream_score(spark, sf_dir):
-    res = _pipeline(spark, sf_dir)
+    res = _plan(spark, sf_dir)
     src, schema = _stream_source(spark, sf_dir)
     sink, _ = ST.run_scoring(spark, src, schema, res)
     return spark.read.parquet(sink)
@@ -679,7 +695,7 @@ def _stream_score(spark, sf_dir):
 
 @register("stream_monitor")
 def _stream_monitor(spark, sf_dir):
-    res = _pipeline(spark, sf_dir)
+    res = _plan(spark, sf_dir)
     src, schema = _stream_source(spark, sf_dir)
     return spark.read.parquet(ST.run_monitor(spark, src, schema, res))
 
@@ -753,7 +769,7 @@ register("pre7")(lambda spark, sf_dir: _r6(PP.class_weights(_train_rows(spark, s
 
 @register("stream_window_monitor")
 def _stream_window_monitor(spark, sf_dir):
-    res = _pipeline(spark, sf_dir)
+    res = _plan(spark, sf_dir)
     src, schema = _stream_source(spark, sf_dir)
     return ST.latest_windows(spark, ST.run_windowed_monitor(spark, src, schema, res))
 
@@ -761,10 +777,10 @@ def _stream_window_monitor(spark, sf_dir):
 @register("scr4_model")
 def _scr4_model(spark, sf_dir):
     """Batch summary of the trained model's predictions for the upload (SCR4 on real scores)."""
-    return PL.score_new_customers(_pipeline(spark, sf_dir), RAW.build(spark, sf_dir))["summary"]
+    return PL.score_new_customers(_plan(spark, sf_dir), RAW.build(spark, sf_dir))["summary"]
 
 
 @register("scr5_model")
 def _scr5_model(spark, sf_dir):
     """Churn-rate monitor of the trained model's predictions against the training rate."""
-    return PL.score_new_customers(_pipeline(spark, sf_dir), RAW.build(spark, sf_dir))["monitor"]
+    return PL.score_new_customers(_plan(spark, sf_dir), RAW.build(spark, sf_dir))["monitor"]

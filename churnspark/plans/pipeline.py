@@ -28,7 +28,7 @@ from churnspark.operators.features import FeatureEstimator, FeatureModel, select
 from churnspark.operators.isotonic import IsotonicModel, fit_isotonic
 from churnspark.operators.profile import profile as profile_frame
 from churnspark.operators.split import align_columns, stratified_folds, stratified_split
-from churnspark.session import ensure_checkpoint_dir
+from churnspark.session import ensure_checkpoint_dir, stored
 from churnspark.sources.io import load_model, save_model
 from churnspark.operators.train import (FamilyResult, TrainConfig, Trainer, apply_platt, brier_of, choose_calibration,
                                         fit_platt, params_json)
@@ -83,6 +83,7 @@ def prepare(raw: DataFrame, target: str, id_col: str | None, cfg: TrainConfig |
     t0 = [time.time()]
     if id_col is None:
         raw, id_col = with_row_id(raw, None, ROW_ID), ROW_ID
+    raw = stored(raw, "raw")   # the upload is a plan of its own; read it once
     cm = CleanEstimator().fit(raw)
     df = cm.transform(raw)
     t = _name(target)
@@ -134,7 +135,7 @@ def run_pipeline(raw: DataFrame, target: str, id_col: str | None, models: list[s
     trainer, sp, key, imb = res.trainer, res.data, res.trainer.key, res.is_imbalanced
     train = sp.filter(F.col("split") == "train")
     test = sp.filter(F.col("split") == "test")
-    train_f = stratified_folds(train, "label", [key], k=cfg.folds)
+    train_f = stored(stratified_folds(train, "label", [key], k=cfg.folds), "folds")
     res.families = trainer.search_many(list(models), train_f, imb)
     trainer.release()
     _mark(timings, "search", t0)
@@ -181,20 +182,10 @@ def run_pipeline(raw: DataFrame, target: str, id_col: str | None, models: list[s
 def _cross_validate(res: PipelineResult, rows: DataFrame, key: str, cfg: TrainConfig):
     """EVL11: out-of-fold scores of the best configuration over all rows, per-fold thresholds."""
     fam = res.families[res.best]
-    folds = stratified_folds(rows, "label", [key], k=cfg.folds)
-
-    def one(f):
-        tr = folds.filter(F.col("fold") != f)
-        te = folds.filter(F.col("fold") == f)
-        prep, model = res.trainer.refit(res.best, fam.params, tr, res.is_imbalanced, fam.n_estimators)
-        r = FamilyResult(res.best, prep=prep, model=model)
-        return res.trainer.score(r, te).select(F.lit(res.best).alias("model"), F.lit(f).alias("fold"), "label", "p")
-
-    with ThreadPoolExecutor(max_workers=cfg.folds) as ex:
-        parts = list(ex.map(one, range(cfg.folds)))
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
+    folds = stored(stratified_folds(rows, "label", [key], k=cfg.folds), "cv-folds")
+
+    oof = res.trainer.out_of_fold(res.best, fam.params, folds, res.is_imbalanced, fam.n_estimators).select(
+        F.lit(res.best).alias("model"), "fold", "label", "p")
     res.cv = M.cv_evaluate(oof)
     row = res.cv.first()
     res.threshold = float(row["cv_avg_threshold"]) if row and row["cv_avg_threshold"] is not None else 0.5
@@ -208,6 +199,7 @@ def _calibrate(res: PipelineResult, train: DataFrame, test: DataFrame, key: str)
     before = brier_of(res.trainer.score(fam, test), "p")
     sub = stratified_split(train.drop("fold") if "fold" in train.columns else train, "label", [key],
                            salt="42|cal|", split_col="cal_split")
+    sub = stored(sub, "calibration")
     fit_part = sub.filter(F.col("cal_split") == "train")
     val_part = sub.filter(F.col("cal_split") == "test")
     prep, model = res.trainer.refit(res.best, fam.params, fit_part, res.is_imbalanced, fam.n_estimators)

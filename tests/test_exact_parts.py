@@ -132,3 +132,29 @@ def test_attributions_equal_the_sum_over_all_subsets(spark, spec):
                 return [f"f{i}" for i in range(5)]
         table = {(r.k, r.feature): (r.value, r.phi) for r in EX.tree_shap(df, Names(), m, "k").collect()}
         assert len(table) == 30 and all(abs(table[i, f"f{j}"][1] - got[i, j]) < 1e-12 for i in range(6) for j in range(5))
+
+
+def test_correlation_filter_over_many_column_blocks(spark, monkeypatch):
+    from churnspark.operators import features as FE
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(200, 12))
+    cols = [base[:, i] for i in range(12)] + [base[:, 3] * 2 + 1e-3 * rng.normal(size=200), -base[:, 8] * 0.5, np.full(200, 4.0), base[:, 0] + base[:, 1]]
+    names = [f"c{i}" for i in range(len(cols))]
+    df = spark.createDataFrame([tuple(float(c[r]) for c in cols) for r in range(200)], ", ".join(f"{n} double" for n in names)).repartition(5)
+    want = set()
+    for j in range(len(cols)):
+        for i in range(j):
+            if cols[i].std() and cols[j].std() and abs(np.corrcoef(cols[i], cols[j])[0, 1]) > 0.95:
+                want.add(names[j] if cols[j].var() < cols[i].var() else names[i])
+    assert want == {"c3", "c13"}
+    for width, fan in ((256, 16), (5, 2)):
+        monkeypatch.setattr(FE, "GRAM_COLUMNS", width)
+        monkeypatch.setattr(FE, "GRAM_FAN", fan)
+        assert {r.feature for r in FE.correlation_dedup(df, names).collect() if r.dropped} == want
+
+
+def test_correlation_filter_of_two_thousand_columns(spark):
+    from churnspark.operators import features as FE
+    names = [f"c{i}" for i in range(2000)]
+    df = spark.range(50).select(*[F.rand(i).alias(n) for i, n in enumerate(names[:-1])]).withColumn("c1999", F.col("c7") * 3)
+    assert [r.feature for r in FE.correlation_dedup(df, names).collect() if r.dropped] == ["c7"]

@@ -146,7 +146,7 @@ def test_comparison_shows_failed_models_last(spark):
     assert rows == [("c", "ok", 0.8, 1), ("a", "ok", 0.5, 2), ("b", "failed: no rows", None, 3)]
 
 
-def test_training_queries_search_every_family_with_the_library_defaults(spark, monkeypatch):
+def test_training_queries_search_with_the_library_defaults(spark, monkeypatch):
     import pytest
 
     from churnspark.operators.train import PRODUCTION_MODELS, REGISTRY_MODELS, TrainConfig
@@ -159,16 +159,16 @@ def test_training_queries_search_every_family_with_the_library_defaults(spark, m
         raise Asked(models, cfg)
     monkeypatch.setattr(CAT.PL, "run_pipeline", asked)
     monkeypatch.setattr(CAT, "_PIPELINES", {})
-    for name in ("trn8", "trn10", "trn13", "evl14", "evl15", "evl16", "evl21", "evl22", "exp1", "exp2", "exp3", "exp4", "exp4_linear", "exp5",
-                 "exp6", "exp7", "scr1", "scr4_model", "scr5_model", "snk3", "stream_score", "stream_monitor", "stream_window_monitor"):
+    every = PRODUCTION_MODELS + REGISTRY_MODELS
+    wanted = {n: every for n in ("trn8", "trn13", "evl22")} | {"trn10": ["XGBoost", "LightGBM", "CatBoost"], "exp4_linear": ["Logistic Regression"]}
+    wanted |= {n: [CAT.PLAN_MODEL] for n in ("evl14", "evl15", "evl16", "evl21", "exp1", "exp2", "exp3", "exp4", "exp4_tree", "exp5", "exp6", "exp7", "scr1",
+                                             "scr4_model", "scr5_model", "snk3", "stream_score", "stream_monitor", "stream_window_monitor")}
+    wanted |= dict(zip(("trn1", "trn2", "trn3", "trn4", "trn5", "trn6", "trn7"), [[m] for m in every]))
+    for name, models in wanted.items():
         assert CAT.fits_models(name)
         with pytest.raises(Asked) as e:
             CAT.REGISTRY[name](spark, SF_SMALL)
-        assert e.value.args == (PRODUCTION_MODELS + REGISTRY_MODELS, TrainConfig())
-    for name, model in zip(("trn1", "trn2", "trn3", "trn4", "trn5", "trn6", "trn7"), PRODUCTION_MODELS + REGISTRY_MODELS):
-        with pytest.raises(Asked) as e:
-            CAT.REGISTRY[name](spark, SF_SMALL)
-        assert e.value.args == ([model], TrainConfig())
+        assert e.value.args == (models, TrainConfig())
 
 
 def test_equal_rows_are_numbered_by_many_tasks(spark, monkeypatch):
