@@ -166,3 +166,48 @@ SELECT {_num_expr('total_spend')} AS total_spend, n_orders, acct_bal, segment, {
        CAST({_bool_map_sql('has_urgent')} AS INT) AS has_urgent, CAST({_bool_map_sql('has_open')} AS INT) AS has_open,
        signup_date
 FROM src"""
+
+# --- sources, sinks and slots: the upload is written from a view that SQL knows -------------------
+from churnspark.sources.io import MISSING_WORDS  # noqa: E402
+from oracles.features_sql import BOOL as _BOOL  # noqa: E402
+from oracles.features_sql import NUM as _NUM  # noqa: E402
+from oracles.features_sql import _key  # noqa: E402
+
+_MISSING = ", ".join("'" + w.replace("'", "''") + "'" for w in ["", *MISSING_WORDS])
+
+
+def _field(c: str, kind: str | None = None) -> str:
+    """A text field after the round trip through the file: trimmed, words for missing values as null."""
+    x = f"CASE WHEN trim(\"{c}\") NOT IN ({_MISSING}) THEN trim(\"{c}\") END"
+    return f'CAST({x} AS {kind}) AS "{c}"' if kind else f'{x} AS "{c}"'
+
+
+SQL["src1"] = f"""SELECT "Customer ID", {_field('Churn')}, {_field('Total Spend')}, "N-Orders", "Acct Bal", {_field('Segment')}, {_field('nation', 'BIGINT')},
+       {_field('Has Urgent')}, {_field('has_open')}, {_field('constant_col')}, {_field('nearly_constant')}, {_field('email')}, {_field('row_hash')},
+       {_field('phone')}, {_field('account_uuid')}, {_field('signup_date', 'DATE')}, {_field('churn_date', 'DATE')}, "mostly_null"
+FROM ({V.customer_raw()}) raw"""
+SQL["src3"] = f"SELECT 'Zürich' AS city, count(*) AS n FROM ({V.customer_raw()}) raw"
+SQL["src4"] = f"SELECT 'Customer ID' AS first_column, count(*) AS n_rows FROM ({V.customer_raw()}) raw"
+SQL["snk1"] = f"""SELECT a.model, CAST(a.customer_id AS VARCHAR) AS customer_id, churn_prediction, CAST(churn_probability AS VARCHAR) AS churn_probability,
+       risk_level FROM ({SQL['scr2']}) a JOIN ({SQL['scr3']}) b ON b.model = a.model AND b.customer_id = a.customer_id"""
+_B, _H = _key("c_custkey", "42|")
+SQL["pre5"] = f"""WITH {_CF},
+sp AS (SELECT cf.*, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {_B}, {_H}, CAST(c_custkey AS VARCHAR))
+                          <= floor(count(*) OVER (PARTITION BY label) * {C.TEST_SIZE} + 0.5) THEN 'test' ELSE 'train' END AS split FROM cf),
+tr AS (SELECT * FROM sp WHERE split = 'train'),
+md AS (SELECT c_mktsegment AS mode FROM tr WHERE c_mktsegment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+ct AS (SELECT coalesce(c_mktsegment, (SELECT mode FROM md)) AS v, count(*) AS n FROM tr GROUP BY 1),
+kp AS (SELECT v, n, n >= (SELECT sum(n) FROM ct) * {C.OHE_MIN_FREQUENCY} AS ok, row_number() OVER (ORDER BY n DESC, v) AS rk FROM ct),
+sl AS (SELECT CASE WHEN bool_and(ok) AND count(*) <= {C.OHE_MAX_CATEGORIES} THEN count(*)
+                   ELSE least(count(*) FILTER (WHERE ok), {C.OHE_MAX_CATEGORIES - 1}) + 1 END AS k FROM kp)
+SELECT c_custkey, CAST({len(_NUM) + len(_BOOL)} + (SELECT k FROM sl) AS INT) AS n_slots FROM cf"""
+
+
+def _json_list(c: str) -> str:
+    return f"""CASE WHEN len({c}) > 0 THEN '["' || array_to_string({c}, '", "') || '"]' ELSE '[]' END"""
+
+
+SQL["snk2"] = f"""SELECT '{{"error": ' || coalesce('"' || error || '"', 'null') || ', "explanation": "' || replace(explanation, '—', '\\u2014')
+       || '", "n_medium": ' || n_medium || ', "n_strong": ' || n_strong || ', "n_total": ' || n_total || ', "n_weak": ' || n_weak
+       || ', "overall_score": ' || overall_score || ', "potential_label": "' || potential_label || '", "top_features": ' || {_json_list('top_features')}
+       || ', "weak_features": ' || {_json_list('weak_features')} || '}}' AS value FROM ({SQL['sig_summary_clean']}) summary"""

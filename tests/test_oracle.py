@@ -6,13 +6,12 @@ from tests.conftest import SF_MID, SF_SMALL
 from tests.helpers import duck_rows, rows_of
 
 FAST = [k for k in E.oracle_sql() if k.split("_")[0].rstrip("0123456789") in
-        ("view", "sig", "evl", "scr", "cln", "prf", "fea", "spl", "set", "src", "pre")
-        and k not in ("trn9",)]
+        ("view", "sig", "evl", "scr", "cln", "prf", "fea", "spl", "set", "src", "snk", "pre") or k == "trn5_ordered"]
 
 
 # Feature candidates and the pruned upload depend on the profiler's column roles; at sf 0.001 c_acctbal is all-unique and
 # becomes an identifier (FIXTURES.md), so these queries are checked on the sf 0.01 tables.
-MID = {"fea1", "fea2", "fea3", "fea4", "fea5", "fea6", "fea7", "fea8", "cln8"}
+MID = {"fea1", "fea2", "fea3", "fea4", "fea5", "fea6", "fea7", "fea7_neighbours", "fea8", "cln8"}
 
 
 @pytest.mark.parametrize("name", FAST)
