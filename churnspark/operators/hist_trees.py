@@ -274,11 +274,10 @@ class Grower:
         n = len(tree)
         fresh = {"feature": np.full(n, -1), "bin": np.zeros(n), "left": np.full(n, -1), "parent": parent, "tree": tree, "level": level,
                  "path": path, "gain": np.zeros(n), "ok": np.zeros(n, bool), "c_feature": np.zeros(n), "c_bin": np.zeros(n)}
-        nothing = np.zeros((3, n))
         for name, dtype in self.NODE.items():
             values = np.asarray(fresh[name]).astype(dtype)
             setattr(self, name, np.concatenate([getattr(self, name), values]) if hasattr(self, name) else values)
-        for name, values in (("stats", stats), ("c_left", nothing), ("c_right", nothing)):
+        for name, values in (("stats", stats), ("c_left", np.zeros((3, n))), ("c_right", np.zeros((3, n)))):
             setattr(self, name, np.concatenate([getattr(self, name), values], axis=1) if hasattr(self, name) else values)
 
     def step(self, best: Best) -> None:

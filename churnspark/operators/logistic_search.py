@@ -99,7 +99,7 @@ def fit_all(blocks: DataFrame, reg: dict[int, np.ndarray], weights: dict[int, np
             break
         points = {f: solvers[f].ask() for f in open_}
         sums = blocks.mapInArrow(_pass(points, {f: weights[f][o] for f, o in open_.items()}), SUMS)
-        sums = added(sums, n_blocks) if n_blocks > 1 else sums
+        sums = added(sums, n_blocks * len(reg)) if n_blocks > 1 else sums   # the folds' blocks are numbered on
         for fold, data in sums.select("fold", "data").collect():   # one row per fold
             total, w = pickle.loads(data), points[fold]
             penalty = reg[fold][open_[fold]][:, None] * np.column_stack([w[:, :-1], np.zeros(len(w))])

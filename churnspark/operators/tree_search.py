@@ -69,7 +69,9 @@ def _pack(edges: list[list[float]] | None):
 
 
 def fold_blocks(folds: list[tuple[int, DataFrame, list[Column], list[list[float]] | None, Column]], key: str, label: str, n_blocks: int) -> DataFrame:
-    """(fold, block, data): per fold (number, rows, feature columns, edges, validation flag) its rows in ``n_blocks`` blocks."""
+    """(fold, block, data): per fold (number, rows, feature columns, edges, validation flag) its rows in ``n_blocks`` blocks.
+
+    Block numbers are unique within a fold and below folds * ``n_blocks``."""
     out = None
     for f, rows, columns, edges, held in folds:
         flat = rows.select(F.xxhash64(F.col(f"`{key}`")).alias("__id"), F.col(label).cast("int").alias("__y"), held.alias("__held"),
@@ -167,7 +169,7 @@ def _added(g: pd.DataFrame) -> pd.DataFrame:
 
 
 def added(sums: DataFrame, n_blocks: int) -> DataFrame:
-    """Sums over all blocks, a fan of blocks in one task."""
+    """Sums over all blocks (numbers below ``n_blocks``), a fan of blocks in one task."""
     while True:
         sums = sums.groupBy("fold", "grp", "part", F.floor(F.col("block") / FAN).alias("__fan")).applyInPandas(_added, SUMS)
         n_blocks = -(-n_blocks // FAN)
@@ -254,7 +256,7 @@ def train(blocks: DataFrame, specs: list[H.Spec], n_blocks: int, parallelism: in
     units = blocks.filter(F.col("fold").isin(list(by_fold))).withColumn("grp", F.explode(F.sequence(F.lit(0), numbers - 1)))
     state = stored(units.select("fold", "grp", "block", "data").repartition(max(parallelism, n_blocks)).mapInArrow(_starter(groups, bins), STATE), "trees")
     if n_blocks > 1:
-        return _distributed(state, groups, columns, bins, n_blocks, keep)
+        return _distributed(state, groups, columns, bins, n_blocks * len(by_fold), keep)   # the folds' blocks are numbered on
     while state.agg(F.sum("alive")).first()[0]:
         state = stored(state.mapInArrow(_local(ROUNDS, keep), STATE), "trees")
     books, trees = {}, {}

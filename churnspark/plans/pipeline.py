@@ -83,7 +83,8 @@ def prepare(raw: DataFrame, target: str, id_col: str | None, cfg: TrainConfig |
     t0 = [time.time()]
     if id_col is None:
         raw, id_col = with_row_id(raw, None, ROW_ID), ROW_ID
-    raw = stored(raw, "raw")   # the upload is a plan of its own; read it once
+    ensure_checkpoint_dir(raw.sparkSession)
+    raw = raw.checkpoint(eager=True)   # the upload is a plan of its own; read it once
     cm = CleanEstimator().fit(raw)
     df = cm.transform(raw)
     t = _name(target)

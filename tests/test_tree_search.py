@@ -78,7 +78,7 @@ def brute_tree(x, y, s, bins, rows):
 
 
 @pytest.mark.parametrize("spec", [
-    dict(depth=3, l2=1.0), dict(depth=5, l1=2.0, l2=3.0, gamma=0.4, min_h=3.0, w_pos=2.5, init=0.3),
+    dict(depth=1, l2=1.0), dict(depth=2, l2=1.0, min_h=30.0), dict(depth=3, l2=1.0), dict(depth=5, l1=2.0, l2=3.0, gamma=0.4, min_h=3.0, w_pos=2.5, init=0.3),
     dict(growth="leaf", depth=8, leaves=6, min_n=10, l2=1.5), dict(growth="leaf", depth=4, leaves=31, min_n=20, l1=0.5, l2=1.0, w_neg=0.5)])
 def test_second_order_tree_equals_brute_force(spec):
     s = H.Spec(0, 0, **spec)
@@ -242,3 +242,26 @@ def test_ordered_statistics_use_only_rows_before(spark):
         want[k] = (seen.get(c, 0) + 0.4 * 2) / (n_seen.get(c, 0) + 2)
         seen[c], n_seen[c] = seen.get(c, 0) + y, n_seen.get(c, 0) + 1
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+@pytest.mark.parametrize("name", ["XGBoost", "Logistic Regression"])
+def test_search_over_many_blocks_equals_one_block(spark, name, monkeypatch):
+    from churnspark.operators.train import TrainConfig, Trainer
+    rng = np.random.default_rng(5)
+    rows = [(i, float(a), float(b), "xyz"[i % 3], int(rng.random() < 1 / (1 + math.exp(-2 * a))), i % 2)
+            for i, (a, b) in enumerate(rng.normal(size=(240, 2)))]
+    df = spark.createDataFrame(rows, "c_custkey int, a double, b double, c string, label int, fold int")
+    cfg = TrainConfig(n_trials=2, folds=2, boost_cap=4, boost_floor=2, patience=2, parallelism=2)
+    got = []
+    for block_rows in (1 << 18, 90):
+        monkeypatch.setattr(TS, "BLOCK_ROWS", block_rows)
+        monkeypatch.setattr(TS, "FAN", 2)
+        t = Trainer(["a", "b"], ["c"], cfg)
+        r = t.search(name, df, False)
+        assert r.error is None
+        p = {x.c_custkey: x.p for x in t.score(r, df).select("c_custkey", "p").collect()}
+        got.append((r.cv_score, r.n_estimators, [s for _, _, s in r.trials], p))
+    one, many = got
+    assert one[1] == many[1] and abs(one[0] - many[0]) < 1e-9 and all(abs(a - b) < 1e-9 for a, b in zip(one[2], many[2]))
+    assert one[3].keys() == many[3].keys() and all(abs(one[3][k] - many[3][k]) < 1e-9 for k in one[3])
+    assert one[0] > 0.7
