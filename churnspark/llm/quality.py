@@ -112,11 +112,9 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns.
-
-    The statistics are computed once: rows and statistics are written together, the verdicts read only the narrow columns. Text crosses a
-    shuffle only where the hosts are too many to broadcast their verdicts."""
+    """The rows of ``docs`` that pass, with their own columns. The statistics are computed twice (for the hosts and for the rows): writing the
+    rows with them would take the input's size of disk. Text crosses a shuffle only where the hosts are too many to broadcast."""
     cols = docs.columns
     packed = docs.select(F.struct(*cols).alias("__row"), F.col("text").alias("__text"), F.col("source").alias("__source"))
-    stats = stored(text_stats(packed, "__text", ("__row", "__source")), "quality-rows")
+    stats = text_stats(packed, "__text", ("__row", "__source"))
     return judge(stats, "__source").filter("kept").select("__row.*")
