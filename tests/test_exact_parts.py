@@ -55,6 +55,26 @@ def test_neighbour_mi_equals_brute_force(spark, chunk, range_rows):
     assert got["signal"] > 0.15 > got["noise"]
 
 
+def test_neighbour_mi_of_rows_that_stay_equal(spark, monkeypatch):
+    monkeypatch.setattr(NB, "NOISE", 0.0)     # as where more rows share a value than a double holds noises
+    rng = np.random.default_rng(6)
+    y = (rng.random(200) < 0.4).astype(int)
+    cols = {"few": rng.integers(0, 4, 200) + 2 * y, "flat": np.full(200, 7), "some": np.where(rng.random(200) < 0.5, 1.0, rng.normal(size=200)),
+            "next": np.where(rng.random(200) < 0.3, 1 - 2.0 ** -53, 1 + rng.integers(0, 70, 200))}
+    rows = [(i, int(y[i]), *(float(c[i]) for c in cols.values())) for i in range(200)]
+    df = spark.createDataFrame(rows, "c_custkey int, label int, " + ", ".join(f"{c} double" for c in cols))
+    got = {r.feature: r.mi for r in NB.neighbour_mi(df, list(cols), chunk=30, range_rows=70).collect()}
+    for c, x in cols.items():
+        total = 0.0
+        for v, own in zip(x, y):
+            near = sorted((abs(o - v), o) for o, w in zip(x, y) if w == own)[1:]     # less the row itself
+            r, at = near[2]
+            lo, hi = (v - r, at) if at > v else (at, v + r)
+            total += psi(3) - psi((y == own).sum()) - psi(sum(bool(o == v or lo < o < hi) for o in x))
+        assert abs(got[c] - max(0.0, psi(200) + total / 200)) < 1e-6, c
+    assert got["flat"] == 0
+
+
 def test_neighbour_mi_of_odd_tables(spark):
     one = spark.createDataFrame([(1, 0, 1.0, None), (2, 0, 2.0, None), (3, 1, 5.0, None)], "c_custkey int, label int, a double, b double")
     got = {r.feature: r.mi for r in NB.neighbour_mi(one, ["a", "b"]).collect()}
