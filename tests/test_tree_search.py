@@ -226,6 +226,24 @@ def test_coefficients_equal_lone_fits(spark):
     assert np.allclose([r.s for r in scores], H.sigmoid(x[held] @ got[:, :-1].T + got[:, -1]).sum(axis=0))
 
 
+def test_a_pass_holds_a_few_rows_at_a_time(monkeypatch):
+    import pickle
+
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    x, y, held = rng.normal(size=(300, 4)), rng.integers(0, 2, 300), np.arange(300) % 3 == 0
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([pickle.dumps((x, y, None, held))], pa.binary())],
+                                       names=["fold", "block", "data"])
+    sizes, sums, points = [], [], rng.normal(size=(2, 5))
+    monkeypatch.setattr(LS, "sigmoid", lambda z: sizes.append(len(z)) or H.sigmoid(z))
+    for step in (1 << 15, 16):
+        monkeypatch.setattr(LS, "STEP", step)
+        (out,) = LS._pass({0: points}, {0: np.ones((2, 2))})([batch])
+        sums.append(pickle.loads(out.column(4)[0].as_py()))
+    assert sizes[0] == 200 and max(sizes[1:]) == 16 and sum(sizes[1:]) == 200
+    assert np.allclose(*sums)
+
+
 # --- ordered target statistics ----------------------------------------------------------------
 
 def test_ordered_statistics_use_only_rows_before(spark):
