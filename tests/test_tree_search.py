@@ -186,6 +186,35 @@ def test_several_blocks_grow_the_trees_of_one(spark, kind, monkeypatch):
             assert np.allclose(one["value"], other["value"])
 
 
+@pytest.mark.parametrize("kind", sorted(KINDS))
+def test_trees_grown_over_lists_of_rows_are_the_same(kind, monkeypatch):
+    specs = [H.Spec(t, 0, seed=9, w_pos=1.5, **KINDS[kind]) for t in range(2)]
+    results = []
+    for listed, long in ((1 << 40, 1), (1, 1), (1, 150), (1, 1 << 40)):       # side by side; one by one with lists, with both, pooled
+        monkeypatch.setattr(H, "LISTED", listed)
+        monkeypatch.setattr(H, "LONG", long)
+        x, y, ids, held = table(n=1200)
+        x[:, 4:] %= 2
+        b = H.Block(x, y, ids, held, specs, 16).start().grow(5, True)
+        scores = [sorted(s) for s in b.scores().round(9).tolist()]
+        results.append((scores, b.best_round.tolist(), [(t["feature"].tolist(), t["bin"].tolist(), t["cover"].round(6).tolist()) for t in b.trees]))
+    assert len(results[0][2]) > 3
+    for other in results[1:]:
+        assert other[1:] == results[0][1:] and np.allclose(other[0], results[0][0])
+
+
+def test_one_job_trains_a_fold_that_is_one_block(spark):
+    specs = [H.Spec(t, f, seed=9, **(KINDS["leaf"] | {"rounds": 60})) for f in (0, 1) for t in range(3)]
+    group = "one-block"
+    spark.sparkContext.setJobGroup(group, group)
+    state, books, _ = TS.train(as_blocks(spark, 1), specs, 1, 2, bins=16)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(books) == 4 and all(b.round == 60 or b.done.all() for b in books.values())
+    assert len(jobs) <= 4       # however many rounds: the sample of the ranges, the training, its result
+    assert TS.blocks_of(1 << 20, 16) == 1 < TS.blocks_of((1 << 20) + 1, 16) and TS.blocks_of(1 << 20, 17) == 4 == TS.blocks_of(1 << 20, 2, whole=False)
+
+
 def test_model_scores_as_it_was_trained(spark, tmp_path):
     x, y, ids, held = table()
     edges = [[float(v) + 0.5 for v in range(15)] for _ in range(6)]
