@@ -221,6 +221,39 @@ def test_token_files_round_trip_and_random_access(spark, edge, edge_rows):
     assert found == stream
 
 
+def test_token_files_hold_no_mask_bytes(tmp_path):
+    path, n = f"{tmp_path}/part.arrow", token_file.SEQUENCE * token_file.BATCH + 1500
+    writer = token_file.SequenceWriter(path, np.dtype("<u2"))
+    for i in range(0, n, 700):
+        writer.add((np.arange(i, min(i + 700, n)) % 49_000).astype("<u2").tobytes())
+    writer.close()
+    f = token_file.SequenceFile(path)
+    shapes = [tuple(a.shape for a in f.batch(i)) for i in range(f.file.num_record_batches)]
+    assert shapes == [((r, token_file.SEQUENCE),) * 2 for r in (token_file.BATCH, 2)]
+    masks = np.concatenate([f.batch(i)[1].ravel() for i in range(2)])
+    assert masks[:n].all() and not masks[n:].any() and f.sequence(token_file.BATCH + 1)[1].sum() == 1500 - token_file.SEQUENCE
+    assert np.concatenate([f.batch(i)[0].ravel() for i in range(2)])[:n].tolist() == (np.arange(n) % 49_000).tolist()
+    assert (tmp_path / "part.arrow").stat().st_size < 2.1 * (n + token_file.SEQUENCE)   # 3 bytes a token with masks
+
+
+def test_simple_words_skip_the_whole_encoding():
+    encoder, asked = token_file.Encoder(tokenizer_path(), 2), []
+    library = encoder.tokenizer
+
+    class Asked:
+        model = library.model
+
+        def encode(self, text, **options):
+            asked.append(text)
+            return library.encode(text, **options)
+
+    encoder.tokenizer = Asked()
+    words = ["plain", "end.", "été", "straße,", "(", "}{", "ÿþ:;", "don't", "x2", "Under", "<|endoftext|>", "日本"]
+    want = [library.encode(w, add_special_tokens=False).ids + [2] for w in words]
+    assert [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(words)] == want
+    assert set(asked) == {"don't", "x2", "<|endoftext|>", "日本"}
+
+
 def test_encoder_equals_the_library_on_odd_texts():
     from tokenizers import Tokenizer
     whole, encoder = Tokenizer.from_file(tokenizer_path()), token_file.Encoder(tokenizer_path(), 2)
