@@ -312,3 +312,23 @@ def test_search_over_many_blocks_equals_one_block(spark, name, monkeypatch):
     assert one[1] == many[1] and abs(one[0] - many[0]) < 1e-9 and all(abs(a - b) < 1e-9 for a, b in zip(one[2], many[2]))
     assert one[3].keys() == many[3].keys() and all(abs(one[3][k] - many[3][k]) < 1e-9 for k in one[3])
     assert one[0] > 0.7
+
+
+def test_long_lists_draw_a_bag_once_in_five_rounds_and_in_strips(monkeypatch):
+    n = H.LISTED + 1000
+    x, y, ids, held = table(n=n)
+    drawn, real = [], H.row_weights
+
+    def counted(spec, seeds, r, some):
+        drawn.append((r, len(some)))
+        return real(spec, seeds, r, some)
+    monkeypatch.setattr(H, "row_weights", counted)
+    spec = H.Spec(0, 0, growth="leaf", rounds=7, depth=4, leaves=8, min_n=20, l2=1.0, rate=0.1, rows="bagging", row_p=0.7, stop="logloss")
+    listed = H.Block(x, y, ids, held, [spec], 16).start().grow(7, True)
+    assert {r for r, _ in drawn} == {0, 5} and max(k for _, k in drawn) <= H.STRIP
+    assert sum(k for _, k in drawn) == 2 * int((~held).sum())
+    monkeypatch.setattr(H, "LISTED", n + 1)
+    together = H.Block(x, y, ids, held, [spec], 16).start().grow(7, True)
+    assert [t["feature"].tolist() for t in listed.trees] == [t["feature"].tolist() for t in together.trees]
+    order = np.argsort(held, kind="stable")
+    assert np.allclose(listed.margin, together.margin[:, order]) and np.allclose(listed.best_margin, together.best_margin[:, :])
