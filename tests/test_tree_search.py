@@ -332,3 +332,29 @@ def test_long_lists_draw_a_bag_once_in_five_rounds_and_in_strips(monkeypatch):
     assert [t["feature"].tolist() for t in listed.trees] == [t["feature"].tolist() for t in together.trees]
     order = np.argsort(held, kind="stable")
     assert np.allclose(listed.margin, together.margin[:, order]) and np.allclose(listed.best_margin, together.best_margin[:, :])
+
+
+def test_trees_of_a_forest_leave_the_task_in_several_rows():
+    import pickle
+    import pyarrow as pa
+    x, y, ids, held = table()
+    spec = H.Spec(0, 0, rule="gini", rounds=3, trees=5, depth=6, min_n=2, mtry="sqrt", rows="poisson")
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([0], pa.int32()),
+                                        pa.array([pickle.dumps((x, y, ids, held))], pa.binary())], names=["fold", "grp", "block", "data"])
+    rows = [r for b in TS._whole({(0, 0): [spec]}, 16, True)([batch]) for r in b.to_pylist()]
+    state, *parts = rows
+    assert pickle.loads(state["data"]).trees == [] and state["alive"] == 0
+    assert [len(pickle.loads(r["data"])) for r in parts] == [10, 5] and {r["alive"] for r in parts} == {-1}
+
+
+@pytest.mark.parametrize("depth", [0, 1, 6])
+def test_scorer_is_small_and_gives_the_model_s_values(depth):
+    import pickle
+    x, y, ids, held = table()
+    spec = H.Spec(0, 0, rounds=40, depth=depth, l2=1.0, rate=0.2, init=0.3)
+    b = H.Block(x, y, ids, held, [spec], 16).start().grow(40, True)
+    edges = [[float(i) for i in range(15)]] * x.shape[1]
+    model = TS.TreeEnsembleModel(b.trees, edges, spec.rate, spec.init, True)
+    assert np.allclose(model.margin(x.astype(float)), b.margin[0])
+    if depth == 6:
+        assert 3 * len(pickle.dumps(TS.Scorer(model))) < len(pickle.dumps(model))
