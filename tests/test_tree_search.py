@@ -358,3 +358,45 @@ def test_scorer_is_small_and_gives_the_model_s_values(depth):
     assert np.allclose(model.margin(x.astype(float)), b.margin[0])
     if depth == 6:
         assert 3 * len(pickle.dumps(TS.Scorer(model))) < len(pickle.dumps(model))
+
+
+@pytest.mark.parametrize("kind", [dict(rule="gini", rows="poisson", mtry="sqrt", trees=3), dict(rule="entropy")])
+def test_classes_are_counted_in_one_pass(kind, monkeypatch):
+    x, y, ids, held = table(900)
+    spec = H.Spec(0, 0, depth=5, min_n=3, w_pos=1.75, w_neg=0.6, **kind)
+    monkeypatch.setattr(H, "LISTED", 1 << 40)
+    together = H.Block(x, y, ids, held, [spec], 16).start().grow(1, True)
+    order = np.argsort(held, kind="stable")
+    monkeypatch.setattr(H, "LISTED", 1)
+    for long in (1, 20, 1 << 40):
+        monkeypatch.setattr(H, "LONG", long)
+        listed = H.Block(x, y, ids, held, [spec], 16).start().grow(1, True)
+        assert [t["feature"].tolist() for t in listed.trees] == [t["feature"].tolist() for t in together.trees]
+        assert all(np.array_equal(a["cover"], b["cover"]) for a, b in zip(listed.trees, together.trees))
+        assert np.allclose(listed.margin, together.margin[:, order])
+    calls = []
+    count = np.bincount
+    monkeypatch.setattr(H.np, "bincount", lambda *a, **k: calls.append(1) or count(*a, **k))
+    columns, used = H.Columns(x, y), np.ones(x.shape[1], bool)
+    hist = columns.histograms(np.arange(900), [np.full(900, 2 * H.PACKED + 1)], 16, used, True)
+    assert len(calls) == len(columns.wide)    # not once a statistic
+    assert hist[:, 0].sum(axis=1).tolist() == [2 * y.sum(), 1800, 900]
+
+
+def test_a_long_fold_trains_a_model_a_task_the_heaviest_first(monkeypatch):
+    monkeypatch.setattr(H, "LISTED", 1000)
+    specs = [H.Spec(t, f, rounds=500, depth=3 + t % 4, rate=0.01 * (1 + t), stop="auc", n_train=5000) for f in range(2) for t in range(6)]
+    groups = TS.grouped(specs, 1, 4)
+    assert len(groups) == 12 and all(len(own) == 1 for own in groups.values())
+    for f in range(2):
+        work = [groups[f, g][0].work for g in range(6)]
+        assert work == sorted(work, reverse=True)
+    for few, n_blocks in (([H.Spec(t, 0, n_train=900) for t in range(6)], 1), (specs[:6], 3)):   # short folds, folds of several blocks
+        assert [len(own) for own in TS.grouped(few, n_blocks, 4).values()] == [2, 2, 1, 1]
+
+
+def test_large_rows_have_files_of_their_own(spark):
+    from churnspark.session import stored
+    df = stored(spark.range(0, 6, 1, 1), "trees", rows_a_file=1)
+    assert len(df.inputFiles()) == 6 and df.count() == 6
+    assert len(stored(spark.range(0, 6, 1, 1), "trees").inputFiles()) == 1
