@@ -118,3 +118,8 @@ def test_restarted_stream_adds_no_duplicates(spark, result):
     raw.limit(10).write.mode("append").parquet(src)
     ST.run_scoring(spark, src, raw.schema, result, sink=sink, checkpoint=checkpoint)
     assert spark.read.parquet(sink).count() == raw.count() + 10
+
+
+def test_metrics_read_the_scores_and_score_no_row_again(result):
+    plan = result.metrics._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan and "test-scores" in plan and "train-scores" in plan
