@@ -291,6 +291,14 @@ def test_ordered_statistics_use_only_rows_before(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_ordered_statistics_send_no_rows_through_the_driver(spark):
+    df = spark.range(500).selectExpr("id k", "string(id % 5) c", "id % 2 label")
+    out = ordered_target_stats(df, ["c"], {"c": "0"}, 0.5, "label", "k")
+    assert out.count() == 500
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("name", ["XGBoost", "Logistic Regression"])
 def test_search_over_many_blocks_equals_one_block(spark, name, monkeypatch):
     from churnspark.operators.train import TrainConfig, Trainer
